@@ -42,7 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Frees the files of a written() table that nothing reads any more."""
+    remove_path(df.sparkSession, df._work_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

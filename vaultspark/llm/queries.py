@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.llm import decontaminate, langid
+from vaultspark.llm import decontaminate, jaccard, langid
 from vaultspark.llm._common import input_table
 
 
@@ -17,6 +17,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, input_table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(input_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=85)
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
