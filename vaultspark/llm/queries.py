@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.llm import decontaminate, jaccard, langid
+from vaultspark.llm import decontaminate, jaccard, langid, packing, token_files
 from vaultspark.llm._common import input_table
 
 
@@ -17,6 +17,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, input_table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokens_digest(input_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(input_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(input_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=85)
 
