@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.llm import decontaminate, jaccard, langid, packing, token_files
+from vaultspark.llm import decontaminate, jaccard, langid, media, packing, token_files, warc
 from vaultspark.llm._common import input_table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_digest(input_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archives_digest(input_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.digest(decontaminate.scan(docs, input_table(spark, sf_dir, "benchmark", "item_id", "text")))
@@ -35,6 +39,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(input_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=85)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(input_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
