@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import decontaminate, jaccard, langid, media, packing, shards, token_files, urlfilter, warc
+from vaultspark.llm import decontaminate, jaccard, langid, media, packing, quality, shards, token_files, urlfilter, warc
 from vaultspark.llm._common import input_table, work_folder
 
 
@@ -47,6 +47,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(input_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    model = quality.train(docs, input_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return quality.score(docs, model).select("doc_id", "text_score", "meta_score", "quality_score", "accepted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in six lots, are compacted, and are read back through the last manifest."""
     docs = input_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
