@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = ("structured",)
 
 
 def _all():
