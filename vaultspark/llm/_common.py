@@ -59,6 +59,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def input_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    # whole texts go to Python in batches of rows: fewer rows bound the memory of a batch of long texts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -7,13 +7,14 @@ A document's set holds the fingerprints of its distinct k-word shingles. Two doc
    1,024-bit parity map; the maps of two sets differ in at most |A ^ B| bits, which rules out most pairs at once.
 2. All n-grams get one global order: by a sketch of how many documents hold them (rare ones first), then by
    fingerprint. The order only decides what is cheap, never what is found.
-3. Linked classes share one of their first n - ceil(percent * n / 100) + 1 n-grams. Those prefixes are dealt by
-   n-gram and streamed in order. Within an n-gram, classes are linked to one central class of like size, so a group
-   of m classes gives m - 1 candidates and not all its pairs.
+3. Linked classes share one of their first n - ceil(percent * n / 100) + 1 n-grams, and at the first that they share,
+   enough n-grams must follow in both. Those prefixes are dealt by n-gram and streamed in order. An n-gram of up to
+   `FEW` classes gives the pairs that can link; in a larger one, classes are linked to one central class of like size,
+   so a group of m classes gives at most m candidates and not all its pairs.
 4. Candidates are verified vertically: the n-gram order is cut into `FRAGMENTS` fragments, the overlap of a pair is
    counted in each fragment on its own, and the parts are summed per pair.
 5. Verified links give components. Only pairs whose classes still lie in different components can change them:
-   those that share a prefix n-gram, have like sizes and pass the parity maps are verified the same way. Large
+   those of larger n-gram groups that share a prefix n-gram, have like sizes and pass the parity maps are verified the same way. Large
    n-gram groups are dealt in blocks (`BLOCK` classes each), so no group meets in one task.
 6. Components are found by repeated minimum labels with pointer jumping over the links of classes.
 
@@ -39,8 +40,10 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
 FRAGMENTS = 4
-#: Counters of the frequency sketch, and the parts it is summed in. A larger input wants more counters.
-SKETCH_BITS, SLICES = 21, 64
+#: The frequency sketch has a counter for each GRAMS_PER_COUNTER n-grams, between 2 ** 16 and 2 ** 24, summed in SLICES parts.
+GRAMS_PER_COUNTER, SKETCH_BITS, SLICES = 32, (16, 24), 64
+#: Classes of an n-gram whose pairs are listed one by one.
+FEW = 4
 MAP_WORDS = 16
 BLOCK = 20_000
 #: Rows of one n-gram that the streaming step holds at once.
@@ -102,10 +105,10 @@ class _Sketch:
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.counts = np.zeros(1 << bits, np.int64)
+        self.counts = np.zeros(1 << bits, np.int32)
 
     def add(self, hashes: np.ndarray) -> None:
-        self.counts += np.bincount((hashes >> _U(64 - self.bits)).astype(np.int64), minlength=len(self.counts))
+        np.add.at(self.counts, (hashes >> _U(64 - self.bits)).astype(np.int64), np.int32(1))
 
     def rows(self):
         """Slices with anything in them; a task's counters stop at 255."""
@@ -151,11 +154,8 @@ def _gram_sketch(text: str, k: int, bits: int):
     def over(batches):
         sketch = _Sketch(bits)
         for batch in batches:
-            held = []
             for _, grams in document_sets(batch, text, k):
-                held.append(grams)
-            if held:
-                sketch.add(np.concatenate(held))
+                sketch.add(grams)
         yield _slices(sketch)
 
     return over
@@ -175,14 +175,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-_PREFIX = "g long, c long, n long, w int"
+_PREFIX = "g long, c long, n long, p int, w int"
 
 
 def _prefixes(text: str, k: int, percent: int, bits: int, levels):
     def over(batches):
         level, seen = levels.value, set()
         for batch in batches:
-            out_g, out_c, out_n, out_w = [], [], [], []
+            out_g, out_c, out_n, out_p, out_w = [], [], [], [], []
             for _, grams in document_sets(batch, text, k):
                 n = len(grams)
                 if not n:
@@ -195,77 +195,91 @@ def _prefixes(text: str, k: int, percent: int, bits: int, levels):
                 seen.add(c)
                 lv = level[(grams >> _U(64 - bits)).astype(np.int64)]
                 p = prefix_length(n, percent)
-                if p < n:
-                    cut = np.argsort(lv, kind="stable")[:p]  # grams are sorted already: ties by fingerprint
-                    out_g.append(grams[cut])
-                else:
-                    out_g.append(grams)
+                out_g.append(grams[np.argsort(lv, kind="stable")[:p]])  # grams are sorted already: ties by fingerprint
+                out_p.append(np.arange(p, dtype=np.int32))
                 out_c.append(np.full(p, c))
                 out_n.append(np.full(p, n))
                 out_w.append(np.full(p, int(lv.mean(dtype=np.float64) * 1000), np.int32))
             if out_g:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_g).view(np.int64)), pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_w))], ["g", "c", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_g).view(np.int64)), pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_p)), pa.array(np.concatenate(out_w))], ["g", "c", "n", "p", "w"])
 
     return over
 
 
-#: kind 0: a class in an n-gram that others hold too (g, c, n); kind 1: a candidate (a, na, b, nb) as (g, c, n, d, m).
+#: kind 0: a class in an n-gram of many (g, c, n, its place p as d, 0); kind 1: a candidate (c, n), (d, m).
 _STAR = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("m", pa.int64())])
 
 
-def _stars(percent: int):
-    """Over prefixes sorted by (g, n, c): the classes of shared n-grams, and candidates with a central class each."""
+def can_follow(n, p, m, q, percent: int):
+    """Whether sets of n and m n-grams can link if the first that they share is at places p and q."""
+    like = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return like & (np.minimum(n - p, m - q) * (100 + percent) >= percent * (n + m))
+
 
-    def group(g, c, n, w, out):
-        out.append((np.zeros(len(c), np.int32), np.full(len(c), g), c, n, c, n))
-        lo = 0
-        while lo < len(c):
-            hi = int(np.searchsorted(n, n[lo] * 100 // percent, "right"))
+def _stars(percent: int):
+    """Over prefixes sorted by (g, n, c): candidates, and the classes of n-grams that more than FEW share."""
+
+    def pairs(i, j, g, c, n, p):
+        ok = can_follow(n[i], p[i], n[j], p[j], percent)
+        i, j = i[ok], j[ok]
+        return np.ones(len(i), np.int32), g[i], c[i], n[i], c[j], n[j]
+
+    def star(a, b, g, c, n, p, w, out):
+        out.append((np.zeros(b - a, np.int32), g[a:b], c[a:b], n[a:b], p[a:b].astype(np.int64), np.zeros(b - a, np.int64)))
+        lo = a
+        while lo < b:
+            hi = a + int(np.searchsorted(n[a:b], n[lo] * 100 // percent, "right"))
             hub = lo + int(np.argmax(w[lo:hi]))
             others = np.delete(np.arange(lo, hi), hub - lo)
-            if lo and percent * n[hub] <= 100 * n[lo - 1]:
+            if lo > a:
                 others = np.append(others, lo - 1)
-            if len(others):
-                out.append((np.ones(len(others), np.int32), np.full(len(others), g), c[others], n[others], np.full(len(others), c[hub]), np.full(len(others), n[hub])))
+            out.append(pairs(others, np.full(len(others), hub), g, c, n, p))
             lo = hi
 
-    def batch_of(out):
-        cols = [np.concatenate(x) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _STAR)], schema=_STAR)
+    large: set[int] = set()  # the n-gram whose group goes on in parts
 
     def over(batches):
         rest = None
         for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(4)]
+            cols = [np.asarray(batch.column(i)) for i in range(5)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
-            yield from work(cols, out := [], False)
-            rest = out[0] if out else None
+            left: list = []
+            yield from work(cols, left, False)
+            rest = left[0] if left else None
         if rest is not None:
             yield from work(rest, [], True)
 
     def work(cols, left, last):
-        g, c, n, w = cols
-        if not len(g):
+        if not len(cols[0]):
             return
+        g, c, n = cols[:3]
         same = np.zeros(len(g), bool)
         same[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1]) & (n[1:] == n[:-1])
-        if same.any():
-            g, c, n, w = (x[~same] for x in (g, c, n, w))
+        g, c, n, p, w = (x[~same] for x in cols)
         edges = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         ends = np.append(edges[1:], len(g))
         if not last:
             if ends[-1] - edges[-1] < CARRY:
-                left.append([x[edges[-1] :] for x in (g, c, n, w)])
+                left.append([x[edges[-1] :] for x in (g, c, n, p, w)])
                 edges, ends = edges[:-1], ends[:-1]
             else:  # a very large group goes on in parts; its last class ties them together
-                left.append([x[-1:] for x in (g, c, n, w)])
+                left.append([x[-1:] for x in (g, c, n, p, w)])
+                large.clear()
+                large.add(int(g[-1]))
+        sizes = ends - edges
+        if large:
+            sizes = np.where((g[edges] == next(iter(large))) & (sizes > 1), FEW + sizes, sizes)
         found = []
-        for i in np.flatnonzero(ends - edges > 1):
-            a, b = edges[i], ends[i]
-            group(g[a], c[a:b], n[a:b], w[a:b], found)
+        for size in range(2, FEW + 1):
+            a = edges[sizes == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    found.append(pairs(a + i, a + j, g, c, n, p))
+        for i in np.flatnonzero(sizes > FEW):
+            star(int(edges[i]), int(ends[i]), g, c, n, p, w, found)
         if found:
-            yield batch_of(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*found), _STAR)], schema=_STAR)
 
     return over
 
@@ -319,8 +333,8 @@ def _like_size(na, nb, percent: int) -> Column:
 class _Join:
     """The steps of one join, with what they share."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int, bits: int):
-        self.docs, self.key, self.text, self.k, self.percent, self.bits = docs.select(key, text), key, text, k, percent, bits
+    def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int):
+        self.docs, self.key, self.text, self.k, self.percent, self.bits = docs.select(key, text), key, text, k, percent, SKETCH_BITS[0]
         self.spark: SparkSession = docs.sparkSession
 
     def share(self, value):
@@ -329,7 +343,10 @@ class _Join:
     def members(self) -> DataFrame:
         """One row per document: key, class (c, n) and the parity map."""
         maps = ", ".join(f"{m} long" for m in _MAPS)
-        return written(self.docs.mapInArrow(_classes(self.key, self.text, self.k), f"key long, c long, n long, {maps}"), "members")
+        out = written(self.docs.mapInArrow(_classes(self.key, self.text, self.k), f"key long, c long, n long, {maps}"), "members")
+        grams = out.agg(F.sum("n").alias("n")).first()["n"] or 0
+        self.bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (grams // GRAMS_PER_COUNTER).bit_length()))
+        return out
 
     def stars(self) -> DataFrame:
         counted = self.docs.mapInArrow(_gram_sketch(self.text, self.k, self.bits), "slice int, packed binary")
@@ -370,10 +387,10 @@ class _Join:
 
 def _cross_pairs(percent: int):
     """Over rows sorted by (g, i, j, n): pairs of different components whose sizes and maps allow a link."""
-    names = ["g", "i", "j", "own", "c", "n", "label"]
+    names = ["g", "i", "j", "own", "c", "n", "p", "label"]
 
     def pairs(cols, maps):
-        g, i, j, own, c, n, label = cols
+        g, i, j, own, c, n, p, label = cols
         out = []
         for x in range(len(c)):
             hi = int(np.searchsorted(n, n[x] * 100 // percent, "right"))
@@ -381,6 +398,7 @@ def _cross_pairs(percent: int):
             ys = ys[label[ys] != label[x]]
             if i[0] != j[0]:
                 ys = ys[own[ys] != own[x]]
+            ys = ys[can_follow(n[x], p[x], n[ys], p[ys], percent)]
             if not len(ys):
                 continue
             differ = np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)
@@ -453,9 +471,9 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
         remove_path(spark, f"{path}/{n - 1}")
 
 
-def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: key, n_shingles and component_id (the smallest key that it reaches by links, or its own)."""
-    join = _Join(docs, key, text, k, percent, sketch_bits)
+    join = _Join(docs, key, text, k, percent)
     members = join.members()
     classes = members.filter("n > 0").groupBy("c", "n").agg(F.min("key").alias("key"), *(F.first(m).alias(m) for m in _MAPS))
     classes = written(classes, "classes")
@@ -468,7 +486,7 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     labels = components(keyed(first), "labels-1")
 
     # what may still join two components: n-grams whose classes lie in more than one
-    held = stars.filter("kind = 0").select("g", "c", "n").distinct()
+    held = stars.filter("kind = 0").groupBy("g", "c", "n").agg(F.min("d").alias("p"))
     labelled = classes.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     held = held.join(labelled.select("c", "n", "label"), ["c", "n"])
     mixed = held.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
@@ -478,7 +496,7 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "c")
-    rest = dealt.select("g", "i", "j", "own", "c", "n", "label", *_MAPS).mapInArrow(_cross_pairs(percent), "a long, na long, b long, nb long")
+    rest = dealt.select("g", "i", "j", "own", "c", "n", "p", "label", *_MAPS).mapInArrow(_cross_pairs(percent), "a long, na long, b long, nb long")
     rest = written(_ordered(rest), "rest")
     drop_written(stars)
     if rest.limit(1).count():
