@@ -142,7 +142,7 @@ SELECT lang, n, share, (share >= 2e-2 AND n >= 3 AND r <= 3) AS selected FROM s"
 @P.sql
 def decision_layer_hits(q):
     """JN1: notes that hold a term, joined to their rows, decisions only, ranked by term frequency over length."""
-    return f"""WITH {notes(q)}, tok AS (SELECT doc_id, t FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')} WHERE doc_id % 5 = 0),
+    return f"""WITH {notes(q)}, tok AS (SELECT doc_id, t FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')}),
 tf AS (SELECT doc_id, count(*) AS dl, {q.isum("CASE WHEN t IN ('the', 'und', 'les') THEN 1 ELSE 0 END")} AS tf FROM tok GROUP BY doc_id)
 SELECT n.id, round(tf.tf / CAST(tf.dl AS DOUBLE), 6) AS score FROM tf JOIN notes n ON n.doc_id = tf.doc_id WHERE n.type = 'decision' AND n.is_latest_version IS DISTINCT FROM 'false' AND tf.tf > 0 ORDER BY score DESC, n.id LIMIT 20"""
 
@@ -213,7 +213,7 @@ def unreferenced_sources(q):
 @P.sql
 def filename_twins(q):
     """JN11: dated names that another name repeats without its date, where tiers differ."""
-    return f"""WITH {notes(q)}, named AS (SELECT doc_id, classification, CASE WHEN doc_id % 2 = 0 THEN created || '-topic-' || {q.string('doc_id % 40')} ELSE 'topic-' || {q.string('doc_id % 40')} END AS slug FROM notes WHERE doc_id < 400)
+    return f"""WITH {notes(q)}, named AS (SELECT doc_id, classification, CASE WHEN doc_id % 2 = 0 THEN created || '-topic-' || {q.string('doc_id')} ELSE 'topic-' || {q.string('doc_id - 1')} END AS slug FROM notes)
 SELECT a.doc_id AS dated, b.doc_id AS plain FROM named a JOIN named b ON {q.replace_all('a.slug', '^[0-9]{4}-[0-9]{2}-[0-9]{2}-', '')} = b.slug AND a.slug <> b.slug WHERE {tier_rank('a.classification')} <> {tier_rank('b.classification')}"""
 
 
@@ -229,7 +229,7 @@ def ledger_claim_status(q):
     """JN13: each claim's status against the ledger: no row, collision, no digest, mismatch or joined."""
     sha = q.sha("text")
     return f"""WITH ledger AS (SELECT 'p' || {q.string('doc_id % 300')} AS pid, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE {sha} END AS digest, source AS category FROM documents WHERE doc_id % 2 = 0),
-claim AS (SELECT 'p' || {q.string('doc_id')} AS pid, {sha} AS sha FROM documents WHERE doc_id < 320),
+claim AS (SELECT 'p' || {q.string('doc_id')} AS pid, {sha} AS sha FROM documents),
 g AS (SELECT pid, count(*) AS n, count(DISTINCT digest) AS d, count(DISTINCT category) AS c, max(digest) AS digest FROM ledger GROUP BY pid)
 SELECT c.pid, CASE WHEN g.pid IS NULL THEN 'no-ledger-row' WHEN g.d > 1 OR g.c > 1 OR g.n > 1 THEN 'collision' WHEN g.digest IS NULL THEN 'no-digest' WHEN g.digest <> c.sha THEN 'digest-mismatch' ELSE 'joined' END AS status FROM claim c LEFT JOIN g ON g.pid = c.pid"""
 
@@ -242,15 +242,17 @@ def run_pairing(q):
 
 @P.sql
 def dossier_tensions(q):
-    """JN15: live notes of the same source that are newer than a decision; a range join within a key."""
-    return f"""WITH {notes(q)}, v AS (SELECT doc_id, id, type, source, is_latest_version, {VALID_DATE} AS d FROM notes), dec AS (SELECT * FROM v WHERE type = 'decision' AND doc_id < 200)
-SELECT x.id AS decision_id, count(*) AS newer, min(v.id) AS first_id, max(v.d) AS newest FROM dec x JOIN v ON v.source = x.source AND v.d > x.d WHERE v.type <> 'decision' AND v.is_latest_version IS DISTINCT FROM 'false' AND x.d <> '' AND v.d <> '' GROUP BY x.id"""
+    """JN15: live notes of the same source that are newer than a decision: a range join, as running totals over dates."""
+    return f"""WITH {notes(q)}, v AS (SELECT id, type, source, {VALID_DATE} AS d, CASE WHEN type <> 'decision' AND is_latest_version IS DISTINCT FROM 'false' THEN 1 ELSE 0 END AS live FROM notes),
+day AS (SELECT source, d, {q.isum('live')} AS n, min(CASE WHEN live = 1 THEN id END) AS first_id, max(CASE WHEN live = 1 THEN d END) AS newest FROM v WHERE d <> '' GROUP BY source, d),
+later AS (SELECT source, d, sum(n) OVER w AS newer, min(first_id) OVER w AS first_id, max(newest) OVER w AS newest FROM day WINDOW w AS (PARTITION BY source ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT x.id AS decision_id, CAST(l.newer AS BIGINT) AS newer, l.first_id, l.newest FROM v x JOIN later l ON l.source = x.source AND l.d = x.d WHERE x.type = 'decision' AND l.newer > 0"""
 
 
 @P.sql
 def variant_union(q):
     """JN16: variants of a query, each identity once, in the order of first appearance, four at most."""
-    return f"""WITH {notes(q)}, v AS (SELECT doc_id, lower(trim(title)) AS name FROM notes WHERE doc_id < 40), u AS (SELECT name, min(doc_id) AS first_at FROM v WHERE name <> '' GROUP BY name)
+    return f"""WITH {notes(q)}, v AS (SELECT doc_id, lower(trim(title)) AS name FROM notes), u AS (SELECT name, min(doc_id) AS first_at FROM v WHERE name <> '' GROUP BY name)
 SELECT name, CAST(row_number() OVER (ORDER BY first_at) AS BIGINT) AS place FROM u ORDER BY first_at LIMIT 4"""
 
 
@@ -422,7 +424,7 @@ def backlinks(q):
 @P.sql
 def token_counts(q):
     """Terms and their document frequencies."""
-    return f"SELECT t AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')} GROUP BY t HAVING count(DISTINCT doc_id) >= 20"
+    return f"SELECT t AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')} GROUP BY t"
 
 
 QUERIES, ORACLE = P.queries, P.oracle
