@@ -192,7 +192,7 @@ def exploration_samples(q):
 def wikilink_parse(q):
     """GR1: targets of links in texts, each once (texts with links made from titles)."""
     body = "'see [[' || title || ']] and [[' || id || '|name]] or [[' || id || '#part]] ' || substr(body, 1, 200)"
-    target = q.distinct(q.transform(q.extract_all("b", r"\[\[([^\]\n|#]+)[^\]\n]*\]\]", 1), "x", "trim(x)"))
+    target = q.sort(q.distinct(q.transform(q.extract_all("b", r"\[\[([^\]\n|#]+)[^\]\n]*\]\]", 1), "x", "trim(x)")))
     return f"WITH {notes(q)}, w AS (SELECT doc_id, {body} AS b FROM notes) SELECT doc_id, {q.join(target, ';')} AS targets, {q.size(target)} AS n FROM w"
 
 
