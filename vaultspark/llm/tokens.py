@@ -1,9 +1,13 @@
 """Tokenising whole texts with the tokenizers library, a piece of text at a time.
 
-Both tokenizers here never join what white space divides, so equal pieces have equal ids wherever they stand. Each
-Python worker keeps the ids of pieces that it has seen (at most `MEMO` pieces) and asks the library for new ones only,
-many at once. A text with characters on which the two notions of white space or case could differ goes to the
-library as it is. Ids come as the bytes of little-endian unsigned 32-bit integers.
+Both tokenizers here never join a run of letters, digits or marks with what stands beside it (but for one leading
+space), so equal runs have equal ids wherever they stand. Each Python worker keeps the ids of runs that it has seen
+(at most `MEMO`) in a hash table of numpy arrays, looks up the runs of many texts in one step, and asks the library
+for new ones only, many at once. A run is known by a 64-bit hash of its bytes.
+
+Where byte classes can't tell runs apart (apostrophes, other scripts, marks beyond ASCII, odd white space), a text is
+cut by patterns instead, or goes to the library as it is. Ids come as the bytes of little-endian unsigned 32-bit
+integers.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ import re
 
 import numpy as np
 
+from vaultspark.llm._common import word_hashes
+
 #: Pieces that one worker remembers.
 MEMO = 1_200_000
 
@@ -23,6 +29,14 @@ _NOT_LATIN = re.compile("[^\x00-ɏ]")
 # Two marks in a row could be one piece.
 _MARKS = re.compile(r"(?:[^\w\s]|_){2}|'")
 
+# What keeps a text from the byte classes: U+001C to U+001F, apostrophes, "<", and all but Latin letters beyond ASCII.
+_SLOW = re.compile("[\x1c-\x1f'<]|[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
+# Classes of bytes: 0 white space, 1 letters (and all beyond ASCII), 2 digits, 3 marks.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[32, 9, 10, 11, 12, 13]] = 0
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
+
 _FINE = re.compile(r" ?[^\s.,]+| ?[.,]|\s+(?!\S)|\s")
 _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s")
 
@@ -37,6 +51,107 @@ class PieceTokenizer:
         self.library = Tokenizer.from_file(path)
         self.kind = kind
         self.memo: dict[str, bytes] = {}
+        self._reset(1 << 16)
+
+    # the table of runs: open addressing, linear probing
+
+    def _reset(self, size: int) -> None:
+        self.keys = np.zeros(size, np.uint64)  # 0: free; hashes of 0 are taken as 1
+        self.slots = np.zeros(size, np.int32)
+        self.known, self.used = 0, 0
+        self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pool = np.zeros(1 << 14, np.uint32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the runs with these hashes; -1 for new ones."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(h), -1, np.int64)
+        left, place = np.arange(len(h)), (h & mask).astype(np.int64)
+        while len(left):
+            k = self.keys[place]
+            hit = k == h[left]
+            out[left[hit]] = self.slots[place[hit]]
+            go = ~hit & (k != 0)
+            left, place = left[go], (place[go] + 1) & int(mask)
+        return out
+
+    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds distinct new hashes."""
+        mask = len(self.keys) - 1
+        left, place = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = self.keys[place] == 0
+            _, first = np.unique(place[free], return_index=True)  # one newcomer for each free place
+            take = np.flatnonzero(free)[first]
+            self.keys[place[take]] = h[left[take]]
+            self.slots[place[take]] = numbers[left[take]]
+            stay = np.ones(len(left), bool)
+            stay[take] = False
+            left, place = left[stay], (place[stay] + 1) & mask
+
+    def _learn(self, h: np.ndarray, runs_: list[str]) -> None:
+        """Stores the ids of new runs with distinct hashes."""
+        while 2 * (self.known + len(h)) > len(self.keys):
+            keys, slots = self.keys, self.slots
+            self.keys, self.slots = np.zeros(2 * len(keys), np.uint64), np.zeros(2 * len(keys), np.int32)
+            old = np.flatnonzero(keys)
+            self._insert(keys[old], slots[old])
+        ids = [e.ids for e in self.library.encode_batch_fast(runs_, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+        first, last = self.known, self.known + len(h)
+        while last > len(self.at):
+            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.at[first:last], self.n[first:last] = self.used + np.cumsum(n) - n, n
+        self._insert(h, np.arange(first, last))
+        self.known, self.used = last, self.used + len(flat)
+
+    def _runs(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of joined texts."""
+        kind = _CLASS[raw]
+        cut = np.empty(len(raw) + 1, bool)
+        cut[0] = cut[-1] = True
+        cut[1:-1] = kind[1:] != kind[:-1]
+        cut[offs] = True
+        if self.kind == "byte":
+            edge = np.zeros(len(raw) + 1, bool)
+            edge[offs] = True
+            # the last white space before a run stands alone, or leads the run if it is a space
+            last = np.flatnonzero((kind[:-1] == 0) & (kind[1:] != 0) & ~edge[1:-1])
+            cut[last] = True
+            cut[last[raw[last] == 32] + 1] = False
+        at = np.flatnonzero(cut)
+        starts, ends = at[:-1], at[1:]
+        if self.kind == "word":
+            keep = kind[starts] != 0
+            starts, ends = starts[keep], ends[keep]
+        return starts, ends
+
+    def _fast(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that byte classes can cut."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(raw):
+            return [b""] * len(texts)
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        starts, ends = self._runs(raw, offs)
+        h = np.maximum(word_hashes(raw, starts, ends), np.uint64(1))
+        if self.known > MEMO:
+            self._reset(1 << 16)
+        number = self._find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            hashes, first = np.unique(h[new], return_index=True)
+            where = new[first]
+            self._learn(hashes, [raw[a:b].tobytes().decode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            number[new] = self._find(h[new])
+        n = self.n[number]
+        stop = np.cumsum(n)
+        flat = self.pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[number] - (stop - n), n)]
+        bounds = np.concatenate([[0], stop])[np.searchsorted(starts, offs)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,15 +172,19 @@ class PieceTokenizer:
         return (_COARSE if _MARKS.search(text) else _FINE).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        fast = [not _SLOW.search(t) for t in texts]
+        quick = [t for t, f in zip(texts, fast) if f]
+        some = iter(self._fast([(t.lower() if self.kind == "word" else t).encode() for t in quick]))
+        slow = iter(self._by_pieces([t for t, f in zip(texts, fast) if not f]))
+        return [next(some) if f else next(slow) for f in fast]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) > MEMO // 8:
             memo.clear()
         split = [self.pieces(t) for t in texts]
-        new: set[str] = set()
-        for p in split:
-            if p is not None:
-                new.update(p)
-        new.difference_update(memo)
+        new = set().union(*(p for p in split if p is not None)).difference(memo)
         if new:
             asked = list(new)
             memo.update(zip(asked, self.direct(asked)))
