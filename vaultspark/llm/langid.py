@@ -76,10 +76,14 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def parse_table(nxt: np.ndarray) -> np.ndarray:
-    """(state, symbol) -> 2 * next state + 1 if a phrase ends before the symbol. Symbol 0 stays put and ends nothing."""
-    restart = np.where(nxt[0] >= 0, nxt[0], 0)
-    table = np.where(nxt >= 0, nxt * 2, restart[None, :] * 2 + 1).astype(np.int32)
-    table[:, 0] = np.arange(len(nxt), dtype=np.int32) * 2
+    """(state, symbol) -> 2 * next state + 1 if a phrase begins with the symbol. Symbol 0 stays put.
+
+    One more state than the automaton has, the last, is where parsing starts and where a symbol that the sample lacks
+    leads: such a symbol is a phrase of its own, and whatever follows begins another."""
+    fresh = len(nxt)
+    begin = np.where(nxt[0] >= 0, nxt[0], fresh) * 2 + 1
+    table = np.vstack([np.where(nxt >= 0, nxt * 2, begin[None, :]), begin[None, :]]).astype(np.int32)
+    table[:, 0] = np.arange(fresh + 1, dtype=np.int32) * 2
     return table
 
 
@@ -107,7 +111,7 @@ class Parser:
             text = self.symbols(joined[lang])[0][:TRAIN_CHARS]
             t = parse_table(suffix_automaton(text, SYMBOLS)) + np.int32(2 * base)
             tables.append(t)
-            self.starts.append(base)
+            self.starts.append(base + len(t) - 1)
             self.norm.append(np.log2(max(2, len(text))))
             base += len(t)
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(SYMBOLS, np.int32)
@@ -142,7 +146,7 @@ class Parser:
         found = np.empty((len(texts), len(self.langs)), np.int64)
         for j, start in enumerate(self.starts):
             state = np.full(total, 2 * start, np.int32)
-            n = np.ones(total, np.int32)
+            n = np.zeros(total, np.int32)
             for step in steps:
                 state = self.table[(state >> 1) * SYMBOLS + step]
                 n += state & 1
