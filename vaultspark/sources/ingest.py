@@ -78,7 +78,8 @@ def _docx(raw: bytes):
 
 
 def _numbered(names, pattern):
-    return [n for _, n in sorted((int(m[1]), n) for n in names if (m := re.fullmatch(pattern, n)))]
+    found = [(re.fullmatch(pattern, n), n) for n in names]
+    return [n for _, n in sorted((int(m[1]), n) for m, n in found if m)]
 
 
 def _pptx(raw: bytes):
