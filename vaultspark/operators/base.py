@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="vaultspark-checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python once, unless they find it as the driver does (PYTHONPATH, folder)."""
+    import vaultspark
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(vaultspark.__file__)))
+    near = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in near or os.path.abspath(os.getcwd()) == root or root.startswith(sys.prefix):
+        return
+    out = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="vaultspark-"), "vaultspark-package"), "zip", root, "vaultspark")
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(app)

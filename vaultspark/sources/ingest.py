@@ -202,7 +202,7 @@ NOTE = "id string, title string, type string, classification string, zone string
 
 def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Notes of a folder of Markdown files; files without front matter and generated ones are left out."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     root = folder.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace("path", "^.*?" + re.escape(root) + "/", "")
     taken = texts.withColumn("path", rel).filter(~F.col("path").rlike(r"(^|/)\.|^inbox/|^overlay/|^raw/originals/|(^|/)backlinks\.md$"))
