@@ -173,8 +173,12 @@ def read_archive(data: memoryview):
 
 def learned_dictionary(pages: DataFrame, payload: str) -> bytes:
     """A dictionary of a bounded sample: SAMPLE_PAGES payloads by hash, SAMPLE_BYTES of each."""
-    h = F.xxhash64(payload)
-    rows = pages.filter(F.col(payload).isNotNull()).select(h.alias("h"), F.substring(payload, 1, SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(SAMPLE_PAGES).collect()
+    # the smallest hashes first, without payloads: what tasks send to the driver stays small
+    hashed = pages.filter(F.col(payload).isNotNull()).select(F.xxhash64(payload).alias("h"), F.substring(payload, 1, SAMPLE_BYTES).alias("t"))
+    lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    if not lowest:
+        return b""
+    rows = hashed.filter(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     samples = list(dict.fromkeys(r["t"].encode() for r in rows if r["t"]))
     if len(samples) < 16 or sum(map(len, samples)) < 4 * DICTIONARY_BYTES:
         return b""
