@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -95,14 +98,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow_cache[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, STEP_BYTES + 1)
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(size, base, _U)
             p[0] = 1
             _pow_cache[k] = np.multiply.accumulate(p)
-    if n > 1 << 23:  # one huge text: don't keep its tables
+    if n > 4 * STEP_BYTES:  # one huge text: don't keep its tables
         out = _pow_cache[0][:n], _pow_cache[1][:n]
-        _pow_cache[0], _pow_cache[1] = _pow_cache[0][: 1 << 21].copy(), _pow_cache[1][: 1 << 21].copy()
+        _pow_cache[0], _pow_cache[1] = (p[: STEP_BYTES + 1].copy() for p in _pow_cache)
         return out
     return _pow_cache[0][:n], _pow_cache[1][:n]
 
@@ -157,3 +160,39 @@ def out_batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
 def crc32_text(col):
     """Unsigned CRC-32 of the decimal text of an integer column."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+# What a Python worker keeps over tasks: one thing at a time, so that stages don't add up in a reused worker.
+_held: dict = {}
+
+
+def held(token, build):
+    """The worker's own `build()` of a token; whatever it held of another token is dropped."""
+    if token not in _held:
+        _held.clear()
+        _held[token] = build()
+    return _held[token]
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its free memory
+        pass
+
+
+def lean(over, keeps: bool = False):
+    """A mapInArrow function that gives free memory back when its task ends and (unless it keeps a token) drops what the worker held."""
+
+    @functools.wraps(over)
+    def run(batches):
+        if not keeps:
+            _held.clear()
+        try:
+            yield from over(batches)
+        finally:
+            _trim()
+
+    return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm._common import LOWER, text_steps, window_hashes, word_hashes, word_spans
+from vaultspark.llm._common import LOWER, lean, text_steps, window_hashes, word_hashes, word_spans
 
 #: 0-9, a-z and every byte of non-ASCII characters.
 IS_WORD = np.zeros(256, bool)
@@ -143,7 +143,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_win
     parts = []
     for n, grams in enumerate(_blocks(benchmark, width, block_windows, item_id, item_text)):
         shared = spark.sparkContext.broadcast(grams)
-        parts.append(docs.select(key, text).mapInArrow(lambda it, b=shared, later=n > 0: _scan(b.value, key, text, later)(it), "row_key long, n_words long, spans array<bigint>, items array<string>"))
+        parts.append(docs.select(key, text).mapInArrow(lean(lambda it, b=shared, later=n > 0: _scan(b.value, key, text, later)(it)), "row_key long, n_words long, spans array<bigint>, items array<string>"))
     if not parts:
         empty = spark.sparkContext.broadcast(_Grams([]))
         parts = [docs.select(key, text).mapInArrow(lambda it: _scan(empty.value, key, text, False)(it), "row_key long, n_words long, spans array<bigint>, items array<string>")]
@@ -189,7 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
     schema = docs.schema
     for grams in _blocks(benchmark, width, options.get("block_windows", BLOCK_WINDOWS), options.get("item_id", "item_id"), options.get("item_text", "text")):
         shared = docs.sparkSession.sparkContext.broadcast(grams)
-        docs = docs.mapInArrow(_remover(shared, text, mode), schema)
+        docs = docs.mapInArrow(lean(_remover(shared, text, mode)), schema)
     return docs
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm._common import LOWER, drop_written, mix, remove_path, text_steps, window_hashes, word_hashes, word_spans, work_folder, written
+from vaultspark.llm._common import LOWER, drop_written, lean, mix, remove_path, text_steps, window_hashes, word_hashes, word_spans, work_folder, written
 
 #: Everything but the ASCII space, tab, line feed, vertical tab, form feed and carriage return.
 IS_WORD = np.ones(256, bool)
@@ -145,7 +145,7 @@ def _sum_slices(bits: int):
 def _levels(partial: DataFrame, bits: int) -> np.ndarray:
     """The summed sketch as levels of 0 to 255: 2 ** bits bytes on the driver, whatever the input."""
     levels = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
-    for row in partial.repartition(SLICES, "slice").mapInArrow(_sum_slices(bits), "slice int, packed binary").collect():
+    for row in partial.repartition(SLICES, "slice").mapInArrow(lean(_sum_slices(bits)), "slice int, packed binary").collect():
         levels[row["slice"]] = np.frombuffer(zlib.decompress(bytes(row["packed"])), np.uint8)
     return levels.reshape(-1)
 
@@ -343,17 +343,19 @@ class _Join:
     def members(self) -> DataFrame:
         """One row per document: key, class (c, n) and the parity map."""
         maps = ", ".join(f"{m} long" for m in _MAPS)
-        out = written(self.docs.mapInArrow(_classes(self.key, self.text, self.k), f"key long, c long, n long, {maps}"), "members")
+        out = written(self.docs.mapInArrow(lean(_classes(self.key, self.text, self.k)), f"key long, c long, n long, {maps}"), "members")
         grams = out.agg(F.sum("n").alias("n")).first()["n"] or 0
         self.bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (grams // GRAMS_PER_COUNTER).bit_length()))
         return out
 
     def stars(self) -> DataFrame:
-        counted = self.docs.mapInArrow(_gram_sketch(self.text, self.k, self.bits), "slice int, packed binary")
+        counted = self.docs.mapInArrow(lean(_gram_sketch(self.text, self.k, self.bits)), "slice int, packed binary")
         levels = self.share(_levels(counted, self.bits))
-        prefixes = self.docs.mapInArrow(_prefixes(self.text, self.k, self.percent, self.bits, levels), _PREFIX)
+        prefixes = self.docs.mapInArrow(lean(_prefixes(self.text, self.k, self.percent, self.bits, levels)), _PREFIX)
         dealt = prefixes.repartition("g").sortWithinPartitions("g", "n", "c")
-        return written(dealt.mapInArrow(_stars(self.percent), "kind int, g long, c long, n long, d long, m long"), "stars")
+        out = written(dealt.mapInArrow(lean(_stars(self.percent)), "kind int, g long, c long, n long, d long, m long"), "stars")
+        levels.unpersist()
+        return out
 
     def passing(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, na, b, nb) whose parity maps don't rule them out."""
@@ -371,13 +373,14 @@ class _Join:
         """Those of the pairs that link; each overlap is counted by fragment and summed."""
         needed = pairs.select(F.col("a").alias("c"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
         keys = needed.join(reps, ["c", "n"]).select("key")
-        wanted = self.share(_levels(keys.mapInArrow(_id_sketch(self.bits), "slice int, packed binary"), self.bits))
-        parts = self.docs.mapInArrow(_fragments(self.key, self.text, self.k, self.bits, wanted), "c long, n long, f int, grams binary")
+        wanted = self.share(_levels(keys.mapInArrow(lean(_id_sketch(self.bits)), "slice int, packed binary"), self.bits))
+        parts = self.docs.mapInArrow(lean(_fragments(self.key, self.text, self.k, self.bits, wanted)), "c long, n long, f int, grams binary")
         parts = written(parts.dropDuplicates(["c", "n", "f"]), "fragments")  # copies in several tasks give several rows
+        wanted.unpersist()
         dealt = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
         one = parts.select(F.col("c").alias("a"), F.col("n").alias("na"), "f", F.col("grams").alias("ga"))
         two = parts.select(F.col("c").alias("b"), F.col("n").alias("nb"), "f", F.col("grams").alias("gb"))
-        counted = dealt.join(one, ["a", "na", "f"]).join(two, ["b", "nb", "f"]).mapInArrow(_overlaps, "a long, na long, b long, nb long, part long")
+        counted = dealt.join(one, ["a", "na", "f"]).join(two, ["b", "nb", "f"]).mapInArrow(lean(_overlaps), "a long, na long, b long, nb long, part long")
         inter = F.col("inter")
         summed = counted.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("inter"))
         links = written(summed.filter(inter * 100 >= F.lit(self.percent) * (F.col("na") + F.col("nb") - inter)).select("a", "na", "b", "nb"), "links")
@@ -496,7 +499,7 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "c")
-    rest = dealt.select("g", "i", "j", "own", "c", "n", "p", "label", *_MAPS).mapInArrow(_cross_pairs(percent), "a long, na long, b long, nb long")
+    rest = dealt.select("g", "i", "j", "own", "c", "n", "p", "label", *_MAPS).mapInArrow(lean(_cross_pairs(percent)), "a long, na long, b long, nb long")
     rest = written(_ordered(rest), "rest")
     drop_written(stars)
     if rest.limit(1).count():

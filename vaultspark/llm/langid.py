@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from vaultspark.llm._common import crc32_text
+from vaultspark.llm._common import crc32_text, held, lean
 
 #: Different texts, characters of each and characters in all that a language is learned from.
 SAMPLE_TEXTS = 100
@@ -190,9 +190,6 @@ def labelled_sample(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     return out
 
 
-_built: dict[int, Parser] = {}
-
-
 def identify(docs: DataFrame, samples: dict[str, list[str]], *, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and phrases (by language, in alphabetical order). docs must not have such columns."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
@@ -200,10 +197,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, text: str = "tex
     names = docs.columns
 
     def over(batches):
-        if token not in _built:
-            _built.clear()
-            _built[token] = Parser(shared.value)
-        parser = _built[token]
+        parser = held(("langid", token), lambda: Parser(shared.value))
         for batch in batches:
             texts = batch.column(names.index(text)).to_pylist()
             langs, scores, found, lo = [], [], [], 0
@@ -220,7 +214,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, text: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.int64()))], [*names, "lang_pred", "score", "phrases"])
 
     more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrases", ArrayType(LongType()))]
-    return docs.mapInArrow(over, StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(lean(over, True), StructType([*docs.schema.fields, *more]))
 
 
 def held_out(key: str = "doc_id"):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from vaultspark.llm._common import lean
 from vaultspark.llm.tokens import runs, tokenizer
 
 CAPACITY = 2048
@@ -159,4 +160,4 @@ def _pack(path: str, kind: str, end_id: int, capacity: int, keep_ids: bool):
 def pack(docs: DataFrame, path: str, *, kind: str = "byte", end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and (keep_ids) the ids' bytes."""
     out = _OUT if keep_ids else _OUT.removesuffix(", ids binary")
-    return docs.select(key, text).mapInArrow(_pack(path, kind, end_id, capacity, keep_ids), out).withColumnRenamed("row_key", key)
+    return docs.select(key, text).mapInArrow(lean(_pack(path, kind, end_id, capacity, keep_ids), True), out).withColumnRenamed("row_key", key)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm._common import LOWER, text_steps, window_hashes, word_hashes, word_spans
+from vaultspark.llm._common import LOWER, lean, text_steps, window_hashes, word_hashes, word_spans
 
 SAMPLE, POOL = 6000, 3000
 #: Rounds of exchange, and the probability from which a pseudo-label is handed over.
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], ["k", "y", "shape", "words", "meta"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(over, f"k {kind}, y int, shape array<double>, words array<bigint>, meta array<int>").toArrow().to_pylist()
+    got = rows.mapInArrow(lean(over), f"k {kind}, y int, shape array<double>, words array<bigint>, meta array<int>").toArrow().to_pylist()
     got.sort(key=lambda r: (zlib.crc32(str(r["k"]).encode()), str(r["k"]), r["words"]))
     part = [[r for r in got if (r["y"] is not None) == known] for known in (True, False)]
     arrays = [([r["shape"] for r in p], [np.array(r["words"], np.int64).view(np.uint64) for r in p], [r["meta"] for r in p]) for p in part]
@@ -266,4 +266,4 @@ def score(docs: DataFrame, model: CoTraining, *, text: str = "text", lang: str =
             more = [pa.array(np.concatenate(one).astype(float)), pa.array(np.concatenate(two).astype(float)), pa.array(total), pa.array(total >= threshold)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "text_score", "meta_score", "quality_score", "accepted"])
 
-    return docs.mapInArrow(over, schema)
+    return docs.mapInArrow(lean(over), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm._common import work_folder
+from vaultspark.llm._common import lean, work_folder
 from vaultspark.llm.tokens import runs, tokenizer
 
 MAGIC = b"S8BLOCK1"
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, kind: str = "word",
     spark = docs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(key, text).repartitionByRange(n, key).sortWithinPartitions(key, text)
-    blocks = dealt.mapInArrow(_writer(path, kind, end_id), "value binary")
+    blocks = dealt.mapInArrow(lean(_writer(path, kind, end_id), True), "value binary")
     blocks.select(F.expr("CAST(value AS STRING)").alias("value")).write.option("lineSep", END).text(folder)
 
 
@@ -275,7 +275,7 @@ def read_tokens(spark: SparkSession, folder: str, *, with_ids: bool = False) ->
     """Per document of a folder: file, row_key, at (ids before it in its file), n_tokens, ids_crc32 and, if asked for, ids."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     out = "file string, row_key long, at long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    return files.mapInArrow(_reader(with_ids), out)
+    return files.mapInArrow(lean(_reader(with_ids)), out)
 
 
 def _file_totals(batches):

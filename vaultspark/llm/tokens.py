@@ -17,10 +17,12 @@ import re
 
 import numpy as np
 
-from vaultspark.llm._common import word_hashes
+from vaultspark.llm._common import held, word_hashes
 
 #: Pieces that one worker remembers.
-MEMO = 1_200_000
+MEMO = 1_000_000
+#: Runs that the library is asked for at once; its answers are large.
+ASKED = 8192
 
 # White space for Python only (U+001C to U+001F), for which texts go to the library whole.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -96,7 +98,7 @@ class PieceTokenizer:
             self.keys, self.slots = np.zeros(2 * len(keys), np.uint64), np.zeros(2 * len(keys), np.int32)
             old = np.flatnonzero(keys)
             self._insert(keys[old], slots[old])
-        ids = [e.ids for e in self.library.encode_batch_fast(runs_, add_special_tokens=False)]
+        ids = [x for lo in range(0, len(runs_), ASKED) for x in [e.ids for e in self.library.encode_batch_fast(runs_[lo : lo + ASKED], add_special_tokens=False)]]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
         first, last = self.known, self.known + len(h)
@@ -196,18 +198,12 @@ class PieceTokenizer:
         return out
 
 
-_made: dict[tuple[str, str], PieceTokenizer] = {}
-
-
 def tokenizer(path: str, kind: str) -> PieceTokenizer:
     """The worker's own tokenizer of a file; its memory of pieces lasts over batches and tasks."""
-    if (path, kind) not in _made:
-        _made.clear()
-        _made[path, kind] = PieceTokenizer(path, kind)
-    return _made[path, kind]
+    return held(("tokenizer", path, kind), lambda: PieceTokenizer(path, kind))
 
 
-def runs(texts: list, size: int = 2_000_000):
+def runs(texts: list, size: int = 1_000_000):
     """Yields (first, texts) of runs of about `size` characters; None becomes the empty text."""
     lo = 0
     while lo < len(texts):
