@@ -551,5 +551,26 @@ def test_media_digest(odd, empty):
     assert media.media_digest(empty).count() == 0
 
 
+def test_rows_without_key(spark, tmp_path):
+    text = "a text that has no number but has enough words to be near another one"
+    docs = spark.createDataFrame([(None, text, "en", "s", 9, "c"), (None, text, "en", "s", 9, "c"), (None, "other words", "en", "s", 9, "c"), (8, text, "en", "s", 9, "c"), (4, text + " more", "en", "s", 9, "c")], DOCS)
+    n = docs.count()
+    vocab = vocabulary("word_bpe_49k.json")
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_groups(docs, k=2, percent=70).collect()} == {(None, None), (8, 4), (4, 4)}
+    assert sorted(str(r.doc_id) for r in jaccard.keep_one(docs, k=2, percent=70).collect()) == ["4", "None", "None"]
+    got = token_files.tokens_digest(docs, vocab).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, None, 4, 8]
+    assert packing.pack(docs, vocabulary("byte_bpe_50k.json")).filter("start = 0").count() == n
+    assert media.media_digest(docs).count() == decontaminate.scan(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).count() == langid.identify_digest(docs).count() == n
+    assert quality.score(docs, quality.train(docs, spark.createDataFrame([(None, 1, 0)], "doc_id long, quality int, toxic int"))).count() == n
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"), F.lit(1).alias("good"))
+    kinds = sorted((str(r.page_id), r.record_type) for r in warc.archives_digest(pages).collect())
+    assert kinds == [("4", "response"), ("8", "response"), ("None", "response"), ("None", "response"), ("None", "response")]
+    assert urlfilter.judge(pages, pages.select("page_id", "good")).count() == n
+    t = shards.ShardTable(spark, str(tmp_path / "n"))
+    t.append(docs)
+    assert t.read(docs.schema).count() == n
+
+
 def test_no_driver_leftovers():
     assert json.dumps(sorted(queries.queries())) and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}

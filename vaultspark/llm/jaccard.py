@@ -21,7 +21,7 @@ A document's set holds the fingerprints of its distinct k-word shingles. Two doc
 No candidate is dropped by a cap. Fingerprints are 64 bits; a chance equality could only miscount an overlap by one.
 
 Defined cases: null and wordless texts have empty sets and link with nothing; a text with fewer than k words is one
-shingle; repeated rows share their class; an empty table gives an empty result; other columns are not looked at.
+shingle; repeated rows share their class; rows without a key have no component (null) and keep_one keeps them; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def _id_sketch(bits: int):
     def over(batches):
         sketch = _Sketch(bits)
         for batch in batches:
-            sketch.add(mix(np.asarray(batch.column(0)).astype(np.int64).view(_U)))
+            sketch.add(mix(np.asarray(batch.column(0).cast(pa.int64()).fill_null(0)).view(_U)))
         yield _slices(sketch)
 
     return over
@@ -288,7 +288,7 @@ def _fragments(key: str, text: str, k: int, bits: int, wanted):
     def over(batches):
         ids = wanted.value
         for batch in batches:
-            keys = np.asarray(batch.column(batch.schema.get_field_index(key)).cast(pa.int64()))
+            keys = np.asarray(batch.column(batch.schema.get_field_index(key)).cast(pa.int64()).fill_null(0))
             some = ids[(mix(keys.view(_U)) >> _U(64 - bits)).astype(np.int64)] > 0
             if not some.any():
                 continue
@@ -478,7 +478,7 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     """Per document row: key, n_shingles and component_id (the smallest key that it reaches by links, or its own)."""
     join = _Join(docs, key, text, k, percent)
     members = join.members()
-    classes = members.filter("n > 0").groupBy("c", "n").agg(F.min("key").alias("key"), *(F.first(m).alias(m) for m in _MAPS))
+    classes = members.filter("n > 0 AND key IS NOT NULL").groupBy("c", "n").agg(F.min("key").alias("key"), *(F.first(m).alias(m) for m in _MAPS))
     classes = written(classes, "classes")
     reps = classes.select("c", "n", "key")
     stars = join.stars()
@@ -508,11 +508,13 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
 
     final = classes.select("c", "n", "key").join(labels.withColumnRenamed("v", "key"), "key", "left").select("c", "n", F.coalesce("label", "key").alias("label"))
     out = members.select("key", "c", "n").join(final, ["c", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
+    label = F.when(F.col("key").isNotNull(), F.coalesce("label", "key"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the smallest key. Rows of one key count as one."""
+    """docs with one document of each near-duplicate group: that with the smallest key. Rows with equal key and text count as one."""
     groups = near_groups(docs, key=key, **options)
-    kept = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_")).distinct()
+    out = docs.join(kept, F.col(key).eqNullSafe(F.col("kept_")), "left_semi")
+    return out.dropDuplicates([key, options.get("text", "text")]).select(docs.columns)

@@ -18,7 +18,7 @@ can be any bytes: so files get committed like any other output and lie wherever
 with the binaryFile source and decoded a block at a time with numpy.
 
 Defined cases: null and empty texts are the end id alone; equal keys keep one order (by text); an empty table gives
-no blocks; keys are integers and not null; other columns are not looked at.
+no blocks; missing keys come first and stay missing; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ WIDTHS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
 ESCAPE, RUN = 0, 15
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 18
+#: What stands for a missing key.
+NO_KEY = -(1 << 63)
 #: Shortest run of equal ids that becomes a run word.
 RUN_LEAST = 64
 
@@ -234,7 +236,7 @@ def _writer(path: str, kind: str, end_id: int):
             names = batch.column(0).to_pylist()
             for lo, texts in runs(batch.column(1).to_pylist()):
                 for i, x in enumerate(encode(texts)):
-                    keys.append(names[lo + i])
+                    keys.append(NO_KEY if names[lo + i] is None else names[lo + i])
                     ids.append(x + end)
                     size += len(ids[-1]) // 4
                     if size >= BLOCK_IDS:
@@ -263,7 +265,7 @@ def _reader(with_ids: bool):
                 for keys, first, counts, starts, ids in decode_blocks(memoryview(content.as_buffer())):
                     flat = ids.astype("<u4")
                     cuts = [(int(a), int(a) + int(c)) for a, c in zip(starts, counts)]
-                    cols = [pa.array([name] * len(keys)), pa.array(keys, pa.int64()), pa.array(starts.astype(np.int64) + first), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in cuts], pa.int64())]
+                    cols = [pa.array([name] * len(keys)), pa.array([None if k == NO_KEY else k for k in keys], pa.int64()), pa.array(starts.astype(np.int64) + first), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in cuts], pa.int64())]
                     if with_ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int64))))
                     yield pa.RecordBatch.from_arrays(cols, ["file", "row_key", "at", "n_tokens", "ids_crc32", *["ids"] * with_ids])

@@ -11,7 +11,7 @@ record id, payload digest and length. A file that breaks a rule is an error, or
 with `problem` set.
 
 Defined cases: null payloads are empty; equal keys are records of their own (the response is one of the smallest key:
-that with the smallest url); null urls have no target; an empty table gives archives without records; the dictionary
+that with the smallest url); records without a key are responses; null urls have no target; an empty table gives archives without records; the dictionary
 is learned from a bounded sample and is left out where there is too little to learn from; other columns of the table
 are not looked at.
 """
@@ -73,6 +73,8 @@ def encode_record(kind: str, key, url: str | None, payload: bytes, payload_diges
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(block)}",
     ]
+    if key is None:
+        head = [h for h in head if not h.startswith("X-Row-Key")]
     if url:
         clean = "".join(f"%{b:02X}" if b < 33 or b == 127 else chr(b) for b in url.encode()) if any(c < "!" or c == "\x7f" for c in url) else None
         head.append("WARC-Target-URI: " + (clean.encode("latin-1").decode("utf-8") if clean is not None else url))
@@ -194,9 +196,9 @@ def planned(pages: DataFrame, *, key: str, url: str, payload: str, revisit_least
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.length("payload").cast("long"))
     # only payloads with copies take part in the join: one narrow row each
     tie = F.struct("row_key", F.coalesce("url", F.lit("")).alias("u"))
-    copies = rows.filter(F.col("n") >= revisit_least).groupBy("sha1").agg(F.min(tie).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sha1", "first")
+    copies = rows.filter((F.col("n") >= revisit_least) & F.col("row_key").isNotNull()).groupBy("sha1").agg(F.min(tie).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sha1", "first")
     found = rows.join(copies, "sha1", "left")
-    is_first = F.col("first").isNull() | (F.col("first") == tie)
+    is_first = F.col("first").isNull() | F.col("row_key").isNull() | (F.col("first") == tie)
     return found.select("row_key", "url", "payload", "sha1", "n", F.when(~is_first, F.col("first.row_key")).alias("refers_to"))
 
 
