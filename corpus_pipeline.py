@@ -13,8 +13,8 @@ from vaultspark.llm._common import input_table, work_folder
 
 #: Words of a shingle and the similarity (in hundredths) of near duplicates.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: A document is rejected as of another language only if the parse is this sure of it.
-SURE = 0.999
+#: A document is rejected as of another language only if the one that it says needs so many standard deviations more phrases.
+SURE = 6.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those that are surely of another language than they say."""
+    """Rejects documents without letters, and those that are surely of another language than they say.
+
+    Documents of two languages stay unless the other one clearly prevails, and so do those whose language isn't known."""
     samples = langid.labelled_sample(docs.filter(~langid.held_out()))
     found = langid.identify(docs, samples)
-    other = F.col("lang").isNotNull() & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & ~other).select(docs.columns)
+    said = F.array_position(F.array(*[F.lit(x) for x in sorted(samples)]), F.col("lang")) if samples else F.lit(0)
+    own, best = F.get("phrases", F.greatest(said - 1, F.lit(0)).cast("int")), F.array_min("phrases")
+    other = (said > 0) & ((own - best) / F.sqrt(own + best) >= SURE)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & ~F.coalesce(other, F.lit(False))).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import struct
 import wave
 import zipfile
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -20,9 +20,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vaultspark.llm import decontaminate, jaccard, langid, media, packing, quality, queries, shards, token_files, tokens, urlfilter, warc
+from tests_llm_brute import brute_groups, brute_hits
 from vaultspark.llm._common import input_table
 
-LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string"
 HOT = "the same hot text again and again in every third row of the table"
 
@@ -176,28 +176,6 @@ def test_url_filter_is_native(spark):
 # 4
 
 
-def brute_hits(docs, items, width=10):
-    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-    windows = defaultdict(set)
-    for item, t in items.items():
-        w = word.findall((t or "").translate(LOW))
-        k = min(width, len(w))
-        for i in range(len(w) - k + 1 if k else 0):
-            windows[tuple(w[i : i + k])].add(str(item))
-    sizes = {len(x) for x in windows}
-    out = {}
-    for d, t in docs.items():
-        w = word.findall((t or "").translate(LOW))
-        hit, found = set(), set()
-        for k in sizes:
-            for i in range(len(w) - k + 1):
-                if x := windows.get(tuple(w[i : i + k])):
-                    hit.update(range(i, i + k))
-                    found |= x
-        out[d] = (len(w), len(hit), len(found), decontaminate.items_digest(sorted(found)), bool(hit))
-    return out
-
-
 @pytest.mark.parametrize("block", [500_000, 7])
 def test_decontamination(spark, data, block):
     docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
@@ -403,31 +381,6 @@ def test_shard_runs(spark, tmp_path):
 # 9
 
 
-def brute_groups(texts, k, percent):
-    word = re.compile("[^\x20\x09-\x0d]+")
-    sets = {}
-    for d, t in texts.items():
-        w = word.findall((t or "").translate(LOW))
-        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
-    parent = {d: d for d in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    held = defaultdict(list)
-    for d in sorted(sets):
-        shared = Counter(o for g in sets[d] for o in held[g])
-        for g in sets[d]:
-            held[g].append(d)
-        for o, n in shared.items():
-            if 100 * n >= percent * (len(sets[d]) + len(sets[o]) - n):
-                a, b = find(d), find(o)
-                parent[max(a, b)] = min(a, b)
-    return {d: (len(s), find(d)) for d, s in sets.items()}
-
-
 def planted(seed, n=150):
     """Near copies of several bases, passages that many share, chains, and unrelated texts."""
     rnd = random.Random(seed)

@@ -165,10 +165,12 @@ class Parser:
                 scores.append(0.0)
                 continue
             j = int(np.argmin(bits[i]))
-            # a posterior over languages: cross-entropies differ by bits over the whole text; it is capped to stay readable
-            gap = np.minimum(bits[i] - bits[i][j], 60.0)
+            # how many standard deviations of phrase counts the next language is behind, as a probability
+            rest = np.delete(bits[i], j)
+            n1, n2 = bits[i][j] / self.norm[j], (float(rest.min()) if len(rest) else np.inf) / self.norm[j]
+            z = min(20.0, (n2 - n1) / np.sqrt(n1 + n2)) if np.isfinite(n2) else 20.0
             langs.append(self.langs[j])
-            scores.append(float(1 / np.sum(np.exp2(-gap))))
+            scores.append(float(1 / (1 + np.exp(-1.7 * z))))
         return langs, scores, found.tolist()
 
 
