@@ -171,7 +171,7 @@ SELECT user_id, round(p, 6) AS p, round(least(1e0, min(p * m / i) OVER (ORDER BY
 def replay_drift(q):
     """AG21: overlap of two runs' first ten, whether the first stayed, and how far results moved."""
     return f"""WITH {ranked_runs(q)}, a AS (SELECT qid, doc, r FROM ranked WHERE r <= 10), b AS (SELECT qid, doc, r FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY s + (doc % 5) / 1e2 DESC, doc) AS r FROM sims) x WHERE r <= 10)
-SELECT coalesce(a.qid, b.qid) AS qid, round(count(CASE WHEN a.doc IS NOT NULL AND b.doc IS NOT NULL THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS jaccard, max(CASE WHEN a.r = 1 AND b.r = 1 THEN 1 ELSE 0 END) AS top1_same, max(abs(a.r - b.r)) AS most_moved FROM a FULL OUTER JOIN b ON a.qid = b.qid AND a.doc = b.doc GROUP BY coalesce(a.qid, b.qid)"""
+SELECT coalesce(a.qid, b.qid) AS qid, round(count(CASE WHEN a.doc IS NOT NULL AND b.doc IS NOT NULL THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS jaccard, max(CASE WHEN a.r = 1 AND b.r = 1 THEN 1 ELSE 0 END) AS top1_same, CAST(max(abs(a.r - b.r)) AS BIGINT) AS most_moved FROM a FULL OUTER JOIN b ON a.qid = b.qid AND a.doc = b.doc GROUP BY coalesce(a.qid, b.qid)"""
 
 
 @P.sql

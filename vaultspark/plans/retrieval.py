@@ -74,8 +74,8 @@ def rrf_fusion(q):
 
 @P.sql
 def hybrid_search(q):
-    """WN1: legs, fusion, the zone prior of dense-only hits, recency, the cut, and then the tier cap."""
-    return f"""WITH {notes(q)}, {fused(q)}, prior AS (SELECT f.*, n.id, n.classification, f.rrf * CASE WHEN f.lexical_rank IS NULL AND n.zone = 'raw' THEN 1e0 ELSE 1e0 END * {recency(q, VALID_DATE)} AS s FROM fused f JOIN notes n ON n.doc_id = f.doc_id),
+    """WN1: legs, fusion, recency, the cut, and then the tier cap. Zone weights are neutral unless set (zone_prior)."""
+    return f"""WITH {notes(q)}, {fused(q)}, prior AS (SELECT f.*, n.id, n.classification, f.rrf * {recency(q, VALID_DATE)} AS s FROM fused f JOIN notes n ON n.doc_id = f.doc_id),
 cut AS (SELECT id, classification, round(s, 6) AS score FROM prior ORDER BY round(s, 6) DESC, doc_id LIMIT 40) SELECT id, score FROM cut WHERE {tier_rank('classification')} <= 2"""
 
 
@@ -88,7 +88,7 @@ SELECT name, id, CAST(r AS BIGINT) AS place FROM (SELECT *, row_number() OVER (P
 
 @P.sql
 def title_phrase_eligible(q):
-    """WN7: whether the first two words of the next note's title stand together in a title and are enough of it."""
+    """WN7: whether a query of a title's first two words is long enough to match it as a phrase."""
     return f"""WITH {notes(q)}, t AS (SELECT doc_id, {tokens(q, 'title')} AS w FROM notes), p AS (SELECT t.doc_id, t.w, {q.slice('t.w', '1', '2')} AS ask FROM t) SELECT doc_id, {q.size('w')} AS words, {q.size('ask')} >= 2 AND {q.size('ask')} < {q.size('w')} AND {q.size('ask')} / CAST({q.size('w')} AS DOUBLE) >= 6e-1 AS eligible FROM p"""
 
 
@@ -115,27 +115,27 @@ def duplicate_family_collapse(q):
     """WN11: hits of one family fold to its canonical note at the best rank."""
     return f"""WITH {notes(q)}, {legs(q)}, fam AS (SELECT doc_id, {q.sha('body')} AS h, zone, type, {tier_rank('classification')} AS tr, {q.octets('body')} AS size, path, is_latest_version FROM notes),
 f AS (SELECT l.leg, l.rank, l.doc_id, CASE WHEN f.size >= 1024 THEN f.h || f.zone || f.type || {q.string('f.tr')} ELSE {q.string('l.doc_id')} END AS family, f.is_latest_version, f.path FROM leg l JOIN fam f ON f.doc_id = l.doc_id)
-SELECT leg, family, min(rank) AS rank, count(*) AS members, min(CASE WHEN is_latest_version = 'false' THEN '1' ELSE '0' END || lpad({q.string('length(path)')}, 4, '0') || lpad({q.string('doc_id')}, 12, '0')) AS canonical FROM f GROUP BY leg, family"""
+SELECT leg, family, CAST(min(rank) AS BIGINT) AS rank, count(*) AS members, min(CASE WHEN is_latest_version = 'false' THEN '1' ELSE '0' END || lpad({q.string('length(path)')}, 4, '0') || lpad({q.string('doc_id')}, 12, '0')) AS canonical FROM f GROUP BY leg, family"""
 
 
 @P.sql
 def identity_pin(q):
     """WN13: a name with one owner is pinned to the first place."""
     return f"""WITH {notes(q)}, {fused(q)}, o AS (SELECT lower(title) AS name, min(doc_id) AS doc_id FROM notes GROUP BY lower(title) HAVING count(*) = 1), pin AS (SELECT min(o.doc_id) AS doc_id FROM o JOIN fused f ON f.doc_id = o.doc_id)
-SELECT f.doc_id, row_number() OVER (ORDER BY CASE WHEN f.doc_id = p.doc_id THEN 0 ELSE 1 END, round(f.rrf, 9) DESC, f.doc_id) AS place FROM fused f, pin p"""
+SELECT f.doc_id, CAST(row_number() OVER (ORDER BY CASE WHEN f.doc_id = p.doc_id THEN 0 ELSE 1 END, round(f.rrf, 9) DESC, f.doc_id) AS BIGINT) AS place FROM fused f, pin p"""
 
 
 @P.sql
 def collision_slots(q):
     """WN14: owners of one name keep the group's places and fill them in their own order."""
-    return f"""WITH {fused(q)}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(rrf, 9) DESC, doc_id) AS place, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS owner FROM fused), s AS (SELECT place, row_number() OVER (ORDER BY place) AS k FROM r WHERE owner = 1), o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS k FROM r WHERE owner = 1)
+    return f"""WITH {fused(q)}, r AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY round(rrf, 9) DESC, doc_id) AS BIGINT) AS place, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS owner FROM fused), s AS (SELECT place, row_number() OVER (ORDER BY place) AS k FROM r WHERE owner = 1), o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS k FROM r WHERE owner = 1)
 SELECT doc_id, place FROM r WHERE owner = 0 UNION ALL SELECT o.doc_id, s.place FROM o JOIN s ON s.k = o.k"""
 
 
 @P.sql
 def rerank_noop(q):
     """WN15: without a model the head keeps its order; passages are cut at 2,000 characters."""
-    return f"WITH {fused(q)}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(rrf, 9) DESC, doc_id) AS place FROM fused) SELECT r.doc_id, r.place, length(substr(d.text, 1, 2000)) AS passage FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE r.place <= 20"
+    return f"WITH {fused(q)}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(rrf, 9) DESC, doc_id) AS place FROM fused) SELECT r.doc_id, CAST(r.place AS BIGINT) AS place, CAST(length(substr(d.text, 1, 2000)) AS BIGINT) AS passage FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE r.place <= 20"
 
 
 @P.sql
@@ -164,7 +164,7 @@ g AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM hop)
 def dossier(q):
     """WN21: decisions and sources among the live hits, capped."""
     return f"""WITH {notes(q)}, {fused(q)}, h AS (SELECT n.id, n.doc_id, n.type, f.rrf, n.is_latest_version FROM fused f JOIN notes n ON n.doc_id = f.doc_id), r AS (SELECT id, CASE WHEN type = 'decision' THEN 'decision' ELSE 'source' END AS part, row_number() OVER (PARTITION BY CASE WHEN type = 'decision' THEN 1 ELSE 0 END ORDER BY round(rrf, 9) DESC, doc_id) AS place FROM h WHERE is_latest_version IS DISTINCT FROM 'false')
-SELECT id, part, place FROM r WHERE (part = 'decision' AND place <= 5) OR (part = 'source' AND place <= 10)"""
+SELECT id, part, CAST(place AS BIGINT) AS place FROM r WHERE (part = 'decision' AND place <= 5) OR (part = 'source' AND place <= 10)"""
 
 
 @P.sql
@@ -176,7 +176,7 @@ def revisit_sample(q):
 @P.sql
 def search_explain(q):
     """WN23: each hit's ranks and what each leg gave."""
-    return f"WITH {fused(q)} SELECT doc_id, lexical_rank, dense_rank, round(coalesce(1e0 / ({FUSE} + lexical_rank), 0), 6) AS lexical_part, round(coalesce(1e0 / ({FUSE} + dense_rank), 0), 6) AS dense_part, round(rrf, 6) AS total FROM fused"
+    return f"WITH {fused(q)} SELECT doc_id, CAST(lexical_rank AS BIGINT) AS lexical_rank, CAST(dense_rank AS BIGINT) AS dense_rank, round(coalesce(1e0 / ({FUSE} + lexical_rank), 0), 6) AS lexical_part, round(coalesce(1e0 / ({FUSE} + dense_rank), 0), 6) AS dense_part, round(rrf, 6) AS total FROM fused"
 
 
 @P.sql
@@ -191,7 +191,7 @@ def exploration_samples(q):
 @P.sql
 def wikilink_parse(q):
     """GR1: targets of links in texts, each once (texts with links made from titles)."""
-    body = "'see [[' || title || ']] and [[' || id || '|name]] or [[' || id || '#part]] ' || substr(body, 1, 200)"
+    body = "'see [[' || title || ']] and [[' || id || '|name]] or [[' || id || '#part]] ' || body"
     target = q.sort(q.distinct(q.transform(q.extract_all("b", r"\[\[([^\]\n|#]+)[^\]\n]*\]\]", 1), "x", "trim(x)")))
     return f"WITH {notes(q)}, w AS (SELECT doc_id, {body} AS b FROM notes) SELECT doc_id, {q.join(target, ';')} AS targets, {q.size(target)} AS n FROM w"
 
@@ -495,7 +495,7 @@ def priority_assignment(q):
 @P.sql
 def text_signals(q):
     """SF23: facts of a message above its quotes."""
-    return f"SELECT conv_id, turn, {q.contains('text', chr(39) + '?' + chr(39))} AS asks, {q.matches('text', '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}:[0-9]{2}')} AS dated, {q.size(q.filter(q.lines('text'), 'l', q.starts('l', chr(39) + '>' + chr(39))))} AS quoted_lines, length(text) AS chars FROM conversations"
+    return f"SELECT conv_id, turn, {q.contains('text', chr(39) + '?' + chr(39))} AS asks, {q.matches('text', '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}:[0-9]{2}')} AS dated, {q.size(q.filter(q.lines('text'), 'l', q.starts('l', chr(39) + '>' + chr(39))))} AS quoted_lines, CAST(length(text) AS BIGINT) AS chars FROM conversations"
 
 
 @P.sql

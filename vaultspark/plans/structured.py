@@ -304,7 +304,7 @@ SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT
 @P.sql
 def grouping_sets(q):
     """Totals over several groupings at once."""
-    return "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) + 2 * grouping(l_linestatus) AS level, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())"
+    return "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) + 2 * grouping(l_linestatus) AS BIGINT) AS level, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())"
 
 
 @P.sql
@@ -390,9 +390,10 @@ FROM j LEFT JOIN moved m1 ON m1.np = j.np LEFT JOIN moved m2 ON m2.op = j.op WHE
 
 @P.sql
 def vault_fingerprint(q):
-    """SK3: one digest of all paths and hashes, in order."""
-    pairs = q.collect_sorted(f"path || ':' || {q.sha('body')}")
-    return f"WITH {notes(q)} SELECT count(*) AS notes, {q.sha(q.join(pairs, '|'))} AS fingerprint FROM notes"
+    """SK3: one digest of all paths and hashes: of 4,096 buckets of paths each, and then of the buckets in order."""
+    pairs = q.join(q.collect_sorted("p"), "|")
+    return f"""WITH {notes(q)}, p AS (SELECT substr({q.sha('path')}, 1, 3) AS bucket, path || ':' || {q.sha('body')} AS p FROM notes), d AS (SELECT bucket, count(*) AS n, {q.sha(pairs)} AS h FROM p GROUP BY bucket)
+SELECT {q.isum('n')} AS notes, {q.sha(q.join(q.collect_sorted("bucket || h"), '|'))} AS fingerprint FROM d"""
 
 
 @P.sql
