@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,9 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             base = spark.conf.get("spark.sql.warehouse.dir")
         else:
-            base = "file://" + tempfile.mkdtemp(prefix="vaultspark-")
+            own = tempfile.mkdtemp(prefix="vaultspark-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

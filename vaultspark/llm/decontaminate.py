@@ -146,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_win
         parts.append(docs.select(key, text).mapInArrow(lean(lambda it, b=shared, later=n > 0: _scan(b.value, key, text, later)(it)), "row_key long, n_words long, spans array<bigint>, items array<string>"))
     if not parts:
         empty = spark.sparkContext.broadcast(_Grams([]))
-        parts = [docs.select(key, text).mapInArrow(lambda it: _scan(empty.value, key, text, False)(it), "row_key long, n_words long, spans array<bigint>, items array<string>")]
+        parts = [docs.select(key, text).mapInArrow(lean(lambda it: _scan(empty.value, key, text, False)(it)), "row_key long, n_words long, spans array<bigint>, items array<string>")]
     if len(parts) == 1:
         return parts[0].withColumnRenamed("row_key", key)
     base = parts[0]
