@@ -43,6 +43,8 @@ DICTIONARY_BYTES, SAMPLE_PAGES, SAMPLE_BYTES = 32_768, 300, 16_384
 LEVEL = 3
 #: Bytes of payloads in a file, about.
 FILE_BYTES = 32 << 20
+#: Parts that the copies of a payload are dealt in.
+SALTS = 32
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -190,14 +192,19 @@ def learned_dictionary(pages: DataFrame, payload: str) -> bytes:
 _NO_PAYLOAD = hashlib.sha1(b"").hexdigest()
 
 
-def planned(pages: DataFrame, *, key: str, url: str, payload: str, revisit_least: int) -> DataFrame:
-    """Rows to write: row_key, url, payload, sha1 (hexadecimal), n (payload bytes), refers_to and first_copy."""
+def planned(pages: DataFrame, *, key: str, url: str, payload: str, revisit_least: int, files: int) -> DataFrame:
+    """Rows to write: row_key, url, payload, sha1 (hexadecimal), n (payload bytes) and refers_to, dealt over `files` partitions.
+
+    Payloads are shuffled once: by digest and salt, which deals a payload of many copies over SALTS partitions. The
+    narrow rows of copied payloads are repeated for each salt."""
     rows = pages.select(F.col(key).alias("row_key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.length("payload").cast("long"))
     # only payloads with copies take part in the join: one narrow row each
     tie = F.struct("row_key", F.coalesce("url", F.lit("")).alias("u"))
     copies = rows.filter((F.col("n") >= revisit_least) & F.col("row_key").isNotNull()).groupBy("sha1").agg(F.min(tie).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sha1", "first")
-    found = rows.join(copies, "sha1", "left")
+    salts = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("row_key", "url"), F.lit(SALTS))).repartition(files, "sha1", "salt")
+    found = dealt.join(salts, ["sha1", "salt"], "left")
     is_first = F.col("first").isNull() | F.col("row_key").isNull() | (F.col("first") == tie)
     return found.select("row_key", "url", "payload", "sha1", "n", F.when(~is_first, F.col("first.row_key")).alias("refers_to"))
 
@@ -224,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
     """Writes a folder of .warc.zst content (files named part-*)."""
     dictionary = learned_dictionary(pages, payload)
     total = pages.agg(F.sum(F.octet_length(payload)).alias("n")).first()["n"] or 0
-    rows = planned(pages, key=key, url=url, payload=payload, revisit_least=revisit_least).repartition(max(1, -(-total // file_bytes)))
+    rows = planned(pages, key=key, url=url, payload=payload, revisit_least=revisit_least, files=max(1, -(-total // file_bytes)))
     frames = rows.mapInArrow(_writer(dictionary, level), "value binary")
     frames.select(F.expr("CAST(value AS STRING)").alias("value")).write.option("lineSep", ROW_END).text(folder)
 
