@@ -337,6 +337,25 @@ def test_quality_held_out(spark):
     assert sum(good) / len(good) >= 0.97 and sum(bad) / len(bad) <= 0.2
 
 
+def test_toxic_held_out(spark):
+    """Toxic documents of good quality, by language, on labels that neither fitting nor the cut ever saw."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    seen = F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0
+    rows = quality.score(docs, quality.train(docs, labels.filter(seen))).join(labels.filter(~seen).filter("quality = 1"), "doc_id").select("lang", "toxic", "accepted").collect()
+    rejected = lambda toxic, lang: [not r.accepted for r in rows if r.toxic == toxic and lang in (None, r.lang)]
+    rate = lambda x: sum(x) / len(x)
+    assert rate(rejected(1, None)) >= 0.93 and rate(rejected(0, None)) <= 0.03
+    assert rate(rejected(1, "en")) >= 0.93
+    assert rate([x for lang in ("de", "es", "fr") for x in rejected(1, lang)]) >= 0.9
+
+
+def test_toxic_cut_ignores_a_view_that_knows_nothing():
+    z, toxic = np.zeros(100), np.arange(100) < 20
+    assert quality.Toxicity._cut(z, toxic, ~toxic) == np.inf
+    assert quality.Toxicity._cut(toxic * 2.0, toxic, ~toxic) == 1.0
+
+
 def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(2, None, 0), (3, 1, 0), (3, 0, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels)

@@ -6,13 +6,18 @@ unlabelled documents and hands its confident ones (calibrated probability over `
 to the other view as pseudo-labels. At the end each view is calibrated on labelled documents that it was not
 fitted on, and a third small logistic model combines the two calibrated views.
 
+Toxicity is a target of its own, since a few words make a long good text toxic. Both views are fitted to it on the
+labelled documents alone; each view's cut is the lowest one at which it would reject few clean documents, and many
+more toxic ones, among labels that its score did not learn from (four folds). A document goes if either view says so.
+
 Fitting takes bounded samples, whose bounds are parameters: `sample` labelled and `pool` unlabelled documents, by
 the smallest hashes of their keys. Their features (hash sets of words, not texts) come to the driver. Scoring takes
 all documents, whole texts, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no words and get the score of such texts; null languages, sources and sizes
 are values of their own; labels that are null or of unknown documents count for nothing; several labels of a document
-count as their worst; with labels of one kind only, every document gets that kind's rate; an empty table gives no
+count as their worst; with labels of one kind only, every document gets that kind's rate, and with fewer than
+`LEAST_TOXIC` toxic labels that a view finds, it calls nothing toxic; an empty table gives no
 rows; other columns are not looked at. A document is good if its label says quality and not toxic.
 """
 
@@ -35,6 +40,9 @@ WORDS, LEAST_DOCS = 400, 4
 BINS = 8
 #: Documents are accepted from this combined score on: in doubt, a document stays.
 THRESHOLD = 0.35
+#: Share of clean documents that a toxicity view may reject, toxic ones to each of those, and the least toxic ones found.
+CLEAN_LOST, TOXIC_EACH, LEAST_TOXIC = 0.005, 4, 5
+FOLDS = 4
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
@@ -209,10 +217,57 @@ class CoTraining:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(logits(np.clip(np.stack(z, 1), -8, 8), self.top))
 
 
+class Toxicity:
+    """The same two views with toxicity as their target, each with a cut of its own; the text view looks at words only."""
+
+    def __init__(self, words, metas, toxic, clean):
+        """toxic: 0 and 1 of each row; clean: the rows that shall stay."""
+        y, clean = np.asarray(toxic, np.float32), np.asarray(clean, bool)
+        self.none = y.sum() < LEAST_TOXIC or y.sum() == len(y)
+        if self.none:
+            return
+        every, fold = np.arange(len(y)), np.arange(len(y)) % FOLDS
+        apart = np.zeros((2, len(y)))  # scores of rows by views that weren't fitted on them
+        for k in range(FOLDS):
+            self._fit(words, metas, y, every[fold != k])
+            for v, z in enumerate(self._scores([words[i] for i in every[fold == k]], [metas[i] for i in every[fold == k]])):
+                apart[v, fold == k] = z
+        self.cuts = [self._cut(z, y > 0, clean) for z in apart]
+        self._fit(words, metas, y, every)
+
+    def _fit(self, words, metas, y, rows):
+        some = [words[i] for i in rows]
+        self.view = TextView(np.zeros((len(rows), 0)), some, y[rows])
+        one = np.ones(len(rows), np.float32)
+        self.w = [fit_logistic(x, y[rows], one) for x in (self.view.rows(np.zeros((len(rows), 0)), some), meta_rows([metas[i] for i in rows]))]
+
+    def _scores(self, words, metas):
+        return [logits(self.view.rows(np.zeros((len(words), 0)), words), self.w[0]), logits(meta_rows(metas), self.w[1])]
+
+    @staticmethod
+    def _cut(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+        """The lowest score from which documents are toxic; infinite if no score tells them."""
+        order = np.argsort(-z, kind="stable")
+        last = np.append(np.diff(z[order]) != 0, True)  # equal scores are on one side
+        found, lost = np.cumsum(toxic[order]), np.cumsum(clean[order])
+        ok = np.flatnonzero(last & (lost <= CLEAN_LOST * clean.sum()) & (found >= TOXIC_EACH * lost) & (found >= LEAST_TOXIC))
+        if not len(ok):
+            return np.inf
+        at = ok[np.argmax(found[ok])]  # what lies below holds no toxic document more
+        return float((z[order[at]] + z[order[at + 1]]) / 2) if at + 1 < len(z) else float(z[order[at]])
+
+    def predict(self, words, metas) -> tuple[np.ndarray, np.ndarray]:
+        """(probability that a document is toxic, the larger one of the views; whether it is rejected)."""
+        if self.none:
+            return np.zeros(len(metas)), np.zeros(len(metas), bool)
+        z = np.stack(self._scores(words, metas))
+        return sigmoid(z.max(0)).astype(float), (z >= np.array(self.cuts)[:, None]).any(0)
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, sample: int, pool: int) -> tuple[DataFrame, DataFrame]:
-    """(key, y) of the labelled sample and (key) of the pool: bounded tables."""
+    """(key, y, toxic) of the labelled sample and (key) of the pool: bounded tables."""
     good = F.when((F.col("quality").isNotNull()) & (F.col("toxic").isNotNull()), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"))
-    y = labels.groupBy(key).agg(F.min(good).alias("y")).filter(F.col("y").isNotNull())
+    y = labels.groupBy(key).agg(F.min(good).alias("y"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).filter("y IS NOT NULL OR toxic IS NOT NULL")
     known = y.join(docs.select(key).distinct(), key)
     chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
     some = docs.select(key).distinct().orderBy(F.xxhash64(key, F.lit(7)), key).limit(2 * pool)
@@ -220,50 +275,52 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, sample: int, pool: in
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", sample: int = SAMPLE, pool: int = POOL) -> CoTraining:
-    """Fits both views. labels: key, quality, toxic."""
+    """Fits both views to both targets. labels: key, quality, toxic."""
     chosen, some = _sampled(docs, labels, key, sample, pool)
-    want = F.broadcast(chosen.unionByName(some.withColumn("y", F.lit(None).cast("int"))))  # sample + pool rows at most
+    want = F.broadcast(chosen.unionByName(some.select("*", *[F.lit(None).cast("int").alias(n) for n in ("y", "toxic")])))  # sample + pool rows at most
     rows = docs.select(key, text, lang, source, size).join(want, key)
 
     def over(batches):
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (key, lang, source, size, "y")}
-            out = [(cols[key][i], cols["y"][i], list(shape), words.view(np.int64).tolist(), meta_features(cols[lang][i], cols[source][i], cols[size][i])) for i, shape, words in text_features(batch, text)]
-            kinds = [batch.schema.field(key).type, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], ["k", "y", "shape", "words", "meta"])
+            cols = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (key, lang, source, size, "y", "toxic")}
+            out = [(cols[key][i], cols["y"][i], cols["toxic"][i], list(shape), words.view(np.int64).tolist(), meta_features(cols[lang][i], cols[source][i], cols[size][i])) for i, shape, words in text_features(batch, text)]
+            kinds = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], ["k", "y", "toxic", "shape", "words", "meta"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(lean(over), f"k {kind}, y int, shape array<double>, words array<bigint>, meta array<int>").toArrow().to_pylist()
+    got = rows.mapInArrow(lean(over), f"k {kind}, y int, toxic int, shape array<double>, words array<bigint>, meta array<int>").toArrow().to_pylist()
     got.sort(key=lambda r: (zlib.crc32(str(r["k"]).encode()), str(r["k"]), r["words"]))
-    part = [[r for r in got if (r["y"] is not None) == known] for known in (True, False)]
+    part = [[r for r in got if r["y"] is not None], [r for r in got if r["y"] is None and r["toxic"] is None], [r for r in got if r["toxic"] is not None]]
     arrays = [([r["shape"] for r in p], [np.array(r["words"], np.int64).view(np.uint64) for r in p], [r["meta"] for r in p]) for p in part]
-    return CoTraining(*arrays[0], [r["y"] for r in part[0]], *arrays[1])
+    model = CoTraining(*arrays[0], [r["y"] for r in part[0]], *arrays[1])
+    model.toxicity = Toxicity(*arrays[2][1:], [r["toxic"] for r in part[2]], [r["y"] == 1 for r in part[2]])
+    return model
 
 
 def score(docs: DataFrame, model: CoTraining, *, text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with text_score, meta_score, quality_score (probabilities of a good document) and accepted."""
+    """docs with text_score, meta_score, quality_score (probabilities of a good document), toxic_score and accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    schema = docs.withColumns({"text_score": F.lit(0.0), "meta_score": F.lit(0.0), "quality_score": F.lit(0.0), "accepted": F.lit(True)}).schema
+    schema = docs.withColumns({"text_score": F.lit(0.0), "meta_score": F.lit(0.0), "quality_score": F.lit(0.0), "toxic_score": F.lit(0.0), "accepted": F.lit(True)}).schema
 
     def over(batches):
         fitted = shared.value
         for batch in batches:
             shapes, words = [], []
-            one, two, both = [], [], []
+            one, two, both, toxic, rejected = [], [], [], [], []
             metas = [meta_features(*v) for v in zip(*(batch.column(names.index(n)).to_pylist() for n in (lang, source, size)))]
             done = 0
             for i, shape, seen in text_features(batch, text):
                 shapes.append(shape)
                 words.append(seen)
                 if len(shapes) == 500 or i == len(batch) - 1:
-                    for out, p in zip((one, two, both), fitted.predict(shapes, words, metas[done : i + 1])):
+                    for out, p in zip((one, two, both, toxic, rejected), (*fitted.predict(shapes, words, metas[done : i + 1]), *fitted.toxicity.predict(words, metas[done : i + 1]))):
                         out.append(p)
                     done, shapes, words = i + 1, [], []
             if not one:
                 continue
             total = np.concatenate(both).astype(float)
-            more = [pa.array(np.concatenate(one).astype(float)), pa.array(np.concatenate(two).astype(float)), pa.array(total), pa.array(total >= threshold)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "text_score", "meta_score", "quality_score", "accepted"])
+            more = [pa.array(np.concatenate(one).astype(float)), pa.array(np.concatenate(two).astype(float)), pa.array(total), pa.array(np.concatenate(toxic)), pa.array((total >= threshold) & ~np.concatenate(rejected))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "text_score", "meta_score", "quality_score", "toxic_score", "accepted"])
 
     return docs.mapInArrow(lean(over), schema)
