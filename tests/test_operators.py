@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import stats, text
 from vaultspark.operators import graph, search
+from vaultspark.plans import custom
 from vaultspark.sources import ingest
 from vaultspark.sources.snapshots import Generations, append_once, diff_sync, supersede
 from vaultspark.streaming import ledger
@@ -35,6 +36,32 @@ def test_pagerank_is_a_distribution(spark):
     assert all(abs(r[i + 1] - p[i]) < 1e-3 for i in range(5))
 
 
+def test_graph_queries_run_their_whole_loops(spark, data):
+    """40 rounds and hops to depth 2, in plain Python."""
+    e = {(r.src, r.dst) for r in custom._edges(spark, data).collect()}
+    near = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    p = {1: 0.5, 2: 0.5}
+    for _ in range(40):
+        q = {s: (0.15 + 0.85 * sum(x for v, x in p.items() if v not in near)) / 2 for s in (1, 2)}
+        for v, x in p.items():
+            for b in near.get(v, ()):
+                q[b] = q.get(b, 0) + 0.85 * x / len(near[v])
+        moved, p = sum(abs(q.get(v, 0) - p.get(v, 0)) for v in q.keys() | p.keys()), q
+        if moved < 1e-9:
+            break
+    got = dict(custom.pagerank_converged(spark, data).collect())
+    assert got.keys() == p.keys() and all(abs(got[v] - p[v]) < 1e-6 for v in p)
+    one = set().union(*(near.get(s, set()) for s in (1, 2))) - {1, 2}
+    two = set().union(*(near[v] for v in one)) - one - {1, 2}
+    hop = {v: 1 for v in one} | {v: 2 for v in two}
+    first = sorted(((-round(x, 12), hop.get(v, 99), v) for v, x in p.items() if v not in (1, 2)))[:20]
+    rows = custom.graph_expand_converged(spark, data).collect()
+    assert {(r.v, r.hop) for r in rows} == {(v, h) for _, h, v in first} and any(r.hop == 2 for r in rows)
+
+
 def test_degree_cap(spark):
     e = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (1, 4, 0.7), (2, 3, 0.6)], "a long, b long, score double")
     assert sorted((r.a, r.b) for r in graph.degree_capped(e, cap=2).collect()) == [(1, 2), (1, 3), (2, 3)]

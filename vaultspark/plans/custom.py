@@ -51,11 +51,17 @@ def bfs_hops(spark, sf_dir):
 
 @P.frame()
 def pagerank_converged(spark, sf_dir):
-    """GR4: the whole loop, to its tolerance."""
-    r = graph.personalized_pagerank(_edges(spark, sf_dir), _seeds(spark), rounds=12, tol=1e-6)
+    """GR4: the whole loop, until a round moves less than 1e-9 or 40 rounds are done."""
+    r = graph.personalized_pagerank(_edges(spark, sf_dir), _seeds(spark))
     return r.select("v", F.round("p", 6).alias("p"))
 
 
+@P.frame()
+def graph_expand_converged(spark, sf_dir):
+    """GR5: nodes by the ranks of the whole loop, then by hops of a search to its depth."""
+    return graph.graph_expand(_edges(spark, sf_dir), _seeds(spark)).withColumn("p", F.round("p", 6))
+
+
 @P.frame()
 def capped_edge_selection(spark, sf_dir):
     """GR12: edges taken greedily under a degree cap."""

@@ -233,7 +233,7 @@ def personalized_pagerank(q):
 
 @P.sql
 def graph_expand(q):
-    """GR5: neighbours of the seeds by rank, then hops."""
+    """GR5: neighbours of the seeds by rank after three rounds, then hop 1 (graph_expand_converged has both loops)."""
     both = ppr(q, 3)
     return f"WITH {both}, near AS (SELECT DISTINCT w.b AS v FROM both_ways w JOIN seed s ON s.v = w.a) SELECT p.v, round(p.p, 6) AS score, CASE WHEN n.v IS NULL THEN 99 ELSE 1 END AS hop FROM p3 p LEFT JOIN near n ON n.v = p.v WHERE p.v NOT IN (1, 2) ORDER BY round(p.p, 6) DESC, hop, p.v LIMIT 25"
 
