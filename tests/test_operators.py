@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,6 +68,41 @@ def test_degree_cap(spark):
     assert sorted((r.a, r.b) for r in graph.degree_capped(e, cap=2).collect()) == [(1, 2), (1, 3), (2, 3)]
 
 
+def test_degree_cap_is_the_sequential_rule(spark):
+    rng = np.random.default_rng(3)
+    e = [(int(a), int(b), float(s)) for a, b, s in {(a, b): (a, b, rng.integers(20) / 20) for a, b in rng.integers(0, 40, (400, 2)) if a < b}.values()]
+    used, want = {}, []
+    for a, b, s in sorted(e, key=lambda x: (-x[2], x[0], x[1])):
+        if used.get(a, 0) < 3 and used.get(b, 0) < 3:
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+            want.append((a, b, s))
+    df = spark.createDataFrame(e, "a long, b long, score double")
+    assert sorted(map(tuple, graph.degree_capped(df, cap=3).collect())) == sorted(want)
+    assert sorted(map(tuple, graph.degree_capped(df, cap=3, most=20).collect())) == sorted(want[:20])
+
+
+def test_vector_pairs_and_clusters_are_of_all_vectors(spark, data, tmp_path):
+    """Ids that 20 doesn't divide, copies, and clusters joined by other members."""
+    x = np.random.default_rng(1).normal(size=(60, 16))
+    x[7], x[9] = x[3] + 0.05 * x[50], x[3] + 0.05 * x[50] + 0.05 * x[51]
+    x[33] = x[31] = x[21]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    for name, df in (("embeddings", v), ("documents", spark.range(40).withColumnRenamed("id", "doc_id"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for path in Path(data).glob("*.parquet"):
+        if not (tmp_path / path.name).exists():
+            (tmp_path / path.name).symlink_to(path)
+    dots = np.round(x.astype(float) @ x.astype(float).T, 6)
+    want = lambda least: {(i, j) for i in range(60) for j in range(i + 1, 60) if dots[i, j] >= least}
+    assert want(0.9) >= {(3, 7), (7, 9), (21, 31), (21, 33), (31, 33)}
+    assert {(r.a, r.b) for r in search.similar_pairs(v, 0.35, block=16).collect()} == want(0.35)
+    assert {(r.a, r.b) for r in custom.near_duplicate_vector_pairs(spark, str(tmp_path)).collect()} == want(0.9)
+    assert dict(custom.semantic_clusters(spark, str(tmp_path)).collect()) == {3: 3, 7: 3, 9: 3, 21: 21, 31: 21, 33: 21}
+    chosen = custom.capped_edge_selection(spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in chosen} >= {(3, 7), (7, 9), (21, 31)} and len(chosen) <= 2 * custom._edges(spark, str(tmp_path)).count()
+
+
 def test_fusion_and_priors(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "qid long, doc_id long, rank int")
     b = spark.createDataFrame([(0, 2, 1)], "qid long, doc_id long, rank int")

@@ -69,6 +69,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vect
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).filter(F.col("rank") <= n)
 
 
+def similar_pairs(vectors: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(a, b, score): all pairs a < b whose product, to six places, is `least` or more.
+
+    Exact: every two blocks of about `block` vectors meet in one group. The work grows with the square of the vectors."""
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("x")).dropna()
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("k", "x", "h", F.least("h", "o").alias("lo"), F.greatest("h", "o").alias("hi"))
+
+    def meet(pdf):
+        import pandas as pd
+
+        k, x, low = pdf["k"].to_numpy(), np.stack(pdf["x"]).astype(float), (pdf["h"] == pdf["lo"]).to_numpy()
+        high = low if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else ~low
+        score = np.round(x[low] @ x[high].T, 6)
+        i, j = np.nonzero(score >= least)
+        a, b, score = k[low][i], k[high][j], score[i, j]
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
+        return out[(a < b) if high is low else (a != b)]
+
+    return dealt.groupBy("lo", "hi").applyInPandas(meet, f"a {rows.schema['k'].dataType.simpleString()}, b {rows.schema['k'].dataType.simpleString()}, score double")
+
+
+def similar_clusters(vectors: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(v, root): vectors in clusters of two or more over all pairs of similar_pairs, with their cluster's smallest key.
+
+    Equal vectors are one class before vectors meet, so that copies don't multiply."""
+    from vaultspark.operators.graph import components
+
+    rows = vectors.select(F.col(key).alias("v"), F.col(vector).alias("x")).dropna()
+    classes = rows.groupBy("x").agg(F.min("v").alias("k"), F.count(F.lit(1)).alias("n"))
+    linked = similar_pairs(classes, least, key="k", vector="x", block=block).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    copies = classes.filter((F.col("n") > 1) & (F.round(dot("x", "x"), 6) >= least)).select(F.col("k").alias("c"))
+    roots = components(linked).select(F.col("v").alias("c"), "root").join(copies, "c", "full").select("c", F.coalesce("root", "c").alias("root"))
+    return rows.join(classes.select("x", F.col("k").alias("c")), "x").join(roots, "c").select("v", "root")
+
+
 def fuse(legs: dict[str, DataFrame], weights: dict[str, float] | None = None, *, key: str = "doc_id", k: int = FUSED) -> DataFrame:
     """(qid, key, score, <leg>_rank...): the sum of weight / (k + rank) over legs (qid, key, rank)."""
     weights = weights or {}

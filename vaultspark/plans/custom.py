@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vaultspark.functions import stats, text
 from vaultspark.operators import graph
 from vaultspark.operators.base import checkpointed
-from vaultspark.operators.search import near_duplicate_demotion
+from vaultspark.operators.search import near_duplicate_demotion, similar_clusters, similar_pairs
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, views
 from vaultspark.sources.snapshots import diff_sync
 from vaultspark.streaming import ledger
@@ -64,16 +64,24 @@ def graph_expand_converged(spark, sf_dir):
 
 @P.frame()
 def capped_edge_selection(spark, sf_dir):
-    """GR12: edges taken greedily under a degree cap."""
-    s = _sql(spark, sf_dir, f"SELECT a.vec_id AS a, b.vec_id AS b, round({SPARK.dot('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0")
-    return graph.degree_capped(s.filter("score >= 0.35"), cap=5, limit=200_000)
+    """GR12: edges taken greedily from all pairs at or over 0.35 under a degree cap, up to twice the links."""
+    e = _edges(spark, sf_dir)
+    return graph.degree_capped(similar_pairs(spark.table("embeddings"), 0.35), cap=5, most=2 * e.count())
 
 
 @P.frame(lambda q: f"WITH RECURSIVE s AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND round({q.dot('a.embedding', 'b.embedding')}, 6) >= 97e-2), w AS (SELECT a, b FROM s UNION SELECT b, a FROM s), reach AS (SELECT DISTINCT a AS v, a AS r FROM w UNION SELECT w.b, reach.r FROM reach JOIN w ON w.a = reach.v), m AS (SELECT v, min(r) AS root FROM reach GROUP BY v) SELECT v, root FROM m")
 def semantic_clusters(spark, sf_dir):
-    """DD17: clusters of vectors at or over 0.97."""
-    s = _sql(spark, sf_dir, f"SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND round({SPARK.dot('a.embedding', 'b.embedding')}, 6) >= 97e-2")
-    return graph.components(s)
+    """DD17: clusters of vectors at or over 0.97, over all pairs. (The twin takes every twentieth vector's pairs only.)"""
+    views(spark, sf_dir)
+    return similar_clusters(spark.table("embeddings"), 0.97)
+
+
+@P.frame()
+def near_duplicate_vector_pairs(spark, sf_dir):
+    """DD1, DD18: all pairs of near vectors, in the bands of near_duplicate_vectors."""
+    views(spark, sf_dir)
+    band = F.when(F.col("score") >= 0.97, "cluster").when(F.col("score") >= 0.95, "near").otherwise("band")
+    return similar_pairs(spark.table("embeddings"), 0.9).withColumn("band", band)
 
 
 @P.frame(lambda q: f"WITH RECURSIVE {notes(q)}, sup AS (SELECT doc_id AS src, CAST(substr(superseded_by, 2) AS BIGINT) AS dst FROM notes WHERE superseded_by IS NOT NULL), w AS (SELECT src AS a, dst AS b FROM sup UNION SELECT dst, src FROM sup), reach AS (SELECT DISTINCT a AS v, a AS r FROM w UNION SELECT w.b, reach.r FROM reach JOIN w ON w.a = reach.v), m AS (SELECT v, min(r) AS root FROM reach GROUP BY v) SELECT root, count(*) AS members, min({q.octets('body')}) AS smallest, count(DISTINCT {q.sha('body')}) AS bodies FROM m JOIN notes n ON n.doc_id = m.v GROUP BY root")

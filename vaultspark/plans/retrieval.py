@@ -281,7 +281,7 @@ def link_report(q):
 
 @P.sql
 def near_duplicate_vectors(q):
-    """DD1, DD18: vectors near every twentieth one, in two bands."""
+    """DD1, DD18: vectors near every twentieth one, in bands (near_duplicate_vector_pairs has all pairs)."""
     return f"WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({q.dot('a.embedding', 'b.embedding')}, 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT a, b, s, CASE WHEN s >= 97e-2 THEN 'cluster' WHEN s >= 95e-2 THEN 'near' ELSE 'band' END AS band FROM s WHERE s >= 90e-2"
 
 
