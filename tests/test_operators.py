@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vaultspark.functions import stats, text
-from vaultspark.operators import graph, search
+from vaultspark.operators import graph, overlap, search
 from vaultspark.plans import custom
 from vaultspark.sources import ingest
 from vaultspark.sources.snapshots import Generations, append_once, diff_sync, supersede
@@ -103,6 +103,29 @@ def test_vector_pairs_and_clusters_are_of_all_vectors(spark, data, tmp_path):
     assert {(r.a, r.b) for r in chosen} >= {(3, 7), (7, 9), (21, 31)} and len(chosen) <= 2 * custom._edges(spark, str(tmp_path)).count()
 
 
+def test_cross_tier_pairs(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 300, 60)]
+        texts += [base, base[:50] + [f"v{i}{x}" for x in range(10)], [str(x) for x in rng.permutation(base)], base]
+    rows = [(i, i % 3, t) for i, t in enumerate(texts)] + [(100, 0, []), (101, 1, ["w1"]), (102, 2, ["w1"]), (103, 2, None)]
+    got = overlap.cross_tier_pairs(spark.createDataFrame(rows, "k long, tier int, tokens array<string>")).collect()
+    jac = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    runs = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    want, classes = {}, {}
+    for i, s, t in rows:
+        classes.setdefault((s, str(t)), (i, s, t))  # the fourth of four equals the first, in its tier
+    for i, s, t in classes.values():
+        for j, r, u in classes.values():
+            if i < j and s != r and t and u:
+                sj, wj = jac(runs(t), runs(u)), jac(set(t), set(u))
+                if max(sj, wj) >= 0.6:
+                    want[i, j] = (round(sj, 6), round(wj, 6), "decided" if sj >= 0.6 else "undecided")
+    assert {(r.a, r.b): (r.shingle_jaccard, r.word_jaccard, r.verdict) for r in got} == want
+    assert {v[2] for v in want.values()} == {"decided", "undecided"} and {r.copies_a for r in got} >= {1, 2}
+
+
 def test_fusion_and_priors(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "qid long, doc_id long, rank int")
     b = spark.createDataFrame([(0, 2, 1)], "qid long, doc_id long, rank int")

@@ -230,7 +230,7 @@ def benchmark_bands(q):
 
 @P.sql
 def cross_tier_overlap(q):
-    """AG7: documents that share five-word shingles with documents of other tiers, and what share of theirs."""
+    """Towards AG7 (cross_tier_pairs has its pairs): documents that share five-word shingles with documents of other tiers, and what share of theirs."""
     return f"""WITH {notes(q)}, s AS {shingle_rows(q, 'documents', 'doc_id', 'text', 5)}, r AS (SELECT doc_id, {tier_rank('classification')} AS tier FROM notes), t AS (SELECT s.doc_id, s.s, r.tier FROM s JOIN r ON r.doc_id = s.doc_id),
 mixed AS (SELECT s, min(tier) AS lo, max(tier) AS hi FROM t GROUP BY s HAVING min(tier) <> max(tier))
 SELECT t.doc_id, count(*) AS shingles, count(m.s) AS shared, round(count(m.s) / CAST(count(*) AS DOUBLE), 6) AS share FROM t LEFT JOIN mixed m ON m.s = t.s GROUP BY t.doc_id HAVING count(m.s) > 0"""
@@ -244,7 +244,7 @@ def cross_tier_copies(q):
 
 @P.sql
 def bottom_k_sketch(q):
-    """AG26, DD6: the 64 smallest hashes of each document's words (SHA-256 here, so that both engines agree)."""
+    """AG26 at 64 hashes (the reference keeps 192), without DD6's screen: the 64 smallest hashes of each document's words (SHA-256 here, so that both engines agree)."""
     return f"""WITH w AS (SELECT DISTINCT doc_id, substr({q.sha('w')}, 1, 12) AS h FROM documents, {q.unnest(tokens(q, 'text'), 'u(w)')}), r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS k FROM w)
 SELECT doc_id, count(*) AS kept, min(h) AS lowest, max(h) AS bound FROM r WHERE k <= 64 GROUP BY doc_id"""
 

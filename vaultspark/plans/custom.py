@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.functions import stats, text
-from vaultspark.operators import graph
+from vaultspark.operators import graph, overlap
 from vaultspark.operators.base import checkpointed
 from vaultspark.operators.search import near_duplicate_demotion, similar_clusters, similar_pairs
-from vaultspark.plans.dialect import SPARK, Plans, edges, notes, views
+from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
 from vaultspark.sources.snapshots import diff_sync
 from vaultspark.streaming import ledger
 
@@ -127,6 +127,13 @@ def pca_projection(spark, sf_dir):
     return v.select("vec_id", *rows)
 
 
+@P.frame()
+def cross_tier_pairs(spark, sf_dir):
+    """JN10, AG7, DD6: pairs of documents of different tiers by shingle or word Jaccard (an exact prefix join, no sketch)."""
+    d = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT doc_id AS k, {tier_rank('classification')} AS tier, {tokens(SPARK, 'body')} AS tokens FROM notes")
+    return overlap.cross_tier_pairs(d)
+
+
 @P.frame()
 def chunker(spark, sf_dir):
     """SF7: texts cut into chunks under their headings."""
