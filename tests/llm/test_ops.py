@@ -249,11 +249,61 @@ def test_token_files(spark, odd, tmp_path):
 
 def test_token_block_damage():
     block = token_files.encode_block([-5, 7], [b"\1\0\0\0", b"\2\0\0\0\3\0\0\0"], 0) + token_files.END.encode()
-    (keys, first, counts, starts, ids), = token_files.decode_blocks(memoryview(block))
+    (keys, first, counts, starts, ids), = token_files.decode_blocks(block)
     assert (keys, first, counts.tolist(), starts.tolist(), ids.tolist()) == ([-5, 7], 0, [1, 2], [0, 1], [1, 2, 3])
     for bad in (block[:-9], block[:80] + b"\xff" + block[81:], b"x" + block[1:]):
         with pytest.raises(ValueError):
-            list(token_files.decode_blocks(memoryview(bad)))
+            list(token_files.decode_blocks(bad))
+    end = np.frombuffer(token_files.END.encode(), "<u4").astype("<u4").tobytes()
+    escaped = token_files.encode_block([1], [end * 20 + b"\0\0\0\x7f" * 3], 0)
+    raw = token_files.encode_block([int.from_bytes(token_files.END.encode(), "little")], [b""], 0)
+    (keys, _, _, _, ids), = token_files.decode_blocks(escaped + token_files.END.encode())
+    assert np.array_equal(ids, np.frombuffer(end * 20 + b"\0\0\0\x7f" * 3, "<u4")) and raw.count(token_files.END.encode()) == 0
+
+
+def test_block_without_its_end(monkeypatch):
+    """A block whose bytes hold the end mark is stored under a mask."""
+    monkeypatch.setattr(token_files, "END", "\2\0\0\0")  # a count of the block below
+    block = token_files.encode_block([7, 8, 9], [b"\1\0\0\0" * 2, b"\5\0\0\0", b"\5\0\0\0"], 0)
+    assert block[56] != 0 and token_files.decode_block(memoryview(block))[4].tolist() == [1, 1, 5, 5]
+
+
+def test_token_files_are_sized_by_bytes(spark, tmp_path):
+    """Files keep to their size whatever the shuffle partitions, with one key for a third of the rows, and keep the order."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words of a text "), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(0).cast("string")).alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = token_files.tokens_digest(docs, vocabulary("word_bpe_49k.json"), folder=str(tmp_path / "s"), file_bytes=8_000).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = [f.stat().st_size for f in (tmp_path / "s").glob("part-*")]
+    assert len(files) > 5 and max(files) < 30_000
+    rows = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
+def thue_morse(n):
+    """The words that collide in every polynomial hash modulo a power of two."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_runs_are_told_apart_by_bytes(monkeypatch, name, kind):
+    texts = [x for n in (16, 128, 1024, 2048, 4096) for x in thue_morse(n)] + ["the cat and the dog and the catalogue of internationalisations"] * 2
+    t = tokens.PieceTokenizer(vocabulary(name), kind)
+    assert t.encode(texts) == t.direct(texts) == t.encode(texts)
+    real = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda raw, a, b: real(raw, a, b) % np.uint64(3))  # nearly all runs share a hash
+    t = tokens.PieceTokenizer(vocabulary(name), kind)
+    assert t.encode(texts) == t.direct(texts) == t.encode(texts)
+
+
+def test_documents_of_colliding_words_do_not_link(spark):
+    texts = [x for n in (1024, 2048, 4096) for x in thue_morse(n)]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    assert {(r.n_shingles, r.component_id) for r in jaccard.near_groups(docs, k=4, percent=85).collect()} == {(1, i) for i in range(1, 7)}
 
 
 def test_token_files_empty(empty):

@@ -21,8 +21,6 @@ LOWER[65:91] += 32
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_pow_cache = [np.ones(1, _U), np.ones(1, _U)]
 
 #: Bytes of text that one vectorised step takes at once, unless one document is longer.
 STEP_BYTES = 1 << 20
@@ -100,20 +98,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow_cache[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _pow_cache[k] = np.multiply.accumulate(p)
-    if n > 4 * STEP_BYTES:  # one huge text: don't keep its tables
-        out = _pow_cache[0][:n], _pow_cache[1][:n]
-        _pow_cache[0], _pow_cache[1] = (p[: STEP_BYTES + 1].copy() for p in _pow_cache)
-        return out
-    return _pow_cache[0][:n], _pow_cache[1][:n]
-
-
 def word_spans(offs: np.ndarray, low: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words, and the number of words of each document; words end where documents do."""
     n = len(low)
@@ -135,15 +119,52 @@ def word_spans(offs: np.ndarray, low: np.ndarray, is_word: np.ndarray) -> tuple[
     return starts, ends, np.diff(at)
 
 
+def _at_place(code: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit value of each (place in a word, byte), coded as 256 * place + byte."""
+    return mix((code.astype(_U) + _U(1)) * _BASE)
+
+
+#: Those values for the first places of a word; beyond them they are computed.
+PLACES = 64
+_PLACE_TABLE = _at_place(np.arange(256 * PLACES))
+
+
+def _byte_sums(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, place: np.ndarray | int = 0) -> np.ndarray:
+    """Sums of the values of each span's bytes, whose first byte stands at a place of its word."""
+    first = np.cumsum(lengths) - lengths
+    small = np.int32 if place < 1 << 20 and len(low) < 1 << 30 else np.int64  # a step has 2**21 bytes, a place is shifted by 8
+    count = np.arange(int(lengths.sum()), dtype=small)
+    code = count - np.repeat((first - place).astype(small), lengths)
+    code <<= 8
+    count += np.repeat((starts - first).astype(small), lengths)
+    code |= low[count]
+    if code.max(initial=0) < len(_PLACE_TABLE):
+        values = _PLACE_TABLE[code]
+    else:
+        far = code >= len(_PLACE_TABLE)
+        values = _PLACE_TABLE[np.where(far, 0, code)]
+        values[far] = _at_place(code[far])
+    return np.add.reduceat(values, first)
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same at every place."""
-    if len(starts) == 0:
-        return np.zeros(0, _U)
-    up, down = _powers(len(low))
-    sums = np.empty(len(low) + 1, _U)
-    sums[0] = 0
-    np.cumsum((low.astype(_U) + _U(1)) * up, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    """A 64-bit hash of each word, the same wherever it stands: mixed values of its bytes by place, summed and mixed.
+
+    Every (place, byte) has a value of its own, so no pattern of a word's letters makes two words' sums equal."""
+    n = len(starts)
+    sums = np.zeros(n, _U)
+    lengths = ends - starts
+    stops, lo = np.cumsum(lengths), 0
+    while lo < n:  # about STEP_BYTES of words at a time
+        hi = max(lo + 1, int(np.searchsorted(stops, (stops[lo - 1] if lo else 0) + 2 * STEP_BYTES, "right")))
+        if lengths[lo] > 2 * STEP_BYTES:  # one huge word, in parts
+            for a in range(0, int(lengths[lo]), STEP_BYTES):
+                sums[lo : lo + 1] += _byte_sums(low, starts[lo : lo + 1] + a, np.minimum(STEP_BYTES, lengths[lo : lo + 1] - a), a)
+            lo += 1
+            continue
+        sums[lo:hi] = _byte_sums(low, starts[lo:hi], lengths[lo:hi])
+        lo = hi
+    return mix(sums + lengths.astype(_U) * _BASE)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -153,10 +174,18 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, _U)
     h = np.full(n, _U(k), _U)
     for j in range(k):
-        h = h * _BASE + words[j : j + n]
+        h ^= h >> _U(32)
+        h *= _BASE
+        h += words[j : j + n]
     return mix(h)
 
 
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names (in any case): the results that take their names replace them."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
 def out_batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in schema)], schema=schema)
 

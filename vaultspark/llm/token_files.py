@@ -3,22 +3,25 @@
 A file is a row of blocks. Each block is, in little-endian order:
 
     8 bytes   magic "S8BLOCK1"
-    8 x u64   documents, ids, words, bytes of keys, first id's number in the file, block's bytes, 0, CRC-32 of what follows
+    8 x u64   documents, ids, words, bytes of keys, first id's number in the file, block's bytes, mask, CRC-32 of what follows
     keys      zigzag varints of the differences of the documents' keys, padded to 8 bytes
     counts    u32 per document, padded to 8 bytes
     starts    u32 per document: its first id's place in the block (the per-block offsets)
     words     u64: Simple-8b words; the selector in the upper 4 bits
-    8 bytes   "\\nS8BEND\\n" after each block
+    8 bytes   "\\nS8BEND\\n" after each block, which does not occur within one: all that follows the head is stored
+              under an exclusive or with the mask (a byte, 0 unless that is needed)
 
 Selector s of 1 to 14 packs WIDTHS[s] = (ids, bits): 60 ids of 1 bit up to 1 id of 60 bits; selector 0 is the escape:
 its word holds how many of the following words are raw 64-bit values. Selector 15 is a run: a value of 28 bits that repeats up to 2**32 - 1 times.
 
-Documents are dealt in ranges of their keys, sorted, tokenised and written through Spark's text writer, whose rows
-can be any bytes: so files get committed like any other output and lie wherever Spark can write. Files are read back
-with the binaryFile source and decoded a block at a time with numpy.
+Documents are dealt in ranges of (key, hash of the text, row number) and sorted by these, so that rows of one key, or
+without one, are dealt over several files, too. There are as many files as the texts have `FILE_BYTES`. They are
+written through Spark's text writer, whose rows can be any bytes: so files get committed like any other output and
+lie wherever Spark can write. They are read through its text source, a block a row, so that a large file is split, and
+each block is decoded with numpy.
 
-Defined cases: null and empty texts are the end id alone; equal keys keep one order (by text); an empty table gives
-no blocks; missing keys come first and stay missing; other columns are not looked at.
+Defined cases: null and empty texts are the end id alone; rows of equal keys keep one order (by hash and row number);
+an empty table gives no blocks; missing keys come first and stay missing; keys are whole numbers; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,8 +41,9 @@ END = "\nS8BEND\n"
 #: Ids and bits of a word by selector; fixed values of the coding.
 WIDTHS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE, RUN = 0, 15
-#: Ids in a block, about.
+#: Ids in a block, about, and bytes of texts in a file, about.
 BLOCK_IDS = 1 << 18
+FILE_BYTES = 64 << 20
 #: What stands for a missing key.
 NO_KEY = -(1 << 63)
 #: Shortest run of equal ids that becomes a run word.
@@ -198,32 +202,45 @@ def encode_block(keys: list[int], ids: list[bytes], first: int) -> bytes:
     deltas = [k - p for k, p in zip(keys, [0, *keys[:-1]])]
     names = _padded(_varints(deltas))
     starts = (np.cumsum(counts, dtype=np.int64) - counts).astype("<u4")
-    body = names + _padded(counts.tobytes()) + _padded(starts.tobytes()) + words.astype("<u8").tobytes()
-    head = np.array([len(keys), counts.sum(dtype=np.int64), len(words), len(names), first, 72 + len(body), 0, zlib.crc32(body)], "<u8")
-    return MAGIC + head.tobytes() + body
-
-
-def decode_blocks(data: memoryview):
-    """Yields (keys, starts in the file, counts, starts in the block, ids) of each block of a file."""
-    end, at = END.encode(), 0
-    while at < len(data):
-        if bytes(data[at : at + 8]) != MAGIC:
-            raise ValueError(f"no block at byte {at}")
-        docs, n, words, names, first, size, _, crc = np.frombuffer(data[at + 8 : at + 72], "<u8").tolist()
-        body = data[at + 72 : at + size]
-        if len(body) != size - 72 or zlib.crc32(body) != crc or bytes(data[at + size : at + size + 8]) != end:
-            raise ValueError(f"the block at byte {at} is damaged")
-        keys = np.cumsum(_from_varints(bytes(body[:names]), docs)).tolist()
-        p = names
-        counts = np.frombuffer(body[p : p + 4 * docs], "<u4")
-        p += -(-4 * docs // 8) * 8
-        starts = np.frombuffer(body[p : p + 4 * docs], "<u4")
-        p += -(-4 * docs // 8) * 8
-        ids = decode_words(np.frombuffer(body[p : p + 8 * words], "<u8"))
-        if len(ids) != n:
-            raise ValueError(f"the block at byte {at} has {len(ids)} ids, not {n}")
-        yield keys, first, counts, starts, ids
-        at += size + 8
+    body = np.frombuffer(names + _padded(counts.tobytes()) + _padded(starts.tobytes()) + words.astype("<u8").tobytes(), np.uint8)
+    for mask in range(256):
+        stored = (body ^ np.uint8(mask)).tobytes() if mask else body.tobytes()
+        head = np.array([len(keys), counts.sum(dtype=np.int64), len(words), len(names), first, 72 + len(stored), mask, zlib.crc32(stored)], "<u8")
+        block = MAGIC + head.tobytes() + stored
+        if END.encode() not in block + END.encode()[:-1]:
+            return block
+    raise ValueError("every mask leaves the end of a block within it")
+
+
+def decode_block(data: memoryview):
+    """(keys, ids of the file before the block, counts, starts in the block, ids) of one block."""
+    if bytes(data[:8]) != MAGIC or len(data) < 72:
+        raise ValueError("not a block")
+    docs, n, words, names, first, size, mask, crc = np.frombuffer(data[8:72], "<u8").tolist()
+    body = data[72:]
+    if len(data) != size or zlib.crc32(body) != crc:
+        raise ValueError("a block is damaged")
+    if mask:
+        body = memoryview((np.frombuffer(body, np.uint8) ^ np.uint8(mask)).tobytes())
+    keys = np.cumsum(_from_varints(bytes(body[:names]), docs)).tolist()
+    p = names
+    counts = np.frombuffer(body[p : p + 4 * docs], "<u4")
+    p += -(-4 * docs // 8) * 8
+    starts = np.frombuffer(body[p : p + 4 * docs], "<u4")
+    p += -(-4 * docs // 8) * 8
+    ids = decode_words(np.frombuffer(body[p : p + 8 * words], "<u8"))
+    if len(ids) != n:
+        raise ValueError(f"a block has {len(ids)} ids, not {n}")
+    return keys, first, counts, starts, ids
+
+
+def decode_blocks(data: bytes):
+    """Yields decode_block() of each block of a whole file."""
+    *blocks, last = bytes(data).split(END.encode())
+    if last:
+        raise ValueError("a file that goes on after its last block")
+    for block in blocks:
+        yield decode_block(memoryview(block))
 
 
 def _writer(path: str, kind: str, end_id: int):
@@ -249,68 +266,71 @@ def _writer(path: str, kind: str, end_id: int):
     return over
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, *, kind: str = "word", end_id: int = 2, key: str = "doc_id", text: str = "text", files: int | None = None) -> None:
-    """Writes a folder of token files; the order of their names is the order of the keys. files: their number, or the session's shuffle partitions."""
-    spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(key, text).repartitionByRange(n, key).sortWithinPartitions(key, text)
+def write_tokens(docs: DataFrame, folder: str, path: str, *, kind: str = "word", end_id: int = 2, key: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Writes a folder of token files; the order of their names is the order of the keys."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long") + 8).alias("n")).first()["n"] or 0
+    n = max(1, -(-total // file_bytes))
+    # copies of one row are equal in key and text: the row's number deals them, too
+    order = [F.col("key"), F.xxhash64("text").alias("hash"), F.col("row")]
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
     blocks = dealt.mapInArrow(lean(_writer(path, kind, end_id), True), "value binary")
     blocks.select(F.expr("CAST(value AS STRING)").alias("value")).write.option("lineSep", END).text(folder)
 
 
+def _blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, block) of all blocks of a folder."""
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "part-*").text(folder)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("block"))
+
+
 def _reader(with_ids: bool):
     def over(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for keys, first, counts, starts, ids in decode_blocks(memoryview(content.as_buffer())):
-                    flat = ids.astype("<u4")
-                    cuts = [(int(a), int(a) + int(c)) for a, c in zip(starts, counts)]
-                    cols = [pa.array([name] * len(keys)), pa.array([None if k == NO_KEY else k for k in keys], pa.int64()), pa.array(starts.astype(np.int64) + first), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in cuts], pa.int64())]
-                    if with_ids:
-                        cols.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int64))))
-                    yield pa.RecordBatch.from_arrays(cols, ["file", "row_key", "at", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+                keys, first, counts, starts, ids = decode_block(memoryview(content.as_buffer()))
+                flat = ids.astype("<u4")
+                cuts = [(int(a), int(a) + int(c)) for a, c in zip(starts, counts)]
+                cols = [pa.array([name] * len(keys)), pa.array([None if k == NO_KEY else k for k in keys], pa.int64()), pa.array(starts.astype(np.int64) + first), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in cuts], pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, ["file", "row_key", "at", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     return over
 
 
 def read_tokens(spark: SparkSession, folder: str, *, with_ids: bool = False) -> DataFrame:
     """Per document of a folder: file, row_key, at (ids before it in its file), n_tokens, ids_crc32 and, if asked for, ids."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     out = "file string, row_key long, at long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    return files.mapInArrow(lean(_reader(with_ids)), out)
+    return _blocks(spark, folder).mapInArrow(lean(_reader(with_ids)), out)
 
 
-def _file_totals(batches):
+def _block_ids(batches):
     for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data, at, n = memoryview(content.as_buffer()), 0, 0
-            while at < len(data):
-                head = np.frombuffer(data[at + 8 : at + 72], "<u8").tolist()
-                n += head[1]
-                at += head[5] + 8
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "n"])
+        heads = [np.frombuffer(memoryview(x.as_buffer())[16:24], "<u8")[0] for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.int64())], ["file", "n"])
 
 
 def file_starts(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """(file, ids in all files before it), from the blocks' heads: one row per file comes to the driver."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    heads = _blocks(spark, folder).select("file", F.substring("block", 1, 72).alias("head"))
     out, at = [], 0
-    rows = files.mapInArrow(_file_totals, "file string, n long").collect()
+    rows = heads.mapInArrow(_block_ids, "file string, n long").groupBy("file").agg(F.sum("n").alias("n")).collect()
     for row in sorted(rows, key=lambda r: int(r["file"].rpartition("/part-")[2].split("-")[0])):
         out.append((row["file"], at))
         at += row["n"]
     return out
 
 
-def tokens_digest(docs: DataFrame, path: str, *, kind: str = "word", end_id: int = 2, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def tokens_digest(docs: DataFrame, path: str, *, kind: str = "word", end_id: int = 2, key: str = "doc_id", text: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files and reads them back: key, start over all files, n_tokens and ids_crc32 per document."""
     spark = docs.sparkSession
     folder = folder or work_folder(spark, "tokens")
-    write_tokens(docs, folder, path, kind=kind, end_id=end_id, key=key, text=text)
+    write_tokens(docs, folder, path, kind=kind, end_id=end_id, key=key, text=text, file_bytes=file_bytes)
     starts = spark.createDataFrame(file_starts(spark, folder), "file string, before long")
     # as many rows as files: the size of this broadcast is that of a listing
     read = read_tokens(spark, folder).join(F.broadcast(starts), "file")
     return read.select(F.col("row_key").alias(key), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-__all__ = ["decode_blocks", "decode_words", "encode_block", "encode_words", "file_starts", "read_tokens", "tokens_digest", "write_tokens"]
+__all__ = ["decode_block", "decode_blocks", "decode_words", "encode_block", "encode_words", "file_starts", "read_tokens", "tokens_digest", "write_tokens"]

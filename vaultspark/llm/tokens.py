@@ -3,7 +3,8 @@
 Both tokenizers here never join a run of letters, digits or marks with what stands beside it (but for one leading
 space), so equal runs have equal ids wherever they stand. Each Python worker keeps the ids of runs that it has seen
 (at most `MEMO`) in a hash table of numpy arrays, looks up the runs of many texts in one step, and asks the library
-for new ones only, many at once. A run is known by a 64-bit hash of its bytes.
+for new ones only, many at once. Runs are looked up by a 64-bit hash and then compared byte by byte with the run that
+the ids are of; a run whose hash is another one's is asked for each time. Runs of more than `LONG` bytes aren't kept.
 
 Where byte classes can't tell runs apart (apostrophes, other scripts, marks beyond ASCII, odd white space), a text is
 cut by patterns instead, or goes to the library as it is. Ids come as the bytes of little-endian unsigned 32-bit
@@ -23,6 +24,8 @@ from vaultspark.llm._common import held, word_hashes
 MEMO = 1_000_000
 #: Runs that the library is asked for at once; its answers are large.
 ASKED = 8192
+#: Bytes of the longest runs that are kept.
+LONG = 128
 
 # White space for Python only (U+001C to U+001F), for which texts go to the library whole.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -31,8 +34,25 @@ _NOT_LATIN = re.compile("[^\x00-ɏ]")
 # Two marks in a row could be one piece.
 _MARKS = re.compile(r"(?:[^\w\s]|_){2}|'")
 
-# What keeps a text from the byte classes: U+001C to U+001F, apostrophes, "<", and all but Latin letters beyond ASCII.
-_SLOW = re.compile("[\x1c-\x1f'<]|[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
+# What keeps a text from the byte classes: U+001C to U+001F, apostrophes, "<", and all but Latin letters beyond ASCII,
+# which are the UTF-8 pairs C3 80 to C9 8F without C3 97 and C3 B7.
+_SLOW = np.zeros(256, bool)
+_SLOW[[0x1C, 0x1D, 0x1E, 0x1F, ord("'"), ord("<"), 0xC2]] = _SLOW[0xCA:] = True
+
+
+def _slow(texts: list[bytes]) -> np.ndarray:
+    """Whether each text has anything that byte classes can't cut."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    if not len(raw):
+        return np.zeros(len(texts), bool)
+    bad = _SLOW[raw]
+    lead = np.flatnonzero((raw[:-1] == 0xC3) | (raw[:-1] == 0xC9))
+    after = raw[lead + 1]
+    bad[lead[np.where(raw[lead] == 0xC3, (after == 0x97) | (after == 0xB7), after >= 0x90)]] = True
+    return np.diff(np.searchsorted(np.flatnonzero(bad), offs)) > 0
+
+
 # Classes of bytes: 0 white space, 1 letters (and all beyond ASCII), 2 digits, 3 marks.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0
@@ -63,6 +83,9 @@ class PieceTokenizer:
         self.known, self.used = 0, 0
         self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 14, np.uint32)
+        # the bytes of each run: the length, the first and the last eight, and all of those of more than sixteen
+        self.bytes = np.zeros((1 << 12, 3), np.uint64)
+        self.rest: dict[int, bytes] = {}
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the runs with these hashes; -1 for new ones."""
@@ -91,25 +114,50 @@ class PieceTokenizer:
             stay[take] = False
             left, place = left[stay], (place[stay] + 1) & mask
 
-    def _learn(self, h: np.ndarray, runs_: list[str]) -> None:
-        """Stores the ids of new runs with distinct hashes."""
-        while 2 * (self.known + len(h)) > len(self.keys):
-            keys, slots = self.keys, self.slots
-            self.keys, self.slots = np.zeros(2 * len(keys), np.uint64), np.zeros(2 * len(keys), np.int32)
-            old = np.flatnonzero(keys)
-            self._insert(keys[old], slots[old])
-        ids = [x for lo in range(0, len(runs_), ASKED) for x in [e.ids for e in self.library.encode_batch_fast(runs_[lo : lo + ASKED], add_special_tokens=False)]]
+    def _learn(self, h: np.ndarray, marks: np.ndarray, runs_: list[bytes], kept: bool = True) -> np.ndarray:
+        """Numbers of new runs with distinct hashes, their ids stored; those that aren't kept are overwritten by the next ones."""
+        if kept:
+            while 2 * (self.known + len(h)) > len(self.keys):
+                keys, slots = self.keys, self.slots
+                self.keys, self.slots = np.zeros(2 * len(keys), np.uint64), np.zeros(2 * len(keys), np.int32)
+                old = np.flatnonzero(keys)
+                self._insert(keys[old], slots[old])
+        texts = [x.decode() for x in runs_]
+        ids = [x for lo in range(0, len(texts), ASKED) for x in [e.ids for e in self.library.encode_batch_fast(texts[lo : lo + ASKED], add_special_tokens=False)]]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
-        first, last = self.known, self.known + len(h)
+        first, last = self.known, self.known + len(runs_)
         while last > len(self.at):
-            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+            self.at, self.n, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.bytes))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.at[first:last], self.n[first:last] = self.used + np.cumsum(n) - n, n
-        self._insert(h, np.arange(first, last))
-        self.known, self.used = last, self.used + len(flat)
+        numbers = np.arange(first, last)
+        if kept:
+            self._insert(h, numbers)
+            self.bytes[first:last] = marks
+            self.rest.update((first + i, x) for i, x in enumerate(runs_) if len(x) > 16)
+            self.known, self.used = last, self.used + len(flat)
+        return numbers
+
+    @staticmethod
+    def _marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each run its length, its first and its last eight bytes: all of a run of up to sixteen."""
+        padded = np.concatenate([np.zeros(8, np.uint8), raw, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(raw) + 9, 8), (1, 1))
+        n = ends - starts
+        head = np.ascontiguousarray(eight[starts + 8]).view("<u8")[:, 0]
+        tail = np.ascontiguousarray(eight[ends]).view("<u8")[:, 0]  # the padding moves everything by eight
+        cut = (8 * (8 - np.minimum(n, 8))).astype(np.uint64)
+        return np.stack([n.astype(np.uint64), (head << cut) >> cut, (tail >> cut) << cut], 1)
+
+    def _same(self, number: np.ndarray, marks: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether runs are byte by byte those of the numbers."""
+        same = (self.bytes[number] == marks).all(1)
+        for i in np.flatnonzero(same & (marks[:, 0] > 16)).tolist():
+            same[i] = self.rest[int(number[i])] == raw[starts[i] : ends[i]].tobytes()
+        return same
 
     def _runs(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the runs of joined texts."""
@@ -140,15 +188,23 @@ class PieceTokenizer:
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         starts, ends = self._runs(raw, offs)
         h = np.maximum(word_hashes(raw, starts, ends), np.uint64(1))
+        marks = self._marks(raw, starts, ends)
         if self.known > MEMO:
             self._reset(1 << 16)
-        number = self._find(h)
-        new = np.flatnonzero(number < 0)
+        number = np.full(len(h), -1, np.int64)
+        kept = np.flatnonzero(ends - starts <= LONG)
+        number[kept] = self._find(h[kept])
+        new = kept[number[kept] < 0]
+        as_bytes = lambda at: [raw[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(new):
             hashes, first = np.unique(h[new], return_index=True)
             where = new[first]
-            self._learn(hashes, [raw[a:b].tobytes().decode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            self._learn(hashes, marks[where], as_bytes(where))
             number[new] = self._find(h[new])
+        number[kept[~self._same(number[kept], marks[kept], raw, starts[kept], ends[kept])]] = -1
+        alone = np.flatnonzero(number < 0)
+        if len(alone):
+            number[alone] = self._learn(h[alone], marks[alone], as_bytes(alone), kept=False)
         n = self.n[number]
         stop = np.cumsum(n)
         flat = self.pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[number] - (stop - n), n)]
@@ -175,9 +231,9 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        fast = [not _SLOW.search(t) for t in texts]
-        quick = [t for t, f in zip(texts, fast) if f]
-        some = iter(self._fast([(t.lower() if self.kind == "word" else t).encode() for t in quick]))
+        raw = [t.encode() for t in texts]
+        fast = (~_slow(raw)).tolist()
+        some = iter(self._fast([t.lower().encode() if self.kind == "word" else r for t, r, f in zip(texts, raw, fast) if f]))
         slow = iter(self._by_pieces([t for t, f in zip(texts, fast) if not f]))
         return [next(some) if f else next(slow) for f in fast]
 
