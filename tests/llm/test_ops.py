@@ -176,7 +176,7 @@ def test_url_filter_is_native(spark):
 # 4
 
 
-@pytest.mark.parametrize("block", [500_000, 7])
+@pytest.mark.parametrize("block", [500_000, 900])
 def test_decontamination(spark, data, block):
     docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     more = spark.createDataFrame([(900, "Un deux"), (901, None), (902, "!!"), (903, "un DEUX")], "item_id long, text string")
@@ -196,6 +196,24 @@ def test_decontamination_removes(spark, odd, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+OVERLAPPING = [(1, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"), (2, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (3, "zz yy"), (4, None), (5, "!")]
+ODD_ROWS = [(7, "zz yy"), (7, "hello there friend"), (None, "a zz yy b"), (None, None), (1, " ".join(f"w{i}" for i in range(15))), (1, " ".join(f"w{i}" for i in range(15))), (2, "w0 zz w1 yy"), (3, "x w0 w1 w2 w3 w4 zz yy w5 w6 w7 w8 w9 y")]
+
+
+@pytest.mark.parametrize("block", [1, 7, 500_000])
+def test_decontamination_is_the_same_for_any_blocks(spark, block):
+    docs = spark.createDataFrame([(k, t, "c", i) for i, (k, t) in enumerate(ODD_ROWS)], "doc_id long, text string, row string, spans int").repartition(3)
+    bench = spark.createDataFrame(OVERLAPPING, "item_id long, text string")
+    want = sorted(str((k, *brute_hits({0: t}, dict(OVERLAPPING))[0])) for k, t in ODD_ROWS)
+    assert sorted(str(tuple(r)) for r in decontaminate.digest(decontaminate.scan(docs, bench, block_windows=block)).collect()) == want
+    clean = decontaminate.decontaminate(docs, bench, block_windows=block)
+    assert clean.columns == docs.columns and sorted(r.spans for r in clean.collect()) == [1, 3, 6]
+    cut = {r.spans: r.text for r in decontaminate.decontaminate(docs, bench, mode="spans", block_windows=block).collect()}
+    assert cut == {0: "", 1: "hello there friend", 2: "a  b", 3: None, 4: "", 5: "", 6: "w0 zz w1 yy", 7: "x w0 w1 w2 w3 w4  w5 w6 w7 w8 w9 y"}
+    named = docs.select(F.concat(F.lit("k"), F.col("spans")).alias("doc_id"), "text")
+    assert {r.doc_id: r.n_hit for r in decontaminate.digest(decontaminate.scan(named, bench, block_windows=block)).collect()} == {"k0": 2, "k1": 0, "k2": 2, "k3": 0, "k4": 15, "k5": 15, "k6": 0, "k7": 2}
+
+
 # 5 and 6
 
 

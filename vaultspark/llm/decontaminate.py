@@ -4,12 +4,15 @@ Words are runs of ASCII digits, letters and non-ASCII bytes after lower-casing A
 of `width` consecutive words; an item with fewer words (but some) is one window. Hashes of all windows of a
 document are looked up in a bitmap and then in the sorted hash set; what is found is verified byte by byte.
 
-Benchmarks are data too: their windows are cut into blocks of at most `block_windows`, and each block is broadcast
-and scanned on its own, so that no broadcast grows beyond a known size. Documents with hits are joined over blocks.
+Benchmarks are data too: their windows are made on executors and counted, and dealt by hash into blocks of about
+`block_windows`, each of which is collected and broadcast alone, so that no broadcast grows beyond a known size. One
+block (the usual case) needs one pass over the texts. For more, rows are numbered in a written copy, each block is
+scanned on its own, and its hits are joined by the rows' numbers: the result does not depend on the blocks.
 
 Defined cases: null or wordless texts have 0 words and no hits; null or wordless items never occur; equal items
-occur together and each counts; repeated documents are judged row by row; an empty benchmark hits nothing; other
-columns of the tables are not looked at.
+occur together and each counts; repeated documents, and such without a key, are judged row by row; keys may be of any
+type; an empty benchmark hits nothing; other columns of the tables are not looked at. Spans are those of all items
+together and are cut out once, so that no text arises by cutting that was not there.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from vaultspark.llm._common import LOWER, lean, text_steps, window_hashes, word_hashes, word_spans
+from vaultspark.llm._common import LOWER, drop_written, lean, text_steps, window_hashes, word_hashes, word_spans, written
 
 #: 0-9, a-z and every byte of non-ASCII characters.
 IS_WORD = np.zeros(256, bool)
@@ -32,36 +36,44 @@ WIDTH = 10
 #: Windows in one broadcast block (about 100 bytes each).
 BLOCK_WINDOWS = 500_000
 
-_SCAN = pa.schema([("row_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-
-
 def _normal(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(low[a:b].tobytes() for a, b in zip(starts, ends))
 
 
-def item_windows(rows, width: int):
-    """(hash, length, words, item_id) of each window of the given (item_id, text) rows."""
-    for item_id, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        low = LOWER[raw]
-        starts, ends, _ = word_spans(np.array([0, len(low)]), low, IS_WORD)
-        if len(starts) == 0:
-            continue
-        k = min(width, len(starts))
-        words = word_hashes(low, starts, ends)
-        for i, h in enumerate(window_hashes(words, k)):
-            yield int(h), k, _normal(low, starts[i : i + k], ends[i : i + k]), str(item_id)
+_WINDOWS = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("gram", pa.binary()), ("item", pa.string())])
+
+
+def _windows(width: int):
+    """(hash, words, normalised text, item) of each window of (item_id, text) rows."""
+
+    def over(batches):
+        for batch in batches:
+            names = batch.column(0).cast(pa.string()).to_pylist()
+            for first, offs, raw in text_steps(batch, batch.schema.names[1]):
+                low = LOWER[raw]
+                starts, ends, counts = word_spans(offs, low, IS_WORD)
+                words, at, rows = word_hashes(low, starts, ends), 0, []
+                for d, n in enumerate(counts.tolist()):
+                    k = min(width, n)
+                    for i, h in enumerate(window_hashes(words[at : at + n], k).view(np.int64).tolist() if n else ()):
+                        rows.append((h, k, _normal(low, starts[at + i : at + i + k], ends[at + i : at + i + k]), names[first + d]))
+                    at += n
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOWS)], schema=_WINDOWS)
+
+    return over
 
 
 class _Grams:
     """One block of windows, made ready for lookups."""
 
     def __init__(self, windows):
+        """windows: (hash, words, text, item) rows."""
         self.by_text: dict[bytes, list[str]] = {}
         hashes: dict[int, set[int]] = {}
         for h, k, text, item in windows:
             self.by_text.setdefault(text, []).append(item)
-            hashes.setdefault(k, set()).add(h)
+            hashes.setdefault(k, set()).add(h & 0xFFFFFFFFFFFFFFFF)
         self.sorted = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in hashes.items()}
         self.bits = {}
         for k, v in self.sorted.items():
@@ -79,37 +91,39 @@ class _Grams:
         return at[self.sorted[k][near] == h[at]]
 
 
-def _scan(grams: _Grams, key: str, text: str, only_hits: bool):
+def _hits(grams: _Grams, batch: pa.RecordBatch, text: str):
+    """Yields (row, words, spans, items) of each row of a batch, with the rows' own word spans."""
+    for first, offs, raw in text_steps(batch, text):
+        low = LOWER[raw]
+        starts, ends, counts = word_spans(offs, low, IS_WORD)
+        words = word_hashes(low, starts, ends)
+        stop = np.cumsum(counts)
+        hits: dict[int, tuple[list, set]] = {}
+        for k in grams.sorted:
+            for i in grams.candidates(words, k):
+                d = int(np.searchsorted(stop, i, "right"))
+                if i + k > stop[d]:
+                    continue  # reaches into the next document
+                items = grams.by_text.get(_normal(low, starts[i : i + k], ends[i : i + k]))
+                if items:
+                    spans, found = hits.setdefault(d, ([], set()))
+                    base = int(stop[d] - counts[d])
+                    spans.append((int(i) - base, int(i) - base + k))
+                    found.update(items)
+        for d in range(len(counts)):
+            spans, found = hits.get(d, ((), ()))
+            yield first + d, int(counts[d]), merge_spans(spans), sorted(found)
+
+
+def _scan(shared, only_hits: bool):
+    """Over (key, text) batches: key, n_words, flat spans and items of each row (with hits)."""
+
     def over(batches):
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key))
-            out_k, out_n, out_s, out_i = [], [], [], []
-            for first, offs, raw in text_steps(batch, text):
-                low = LOWER[raw]
-                starts, ends, counts = word_spans(offs, low, IS_WORD)
-                words = word_hashes(low, starts, ends)
-                stop = np.cumsum(counts)
-                hits: dict[int, tuple[list, set]] = {}
-                for k in grams.sorted:
-                    for i in grams.candidates(words, k):
-                        d = int(np.searchsorted(stop, i, "right"))
-                        if i + k > stop[d]:
-                            continue  # reaches into the next document
-                        items = grams.by_text.get(_normal(low, starts[i : i + k], ends[i : i + k]))
-                        if items:
-                            spans, found = hits.setdefault(d, ([], set()))
-                            base = int(stop[d] - counts[d])
-                            spans.append((int(i) - base, int(i) - base + k))
-                            found.update(items)
-                for d in range(len(counts)):
-                    spans, found = hits.get(d, ([], ()))
-                    if only_hits and not spans:
-                        continue
-                    out_k.append(keys[first + d].as_py())
-                    out_n.append(int(counts[d]))
-                    out_s.append([x for s in merge_spans(spans) for x in s])
-                    out_i.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((out_k, out_n, out_s, out_i), _SCAN)], schema=_SCAN)
+            rows = [r for r in _hits(shared.value, batch, batch.schema.names[1]) if r[2] or not only_hits]
+            keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            cols = [pa.array([r[1] for r in rows], pa.int64()), pa.array([[x for s in r[2] for x in s] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([keys, *cols], ["row_key", "n_words", "spans", "items"])
 
     return over
 
@@ -125,42 +139,64 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, width: int, block_windows: int, item_id: str, item_text: str):
-    """Yields blocks of windows; one block at a time is on the driver."""
-    block = []
-    for w in item_windows(benchmark.select(item_id, item_text).toLocalIterator(), width):
-        block.append(w)
-        if len(block) >= block_windows:
-            yield _Grams(block)
-            block = []
-    if block:
-        yield _Grams(block)
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int, item_id: str, item_text: str):
+    """(number of blocks, a generator of their broadcasts); at most one block is on the driver."""
+    spark = docs.sparkSession
+    items = benchmark.select(item_id, item_text)
+    table = items.mapInArrow(lean(_windows(width)), "h long, k int, gram binary, item string").distinct()
+    blocks = max(1, -(-table.count() // block_windows))
+    if blocks > 1:
+        table = written(table.withColumn("block", F.pmod(F.xxhash64("gram", "item"), F.lit(blocks))), "windows")
+
+    def generate():
+        for i in range(blocks):
+            some = table.filter(F.col("block") == i) if blocks > 1 else table
+            rows = some.select("h", "k", "gram", "item").toArrow()
+            yield spark.sparkContext.broadcast(_Grams(zip(*(c.to_pylist() for c in rows.columns))))
+        if blocks > 1:
+            drop_written(table)
+
+    return blocks, generate()
+
+
+def _scanned(key_type, only_hits: bool, rows: DataFrame, shared) -> DataFrame:
+    out = StructType([StructField("row_key", key_type), StructField("n_words", LongType()), StructField("spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
+    return rows.mapInArrow(lean(_scan(shared, only_hits)), out)
+
+
+def _by_row(rows: DataFrame, blocks) -> DataFrame:
+    """(row, s, i): of each row with hits its spans (unmerged, flat) and items over all blocks."""
+    parts = [_scanned(LongType(), True, rows, shared) for shared in blocks]
+    more = parts[0]
+    for part in parts[1:]:
+        more = more.unionByName(part)
+    return more.groupBy(F.col("row_key").alias("row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df's rows as one struct column `own`, with the number `row`, written."""
+    return written(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+_merged = F.udf(lambda flat: [x for s in merge_spans(zip(flat[::2], flat[1::2])) for x in s] if flat else [], ArrayType(LongType()))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document row: its key, n_words, spans (flat starts and ends of hit words) and items (ids with windows in it)."""
-    spark = docs.sparkSession
-    parts = []
-    for n, grams in enumerate(_blocks(benchmark, width, block_windows, item_id, item_text)):
-        shared = spark.sparkContext.broadcast(grams)
-        parts.append(docs.select(key, text).mapInArrow(lean(lambda it, b=shared, later=n > 0: _scan(b.value, key, text, later)(it)), "row_key long, n_words long, spans array<bigint>, items array<string>"))
-    if not parts:
-        empty = spark.sparkContext.broadcast(_Grams([]))
-        parts = [docs.select(key, text).mapInArrow(lean(lambda it: _scan(empty.value, key, text, False)(it)), "row_key long, n_words long, spans array<bigint>, items array<string>")]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("row_key", key)
-    base = parts[0]
-    more = parts[1]
-    for p in parts[2:]:
-        more = more.unionByName(p)
-    more = more.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
-    pairs = F.udf(lambda flat: [x for s in merge_spans(list(zip(flat[::2], flat[1::2]))) for x in s], "array<bigint>")
-    joined = base.join(more, "row_key", "left")
-    return joined.select(
-        F.col("row_key").alias(key),
+    key_type = docs.schema[key].dataType
+    n, blocks = _shared_blocks(docs, benchmark, width, block_windows, item_id, item_text)
+    if n == 1:
+        return _scanned(key_type, False, docs.select(key, text), next(blocks)).withColumnRenamed("row_key", key)
+    rows = _numbered(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    hits = written(_by_row(rows.select("row", "own.t"), blocks), "hits")
+    none = docs.sparkSession.sparkContext.broadcast(_Grams([]))
+    counted = _scanned(LongType(), False, rows.select("row", "own.t"), none).select(F.col("row_key").alias("row"), "n_words")
+    found = counted.join(hits.drop("n_words"), "row", "left").join(rows.select("row", F.col("own.k").alias("k")), "row")
+    return found.select(
+        F.col("k").alias(key),
         "n_words",
-        F.when(F.col("s").isNull(), F.col("spans")).otherwise(pairs(F.concat("spans", F.coalesce("s", F.array())))).alias("spans"),
-        F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>"))))).alias("items"),
+        _merged("s").alias("spans"),
+        F.coalesce("i", F.array().cast("array<string>")).alias("items"),
     )
 
 
@@ -178,36 +214,38 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without contaminated documents (mode "documents") or without the hit spans (mode "spans").
 
     Row by row, in one pass over the texts where one block of windows suffices; all columns are kept."""
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
-    text = options.get("text", "text")
-    width = options.get("width", WIDTH)
-    schema = docs.schema
-    for grams in _blocks(benchmark, width, options.get("block_windows", BLOCK_WINDOWS), options.get("item_id", "item_id"), options.get("item_text", "text")):
-        shared = docs.sparkSession.sparkContext.broadcast(grams)
-        docs = docs.mapInArrow(lean(_remover(shared, text, mode)), schema)
-    return docs
-
-
-def _remover(shared, text: str, mode: str):
+    n, blocks = _shared_blocks(docs, benchmark, width, block_windows, item_id, item_text)
+    if n == 1:
+        return docs.mapInArrow(lean(_remover(next(blocks), docs.columns.index(text), mode)), docs.schema)
+    rows = _numbered(docs)
+    own = F.col("own").getField(text)
+    hits = written(_by_row(rows.select("row", own.alias("t")), blocks), "hits")
+    if mode == "documents":
+        return rows.join(hits.select("row"), "row", "left_anti").select("own.*")
+    cut = F.udf(lambda t, flat: remove_spans(t, [x for s in merge_spans(zip(flat[::2], flat[1::2])) for x in s] if flat else []), "string")
+    clean = cut(own, "s")
+    return rows.join(hits.select("row", "s"), "row", "left").select(*(clean.alias(c) if c == text else F.col("own").getField(c).alias(c) for c in docs.columns))
+
+
+def _remover(shared, at: int, mode: str):
     def over(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            keyed = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(at)], ["row_key", "t"])
-            hit = {}
-            for found in _scan(shared.value, "row_key", "t", True)([keyed]):
-                hit.update(zip(found.column(0).to_pylist(), found.column(2).to_pylist()))
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], ["t"])
+            hit = {i: [x for s in spans for x in s] for i, _, spans, _ in _hits(shared.value, texts, "t") if spans}
             if not hit:
                 yield batch
             elif mode == "documents":
                 yield batch.filter(pa.array([i not in hit for i in range(len(batch))]))
             else:
-                new = pa.array([remove_spans(t, hit.get(i, [])) for i, t in enumerate(batch.column(at).to_pylist())], batch.schema.field(at).type)
-                yield batch.set_column(at, batch.schema.field(at), new)
+                field = batch.schema.field(at)
+                new = pa.array([remove_spans(t, hit.get(i, [])) for i, t in enumerate(batch.column(at).to_pylist())], field.type)
+                yield batch.set_column(at, field, new)
 
     return over
 
