@@ -555,12 +555,77 @@ def test_sniffing_and_carving(spark):
         assert (kind, 6, len(blob), 0) in found, kind
     nested = media.store_samples(b"xx" + tiny_png())
     assert [(k, d) for k, _, _, d in tool.carve(nested)] == [("audio/wav", 0), ("image/png", 1)]
+    junk = b"RIFF" + struct.pack("<I", 36 + 10 + 64) + b"WAVEJUNK" + struct.pack("<I", 2) + b"xx" + media.store_samples(b"")[12:]
+    assert tool.sniff(junk) == ("audio/wav", len(junk))
     rows = [("image/gif", tiny_png()), ("image/png", tiny_png()), ("text/x", b"plain"), (None, None), ("image/png", b"")]
-    df = spark.createDataFrame([(i, d, b) for i, (d, b) in enumerate(rows)], "id long, declared string, media binary")
+    df = spark.createDataFrame([(i, d, b, "clash", 0) for i, (d, b) in enumerate(rows)], "id long, declared string, media binary, valid string, Carved int")
     got = {r.id: (r.media_type, r.valid, r.type_corrected) for r in media.correct_types(df).collect()}
     assert got == {0: ("image/png", True, True), 1: ("image/png", True, False), 2: ("text/x", False, False), 3: (None, False, False), 4: ("image/png", False, False)}
 
 
+def test_carving_has_no_depth_limit():
+    tool, blob = media.Sniffer(), b"core"
+    for _ in range(9):
+        blob = media.store_samples(blob)
+    assert [d for _, _, _, d in tool.carve(blob)] == list(range(9))
+
+
+def flac_frame(number, samples_code, body):
+    head = bytes([0xFF, 0xF8, samples_code << 4 | 9, 0, number])
+    crc = 0
+    for x in head:
+        crc = media._CRC8[crc ^ x]
+    frame, crc16 = head + bytes([crc]) + body, 0
+    for x in frame:
+        crc16 = crc16 << 8 & 0xFFFF ^ media._CRC16[crc16 >> 8 ^ x]
+    return frame + crc16.to_bytes(2, "big")
+
+
+def test_flac_ends_where_its_last_frame_does():
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 15 << 36 | 3 * 192).to_bytes(8, "big") + bytes(16)
+    stream = b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + info + b"".join(flac_frame(i, 1, bytes([i + 1]) * 40) for i in range(3))
+    inner = media.store_samples(b"some" + stream + b"more of it")
+    tool = media.Sniffer()
+    assert tool.sniff(stream + b"junk after the end") == ("audio/flac", len(stream))
+    assert [(k, n) for k, _, n, _ in tool.carve(inner)] == [("audio/wav", len(inner)), ("audio/flac", len(stream))]
+    assert tool.sniff(stream[:-1])[0] is None
+
+
+def plain_carve(data):
+    """Every place against every validator: what the automaton's hits must give."""
+    valid, out, ends = [], [], []
+    for start in range(len(data)):
+        for kind in sorted(media.VALIDATORS):
+            if any(k == kind and data[start + place : start + place + len(magic)] == magic for k, magic, place in media.SIGNATURES):
+                places = {mark: [i for i in range(len(data)) if data.startswith(mark, i)] for mark in (media.PDF_END, media.PDF_START, media.ZIP_END)}
+                if n := media.VALIDATORS[kind](media.Blob(data, places), start):
+                    valid.append((kind, start, n))
+    for kind, start, n in valid:
+        ends = [e for e in ends if e > start]
+        if not ends or start + n <= min(ends):
+            out.append((kind, start, n, len(ends)))
+            ends.append(start + n)
+    return out
+
+
+@given(st.lists(st.sampled_from([*samples().values(), b"junk", b"%PDF-", b"PK\x03\x04", b"%%EOF", b"GIF89a", media.store_samples(tiny_png() + b"x")]), max_size=6), st.integers(0, 60))
+@settings(max_examples=60, deadline=None)
+def test_carving_against_plain_search(parts, cut):
+    data = b"".join(parts)[cut:]
+    assert media.Sniffer().carve(data) == plain_carve(data)
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-", b"PK\x03\x04", b"PK\x05\x06", b"\xff\xd8\xff\xe0\x00\x06\xff\xd8\xff\xe0", b"RIFF\x08\0\0\0WAVE", b"\0\0\0\x08ftyp", b"GIF89a\1\0\1\0\0\0\0!\xff\1\1", b"OggS\0" + bytes(22)])
+def test_carving_is_not_quadratic(unit):
+    """A megabyte of one signature."""
+    import time
+
+    data = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    media.Sniffer().carve(data)
+    assert time.process_time() - began < 6
+
+
 @given(st.binary(max_size=400))
 @settings(max_examples=100, deadline=None)
 def test_samples_round_trip(raw):
@@ -581,14 +646,17 @@ def test_validators_survive_anything(raw):
         tool.sniff(raw + cut)
 
 
-def test_media_digest(odd, empty):
+def test_media_digest(spark, odd, empty):
     want = texts_of(odd)
     for r in media.media_digest(odd).collect():
         raw = want[r.doc_id].encode()
         s = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-64:]))
+        assert (r.media_type, r.type_corrected, r.embedded) == ("audio/wav", True, 0)
         assert (r.media_sha256, r.media_bytes) == (hashlib.sha256(media.store_samples(raw)).hexdigest(), len(s) + 44)
     assert media.media_digest(empty).count() == 0
+    held = spark.createDataFrame([(1, "see %PDF-1.4 startxref 0 %%EOF, a document in a text")], "doc_id long, text string")
+    assert [r.embedded for r in media.media_digest(held).collect()] == [1]
 
 
 def test_rows_without_key(spark, tmp_path):
