@@ -27,6 +27,7 @@ an empty table gives no blocks; missing keys come first and stay missing; keys a
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -222,7 +223,7 @@ def decode_block(data: memoryview):
         raise ValueError("a block is damaged")
     if mask:
         body = memoryview((np.frombuffer(body, np.uint8) ^ np.uint8(mask)).tobytes())
-    keys = np.cumsum(_from_varints(bytes(body[:names]), docs)).tolist()
+    keys = list(accumulate(_from_varints(bytes(body[:names]), docs)))  # a difference may need 65 bits
     p = names
     counts = np.frombuffer(body[p : p + 4 * docs], "<u4")
     p += -(-4 * docs // 8) * 8
