@@ -116,6 +116,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert set(least.values()) == {"response"}
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_warc_one_response_of_equal_rows(spark, tmp_path, monkeypatch, hot):
+    """Rows equal in every column, null keys and small payloads, against plain rules."""
+    monkeypatch.setattr(warc, "HOT_SHARE", hot)
+    rows = [(1, "a", "same"), (1, "a", "same"), (2, "b", "same"), (None, "a", "same"), (None, "a", "same"), (4, None, None), (5, "x", ""), (4, None, None), (9, "c", "tiny")] + [(20 + i % 3, "u", "hot payload") for i in range(60)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id string, url string, html string, sha1 string".replace("page_id string", "page_id long")).repartition(3)
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.archives_digest(pages, folder=str(tmp_path / "a")).collect()]
+    want = [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (None, "response", None), (None, "response", None), (4, "response", None), (4, "revisit", 4), (5, "revisit", 4), (9, "response", None)]
+    want += [(20, "response", None)] + [(20 + i % 3, "revisit", 20) for i in range(1, 60)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    small = [(r.page_id, r.record_type) for r in warc.archives_digest(pages, folder=str(tmp_path / "b"), revisit_least=5).collect()]
+    assert sorted(map(str, small)) == sorted(map(str, [(k, "revisit" if i > 9 else "response") for i, (k, _, _) in enumerate(rows)]))
+
+
 def test_warc_dictionary_and_damage(spark, tmp_path):
     samples = [f"<html><head><title>page {i}</title></head><body>{'common words of pages ' * 30}{i * 7919}</body></html>".encode() for i in range(400)]
     dictionary = zstandard.train_dictionary(4096, samples).as_bytes()

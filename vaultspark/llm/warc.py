@@ -1,9 +1,11 @@
 """Zstandard WARC archives: one frame per record, and a dictionary in a leading skippable frame.
 
-Writing. The first row with each payload (by the smallest key) is a response record; later rows with an equal payload
-of at least `revisit_least` bytes are revisit records of the identical-payload-digest profile. Archives are written
+Writing. The first row with each payload (by the smallest key) is a response record; all other rows with an equal
+payload of at least `revisit_least` bytes are revisit records of the identical-payload-digest profile. Rows are numbered
+and described once, without their payloads, in a written table. Only payloads of responses are shuffled, by digest, and
+copies within a task are dropped before that; revisits take no payload along. Archives are written
 through Spark's text writer, whose rows can be any bytes; what it puts after each row is an empty skippable frame, so
-a file is a valid Zstandard stream from its first byte to its last. Payloads are dealt evenly over the files.
+a file is a valid Zstandard stream from its first byte to its last.
 
 Reading. A file's leading skippable frame (magic 0x184D2A5D) holds the dictionary, itself a frame or a raw
 dictionary. Then each frame is decoded to one record: version line, header fields, Content-Length against the block,
@@ -11,7 +13,7 @@ record id, payload digest and length. A file that breaks a rule is an error, or
 with `problem` set.
 
 Defined cases: null payloads are empty; equal keys are records of their own (the response is one of the smallest key:
-that with the smallest url); records without a key are responses; null urls have no target; an empty table gives archives without records; the dictionary
+that with the smallest url, and of rows equal in these the first one), so each such payload has exactly one response; records without a key are responses; null urls have no target; an empty table gives archives without records; the dictionary
 is learned from a bounded sample and is left out where there is too little to learn from; other columns of the table
 are not looked at.
 """
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm._common import work_folder
+from vaultspark.llm._common import lean, work_folder, written
 
 #: Fixed values of the formats: skippable frames, ordinary frames and dictionaries, little-endian.
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -43,8 +45,10 @@ DICTIONARY_BYTES, SAMPLE_PAGES, SAMPLE_BYTES = 32_768, 300, 16_384
 LEVEL = 3
 #: Bytes of payloads in a file, about.
 FILE_BYTES = 32 << 20
-#: Parts that the copies of a payload are dealt in.
-SALTS = 32
+#: A payload is hot if more than one in HOT_SHARE rows has it: so there are at most HOT_SHARE hot payloads.
+HOT_SHARE = 1000
+#: Digests that a task remembers to drop its copies of payloads.
+REMEMBERED = 1_000_000
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -189,24 +193,53 @@ def learned_dictionary(pages: DataFrame, payload: str) -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
 
 
-_NO_PAYLOAD = hashlib.sha1(b"").hexdigest()
+def described(pages: DataFrame, *, key: str, url: str, payload: str) -> DataFrame:
+    """(row, row_key, url, sha1, n) of each row, written: its number, and its payload's digest and bytes."""
+    raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(key).alias("row_key"), F.col(url).alias("url"), F.unhex(F.sha1(raw)).alias("sha1"), F.length(raw).cast("long").alias("n"))
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
-def planned(pages: DataFrame, *, key: str, url: str, payload: str, revisit_least: int, files: int) -> DataFrame:
-    """Rows to write: row_key, url, payload, sha1 (hexadecimal), n (payload bytes) and refers_to, dealt over `files` partitions.
+def _distinct_in_task(batches):
+    """Over (sha1, payload): rows without the copies that the task has seen already."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for sha1 in batch.column(0).to_pylist():
+            keep.append(sha1 not in seen)
+            if keep[-1] and len(seen) < REMEMBERED:
+                seen.add(sha1)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
-    Payloads are shuffled once: by digest and salt, which deals a payload of many copies over SALTS partitions. The
-    narrow rows of copied payloads are repeated for each salt."""
-    rows = pages.select(F.col(key).alias("row_key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.length("payload").cast("long"))
-    # only payloads with copies take part in the join: one narrow row each
-    tie = F.struct("row_key", F.coalesce("url", F.lit("")).alias("u"))
-    copies = rows.filter((F.col("n") >= revisit_least) & F.col("row_key").isNotNull()).groupBy("sha1").agg(F.min(tie).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sha1", "first")
-    salts = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("row_key", "url"), F.lit(SALTS))).repartition(files, "sha1", "salt")
-    found = dealt.join(salts, ["sha1", "salt"], "left")
-    is_first = F.col("first").isNull() | F.col("row_key").isNull() | (F.col("first") == tie)
-    return found.select("row_key", "url", "payload", "sha1", "n", F.when(~is_first, F.col("first.row_key")).alias("refers_to"))
+
+def planned(pages: DataFrame, rows: DataFrame, *, payload: str, revisit_least: int, files: int) -> DataFrame:
+    """Records to write: row_key, url, payload (null for revisits), sha1, n (payload bytes) and refers_to.
+
+    rows: the table of described()."""
+    told = (F.col("n") >= revisit_least) & F.col("row_key").isNotNull()
+    tie = F.struct("row_key", F.coalesce("url", F.lit("")).alias("u"), "row")
+    firsts = rows.filter(told).groupBy("sha1").agg(F.min(F.struct(tie.alias("tie"), "url", "n")).alias("f"), F.count(F.lit(1)).alias("m"))
+    firsts = written(firsts.select("sha1", F.col("f.tie.row_key").alias("row_key"), F.col("f.url").alias("url"), F.col("f.n").alias("n"), F.col("f.tie.row").alias("row"), "m"), "firsts")
+
+    # responses: each payload once
+    raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    payloads = pages.select(F.unhex(F.sha1(raw)).alias("sha1"), raw.alias("payload")).mapInArrow(lean(_distinct_in_task), "sha1 binary, payload binary")
+    payloads = payloads.repartition(files, "sha1").dropDuplicates(["sha1"])
+    none = F.lit(None).cast(rows.schema["row_key"].dataType)
+    responses = firsts.repartition(files, "sha1").join(payloads, "sha1").select("row_key", "url", "payload", "sha1", "n", none.alias("refers_to"))
+
+    # revisits: rows of copied payloads but the first, without payloads; hot payloads are few and their rows stay where they are
+    copied = firsts.filter("m > 1").select("sha1", F.col("row_key").alias("refers_to"), F.col("row").alias("first"), "m")
+    least = rows.count() // HOT_SHARE
+    hot = F.broadcast(copied.filter(F.col("m") > least).drop("m"))
+    rest = copied.filter(F.col("m") <= least).drop("m")
+    revisits = [rows.filter(told).join(side, "sha1").filter(F.col("row") != F.col("first")) for side in (hot, rest)]
+    revisits = [r.select("row_key", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "n", "refers_to") for r in revisits]
+
+    # rows that are responses whatever their payload, dealt by their places
+    plain = pages.select(F.col(pages.columns[0]).alias("row_key"), F.col(pages.columns[1]).alias("url"), raw.alias("payload"))
+    plain = plain.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("n", F.length("payload").cast("long")).filter(~told)
+    return responses.unionByName(revisits[0]).unionByName(revisits[1]).unionByName(plain.withColumn("refers_to", none))
 
 
 def _writer(dictionary: bytes, level: int):
@@ -220,7 +253,7 @@ def _writer(dictionary: bytes, level: int):
             for key, url, payload, sha1, n, refers_to in zip(*(c if i == 2 else c.to_pylist() for i, c in enumerate(batch.columns))):
                 kind = "response" if refers_to is None else "revisit"
                 block = payload.as_buffer().to_pybytes() if kind == "response" else b""
-                name = base64.b32encode(bytes.fromhex(sha1)).decode()
+                name = base64.b32encode(sha1).decode()
                 out.append(tool.compress(encode_record(kind, key, url, block, name, n, refers_to)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
@@ -229,10 +262,12 @@ def _writer(dictionary: bytes, level: int):
 
 def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", revisit_least: int = 0, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> None:
     """Writes a folder of .warc.zst content (files named part-*)."""
+    pages = pages.select(key, url, payload)
     dictionary = learned_dictionary(pages, payload)
-    total = pages.agg(F.sum(F.octet_length(payload)).alias("n")).first()["n"] or 0
-    rows = planned(pages, key=key, url=url, payload=payload, revisit_least=revisit_least, files=max(1, -(-total // file_bytes)))
-    frames = rows.mapInArrow(_writer(dictionary, level), "value binary")
+    rows = described(pages, key=key, url=url, payload=payload)
+    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    records = planned(pages, rows, payload=payload, revisit_least=revisit_least, files=max(1, -(-total // file_bytes)))
+    frames = records.mapInArrow(lean(_writer(dictionary, level)), "value binary")
     frames.select(F.expr("CAST(value AS STRING)").alias("value")).write.option("lineSep", ROW_END).text(folder)
 
 
