@@ -471,6 +471,40 @@ def test_shards(spark, odd, tmp_path):
     assert t.append(odd.limit(0))["version"] == after["version"] + 1 and t.read(odd.schema).count() == odd.count()
 
 
+def test_arrivals_come_in_the_order_of_their_values(spark, tmp_path):
+    t = shards.ShardTable(spark, str(tmp_path / "o"))
+    t.append(spark.range(26).select("id", F.when(F.col("id") < 24, (F.col("id") % 12).cast("int")).alias("lot")), "lot")
+    lots = [spark.read.parquet(t.manifest(v)["shards"][-1]["path"]).first().lot if v == 1 else {r.lot for s in t.manifest(v)["shards"] if s not in t.manifest(v - 1)["shards"] for r in spark.read.parquet(s["path"]).select("lot").collect()} for v in t.versions()]
+    assert lots == [None, *({i} for i in range(12))]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """Many threads commit at once: each version has one winner, and nothing is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = [shards.ShardTable(spark, str(tmp_path / "w")) for _ in range(8)]
+    shard = lambda n: {"path": f"p{n}", "bytes": 1, "rows": 1}
+    assert tables[0]._publish("a", f"{tmp_path}/w/manifests/x") and not tables[1]._publish("b", f"{tmp_path}/w/manifests/x")
+    assert (tmp_path / "w" / "manifests" / "x").read_text() == "a"
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: tables[i % 8]._update(lambda m: [*m["shards"], shard(i)]), range(40)))
+    last = tables[0].manifest()
+    assert last["version"] == 40 and {s["path"] for s in last["shards"]} == {f"p{i}" for i in range(40)}
+    assert not [p for p in (tmp_path / "w" / "manifests").iterdir() if p.suffix == ".tmp"]
+
+
+def test_readers_keep_their_files(spark, tmp_path):
+    t = shards.ShardTable(spark, str(tmp_path / "k"), fan_in=2)
+    for i in range(4):
+        t.append(spark.range(i * 10, i * 10 + 10))
+    before = t.read(spark.range(1).schema)
+    t.compact(before.schema)
+    assert before.count() == 40 and len(t.versions()) > 1
+    t.retain = 0.0
+    t.clean()
+    assert len(t.versions()) == 1 and t.read(before.schema).count() == 40
+
+
 def test_shard_runs(spark, tmp_path):
     t = shards.ShardTable(spark, str(tmp_path / "r"), target_bytes=1000, fan_in=3, factor=4)
     shard = lambda n, size: {"path": f"p{n:02}", "bytes": size, "rows": 1}

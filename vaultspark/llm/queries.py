@@ -54,9 +54,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in six lots, are compacted, and are read back through the last manifest."""
+    """Documents arrive in six lots, are compacted, and are read back through the last manifest. Nobody reads older versions."""
     docs = input_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
-    table = shards.ShardTable(spark, work_folder(spark, "shards"), target_bytes=32 << 20)
+    table = shards.ShardTable(spark, work_folder(spark, "shards"), target_bytes=32 << 20, retain_seconds=0)
     table.append(docs.withColumn("lot", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(6))), "lot")
     schema = docs.withColumn("lot", F.lit(0).cast("long")).schema
     table.compact(schema)

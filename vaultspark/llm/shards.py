@@ -3,11 +3,13 @@
 Arrivals are appended as small Parquet shards that never change. Compaction sorts the shards below the target size by
 size and cuts them into tiers (sizes within a factor of `factor` of the tier's smallest). A tier of at least `fan_in`
 shards is merged in runs of neighbours, each run up to the target size; all runs of a round are one Spark job, a run
-a task. Each append and each round is committed as one manifest: it is written under a temporary name and renamed, so
-readers see either version, and a writer that finds its version taken starts over from the new one. Files that no
-kept version names are deleted after the commit.
+a task. Each append and each round is committed as one manifest, which comes to its final name whole and only if no
+other has that name: by a hard link on local disks, by a rename that never replaces on file systems that have one, and
+by a create that never replaces on object stores, where a file shows only when it is closed. So readers see either
+version, of two writers of one version exactly one wins, and the other starts over from the new one. Files that no kept
+version names are deleted once the versions that named them are older than `retain_seconds`.
 
-Defined cases: an empty arrival commits a version without new shards; a table without a version reads as no rows of
+Defined cases: arrivals without a value come first; an empty arrival commits a version without new shards; a table without a version reads as no rows of
 the given schema; shards at or over the target are left alone; a failed job leaves files that no manifest names;
 repeated rows are kept each; rows with null in any column and very long texts are rows like others.
 """
@@ -15,14 +17,20 @@ repeated rows are kept each; rows with null in any column and very long texts ar
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET_BYTES = 128 << 20
 FAN_IN, FACTOR = 4, 4.0
+#: How long files of replaced versions stay for those who are still reading them.
+RETAIN_SECONDS = 3600.0
+#: File systems whose renames can refuse to replace; others but local disks are taken for object stores.
+RENAMING = ("hdfs", "viewfs", "webhdfs", "ofs", "o3fs", "abfs", "abfss")
 
 
 class Conflict(RuntimeError):
@@ -32,9 +40,9 @@ class Conflict(RuntimeError):
 class ShardTable:
     """A folder of shards and manifests on any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, folder: str, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, factor: float = FACTOR, keep_versions: int = 1):
+    def __init__(self, spark: SparkSession, folder: str, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, factor: float = FACTOR, keep_versions: int = 1, retain_seconds: float = RETAIN_SECONDS):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.target, self.fan_in, self.factor, self.keep = target_bytes, fan_in, factor, keep_versions
+        self.target, self.fan_in, self.factor, self.keep, self.retain = target_bytes, fan_in, factor, keep_versions, retain_seconds
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -64,18 +72,45 @@ class ShardTable:
     def commit(self, shards: list[dict], parent: int) -> int:
         """Makes a version of the shards; Conflict if the parent is not the last version any more."""
         version = parent + 1
-        final = self._path(f"{self.folder}/manifests/v{version:08d}.json")
-        part = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(part, False)
-        try:
-            out.write(json.dumps({"version": version, "parent": parent, "shards": sorted(shards, key=lambda s: s["path"])}).encode())
-        finally:
-            out.close()
-        if max(self.versions(), default=0) != parent or self._fs.exists(final) or not self._fs.rename(part, final):
-            self._fs.delete(part, False)
+        final = f"{self.folder}/manifests/v{version:08d}.json"
+        text = json.dumps({"version": version, "parent": parent, "shards": sorted(shards, key=lambda s: s["path"])})
+        if max(self.versions(), default=0) != parent or not self._publish(text, final):
             raise Conflict(f"version {version} is taken")
         return version
 
+    def _publish(self, text: str, final: str) -> bool:
+        """Makes a file whole or not at all; False if there is one of its name."""
+        scheme = self._fs.getUri().getScheme()
+        direct = scheme != "file" and scheme not in RENAMING
+        part = self._path(final if direct else f"{self.folder}/manifests/.{uuid.uuid4().hex}.tmp")
+        try:
+            out = self._fs.create(part, False)
+            try:
+                out.write(text.encode())
+            finally:
+                out.close()
+            if scheme == "file":
+                nio = self._jvm.java.nio.file
+                names = [nio.Path.of(p.toUri().getPath(), self._strings()) for p in (self._fs.makeQualified(self._path(final)), self._fs.makeQualified(part))]
+                nio.Files.createLink(*names)
+            elif not direct:
+                never = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                options = self.spark.sparkContext._gateway.new_array(never.getClass(), 1)
+                options[0] = never
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(part, self._path(final), options)
+        except Py4JJavaError as error:
+            name = error.java_exception.getClass().getName()
+            if name.endswith(("FileAlreadyExistsException", "PathExistsException")) or direct and "412" in str(error.java_exception.getMessage()):
+                return False
+            raise
+        finally:
+            if not direct:
+                self._fs.delete(part, False)
+        return True
+
+    def _strings(self):
+        return self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
+
     def _update(self, change) -> dict:
         """Commits change(manifest) -> shards, again from the new version after a conflict."""
         while True:
@@ -88,29 +123,26 @@ class ShardTable:
 
     # appending
 
-    def _described(self, folder: str, schema: StructType, groups: bool = False) -> list[dict]:
-        """The shards that a job has written: path, bytes and rows of each file with rows."""
-        kept = schema if not groups else StructType([f for f in schema if f.name != "run_"])
-        read = self.spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(folder)
-        rows = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
-        return [{"path": r["path"], "bytes": r["bytes"], "rows": r["rows"]} for r in rows.collect()]
+    def _described(self, folder: str, schema: StructType, first=None) -> list[dict]:
+        """The shards that a job has written: path, bytes and rows of each file with rows, in the order of `first` (a column)."""
+        read = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+        rows = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"), F.min(F.lit(0) if first is None else first).alias("first"))
+        return [{"path": r["path"], "bytes": r["bytes"], "rows": r["rows"]} for r in rows.orderBy(F.asc_nulls_first("first"), "path").collect()]
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> dict:
-        """Appends rows as shards. arrival names a column of few values: each value is a version of its own, in order."""
+        """Appends rows as shards. arrival names a column of few values: each value is a version of its own, in the order of its values."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
-        writer = rows.write.option("compression", "zstd")
         if arrival is None:
-            writer.parquet(folder)
+            rows.write.option("compression", "zstd").parquet(folder)
             new = self._described(folder, rows.schema)
             return self._update(lambda m: [*m["shards"], *new])
         kept = rows.withColumn("arrival_", F.col(arrival))
         kept.write.option("compression", "zstd").partitionBy("arrival_").parquet(folder)
-        new = self._described(folder, rows.schema)
         parts: dict[str, list[dict]] = {}
-        for s in new:
+        for s in self._described(folder, rows.schema, F.col(arrival)):
             parts.setdefault(s["path"].rpartition("/")[0], []).append(s)
         out = self.manifest()
-        for _, some in sorted(parts.items()):
+        for some in parts.values():
             out = self._update(lambda m, some=some: [*m["shards"], *some])
         return out
 
@@ -172,10 +204,13 @@ class ShardTable:
         return self.manifest()
 
     def clean(self) -> None:
-        """Deletes manifests before the kept versions, and the files that only those named."""
+        """Deletes manifests before the kept versions that were replaced long enough ago, and the files that only those named."""
         versions = self.versions()
-        kept = {s["path"] for v in versions[-self.keep :] for s in self.manifest(v)["shards"]}
-        for v in versions[: -self.keep]:
+        made = {v: self._fs.getFileStatus(self._path(f"{self.folder}/manifests/v{v:08d}.json")).getModificationTime() / 1000 for v in versions}
+        now = time.time()
+        old = [v for v, after in zip(versions, versions[1:]) if v in versions[: -self.keep] and now - made[after] >= self.retain]
+        kept = {s["path"] for v in versions if v not in old for s in self.manifest(v)["shards"]}
+        for v in old:
             for s in self.manifest(v)["shards"]:
                 if s["path"] not in kept:
                     self._fs.delete(self._path(s["path"]), False)
