@@ -93,6 +93,52 @@ def test_language_odd(spark, odd, empty):
     assert langid.identify_digest(odd).count() == odd.count() and langid.identify_digest(empty).count() == 0
 
 
+def plain_prediction(samples, text, lane=langid.LANE):
+    """Cross-parsing by plain search, on small samples."""
+    def symbols(t):
+        return re.sub("[^a-zà-öø-ÿ]+", " ", t.lower())
+
+    best = None
+    parts = [symbols(text)[i : i + lane] for i in range(0, len(symbols(text)), lane)]
+    for lang in sorted(samples):
+        train = symbols("\n".join(samples[lang]))
+        bits = sum(longest_phrases(p, train) for p in parts) * np.log2(max(2, len(train)))
+        if best is None or bits < best[0]:
+            best = bits, lang
+    return best[1] if re.search("[a-zà-öø-ÿ]", text.lower()) else "und"
+
+
+def test_language_query_against_plain_search(spark):
+    """The query's operator over whole texts of the smallest table, with samples that plain search can take."""
+    docs = input_table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text", "lang").filter(F.col("text").isNull() | ~F.col("text").rlike("[^\\x00-\\xff]"))
+    samples = langid.labelled_sample(docs.filter(~langid.held_out()), sample_texts=6, sample_chars=150)
+    docs = docs.filter(F.length("text") < 3000)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, samples).collect()}
+    assert len(got) > 100 and got == {r.doc_id: plain_prediction(samples, r.text or "") for r in docs.collect()}
+
+
+def test_two_samples_in_one_session(spark):
+    """Samples that begin alike are not taken for one another; columns of the names of results are replaced."""
+    docs = spark.createDataFrame([(1, "der hund und die katze", 0.5)], "doc_id long, text string, Score double")
+    head = "x" * 60
+    one = langid.identify(docs, {"a": [head + " der hund und die katze"], "b": [head + " le chat et le chien"]})
+    two = langid.identify(docs, {"a": [head + " le chat et le chien"], "b": [head + " der hund und die katze"]})
+    assert one.columns == ["doc_id", "text", "lang_pred", "score", "phrases"] and [one.first().lang_pred, two.first().lang_pred] == ["a", "b"]
+
+
+def test_many_scripts_and_languages():
+    """Scripts of thousands of letters, and more languages than the tables have room for at full length."""
+    rnd = random.Random(4)
+    alphabets = {"zh": [chr(0x4E00 + i) for i in range(800)], "ja": [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(200, 500)], "ko": [chr(0xAC00 + 28 * i) for i in range(390)], "ru": "абвгдежзийклмн", "uk": "абвгґдеєжзиіїй", "el": "αβγδεζηθικλ", "x𐐀": [chr(0x10428 + i) for i in range(30)]}
+    words = {k: ["".join(rnd.choice(a) for _ in range(3)) for _ in range(60)] for k, a in alphabets.items()}
+    text = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    samples = {k: [text(k, 80) for _ in range(5)] for k in words}
+    for p in (langid.Parser(samples), langid.Parser(samples, table_bytes=400_000)):
+        assert p.predict([text(k, 30) for k in words])[0] == list(words)
+    point = langid.Parser({"a": ["aб中𐐨"]})
+    assert point.symbols("aб中𐐨 ")[0].tolist() == [3, *(4 + b - 128 for b in "б中𐐨".encode()), 1]
+
+
 def test_equal_texts_equal_answers():
     p = langid.Parser({"en": ["the cat sat on the mat"], "de": ["der hund und die katze"]})
     a = p.predict(["...  the cat", "", "the dog.", "...  the cat"])

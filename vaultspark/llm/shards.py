@@ -94,9 +94,9 @@ class ShardTable:
                 names = [nio.Path.of(p.toUri().getPath(), self._strings()) for p in (self._fs.makeQualified(self._path(final)), self._fs.makeQualified(part))]
                 nio.Files.createLink(*names)
             elif not direct:
-                never = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
-                options = self.spark.sparkContext._gateway.new_array(never.getClass(), 1)
-                options[0] = never
+                kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+                options = self._jvm.java.lang.reflect.Array.newInstance(kind, 1)
+                options[0] = next(c for c in kind.getEnumConstants() if c.name() == "NONE")
                 self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(part, self._path(final), options)
         except Py4JJavaError as error:
             name = error.java_exception.getClass().getName()
