@@ -449,7 +449,7 @@ def test_quality(spark):
     rows = got.join(labels, "doc_id").collect()
     clean, poor, toxic = ([r for r in rows if f(r)] for f in (lambda r: r.quality and not r.toxic, lambda r: not r.quality, lambda r: r.quality and r.toxic))
     rate = lambda x: sum(r.accepted for r in x) / len(x)
-    assert rate(clean) >= 0.97 and rate(poor) <= 0.05 and rate(toxic) <= 0.4
+    assert rate(clean) >= 0.97 and rate(poor) <= 0.05 and rate(toxic) <= 0.15
     assert got.count() == 1000
 
 
@@ -459,7 +459,7 @@ def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     seen = F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0
     model = quality.train(docs, labels.filter(seen))
-    assert model.exchanged[1] > 0  # the text view taught the metadata view
+    assert min(model.exchanged) > 100  # each view taught the other
     rows = quality.score(docs, model).join(labels.filter(~seen), "doc_id").select("accepted", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).collect()
     good, bad = [r.accepted for r in rows if r.good], [r.accepted for r in rows if not r.good]
     assert sum(good) / len(good) >= 0.97 and sum(bad) / len(bad) <= 0.2
@@ -484,9 +484,51 @@ def test_toxic_cut_ignores_a_view_that_knows_nothing():
     assert quality.Toxicity._cut(toxic * 2.0, toxic, ~toxic) == 1.0
 
 
+def plain_features(text, size):
+    """Shape, layout and words of one text by plain Python."""
+    raw = (text or "").encode()
+    words = re.findall(b"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", bytes(b + 32 if 65 <= b <= 90 else b for b in raw))
+    m, n = max(1, len(words)), max(1, len(raw))
+    among = lambda chars: sum(b in chars for b in raw)
+    threes = list(zip(words, words[1:], words[2:]))
+    punctuation = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+    shape = [np.log1p(len(words)), len(set(words)) / m, sum(map(len, words)) / m, among(range(65, 91)) / n, among(range(48, 58)) / n, among(punctuation) / n, among(range(128, 256)) / n, among(b"#$%&*|<>{}\\^~=@_!") / m, max((words.count(w) for w in set(words)), default=0) / m, 1 - len(set(threes)) / len(threes) if threes else 0.0]
+    lines = [x for x in raw.split(b"\n") if x]
+    sizes = [len(x) for x in lines] or [0]
+    layout = [np.log1p(len(lines)), np.log1p(np.mean(sizes)), np.log1p(max(sizes)), np.mean([x[-1] in b".!?:\"')" for x in lines] or [0]), np.mean([len(x) < 40 for x in lines] or [0]), 1 - len(set(lines)) / len(lines) if lines else 0.0, raw.count(b"://") / m if lines else 0.0, len(raw) / size if size and size > 0 else 0.0]
+    return shape, layout, words
+
+
+def test_quality_query_against_plain_scores(spark):
+    """Every score of the query on the smallest tables: features and sums by plain Python."""
+    from vaultspark.llm._common import word_hashes
+
+    d = "/root/testdata/sf0.001"
+    docs = input_table(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for r in quality.score(docs, model).collect():
+        shape, layout, words = plain_features(r.text, r.n_chars)
+        x, page = [], [0.0] * quality.META_SIZE
+        for values, bins, out in ((shape, model.view.bins, x), (layout, model.page.bins, page)):
+            for v, edges in zip(values, bins.edges):
+                out += [float(i == sum(v >= e for e in edges)) for i in range(len(edges) + 1)]
+        known = {int(word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words}
+        x += [float(int(w) in known) for w in model.view.words]
+        for i in quality.meta_features(r.lang, r.source, r.n_chars):
+            page[i] = 1.0
+        z = [model.cal[v][0] * (sum(a * b for a, b in zip(row, model.w[v][:-1].tolist())) + float(model.w[v][-1])) + model.cal[v][1] for v, row in enumerate((x, page))]
+        both = sum(a * b for a, b in zip(np.clip(z, -8, 8), model.top[:-1].tolist())) + float(model.top[-1])
+        assert np.allclose([r.text_score, r.meta_score, r.quality_score], [sig(z[0]), sig(z[1]), sig(both)], atol=1e-4), r.doc_id
+        if model.toxicity.none:
+            assert r.accepted == (r.quality_score >= quality.THRESHOLD)
+
+
 def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(2, None, 0), (3, 1, 0), (3, 0, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels)
+    clash = quality.score(odd.withColumn("Accepted", F.lit("x")), model)
+    assert clash.columns[-5:] == ["text_score", "meta_score", "quality_score", "toxic_score", "accepted"] and clash.count() == odd.count()
     assert model.single and quality.score(odd, model).count() == odd.count() and quality.score(empty, model).count() == 0
     assert quality.train(empty, labels.limit(0)).rate == 0.5
 

@@ -190,6 +190,19 @@ def out_batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in schema)], schema=schema)
 
 
+def lowest(df: DataFrame, hashed, n: int, rows: int) -> DataFrame:
+    """The n rows of df with the smallest hashes (a column, ties by df's first column); rows: about how many df has.
+
+    Only hashes below a bound, twice as many as are taken, leave the tasks; the bound grows until enough lie below it."""
+    share = 2 * n / max(1, rows)
+    while share < 1:
+        some = df.filter(hashed <= F.lit(int(share * 2.0**64) - (1 << 63)))
+        if some.count() >= n:
+            return some.orderBy(hashed, df.columns[0]).limit(n)
+        share *= 16
+    return df.orderBy(hashed, df.columns[0]).limit(n)
+
+
 def crc32_text(col):
     """Unsigned CRC-32 of the decimal text of an integer column."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

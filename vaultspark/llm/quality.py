@@ -1,10 +1,12 @@
 """Document quality by co-training of a text view and a metadata view.
 
-Two logistic classifiers look at different things: the text view at the words and the shape of a text, the metadata
-view at its language, source and size. Both start from labelled documents. In each round each view scores a pool of
-unlabelled documents and hands its confident ones (calibrated probability over `CONFIDENT` or under 1 - CONFIDENT)
-to the other view as pseudo-labels. At the end each view is calibrated on labelled documents that it was not
-fitted on, and a third small logistic model combines the two calibrated views.
+Two logistic classifiers look at different things: the text view at the words and the wording of a text, the page
+view at its language, source, size and layout (lines, how long they are, how they end, which repeat, links). Both start
+from labelled documents. In each round each view ranks a pool of unlabelled documents and hands its most confident ones,
+`GIVEN` of the pool, to the other view as pseudo-labels: good and bad ones in the proportion of the labels, each weighted by how
+sure the view's calibrated probability is, so that a view that knows little teaches little. At the end each view is
+calibrated on labelled documents that it was not fitted on, and a third small logistic model combines the two
+calibrated views.
 
 Toxicity is a target of its own, since a few words make a long good text toxic. Both views are fitted to it on the
 labelled documents alone; each view's cut is the lowest one at which it would reject few clean documents, and many
@@ -18,7 +20,7 @@ Defined cases: null and empty texts have no words and get the score of such text
 are values of their own; labels that are null or of unknown documents count for nothing; several labels of a document
 count as their worst; with labels of one kind only, every document gets that kind's rate, and with fewer than
 `LEAST_TOXIC` toxic labels that a view finds, it calls nothing toxic; an empty table gives no
-rows; other columns are not looked at. A document is good if its label says quality and not toxic.
+rows; columns of the names of results are replaced, others not looked at. A document is good if its label says quality and not toxic.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm._common import LOWER, lean, text_steps, window_hashes, word_hashes, word_spans
+from vaultspark.llm._common import LOWER, lean, lowest, replaced, text_steps, window_hashes, word_hashes, word_spans
 
 SAMPLE, POOL = 6000, 3000
-#: Rounds of exchange, and the probability from which a pseudo-label is handed over.
-ROUNDS, CONFIDENT = 3, 0.97
+#: Rounds of exchange, and the share of the pool that a view hands over in each.
+ROUNDS, GIVEN = 3, 0.1
 #: Words that the text view may look at, and the documents that a word must be in.
 WORDS, LEAST_DOCS = 400, 4
 BINS = 8
@@ -52,11 +54,30 @@ _KINDS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*|<>{}\\^~=@_!")] = True
 
-SHAPES = ("words", "distinct", "word_bytes", "upper", "digits", "punctuation", "foreign", "lines", "symbols", "top_word", "repeats")
-
-
-def text_features(batch: pa.RecordBatch, text: str):
-    """Yields (row, shape features, distinct word hashes) of each text."""
+SHAPES = ("words", "distinct", "word_bytes", "upper", "digits", "punctuation", "foreign", "symbols", "top_word", "repeats")
+LAYOUT = ("lines", "line_bytes", "longest_line", "ended_lines", "short_lines", "repeated_lines", "links", "bytes_of_a_char")
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?:\"')")] = True
+
+
+def _layout(raw: np.ndarray, words: int) -> tuple:
+    """LAYOUT of one text but the last: of its lines that aren't empty."""
+    edges = np.flatnonzero(raw == 10)
+    starts, ends = np.append(0, edges + 1), np.append(edges, len(raw))
+    some = ends > starts
+    starts, ends = starts[some], ends[some]
+    if not len(starts):
+        return (0.0,) * 7
+    n, lengths = len(starts), ends - starts
+    at = np.flatnonzero(raw == 47)  # "://"
+    links = np.count_nonzero((raw[at[1:] - 2] == 58) & (at[1:] - at[:-1] == 1)) if len(at) > 1 else 0
+    distinct = len(np.unique(word_hashes(raw, starts, ends)))
+    return np.log1p(n), np.log1p(lengths.mean()), np.log1p(lengths.max()), _ENDS[raw[ends - 1]].mean(), (lengths < 40).mean(), 1 - distinct / n, links / max(1, words)
+
+
+def text_features(batch: pa.RecordBatch, text: str, size: str):
+    """Yields (row, shape, layout, distinct word hashes) of each text."""
+    chars = batch.column(batch.schema.get_field_index(size)).to_pylist()
     for first, offs, raw in text_steps(batch, text):
         low = LOWER[raw]
         starts, ends, counts = word_spans(offs, low, IS_WORD)
@@ -67,16 +88,17 @@ def text_features(batch: pa.RecordBatch, text: str):
         at = 0
         for d, n in enumerate(counts.tolist()):
             a, b = int(offs[d]), int(offs[d + 1])
-            size = max(1, b - a)
+            bytes_ = max(1, b - a)
             by = np.bincount(kinds[a:b], minlength=6)
             seen, times = np.unique(words[at : at + n], return_counts=True)
             m = max(1, n)
             triples = n - 2
             shape = (
-                np.log1p(n), len(seen) / m, lengths[at : at + n].sum() / m, by[1] / size, by[2] / size, by[3] / size, by[4] / size, by[5] / size,
+                np.log1p(n), len(seen) / m, lengths[at : at + n].sum() / m, by[1] / bytes_, by[2] / bytes_, by[3] / bytes_, by[4] / bytes_,
                 symbols[a:b].sum() / m, times.max() / m if n else 0.0, 1 - len(np.unique(three[at : at + triples])) / triples if triples > 0 else 0.0,
             )
-            yield first + d, shape, seen
+            said = chars[first + d]
+            yield first + d, shape, (*_layout(raw[a:b], n), (b - a) / said if said and said > 0 else 0.0), seen
             at += n
 
 
@@ -135,11 +157,24 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class Bins:
+    """Numbers as one-hot bins, cut at the quantiles of what is fitted on."""
+
+    def __init__(self, values: np.ndarray):
+        self.edges = [np.unique(np.quantile(values[:, i], np.arange(1, BINS) / BINS)) for i in range(values.shape[1])]
+        self.size = sum(len(e) + 1 for e in self.edges)
+
+    def fill(self, x: np.ndarray, base: int, values: np.ndarray) -> None:
+        for i, e in enumerate(self.edges):
+            x[np.arange(len(values)), base + np.searchsorted(e, values[:, i], "right")] = 1
+            base += len(e) + 1
+
+
 class TextView:
     """What the text view looks at: bins of shapes and chosen words."""
 
     def __init__(self, shapes: np.ndarray, words: list[np.ndarray], y: np.ndarray):
-        self.edges = [np.unique(np.quantile(shapes[:, i], np.arange(1, BINS) / BINS)) for i in range(shapes.shape[1])]
+        self.bins = Bins(shapes)
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         of = np.repeat(y, [len(w) for w in words])
         seen, where = np.unique(flat, return_inverse=True)
@@ -149,14 +184,12 @@ class TextView:
         ok = np.flatnonzero(n >= LEAST_DOCS)
         pick = ok[np.argsort(-np.abs(z[ok]), kind="stable")[:WORDS]]
         self.words = np.sort(seen[pick])
-        self.size = sum(len(e) + 1 for e in self.edges) + len(self.words)
+        self.size = self.bins.size + len(self.words)
 
     def rows(self, shapes: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(shapes), self.size), np.float32)
-        base = 0
-        for i, e in enumerate(self.edges):
-            x[np.arange(len(shapes)), base + np.searchsorted(e, shapes[:, i], "right")] = 1
-            base += len(e) + 1
+        self.bins.fill(x, 0, shapes)
+        base = self.bins.size
         if len(self.words):
             for r, w in enumerate(words):
                 at = np.searchsorted(self.words, w)
@@ -172,48 +205,70 @@ def meta_rows(metas) -> np.ndarray:
     return x
 
 
+class PageView:
+    """What the page view looks at: ids of the metadata and bins of the layout."""
+
+    def __init__(self, layouts: np.ndarray):
+        self.bins = Bins(layouts)
+
+    def rows(self, metas, layouts: np.ndarray) -> np.ndarray:
+        x = np.hstack([meta_rows(metas), np.zeros((len(metas), self.bins.size), np.float32)])
+        self.bins.fill(x, META_SIZE, layouts)
+        return x
+
+
+def _table(rows, width: int) -> np.ndarray:
+    return np.asarray(rows, float).reshape(-1, width)
+
+
 class CoTraining:
     """Two views fitted together; predict() gives both calibrated views and their combination."""
 
-    def __init__(self, shapes, words, metas, y, pool_shapes, pool_words, pool_metas, rounds: int = ROUNDS, confident: float = CONFIDENT):
+    def __init__(self, shapes, layouts, words, metas, y, pool_shapes, pool_layouts, pool_words, pool_metas, rounds: int = ROUNDS, share: float = GIVEN):
         """y holds 0 and 1 of the labelled rows; every fourth of them calibrates and isn't fitted on."""
         y = np.asarray(y, np.float32)
         self.rate = float(y.mean()) if len(y) else 0.5
+        self.exchanged = [0, 0]
         self.single = len(y) < 40 or not 0 < self.rate < 1
         if self.single:
             return
-        shapes = np.asarray(shapes, float)
+        shapes, layouts = _table(shapes, len(SHAPES)), _table(layouts, len(LAYOUT))
         held = np.arange(len(y)) % 4 == 3
         fit = np.flatnonzero(~held)
-        self.view = TextView(shapes[fit], [words[i] for i in fit], y[fit])
-        x = [self.view.rows(shapes, words), meta_rows(metas)]
-        u = [self.view.rows(np.asarray(pool_shapes, float).reshape(-1, len(SHAPES)), pool_words), meta_rows(pool_metas)]
-        self.exchanged = [0, 0]
-        given: list[dict[int, float]] = [{}, {}]
+        self.view, self.page = TextView(shapes[fit], [words[i] for i in fit], y[fit]), PageView(layouts[fit])
+        x = self._views(shapes, layouts, words, metas)
+        u = self._views(pool_shapes, pool_layouts, pool_words, pool_metas)
+        given: list[dict[int, tuple[float, float]]] = [{}, {}]  # of each view: pool rows, what they are and how sure that is
         for turn in range(rounds + 1):
-            self.w, self.cal, sure = [], [], []
+            self.w, self.cal = [], []
             for v in (0, 1):
                 rows = list(given[v])
+                told = np.array([given[v][r] for r in rows], np.float32).reshape(-1, 2)
                 both = np.vstack([x[v][fit], u[v][rows]])
-                target = np.concatenate([y[fit], np.array([given[v][r] for r in rows], np.float32)])
-                weight = np.concatenate([np.ones(len(fit), np.float32), np.full(len(rows), 0.5, np.float32)])
-                self.w.append(fit_logistic(both, target, weight))
+                weight = np.concatenate([np.ones(len(fit), np.float32), told[:, 1] / 2])
+                self.w.append(fit_logistic(both, np.concatenate([y[fit], told[:, 0]]), weight))
                 self.cal.append(calibration(logits(x[v][held], self.w[v]), y[held]))
-                sure.append(sigmoid(self.cal[v][0] * logits(u[v], self.w[v]) + self.cal[v][1]) if len(u[v]) else np.zeros(0))
-            if turn == rounds:
+            if turn == rounds or not len(u[0]):
                 break
-            for v in (0, 1):  # what one view is sure of, the other learns
-                for r in np.flatnonzero((sure[v] >= confident) | (sure[v] <= 1 - confident)):
-                    given[1 - v].setdefault(int(r), float(sure[v][r] >= 0.5))
+            for v in (0, 1):  # what one view is surest of, the other learns
+                p = sigmoid(self.cal[v][0] * logits(u[v], self.w[v]) + self.cal[v][1])
+                free = np.array([r for r in np.argsort(p, kind="stable") if r not in given[1 - v]], np.int64)
+                most = min(len(free), max(2, int(share * len(p))))
+                good = round(most * self.rate)
+                for rows, target in ((free[len(free) - good :], 1.0), (free[: most - good], 0.0)):
+                    given[1 - v].update((int(r), (target, abs(2 * float(p[r]) - 1))) for r in rows)
             self.exchanged = [len(g) for g in given]
         z = np.stack([self.cal[v][0] * logits(x[v][held], self.w[v]) + self.cal[v][1] for v in (0, 1)], 1)
         self.top = fit_logistic(np.clip(z, -8, 8).astype(np.float32), y[held], np.ones(held.sum(), np.float32), l2=0.1, steps=400)
 
-    def predict(self, shapes, words, metas):
+    def _views(self, shapes, layouts, words, metas) -> list[np.ndarray]:
+        return [self.view.rows(_table(shapes, len(SHAPES)), words), self.page.rows(metas, _table(layouts, len(LAYOUT)))]
+
+    def predict(self, shapes, layouts, words, metas):
         if self.single:
             one = np.full(len(metas), self.rate)
             return one, one, one
-        z = [self.cal[0][0] * logits(self.view.rows(np.asarray(shapes, float).reshape(-1, len(SHAPES)), words), self.w[0]) + self.cal[0][1], self.cal[1][0] * logits(meta_rows(metas), self.w[1]) + self.cal[1][1]]
+        z = [self.cal[v][0] * logits(x, self.w[v]) + self.cal[v][1] for v, x in enumerate(self._views(shapes, layouts, words, metas))]
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(logits(np.clip(np.stack(z, 1), -8, 8), self.top))
 
 
@@ -269,9 +324,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, sample: int, pool: in
     good = F.when((F.col("quality").isNotNull()) & (F.col("toxic").isNotNull()), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"))
     y = labels.groupBy(key).agg(F.min(good).alias("y"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).filter("y IS NOT NULL OR toxic IS NOT NULL")
     known = y.join(docs.select(key).distinct(), key)
-    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
-    some = docs.select(key).distinct().orderBy(F.xxhash64(key, F.lit(7)), key).limit(2 * pool)
-    return chosen, some.join(labels.select(key), key, "left_anti").orderBy(F.xxhash64(key, F.lit(7)), key).limit(pool)
+    chosen = lowest(known, F.xxhash64(key), sample, labels.count())
+    some = docs.select(key).filter(F.col(key).isNotNull()).join(labels.select(key), key, "left_anti").distinct()
+    return chosen, lowest(some, F.xxhash64(key, F.lit(7)), pool, docs.count())
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", sample: int = SAMPLE, pool: int = POOL) -> CoTraining:
@@ -283,22 +338,23 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     def over(batches):
         for batch in batches:
             cols = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (key, lang, source, size, "y", "toxic")}
-            out = [(cols[key][i], cols["y"][i], cols["toxic"][i], list(shape), words.view(np.int64).tolist(), meta_features(cols[lang][i], cols[source][i], cols[size][i])) for i, shape, words in text_features(batch, text)]
-            kinds = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], ["k", "y", "toxic", "shape", "words", "meta"])
+            out = [(cols[key][i], cols["y"][i], cols["toxic"][i], list(shape), list(layout), words.view(np.int64).tolist(), meta_features(cols[lang][i], cols[source][i], cols[size][i])) for i, shape, layout, words in text_features(batch, text, size)]
+            kinds = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)], ["k", "y", "toxic", "shape", "layout", "words", "meta"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(lean(over), f"k {kind}, y int, toxic int, shape array<double>, words array<bigint>, meta array<int>").toArrow().to_pylist()
+    got = rows.mapInArrow(lean(over), f"k {kind}, y int, toxic int, shape array<double>, layout array<double>, words array<bigint>, meta array<int>").toArrow().to_pylist()
     got.sort(key=lambda r: (zlib.crc32(str(r["k"]).encode()), str(r["k"]), r["words"]))
     part = [[r for r in got if r["y"] is not None], [r for r in got if r["y"] is None and r["toxic"] is None], [r for r in got if r["toxic"] is not None]]
-    arrays = [([r["shape"] for r in p], [np.array(r["words"], np.int64).view(np.uint64) for r in p], [r["meta"] for r in p]) for p in part]
+    arrays = [([r["shape"] for r in p], [r["layout"] for r in p], [np.array(r["words"], np.int64).view(np.uint64) for r in p], [r["meta"] for r in p]) for p in part]
     model = CoTraining(*arrays[0], [r["y"] for r in part[0]], *arrays[1])
-    model.toxicity = Toxicity(*arrays[2][1:], [r["toxic"] for r in part[2]], [r["y"] == 1 for r in part[2]])
+    model.toxicity = Toxicity(*arrays[2][2:], [r["toxic"] for r in part[2]], [r["y"] == 1 for r in part[2]])
     return model
 
 
 def score(docs: DataFrame, model: CoTraining, *, text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """docs with text_score, meta_score, quality_score (probabilities of a good document), toxic_score and accepted."""
+    docs = replaced(docs, "text_score", "meta_score", "quality_score", "toxic_score", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = docs.withColumns({"text_score": F.lit(0.0), "meta_score": F.lit(0.0), "quality_score": F.lit(0.0), "toxic_score": F.lit(0.0), "accepted": F.lit(True)}).schema
@@ -306,17 +362,18 @@ def score(docs: DataFrame, model: CoTraining, *, text: str = "text", lang: str =
     def over(batches):
         fitted = shared.value
         for batch in batches:
-            shapes, words = [], []
+            shapes, layouts, words = [], [], []
             one, two, both, toxic, rejected = [], [], [], [], []
             metas = [meta_features(*v) for v in zip(*(batch.column(names.index(n)).to_pylist() for n in (lang, source, size)))]
             done = 0
-            for i, shape, seen in text_features(batch, text):
+            for i, shape, layout, seen in text_features(batch, text, size):
                 shapes.append(shape)
+                layouts.append(layout)
                 words.append(seen)
                 if len(shapes) == 500 or i == len(batch) - 1:
-                    for out, p in zip((one, two, both, toxic, rejected), (*fitted.predict(shapes, words, metas[done : i + 1]), *fitted.toxicity.predict(words, metas[done : i + 1]))):
+                    for out, p in zip((one, two, both, toxic, rejected), (*fitted.predict(shapes, layouts, words, metas[done : i + 1]), *fitted.toxicity.predict(words, metas[done : i + 1]))):
                         out.append(p)
-                    done, shapes, words = i + 1, [], []
+                    done, shapes, layouts, words = i + 1, [], [], []
             if not one:
                 continue
             total = np.concatenate(both).astype(float)
