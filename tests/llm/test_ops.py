@@ -639,6 +639,30 @@ def test_near_groups_odd(spark, odd, empty):
     assert jaccard.near_groups(empty).count() == 0
 
 
+def test_fragments_cut_the_global_order():
+    rnd = np.random.default_rng(2)
+    levels = np.minimum(40, rnd.geometric(0.05, 1 << 16)).astype(np.uint8)
+    grams = np.sort(rnd.integers(0, 2**64, 50_000, dtype=np.uint64))
+    order = jaccard.order_of(grams, levels, 16)
+    by = sorted(range(len(grams)), key=lambda i: (levels[int(grams[i]) >> 48], int(grams[i]) >> 8))
+    assert np.array_equal(np.argsort(order, kind="stable"), by)
+    cuts = jaccard.fragment_cuts(levels)
+    assert len(cuts) == jaccard.FRAGMENTS - 1 and (np.diff(cuts.astype(float)) >= 0).all()
+    held = 2.0 ** (levels[(grams >> np.uint64(48)).astype(int)] / 8) - 1
+    shares = np.bincount(np.searchsorted(cuts, order, "right"), held, jaccard.FRAGMENTS) / held.sum()
+    assert (abs(shares - 0.25) < 0.05).all()
+
+
+def test_keep_one_of_repeated_keys(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text of the same key"), (2, "a b c d e f"), (3, None), (3, None), (4, "g h i j k l")]
+    docs = spark.createDataFrame([(k, t, "c") for k, t in rows], "doc_id long, text string, kept_ string")
+    kept = jaccard.keep_one(docs, k=2, percent=80)
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(1, "a b c d e f"), (1, "quite another text of the same key"), (4, "g h i j k l")]
+    assert kept.count() == 4 and kept.columns == docs.columns
+    with pytest.raises(TypeError):
+        jaccard.near_groups(spark.createDataFrame([("k", "t")], "doc_id string, text string"))
+
+
 def test_large_groups_go_on_in_parts(monkeypatch):
     import pyarrow as pa
 

@@ -11,17 +11,20 @@ A document's set holds the fingerprints of its distinct k-word shingles. Two doc
    enough n-grams must follow in both. Those prefixes are dealt by n-gram and streamed in order. An n-gram of up to
    `FEW` classes gives the pairs that can link; in a larger one, classes are linked to one central class of like size,
    so a group of m classes gives at most m candidates and not all its pairs.
-4. Candidates are verified vertically: the n-gram order is cut into `FRAGMENTS` fragments, the overlap of a pair is
-   counted in each fragment on its own, and the parts are summed per pair.
+4. Candidates are verified vertically: the global n-gram order is cut into `FRAGMENTS` fragments of about equally many
+   n-grams, the overlap of a pair is counted in each fragment on its own, and the parts are summed per pair. (Prefixes
+   find the candidates; vertical counting decides on them.)
 5. Verified links give components. Only pairs whose classes still lie in different components can change them:
    those of larger n-gram groups that share a prefix n-gram, have like sizes and pass the parity maps are verified the same way. Large
    n-gram groups are dealt in blocks (`BLOCK` classes each), so no group meets in one task.
 6. Components are found by repeated minimum labels with pointer jumping over the links of classes.
 
-No candidate is dropped by a cap. Fingerprints are 64 bits; a chance equality could only miscount an overlap by one.
+No candidate is dropped by a cap. Fingerprints are 64 bits of mixed bytes, with no structure that texts could hit; a
+chance equality could only miscount an overlap by one, and two classes are only taken for one if the sums over their sets
+and their sizes agree by chance.
 
 Defined cases: null and wordless texts have empty sets and link with nothing; a text with fewer than k words is one
-shingle; repeated rows share their class; rows without a key have no component (null) and keep_one keeps them; an empty table gives an empty result; other columns are not looked at.
+shingle; keys are whole numbers (others are refused); repeated rows share their class; rows without a key have no component (null) and keep_one keeps them; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,6 +49,7 @@ GRAMS_PER_COUNTER, SKETCH_BITS, SLICES = 32, (16, 24), 64
 FEW = 4
 MAP_WORDS = 16
 BLOCK = 20_000
+HOT_SHARE = 1000
 #: Rows of one n-gram that the streaming step holds at once.
 CARRY = 500_000
 
@@ -150,6 +154,25 @@ def _levels(partial: DataFrame, bits: int) -> np.ndarray:
     return levels.reshape(-1)
 
 
+def order_of(grams: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    """The places of n-grams in the global order, as numbers: by level, then by fingerprint."""
+    lv = levels[(grams >> _U(64 - bits)).astype(np.int64)]
+    return (lv.astype(_U) << _U(56)) | (grams >> _U(8))
+
+
+def fragment_cuts(levels: np.ndarray, parts: int = FRAGMENTS) -> np.ndarray:
+    """Places that cut the global order into parts of about equally many n-grams."""
+    counters = np.bincount(levels, minlength=256)
+    held = np.cumsum(counters * (2.0 ** (np.arange(256) / 8) - 1))
+    if held[-1] == 0:
+        return np.zeros(parts - 1, _U)
+    at = held[-1] * np.arange(1, parts) / parts
+    level = np.searchsorted(held, at)
+    before = np.where(level > 0, held[level - 1], 0)
+    inner = (at - before) / np.maximum(held[level] - before, 1e-9)
+    return (level.astype(_U) << _U(56)) | (np.minimum(inner, 1 - 1e-9) * 2.0**56).astype(_U)
+
+
 def _gram_sketch(text: str, k: int, bits: int):
     def over(batches):
         sketch = _Sketch(bits)
@@ -284,9 +307,10 @@ def _stars(percent: int):
     return over
 
 
-def _fragments(key: str, text: str, k: int, bits: int, wanted):
+def _fragments(key: str, text: str, k: int, bits: int, wanted, levels):
     def over(batches):
-        ids = wanted.value
+        ids, level = wanted.value, levels.value
+        ends = fragment_cuts(level)
         for batch in batches:
             keys = np.asarray(batch.column(batch.schema.get_field_index(key)).cast(pa.int64()).fill_null(0))
             some = ids[(mix(keys.view(_U)) >> _U(64 - bits)).astype(np.int64)] > 0
@@ -299,13 +323,12 @@ def _fragments(key: str, text: str, k: int, bits: int, wanted):
                 if not len(grams) or c in seen:
                     continue
                 seen.add(c)
-                part = (grams >> _U(62)).astype(np.int64) * FRAGMENTS // 4
-                cuts = np.searchsorted(part, np.arange(FRAGMENTS + 1))
+                part = np.searchsorted(ends, order_of(grams, level, bits), "right")
                 for f in range(FRAGMENTS):
                     cs.append(c)
                     ns.append(len(grams))
                     fs.append(f)
-                    blobs.append(grams[cuts[f] : cuts[f + 1]].tobytes())
+                    blobs.append(grams[part == f].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(fs, pa.int32()), pa.array(blobs, pa.binary())], ["c", "n", "f", "grams"])
 
     return over
@@ -334,6 +357,8 @@ class _Join:
     """The steps of one join, with what they share."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int):
+        if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"keys are whole numbers, not {docs.schema[key].dataType.simpleString()}")
         self.docs, self.key, self.text, self.k, self.percent, self.bits = docs.select(key, text), key, text, k, percent, SKETCH_BITS[0]
         self.spark: SparkSession = docs.sparkSession
 
@@ -350,11 +375,10 @@ class _Join:
 
     def stars(self) -> DataFrame:
         counted = self.docs.mapInArrow(lean(_gram_sketch(self.text, self.k, self.bits)), "slice int, packed binary")
-        levels = self.share(_levels(counted, self.bits))
+        self.levels = levels = self.share(_levels(counted, self.bits))
         prefixes = self.docs.mapInArrow(lean(_prefixes(self.text, self.k, self.percent, self.bits, levels)), _PREFIX)
         dealt = prefixes.repartition("g").sortWithinPartitions("g", "n", "c")
         out = written(dealt.mapInArrow(lean(_stars(self.percent)), "kind int, g long, c long, n long, d long, m long"), "stars")
-        levels.unpersist()
         return out
 
     def passing(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -374,7 +398,7 @@ class _Join:
         needed = pairs.select(F.col("a").alias("c"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
         keys = needed.join(reps, ["c", "n"]).select("key")
         wanted = self.share(_levels(keys.mapInArrow(lean(_id_sketch(self.bits)), "slice int, packed binary"), self.bits))
-        parts = self.docs.mapInArrow(lean(_fragments(self.key, self.text, self.k, self.bits, wanted)), "c long, n long, f int, grams binary")
+        parts = self.docs.mapInArrow(lean(_fragments(self.key, self.text, self.k, self.bits, wanted, self.levels)), "c long, n long, f int, grams binary")
         parts = written(parts.dropDuplicates(["c", "n", "f"]), "fragments")  # copies in several tasks give several rows
         wanted.unpersist()
         dealt = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
@@ -493,8 +517,11 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     labelled = classes.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     held = held.join(labelled.select("c", "n", "label"), ["c", "n"])
     mixed = held.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-    mixed = mixed.select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = held.join(mixed, "g").join(classes.select("c", "n", *_MAPS), ["c", "n"])
+    mixed = written(mixed.select("g", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    # n-grams of more than one in HOT_SHARE rows are HOT_SHARE at most: their rows stay where they are
+    least = (mixed.agg(F.sum("size").alias("n")).first()["n"] or 0) // HOT_SHARE
+    hot, others = F.broadcast(mixed.filter(F.col("size") > least).drop("size")), mixed.filter(F.col("size") <= least).drop("size")
+    open_ = held.join(hot, "g").unionByName(held.join(others, "g")).join(classes.select("c", "n", *_MAPS), ["c", "n"])
     own = F.pmod(F.xxhash64("c", "n"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -515,6 +542,10 @@ def near_groups(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
 def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each near-duplicate group: that with the smallest key. Rows with equal key and text count as one."""
     groups = near_groups(docs, key=key, **options)
-    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_")).distinct()
-    out = docs.join(kept, F.col(key).eqNullSafe(F.col("kept_")), "left_semi")
-    return out.dropDuplicates([key, options.get("text", "text")]).select(docs.columns)
+    # texts are shuffled once: by key, to the one row of each key that stays; only rows of repeated keys are compared after that
+    kept = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("kept_")).agg((F.count(F.lit(1)) > 1).alias("repeated_"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_"), F.col(key).alias("key_"))
+    found = own.join(kept, F.col("key_").eqNullSafe(F.col("kept_")))
+    single, several = found.filter(~F.col("repeated_")), found.filter("repeated_")
+    several = several.withColumn("text_", F.col("own_").getField(options.get("text", "text"))).dropDuplicates(["key_", "text_"])
+    return single.select("own_.*").unionByName(several.select("own_.*"))
