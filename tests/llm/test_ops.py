@@ -203,7 +203,9 @@ def test_warc_empty(spark):
 # 3
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("limit", [0, 500])
+def test_url_filter(spark, monkeypatch, limit):
+    monkeypatch.setattr(urlfilter, "RULE_LIMIT", limit)
     urls = ["http://A.Example.ORG/es/x?q", "https://example.org/en/12#t", "http://example.org", "ftp://x.com/fr/", "http://x.com/de/1", None, "no scheme", "http://u@sub.host.co.uk:80/p", "http://[::1]/x", "http://notexample.org/es/"]
     pages = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
     none = spark.createDataFrame([], "page_id long, good int")

@@ -8,7 +8,8 @@ mean + z * sd of its host's posterior lies below `floor`: only hosts that are su
 
 Rules. A rule is (verdict, "host/path"). It fits its host and all subdomains where the url's path starts with its
 path; the longest fitting rule wins (of equal length: the one with the longer host, then the first in order). A url
-that a rule fits gets the rule's verdict, others the reputation's. At most RULE_LIMIT rules make one expression.
+that a rule fits gets the rule's verdict, others the reputation's. At most RULE_LIMIT rules make one expression; more
+are a table that is joined to the suffixes of the different hosts.
 
 Counts are summed before they are shuffled; host tables are joined by the engine's own choice of strategy (they are
 broadcast only below its size threshold), and only one-row tables of prior strengths are broadcast always.
@@ -61,11 +62,14 @@ def suffix_and_domain(host: Column, long_suffixes=LONG_SUFFIXES) -> tuple[Column
     return suffix, domain
 
 
+def _ordered(rules) -> list[tuple[str, str]]:
+    """Rules by how they win: the longest first, of these the one with the longer host."""
+    return sorted(rules, key=lambda r: (-len(r[1]), -len(r[1].partition("/")[0])))
+
+
 def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     """The winning rule and its verdict, or nulls."""
-    if len(rules) > RULE_LIMIT:
-        raise ValueError(f"at most {RULE_LIMIT} rules")
-    order = sorted(rules, key=lambda r: (-len(r[1]), -len(r[1].partition("/")[0])))
+    order = _ordered(rules)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, text in reversed(order):
         name, slash, rest = text.partition("/")
@@ -75,6 +79,17 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def rules_joined(split: DataFrame, rules) -> DataFrame:
+    """(host, path, rule, verdict) of the different hosts and paths that a rule fits; for any number of rules."""
+    rows = [(r[1].partition("/")[0], i, "".join(r[1].partition("/")[1:]), r[1], r[0]) for i, r in enumerate(_ordered(rules))]
+    table = split.sparkSession.createDataFrame(rows, "name string, place int, start string, rule string, says string")
+    labels = F.split("host", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = split.select("host", "path").distinct().withColumn("name", F.explode(names)).join(table, "name").filter(F.col("path").startswith(F.col("start")))
+    best = fits.groupBy("host", "path").agg(F.min(F.struct("place", "rule", "says")).alias("best"))
+    return best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.says").alias("verdict"))
+
+
 def strength(groups: DataFrame, least: float = STRENGTHS[0], most: float = STRENGTHS[1]) -> DataFrame:
     """One row: the prior strength that the spread of groups (n, s) shows, by the method of moments."""
     t = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("N"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("S"), F.count(F.lit(1)).cast("double").alias("G"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).cast("double").alias("N2"), F.coalesce(F.sum((F.col("s") * F.col("s")) / F.col("n")), F.lit(0.0)).alias("Q"))
@@ -130,6 +145,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=(), *, key: str = "page_i
     labelled = split.select("k_", "host").join(told, "k_").select("host", "good")
     hosts = posteriors(split, labelled, long_suffixes=long_suffixes)
     upper = F.col("mean") + F.lit(z) * F.col("sd")
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    if len(rules) > RULE_LIMIT:
+        split = split.join(rules_joined(split, rules), ["host", "path"], "left")
+        rule, verdict = F.col("rule"), F.col("verdict")
+    else:
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(upper < F.lit(floor), "block").otherwise("allow")
     return split.join(hosts, "host", "left").select(F.col("k_").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), upper.alias("upper"))
