@@ -43,30 +43,47 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", n: int = 20) -> DataFrame:
-    """(qid, key, score, rank): the n nearest by cosine of each query (qid, q); queries are compared in blocks with all rows."""
-    qs = [(r["qid"], np.asarray(r["q"], float)) for r in queries.collect()]
-    if len(qs) > 4096:
-        raise ValueError("ask for at most 4096 queries at once")
-    names = [q for q, _ in qs]
-    mat = np.stack([v / (np.linalg.norm(v) or 1) for _, v in qs]) if qs else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast((names, mat))
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def best(batches):
+def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", n: int = 20, block: int = 4096) -> DataFrame:
+    """(qid, key, score, rank): the n nearest by cosine of each query (qid, q).
+
+    Queries are dealt into blocks of about `block`; one block at a time is collected and broadcast, and each batch of
+    vectors sends on its best n of a query only."""
+    asked = queries.select(F.col("qid"), F.col("q").cast("array<double>").alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    kind, qkind = vectors.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    spark, rows = vectors.sparkSession, None
+    for i in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked
+        part = vectors.select(key, vector).mapInPandas(_best(spark.sparkContext.broadcast(_unit(some.toPandas())), key, vector, n), f"qid {qkind}, {key} {kind}, score double")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).filter(F.col("rank") <= n)
+
+
+def _unit(queries):
+    """Names and unit vectors of a block of queries."""
+    mat = np.stack(queries["q"].to_numpy()).astype(float) if len(queries) else np.zeros((0, 1))
+    norm = np.linalg.norm(mat, axis=1)
+    return queries["qid"].to_numpy(), mat / np.where(norm == 0, 1, norm)[:, None]
+
+
+def _best(shared, key: str, vector: str, n: int):
+    def over(batches):
         import pandas as pd
 
         names, mat = shared.value
         for pdf in batches:
+            if not len(pdf) or not len(names):
+                continue
             x = np.stack(pdf[vector]).astype(float)
             norm = np.linalg.norm(x, axis=1)
-            sims = mat @ (x / np.where(norm == 0, 1, norm)[:, None]).T
-            for q, s in zip(names, sims):
-                at = np.argsort(-s, kind="stable")[:n]
-                yield pd.DataFrame({"qid": q, key: pdf[key].to_numpy()[at], "score": np.round(s[at], 6)})
-
-    rows = vectors.select(key, vector).mapInPandas(best, f"qid long, {key} {kind}, score double")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).filter(F.col("rank") <= n)
+            keys = pdf[key].to_numpy()
+            order = np.argsort(keys, kind="stable")  # ties go to the smaller key
+            keys, x = keys[order], (x / np.where(norm == 0, 1, norm)[:, None])[order]
+            sims = np.round(mat @ x.T, 6)
+            at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+            yield pd.DataFrame({"qid": np.repeat(names, at.shape[1]), key: keys[at].ravel(), "score": np.take_along_axis(sims, at, 1).ravel()})
+
+    return over
 
 
 def similar_pairs(vectors: DataFrame, least: float, *, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:

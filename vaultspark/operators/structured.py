@@ -16,8 +16,11 @@ TIERS = ("Public", "Internal", "Confidential", "Restricted", "MNPI")
 #: Columns that filters and orders may name.
 FILTERS = ("id", "type", "zone", "classification", "title", "path", "created", "updated")
 MAX_PATTERN = 200
-#: Short words of questions that a search over lines leaves out; fixed values, in order.
-STOP = ("the", "and", "for", "with", "that", "this", "what", "when", "where", "who", "how", "are", "was", "were", "did", "does", "has", "have", "had", "about", "from", "into", "our", "your", "can", "should")
+#: Short words of questions (English and Portuguese) that a search over lines leaves out; fixed values.
+STOP = (
+    "the", "a", "an", "of", "to", "is", "are", "was", "were", "what", "which", "who", "and", "or", "for", "on", "in", "about",
+    "que", "qual", "quais", "foi", "sobre", "ele", "ela", "com", "para", "uma", "dos", "das", "no", "na", "em", "se", "de", "do", "da",
+)
 
 
 def tier_rank(c: str | Column) -> Column:

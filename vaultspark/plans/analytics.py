@@ -329,7 +329,7 @@ def recommendation_aging(q):
 @P.sql
 def once_only_append(q):
     """ST12: new keys only."""
-    return "SELECT DISTINCT e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id AND o.ts < TIMESTAMP '2024-01-08 00:00:00')"
+    return "SELECT DISTINCT e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id AND o.ts < TIMESTAMP '2024-01-01 06:00:00')"
 
 
 @P.sql

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import stats, text
-from vaultspark.operators import graph, overlap
+from vaultspark.operators import graph, overlap, structured
 from vaultspark.operators.base import checkpointed
-from vaultspark.operators.search import near_duplicate_demotion, similar_clusters, similar_pairs
+from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
 from vaultspark.sources.snapshots import diff_sync
 from vaultspark.streaming import ledger
@@ -69,19 +69,54 @@ def capped_edge_selection(spark, sf_dir):
     return graph.degree_capped(similar_pairs(spark.table("embeddings"), 0.35), cap=5, most=2 * e.count())
 
 
-@P.frame(lambda q: f"WITH RECURSIVE s AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND round({q.dot('a.embedding', 'b.embedding')}, 6) >= 97e-2), w AS (SELECT a, b FROM s UNION SELECT b, a FROM s), reach AS (SELECT DISTINCT a AS v, a AS r FROM w UNION SELECT w.b, reach.r FROM reach JOIN w ON w.a = reach.v), m AS (SELECT v, min(r) AS root FROM reach GROUP BY v) SELECT v, root FROM m")
+def _pairs(q, least: str) -> str:
+    """DuckDB: all pairs of vectors at or over a product."""
+    return f"s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({q.dot('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), p AS (SELECT * FROM s WHERE score >= {least})"
+
+
+@P.frame(lambda q: f"WITH RECURSIVE {_pairs(q, '4e-1')}, w AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT DISTINCT a AS v, a AS r FROM w UNION SELECT w.b, reach.r FROM reach JOIN w ON w.a = reach.v) SELECT v, min(r) AS root FROM reach GROUP BY v")
 def semantic_clusters(spark, sf_dir):
-    """DD17: clusters of vectors at or over 0.97, over all pairs. (The twin takes every twentieth vector's pairs only.)"""
+    """DD17: clusters of vectors over all pairs, at a product that these tables reach (0.97 is the operator's usual one)."""
     views(spark, sf_dir)
-    return similar_clusters(spark.table("embeddings"), 0.97)
+    return similar_clusters(spark.table("embeddings"), 0.4)
 
 
-@P.frame()
+@P.frame(lambda q: f"WITH {_pairs(q, '35e-2')} SELECT a, b, score, CASE WHEN score >= 45e-2 THEN 'cluster' WHEN score >= 4e-1 THEN 'near' ELSE 'band' END AS band FROM p")
+def near_duplicate_vectors(spark, sf_dir):
+    """DD1, DD18: all pairs of near vectors, in bands that these tables reach."""
+    views(spark, sf_dir)
+    band = F.when(F.col("score") >= 0.45, "cluster").when(F.col("score") >= 0.4, "near").otherwise("band")
+    return similar_pairs(spark.table("embeddings"), 0.35).withColumn("band", band)
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    views(spark, sf_dir)
+    return spark.table("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+@P.frame(lambda q: f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({q.dot('a.embedding', 'b.embedding')} / sqrt({q.dot('a.embedding', 'a.embedding')} * {q.dot('b.embedding', 'b.embedding')}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT qid, vec_id, round(score, 4) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s) x WHERE r <= 9")
+def dense_knn_queries(spark, sf_dir):
+    """WN5, DD20: every twentieth vector and its eight nearest."""
+    got = nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _asked(spark, sf_dir), n=9)
+    return got.select("qid", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@P.frame(lambda q: f"WITH {edges(q)}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({q.dot('a.embedding', 'b.embedding')}, 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), u AS (SELECT s.* FROM s WHERE s.s >= 3e-1 AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.src = s.a AND e.dst = s.b)) SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM u) x WHERE r <= 5")
+def inferred_edges(spark, sf_dir):
+    """GR10: the five nearest unlinked vectors of every twentieth one, over a floor. Vectors have few links, so the nearest 5 + their links suffice."""
+    e = _edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    asked = _asked(spark, sf_dir)
+    most = e.join(asked.select(F.col("qid").alias("a")), "a").groupBy("a").count().agg(F.max("count")).first()[0] or 0
+    near = nearest(spark.table("embeddings"), asked, n=6 + most).filter((F.col("qid") != F.col("vec_id")) & (F.col("score") >= 0.3))
+    rows = near.select(F.col("qid").alias("a"), F.col("vec_id").alias("b"), F.col("score").alias("s")).join(e, ["a", "b"], "left_anti")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).filter("r <= 5").drop("r")
+
+
+@P.frame(lambda q: f"WITH {_pairs(q, '3e-1')} SELECT a, b, score FROM p")
 def near_duplicate_vector_pairs(spark, sf_dir):
-    """DD1, DD18: all pairs of near vectors, in the bands of near_duplicate_vectors."""
+    """DD1: all pairs of near vectors, in blocks."""
     views(spark, sf_dir)
-    band = F.when(F.col("score") >= 0.97, "cluster").when(F.col("score") >= 0.95, "near").otherwise("band")
-    return similar_pairs(spark.table("embeddings"), 0.9).withColumn("band", band)
+    return similar_pairs(spark.table("embeddings"), 0.3, block=300)
 
 
 @P.frame(lambda q: f"WITH RECURSIVE {notes(q)}, sup AS (SELECT doc_id AS src, CAST(substr(superseded_by, 2) AS BIGINT) AS dst FROM notes WHERE superseded_by IS NOT NULL), w AS (SELECT src AS a, dst AS b FROM sup UNION SELECT dst, src FROM sup), reach AS (SELECT DISTINCT a AS v, a AS r FROM w UNION SELECT w.b, reach.r FROM reach JOIN w ON w.a = reach.v), m AS (SELECT v, min(r) AS root FROM reach GROUP BY v) SELECT root, count(*) AS members, min({q.octets('body')}) AS smallest, count(DISTINCT {q.sha('body')}) AS bodies FROM m JOIN notes n ON n.doc_id = m.v GROUP BY root")
@@ -182,6 +217,40 @@ def diff_sync_actions(spark, sf_dir):
     return acts.groupBy(F.when((F.col("doc_id") % 10 == 2) & (F.col("action") == "unchanged"), "unchanged2").otherwise(F.col("action")).alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
+ASK = "what is the condition, und was licence"
+
+
+@P.frame(lambda q: f"""WITH {notes(q)}, line AS (SELECT id, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM notes),
+m AS (SELECT id, l, n, contains(lower(l), 'condition')::INT AS a, contains(lower(l), 'und')::INT AS b, contains(lower(l), 'licence')::INT AS c FROM line)
+SELECT id, count(*) AS match_count, CAST(max(a) + max(b) + max(c) AS BIGINT) AS terms_matched, arg_min(l, n) AS first_line FROM m WHERE a + b + c > 0 GROUP BY id ORDER BY 3 DESC, 2 DESC, id LIMIT 60""")
+def grep_terms(spark, sf_dir):
+    """FP6: lines with any significant word of a question; by distinct words, then matching lines."""
+    return structured.grep(_sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT * FROM notes"), ASK, k=60)
+
+
+def _chained(q) -> str:
+    """Notes whose successors also form a long chain (ten hops) and a cycle of three."""
+    step = "CASE WHEN doc_id < 10 THEN doc_id + 1 WHEN doc_id BETWEEN 20 AND 21 THEN doc_id + 1 WHEN doc_id = 22 THEN 20 ELSE NULL END"
+    return f"{notes(q)}, chained AS (SELECT id, coalesce('n' || {q.string(step)}, superseded_by) AS superseded_by FROM notes)"
+
+
+_STEPS = "step AS (SELECT id AS start_id, superseded_by AS at_id, 1 AS hop, [id, superseded_by] AS seen FROM chained WHERE superseded_by IS NOT NULL UNION ALL SELECT s.start_id, c.superseded_by, s.hop + 1, list_append(s.seen, c.superseded_by) FROM step s JOIN chained c ON c.id = s.at_id WHERE c.superseded_by IS NOT NULL AND s.hop < 8 AND NOT list_contains(s.seen, c.superseded_by))"
+
+
+@P.frame(lambda q: f"WITH RECURSIVE {_chained(q)}, {_STEPS} SELECT start_id, at_id, hop FROM step")
+def supersession_chain(spark, sf_dir):
+    """JN6: successors over at most eight hops; a cycle ends at what was seen."""
+    n = _sql(spark, sf_dir, f"WITH {_chained(SPARK)} SELECT id, superseded_by FROM chained")
+    return structured.supersession_chain(n, n.select("id"))
+
+
+@P.frame(lambda q: f"WITH RECURSIVE {_chained(q)}, {_STEPS} SELECT start_id, arg_max(at_id, hop) AS head_id, max(hop) AS hops FROM step GROUP BY start_id")
+def chain_heads(spark, sf_dir):
+    """JN7: the head of each version chain and how far it is."""
+    n = _sql(spark, sf_dir, f"WITH {_chained(SPARK)} SELECT id, superseded_by FROM chained")
+    return structured.chain_heads(n, n.select("id"))
+
+
 # streams, and the batch statements that give the same rows
 
 

@@ -250,6 +250,11 @@ def tokens(q: Spark, text: str) -> str:
     return q.extract_all(f"lower({text})", TOKEN)
 
 
+def token_rows(q: Spark, table: str, text: str, columns: str, name: str, where: str = "true") -> str:
+    """Spark: columns of a table and its tokens as `name`; a generator of one row keeps them from being computed again at each use."""
+    return f"(SELECT {columns}, {name} FROM {table}, {q.unnest(f'array({tokens(q, text)})', f'tokens_({name})')} WHERE {where})"
+
+
 def notes(q: Spark) -> str:
     """Documents as notes of a vault: the same derived columns in both engines."""
     base = "DATE '2024-01-01'"

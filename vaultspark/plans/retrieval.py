@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vaultspark.plans.dialect import TOKEN, VALID_DATE, Plans, edges, notes, tier_rank, tokens
-from vaultspark.plans.structured import shingle_rows
+from vaultspark.plans.dialect import TOKEN, VALID_DATE, Plans, edges, notes, tier_rank, token_rows, tokens
+from vaultspark.plans.structured import shingle_hashes, shingle_rows
 
 P = Plans()
 
@@ -19,6 +19,11 @@ QUERY = ("the", "and", "der", "les")
 def bm25(q, terms=QUERY) -> str:
     """bm25 (doc_id, score): the Robertson-Sparck Jones idf and saturated term frequencies."""
     asked = ", ".join(f"'{t}'" for t in terms)
+    if q.name == "spark":  # lengths and counts in the row: only what is asked for travels
+        counts = f"filter(transform(array({asked}), x -> named_struct('t', x, 'tf', CAST(size(filter(w, y -> y = x)) AS BIGINT))), c -> c.tf > 0)"
+        return f"""dl AS (SELECT doc_id, CAST(size(w) AS BIGINT) AS dl, {counts} AS c FROM {token_rows(q, 'documents', 'text', 'doc_id', 'w')} x WHERE size(w) > 0),
+stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM dl), tf AS (SELECT doc_id, dl, e.t, e.tf FROM dl, {q.unnest('c', 'u(e)')}), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+bm25 AS (SELECT tf.doc_id, round(sum(ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * {K1 + 1:.1f} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) AS score FROM tf JOIN df ON df.t = tf.t, stat GROUP BY tf.doc_id)"""
     return f"""tok AS (SELECT doc_id, t FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')}),
 dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT doc_id, t, count(*) AS tf FROM tok WHERE t IN ({asked}) GROUP BY doc_id, t), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
@@ -60,12 +65,6 @@ def dense_knn(q):
     return f"WITH {dense(q)} SELECT doc_id, score FROM knn ORDER BY score DESC, doc_id LIMIT 20"
 
 
-@P.sql
-def dense_knn_queries(q):
-    """WN5, DD20: the eight nearest of every twentieth vector."""
-    return f"WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({q.dot('a.embedding', 'b.embedding')}, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT qid, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s) x WHERE r <= 8 AND score > -5e-1"
-
-
 @P.sql
 def rrf_fusion(q):
     """WN2, WN3, WN18: both legs fused by reciprocal rank, with the source of each hit."""
@@ -251,12 +250,6 @@ def entity_mentions(q):
 SELECT w.doc_id, count(*) AS entities, count(*) >= 2 AS fires FROM w JOIN lex ON lex.surface = w.t WHERE lex.surface <> '' GROUP BY w.doc_id"""
 
 
-@P.sql
-def inferred_edges(q):
-    """GR10: the five nearest unlinked vectors of every twentieth one, over a floor."""
-    return f"WITH {edges(q)}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({q.dot('a.embedding', 'b.embedding')}, 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), u AS (SELECT s.* FROM s WHERE s.s >= 72e-2 AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.src = s.a AND e.dst = s.b)) SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM u) x WHERE r <= 5"
-
-
 @P.sql
 def bridge_boost(q):
     """GR11: shared neighbours of linked notes, three at most, and a recency boost."""
@@ -279,12 +272,6 @@ def link_report(q):
 # duplicates and versions
 
 
-@P.sql
-def near_duplicate_vectors(q):
-    """DD1, DD18: vectors near every twentieth one, in bands (near_duplicate_vector_pairs has all pairs)."""
-    return f"WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({q.dot('a.embedding', 'b.embedding')}, 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT a, b, s, CASE WHEN s >= 97e-2 THEN 'cluster' WHEN s >= 95e-2 THEN 'near' ELSE 'band' END AS band FROM s WHERE s >= 90e-2"
-
-
 @P.sql
 def cosine_similarity(q):
     """DD2: cosines to one vector; zero for zero norms."""
@@ -301,6 +288,8 @@ def token_stream(q):
 @P.sql
 def five_gram_shingles(q):
     """DD4"""
+    if q.name == "spark":
+        return f"SELECT doc_id, CAST(size(g) AS BIGINT) AS shingles FROM (SELECT doc_id, {shingle_hashes(q, 't', 5)} AS g FROM {token_rows(q, 'documents', 'text', 'doc_id', 't')} x) y WHERE size(g) > 0"
     return f"WITH s AS {shingle_rows(q, 'documents', 'doc_id', 'text', 5)} SELECT doc_id, count(*) AS shingles FROM s GROUP BY doc_id"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vaultspark.plans.dialect import TOKEN, VALID_DATE, Plans, edges, notes, tier_rank, tokens
+from vaultspark.plans.dialect import TOKEN, VALID_DATE, Plans, edges, notes, tier_rank, token_rows, tokens
 
 P = Plans()
 
@@ -41,14 +41,6 @@ def recent(q):
     return f"WITH {notes(q)} SELECT id, updated, path FROM notes ORDER BY updated DESC, id ASC LIMIT 20"
 
 
-@P.sql
-def grep_terms(q):
-    """FP6: lines with any of several terms; matching lines and distinct terms per note."""
-    return f"""WITH {notes(q)}, line AS (SELECT id, l FROM notes, {q.unnest(q.lines('lower(body)'), 't(l)')}),
-hit AS (SELECT id, CASE WHEN {q.contains('l', "'tion'")} THEN 1 ELSE 0 END AS a, CASE WHEN {q.contains('l', "'und'")} THEN 1 ELSE 0 END AS b, CASE WHEN {q.contains('l', "'idiot'")} THEN 1 ELSE 0 END AS c FROM line)
-SELECT id, {q.isum('CASE WHEN a + b + c > 0 THEN 1 ELSE 0 END')} AS match_count, CAST(max(a) + max(b) + max(c) AS BIGINT) AS terms_matched FROM hit GROUP BY id HAVING max(a) + max(b) + max(c) > 0"""
-
-
 @P.sql
 def grep_regex(q):
     """FP6: lines that match a pattern."""
@@ -178,22 +170,6 @@ def candidate_hydration(q):
     return f"WITH {notes(q)} SELECT id, title, classification, path FROM notes WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3)"
 
 
-@P.sql
-def supersession_chain(q):
-    """JN6: successors over at most eight hops, cycles cut."""
-    return f"""WITH RECURSIVE {notes(q)}, step AS (SELECT id AS start_id, superseded_by AS at_id, 1 AS hop FROM notes WHERE superseded_by IS NOT NULL
-UNION ALL SELECT s.start_id, n.superseded_by, s.hop + 1 FROM step s JOIN notes n ON n.id = s.at_id WHERE n.superseded_by IS NOT NULL AND s.hop < 8)
-SELECT start_id, at_id, hop FROM step"""
-
-
-@P.sql
-def chain_heads(q):
-    """JN7: the head of each version chain and how far it is."""
-    return f"""WITH RECURSIVE {notes(q)}, step AS (SELECT id AS start_id, superseded_by AS at_id, 1 AS hop FROM notes WHERE superseded_by IS NOT NULL
-UNION ALL SELECT s.start_id, n.superseded_by, s.hop + 1 FROM step s JOIN notes n ON n.id = s.at_id WHERE n.superseded_by IS NOT NULL AND s.hop < 8)
-SELECT start_id, max_by(at_id, hop) AS head_id, max(hop) AS hops FROM step GROUP BY start_id"""
-
-
 @P.sql
 def link_target_resolution(q):
     """JN8: a target is an id, else a title, else a normalised name that one note owns."""
@@ -242,11 +218,11 @@ def run_pairing(q):
 
 @P.sql
 def dossier_tensions(q):
-    """JN15: live notes of the same source that are newer than a decision: a range join, as running totals over dates."""
-    return f"""WITH {notes(q)}, v AS (SELECT id, type, source, {VALID_DATE} AS d, CASE WHEN type <> 'decision' AND is_latest_version IS DISTINCT FROM 'false' THEN 1 ELSE 0 END AS live FROM notes),
-day AS (SELECT source, d, {q.isum('live')} AS n, min(CASE WHEN live = 1 THEN id END) AS first_id, max(CASE WHEN live = 1 THEN d END) AS newest FROM v WHERE d <> '' GROUP BY source, d),
-later AS (SELECT source, d, sum(n) OVER w AS newer, min(first_id) OVER w AS first_id, max(newest) OVER w AS newest FROM day WINDOW w AS (PARTITION BY source ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT x.id AS decision_id, CAST(l.newer AS BIGINT) AS newer, l.first_id, l.newest FROM v x JOIN later l ON l.source = x.source AND l.d = x.d WHERE x.type = 'decision' AND l.newer > 0"""
+    """JN15: live notes of the same language that are newer than a decision: a range join, as running totals over dates."""
+    return f"""WITH {notes(q)}, v AS (SELECT id, type, lang, {VALID_DATE} AS d, CASE WHEN type <> 'decision' AND is_latest_version IS DISTINCT FROM 'false' THEN 1 ELSE 0 END AS live FROM notes),
+day AS (SELECT lang, d, {q.isum('live')} AS n, min(CASE WHEN live = 1 THEN id END) AS first_id, max(CASE WHEN live = 1 THEN d END) AS newest FROM v WHERE d <> '' GROUP BY lang, d),
+later AS (SELECT lang, d, sum(n) OVER w AS newer, min(first_id) OVER w AS first_id, max(newest) OVER w AS newest FROM day WINDOW w AS (PARTITION BY lang ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT x.id AS decision_id, CAST(l.newer AS BIGINT) AS newer, l.first_id, l.newest FROM v x JOIN later l ON l.lang = x.lang AND l.d = x.d WHERE x.type = 'decision' AND l.newer > 0"""
 
 
 @P.sql
@@ -257,11 +233,20 @@ SELECT name, CAST(row_number() OVER (ORDER BY first_at) AS BIGINT) AS place FROM
 
 
 def shingle_rows(q, table: str, key: str, text: str, w: int, where: str = "true") -> str:
-    """(key, s): the distinct w-word shingles of a text column."""
-    words = q.transform(q.seq("1", f"{q.size('t')} - {w - 1}"), "i", f"array_join({q.slice('t', 'i', str(w))}, ' ')" if q.name == "spark" else f"array_to_string({q.slice('t', 'i', str(w))}, ' ')")
+    """(key, s): the distinct w-word shingles of a text column.
+
+    Spark makes them 64-bit hashes, distinct within the row: nothing is shuffled, and no text leaves a row."""
+    if q.name == "spark":
+        return f"(SELECT {key}, s FROM (SELECT {key}, {shingle_hashes(q, 't', w)} AS g FROM {token_rows(q, table, text, key, 't', where)} x) y, {q.unnest('g', 'u(s)')})"
+    words = q.transform(q.seq("1", f"{q.size('t')} - {w - 1}"), "i", f"array_to_string({q.slice('t', 'i', str(w))}, ' ')")
     return f"(SELECT DISTINCT {key}, s FROM (SELECT {key}, {tokens(q, text)} AS t FROM {table} WHERE {where}) x, {q.unnest(words, 'u(s)')})"
 
 
+def shingle_hashes(q, words: str, w: int) -> str:
+    """Spark: the distinct hashes of a word array's w-word shingles."""
+    return q.distinct(q.transform(q.seq("1", f"{q.size(words)} - {w - 1}"), "i", f"xxhash64({q.slice(words, 'i', str(w))})"))
+
+
 @P.sql
 def shingle_difference(q):
     """JN17: shingles of a block that its row lacks; a shared one is a hit."""
