@@ -174,11 +174,33 @@ def test_text_functions():
     assert "".join(p["text"] for p in parts).replace(" ", "").endswith("word")
     page = text.html_to_text("<title>A &amp; B</title><script>x()</script><p>one<br>two</p>")
     assert page["title"] == "A & B" and "x()" not in page["body"] and "one\ntwo" in page["body"]
-    assert text.rows_to_markdown([["a", "b"], ["1", "2"]]).splitlines()[1] == "| --- | --- |"
-    assert text.rows_to_markdown([["a", ""], ["1"]]).startswith("```table-unparsed")
+    assert text.markdown_table([["a", ""], [None, None], ["1", "x\ny"]]) == "| a |  |\n| --- | --- |\n| 1 | x y |"
+    assert text.markdown_table([["a", "b"], ["1"]]) == "```table-unparsed\na | b\n1\n```" and text.markdown_table([[""]]) == ""
+    assert text.markdown_table([["a", "b"]]).startswith("```table-unparsed")
+    meta, body = text.split_front_matter("---\nid: 'a: b'\nempty:\nlist: []\n---\n\nx\n---\ny")
+    assert meta == {"id": "a: b", "list": []} and body == "x\n---\ny" and text.split_front_matter("--- no\n---\n")[0] == {}
+    assert text.set_keys("---\na: 1\n---\nx", {"a": "2", "c": "3"}) == "---\na: 2\nc: 3\n---\nx"
+    page = text.html_to_text("<p>a &lt;b&gt;</p><!-- <p>no</p> --><STYLE>x</STYLE><div>c<b>d</b></div><script>y")
+    assert page == {"title": "", "body": "a <b>\n\ncd"}
     assert abs(np.linalg.norm(text.hash_vector("some words here")) - 1) < 1e-12 and not text.hash_vector("").any()
 
 
+def test_archives_that_lie():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.txt", "a" * 5_000_000)
+        for name in ("C:/x.txt", "../up.txt", "/abs.txt", " "):
+            z.writestr(name, "x")
+        device = zipfile.ZipInfo("dev")
+        device.create_system, device.external_attr = 3, 0o020644 << 16
+        z.writestr(device, "x")
+    raw = out.getvalue().replace((5_000_000).to_bytes(4, "little"), (10).to_bytes(4, "little"))  # declares ten bytes
+    found = {n.partition("!")[2]: x for n, x in ingest.expand("a.zip", raw)}
+    assert all(isinstance(x, ingest.Quarantine) for x in found.values()) and len(found) == 6
+    z = zipfile.ZipFile(io.BytesIO(out.getvalue()))
+    assert ingest._unpacked(z, z.getinfo("big.txt"), 4_000_000) is None and len(ingest._unpacked(z, z.getinfo("big.txt"), 5_000_000)) == 5_000_000
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "a.md").write_text("# T\n\n" + "plenty of text in this note " * 3)
     (tmp_path / "b.txt").write_text("short")

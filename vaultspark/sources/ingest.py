@@ -11,7 +11,9 @@ import io
 import json
 import re
 import xml.etree.ElementTree as ET
+import stat
 import zipfile
+import zlib
 from email import policy
 from email.parser import BytesParser
 
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.functions.text import decoded, html_to_text, rows_to_markdown, split_front_matter
+from vaultspark.functions.text import decoded, html_to_text, markdown_table, split_front_matter
 
 #: Limits of archives: members, bytes of one, bytes of all, and how deep archives nest.
 MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_TOTAL_BYTES, MAX_DEPTH = 500, 200 << 20, 500 << 20, 3
@@ -43,7 +45,7 @@ def _text(raw: bytes):
 
 
 def _csv(raw: bytes):
-    return "", rows_to_markdown([r for r in csv.reader(io.StringIO(decoded(raw))) if r], "csv"), {}
+    return "", markdown_table(list(csv.reader(io.StringIO(decoded(raw))))), {}
 
 
 def _html(raw: bytes):
@@ -102,7 +104,7 @@ def _xlsx(raw: bytes):
                 text = "" if v is None else v.text or ""
                 cells.append(shared[int(text)] if c.get("t") == "s" and text else "".join(t.text or "" for t in inline.iter(_S + "t")) if inline is not None else text)
             rows.append(cells)
-        out.append(rows_to_markdown(rows, n))
+        out.append(markdown_table(rows))
     return "", "\n\n".join(out), {"sheets": len(out)}
 
 
@@ -143,17 +145,44 @@ def expand(path: str, raw: bytes, depth: int = 0):
     if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_TOTAL_BYTES:
         yield path, Quarantine("the archive is too large")
         return
+    left = MAX_TOTAL_BYTES
     for i in infos:
         name = f"{path}!{i.filename}"
-        if i.filename.startswith(("/", "\\")) or ".." in i.filename.replace("\\", "/").split("/") or (i.external_attr >> 16) & 0o170000 == 0o120000:
-            yield name, Quarantine("the member's path leaves the archive")
-        elif i.file_size > MAX_MEMBER_BYTES:
+        if fault := _unsafe(i):
+            yield name, Quarantine(fault)
+            continue
+        try:
+            data = _unpacked(z, i, min(MAX_MEMBER_BYTES, left))
+        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as error:
+            yield name, Quarantine(str(error))
+            continue
+        if data is None:
             yield name, Quarantine("the member is too large")
-        else:
-            try:
-                yield from expand(name, z.read(i), depth + 1)
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as error:
-                yield name, Quarantine(str(error))
+            continue
+        left -= len(data)
+        yield from expand(name, data, depth + 1)
+
+
+def _unsafe(member: zipfile.ZipInfo) -> str | None:
+    """What is wrong with a member's name or kind: it must be a plain file below the archive."""
+    parts = member.filename.replace("\\", "/").split("/")
+    if not member.filename.strip():
+        return "the member has no name"
+    if not parts[0] or ".." in parts or re.fullmatch("[A-Za-z]:.*", parts[0]):
+        return "the member's path leaves the archive"
+    kind = stat.S_IFMT(member.external_attr >> 16) if member.create_system == 3 else 0
+    return "the member is not a plain file" if kind not in (0, stat.S_IFREG) else None
+
+
+def _unpacked(z: zipfile.ZipFile, member: zipfile.ZipInfo, most: int) -> bytes | None:
+    """A member's bytes, unpacked in steps; None beyond `most`, whatever size it declares."""
+    out = bytearray()
+    with z.open(member) as f:
+        while step := f.read(min(1 << 20, most + 1 - len(out))):
+            out += step
+            if len(out) > most:
+                return None
+    return bytes(out)
 
 
 def rows_of(path: str, raw: bytes):
