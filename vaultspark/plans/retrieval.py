@@ -139,9 +139,17 @@ def rerank_noop(q):
 
 @P.sql
 def evidence_labels(q):
-    """WN16, WN17: the strongest evidence of each hit, and whether a new note would repeat it."""
-    ev = "CASE WHEN f.lexical_rank = 1 THEN 'exact_title_match' WHEN f.lexical_rank <= 10 THEN 'keyword_exact' WHEN f.dense_rank <= 3 AND f.sim >= 8e-1 THEN 'high_vector_match' ELSE 'weak_semantic' END"
-    return f"WITH {fused(q)}, e AS (SELECT f.doc_id, {ev} AS evidence FROM fused f) SELECT doc_id, evidence, CASE evidence WHEN 'exact_title_match' THEN 'exists' WHEN 'weak_semantic' THEN 'unknown' ELSE 'probable' END AS create_safety FROM e"
+    """WN16, WN17: the strongest evidence of each hit for a note's title as the query, and whether a new note would repeat it.
+
+    A title, then most of a title in one piece, then the phrase in the text, then a near vector. Only a title that one note owns exists."""
+    words = lambda x: f"CAST({q.size(tokens(q, x))} AS DOUBLE)"
+    spaced = lambda x: f"(' ' || lower({x}) || ' ')"
+    return f"""WITH {notes(q)}, {fused(q)}, ask AS (SELECT lower(trim(title)) AS ask FROM notes WHERE doc_id = 2), own AS (SELECT count(*) AS owners FROM notes n, ask WHERE lower(trim(n.title)) = ask.ask),
+hit AS (SELECT doc_id FROM fused UNION SELECT n.doc_id FROM notes n, ask WHERE lower(trim(n.title)) = ask.ask OR {q.contains(spaced('n.title'), spaced('ask.ask'))}),
+e AS (SELECT h.doc_id, CASE WHEN lower(trim(n.title)) = a.ask THEN 'exact_title_match' WHEN {words('a.ask')} >= 2 AND {words('a.ask')} < {words('n.title')} AND {words('a.ask')} / {words('n.title')} >= 6e-1 AND {q.contains(spaced('n.title'), spaced('a.ask'))} THEN 'title_phrase_match'
+WHEN {q.contains(spaced(q.replace_all('n.body', '[^0-9A-Za-z]+', ' ')), spaced('a.ask'))} THEN 'keyword_exact' WHEN f.dense_rank <= 3 AND f.sim >= 8e-1 THEN 'high_vector_match' ELSE 'weak_semantic' END AS evidence
+FROM hit h JOIN notes n ON n.doc_id = h.doc_id LEFT JOIN fused f ON f.doc_id = h.doc_id, ask a)
+SELECT e.doc_id, e.evidence, CASE e.evidence WHEN 'exact_title_match' THEN CASE WHEN o.owners = 1 THEN 'exists' ELSE 'probable' END WHEN 'weak_semantic' THEN 'unknown' ELSE 'probable' END AS create_safety FROM e, own o"""
 
 
 @P.sql
