@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultspark.api import Vault
-from vaultspark.operators import protocols, structured
+from vaultspark.functions import languages
+from vaultspark.operators import alerts, probes, protocols, structured
 from vaultspark.sources import ledgers
 
 NOTE = "id string, title string, type string, classification string, zone string, path string, created string, updated string, document_date string, effective_date string, superseded_date string, is_latest_version string, superseded_by string, body string"
@@ -76,6 +77,29 @@ def test_search(spark, notes):
     assert parts[("b", "decision")] == 1 and ("a", "decision") not in parts  # an "unknown" date sorts after every date
 
 
+def test_search_stages(spark):
+    long = "red whale " * 200
+    row = lambda i, title, zone="brain", latest=None, by=None, body=long, path=None, tier="Public": (i, title, "note", tier, zone, path or f"{zone}/{i}.md", "2024-01-01", "2024-01-01", "", "", "", latest, by, body)
+    rows = [
+        row("v1", "Old", latest="false", by="v2", path="brain/x/v1.md"), row("v2", "Mid", latest="false", by="v3"), row("v3", "New"),  # one family: v3 stands for it
+        row("w1", "Loop", by="w2", tier="Public"), row("w2", "Loop two", by="w1", tier="MNPI"),  # tiers differ: not folded
+        row("s1", "Stub", by="s2", body="red"), row("s2", "Stub two", body="red"),  # below the floor
+        row("o1", "Same Name", latest="false", body="same name same name"), row("o2", "Same Name", body="same name of another"),
+        row("t1", "Call", zone="transcript", body="x"), row("t2", "Call again", zone="transcript", body="y"), row("t3", "Base", body="z"),
+    ]
+    vectors = spark.createDataFrame([("t3", [1.0, 0.0]), ("t1", [0.99, 0.1]), ("t2", [0.98, 0.1]), ("v1", [0.0, 1.0])], "id string, embedding array<double>")
+    v = Vault(spark.createDataFrame(rows, NOTE), vectors)
+    hits = {h.id: h for h in v.search("red", k=20).collect()}
+    assert set(hits) == {"v3", "w1", "w2", "s1", "s2"} and hits["v3"].duplicates == ["v1", "v2"] and not hits["s2"].duplicates
+    assert len(v.search("red", k=20, collapse=False).collect()) == 7
+    owners = [(h.id, h.evidence, h.create_safety) for h in v.search("same name", k=20).collect()]
+    assert owners == [("o2", "exact_title_match", "probable"), ("o1", "exact_title_match", "probable")]  # the live one first, in the places that they hold
+    order = [h.id for h in v.search("nothing", [1.0, 0.0], k=4).collect()]
+    assert order == ["t3", "t1", "t2", "v3"]  # v3 stands for v1
+    assert [h.id for h in v.search("nothing", [1.0, 0.0], k=4, demote=0.95).collect()] == ["t3", "v3", "t1", "t2"]
+    assert [h.id for h in v.search("nothing", [1.0, 0.0], k=4, zones={"transcript": 3.0}).collect()][:2] == ["t1", "t2"]
+
+
 def test_duplicates(notes):
     assert {(r.id, r.canonical) for r in Vault(notes).exact_duplicates().collect()} == {("e", True), ("d", False)}
 
@@ -132,3 +156,55 @@ def test_inbox_stream(spark, tmp_path):
     go()
     read = lambda p: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / p)).count()
     assert read("out") == 2 and read("bad") == 1
+
+
+def test_health_log(spark, tmp_path):
+    folder = str(tmp_path / "health")
+    put = lambda day, **o: ledgers.append_health(spark, folder, {"run": day, "v": 1}, now=f"{day}T10:00:00", **o)
+    assert put("2024-01-01") is None and put("2024-01-02") is None
+    assert spark.read.json(f"{folder}/live").count() == 2
+    first = put("2024-01-03", most_bytes=60)
+    assert first == "health-20240103T100000" and spark.read.json(f"{folder}/live").count() == 1
+    assert put("2024-01-03", most_bytes=10) == first + "-1" and spark.read.json(f"{folder}/archive/*").count() == 3
+    assert put("2024-06-01", most_bytes=10) == "health-20240601T100000"  # the parts of January are over ninety days old
+    assert [r.run for r in spark.read.json(f"{folder}/archive/*").collect()] == ["2024-01-03"]
+
+
+def test_alerts(spark):
+    feeds = spark.createDataFrame([("a", "2024-05-01", True, True), ("b", "2024-04-01", True, True), ("c", None, True, True), ("d", None, False, True), ("e", None, False, False), ("f", "2024-05-02", True, True)], "vault string, at string, has_feed boolean, has_run boolean")
+    findings = spark.createDataFrame([("a", "drift"), ("a", "drift"), ("a", "blocked:x"), ("a", "new-thing"), ("a", "Bad Key"), ("a", "synthesis-watchdog"), ("a", None), ("b", "drift")], "vault string, key string")
+    got = alerts.collect(alerts.degradation(feeds, findings, today="2024-05-02", declared=F.col("key").isin("drift", "blocked:x"))).collect()
+    assert sorted(map(tuple, got)) == [
+        ("a", "degradation", "blocked:x, drift"), ("a", "degradation:unrecognised-key", "1"), ("a", "degradation:untriaged", "new-thing"),
+        ("b", "maintain:stale", "31 days"), ("c", "maintain:unparseable-feed", ""), ("d", "maintain:no-feed", ""),
+    ]
+    assert alerts.degradation(feeds.limit(0), findings.limit(0), today="2024-05-02", declared=F.lit(True)).count() == 0
+
+
+def test_probes(notes):
+    v = Vault(notes)
+    asked = [
+        {"id": "current", "class": "currency", "anchor_id": "a", "weight": 2},
+        {"id": "lost", "class": "currency", "anchor_id": "zz"},
+        {"id": "fresh", "class": "freshness", "max_age_days": 30},
+        {"id": "old", "class": "freshness", "max_age_days": 3},
+        {"id": "state", "class": "decision_state", "query": "fox", "anchor_id": "a"},
+        {"id": "claim", "class": "decision_state", "query": "fox", "claim_any": ["NEW plan"]},
+        {"id": "tension", "class": "tension", "query": "fox", "anchor_id": "a"},
+        {"id": "bad", "class": "other"},
+        {"id": "none", "class": "decision_state", "query": "fox"},
+    ]
+    rows = probes.run_probes(v, asked, today="2024-07-11").collect()
+    assert {r.probe: r.status for r in rows} == {"current": "pass", "lost": "invalid", "fresh": "pass", "old": "fail", "state": "pass", "claim": "pass", "tension": "pass", "bad": "invalid", "none": "invalid"}
+    assert {(r.score, r.disposition) for r in rows} == {(round(6 / 7, 4), "regression")}
+    assert {r.disposition for r in probes.run_probes(v, asked[:2], today="2024-07-11").collect()} == {"action_required"}
+    assert {r.disposition for r in probes.run_probes(v, asked[:1], today="2024-07-11").collect()} == {"ok"}
+
+
+def test_languages(spark):
+    told = languages.telling(languages.merged({"xx": {"stopwords": ["the", " Foo "]}, "bad": {"stopwords": []}, "worse": 3}))
+    assert "the" not in told["en"] and told["xx"] == ["foo"] and "bad" not in told and "de" not in told["pt"] and "de" not in told["es"]
+    rows = [("The plan is for the team", "en"), ("IS OF TO", "unknown"), ("The IS of", "unknown"), ("el los las", "es"), ("el los the and", "unknown"), ("não também já", "pt"), ("", "unknown"), (None, "unknown"), ("Foo foo foo " * 900, "unknown")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string").select("i", languages.language_of("text", languages.BUILT_IN).alias("l")).orderBy("i").collect()
+    assert [r.l for r in got] == [lang for _, lang in rows]
+    assert languages.merged({"profiles": {"FR": {"stopwords": ["le"]}}})["fr"] == ("le",)

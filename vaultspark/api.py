@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.operators import graph, search, structured
+from vaultspark.operators.base import checkpointed
 from vaultspark.operators.protocols import RERANK, NoopReranker, Reranker, rerank
 
 #: Candidates of each leg for k results, and variants of a query at most.
 CANDIDATES, VARIANTS = 8, 4
 #: Weights of the exact leg: a name with one owner, with several, and part of a title.
 UNIQUE, COLLIDING, PARTIAL = 2.25, 1.0, 0.25
+#: Owners of a name, and of names that hold the query, in the exact leg.
+OWNERS = 16
+#: Words (English and Portuguese) of a question about the present; fixed values.
+TEMPORAL = (
+    "latest|newest|current(?:ly)?|recent(?:ly)?|as of|today|now|up[- ]to[- ]date|this (?:week|month|quarter|year)|"
+    "atual(?:mente)?|mais recentes?|últim[oa]s?|recentes?|hoje|est[ae] (?:semana|mês|trimestre|ano)"
+)
+
+
+def temporal(query: str) -> bool:
+    """Whether a query asks for what is recent."""
+    return re.search(rf"(?<!\w)(?:{TEMPORAL})(?!\w)", query.lower()) is not None
+
+
+def literal(query: str):
+    """Whether the query stands in a title or body as whole words; one word has to look like an identifier."""
+    ask = " ".join(query.lower().split())
+    words = re.findall(r"\w+", ask)
+    if not words or (len(words) == 1 and not (len(words[0]) >= 8 or re.search(r"[\d_/-]", ask))):
+        return F.lit(False)
+    inside = re.sub(r"([^\w ])", r"\\\1", ask)
+    found = [F.lower(F.regexp_replace(c, r"\s+", " ")).rlike(rf"(?<![\p{{L}}\p{{N}}_]){inside}(?![\p{{L}}\p{{N}}_])") for c in ("title", "body")]
+    return F.coalesce(found[0], F.lit(False)) | F.coalesce(found[1], F.lit(False))
+
+
+def weight_of(zones: dict[str, float]):
+    """The weight of a note's zone; one unless set."""
+    out = F.lit(1.0)
+    for zone, w in zones.items():
+        out = F.when(F.col("zone") == zone, float(w)).otherwise(out)
+    return out
+
+
+def owner_order(zones: dict[str, float]) -> list:
+    """Owners of one name: live ones, heavy zones, new ones, then by id. Texts that are no dates come last."""
+    return [F.col("live").desc(), weight_of(zones).desc(), F.try_to_date("d").desc_nulls_last(), "id"]
 
 
 class Vault:
@@ -39,55 +78,93 @@ class Vault:
 
     # ranked
 
-    def _exact(self, query: str) -> DataFrame:
-        """(qid, id, rank, w, owners): owners of the query as a title, then of titles that it is most of."""
+    def _owns(self, query: str):
+        """Whether a note's title is the query, and whether the query is most of it in one piece."""
         words = query.lower().split()
         name = F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))
-        title = F.split(name, " ")
-        n = len(words)
-        part = (F.size(title) > n) & (F.lit(n) / F.size(title) >= 0.6) & F.contains(F.concat(F.lit(" "), name, F.lit(" ")), F.lit(f" {' '.join(words)} ")) if n >= 2 else F.lit(False)
-        full = name == " ".join(words)
-        rows = self.notes.select("id", "zone", full.alias("full"), part.alias("part"), structured.is_live().alias("live"), structured.valid_date().alias("d")).filter("full OR part")
-        owners = F.sum(F.col("full").cast("int")).over(Window.partitionBy())
-        rows = rows.withColumn("owners", owners)
-        order = Window.orderBy(F.col("full").desc(), F.col("live").desc(), (F.col("zone") == "brain").desc(), F.col("d").desc(), "id")
+        title, n = F.split(name, " "), len(words)
+        full = F.coalesce(name == " ".join(words), F.lit(False)) if words else F.lit(False)
+        if n < 2:
+            return full, F.lit(False)
+        part = (F.size(title) > n) & (F.lit(n) / F.size(title) >= 0.6) & F.contains(F.concat(F.lit(" "), name, F.lit(" ")), F.lit(f" {' '.join(words)} "))
+        return full, F.coalesce(part, F.lit(False))
+
+    def _exact(self, query: str, zones: dict[str, float]) -> DataFrame:
+        """(id, rank, w): owners of the query as a title, then of titles that it is most of, sixteen of each at most."""
+        full, part = self._owns(query)
+        rows = self.notes.select("id", "zone", full.alias("full"), part.alias("part"), structured.is_live().alias("live"), structured.valid_date().alias("d"))
+        best = [rows.filter(kind).orderBy(*owner_order(zones)).limit(OWNERS) for kind in ("full", "part AND NOT full")]
+        one = rows.filter("full").agg(F.count(F.lit(1)).alias("owners"))
         w = F.when(F.col("full") & (F.col("owners") == 1), UNIQUE).when(F.col("full"), COLLIDING).otherwise(PARTIAL)
-        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 16).select(F.lit(0).cast("long").alias("qid"), "id", "rank", w.alias("w"), "full", "owners")
+        place = F.row_number().over(Window.orderBy(F.col("full").desc(), *owner_order(zones)))
+        return best[0].unionByName(best[1]).crossJoin(F.broadcast(one)).select("id", place.alias("rank"), w.alias("w"))
+
+    def search(
+        self, query: str, vector: list[float] | None = None, *, k: int = 10, rrf_k: int = search.ASKED, today: str | None = None, max_tier: str = "MNPI",
+        reranker: Reranker | None = None, zones: dict[str, float] | None = None, collapse: bool = True, demote: float | None = None, demoted_zones: tuple[str, ...] = ("transcript",),
+    ) -> DataFrame:
+        """id, score, rank, source, evidence and create_safety of the first k; the tier cap comes after the cut.
 
-    def search(self, query: str, vector: list[float] | None = None, *, k: int = 10, rrf_k: int = search.ASKED, today: str | None = None, max_tier: str = "MNPI", reranker: Reranker | None = None) -> DataFrame:
-        """id, score, rank, source, evidence and create_safety of the first k; the tier cap comes after the cut."""
+        Legs, family collapse, fusion, zone prior (on hits of the vector leg alone), recency, demotion of near copies,
+        the pin of a title's only owner, reranking, the order of a title's owners, the cut, evidence, the tier cap."""
         const, exact_on = search.fusion_constant(rrf_k)
-        n = max(CANDIDATES * k, k)
-        terms = [t for t in dict.fromkeys(query.lower().split()) if t]
-        asked = self.spark.createDataFrame([(0, t) for t in terms], "qid long, term string")
-        legs = {"lexical": search.bm25(self.notes.select("id", F.col("body").alias("text")), asked, key="id", n=n).select("qid", "id", "rank")}
-        if self.vectors is not None and vector is not None:
+        zones, n = zones or {}, max(CANDIDATES * k, k)
+        terms = list(dict.fromkeys(query.lower().split()))
+        none = F.lit(None).cast("double")
+        legs: dict[str, list[tuple]] = {"lexical": [], "dense": []}  # at most n rows each
+        if terms and n > 0:
+            found = search.bm25_terms(self.notes.select("id", F.col("body").alias("text")), terms, key="id", n=n)
+            legs["lexical"] = [(r["id"], r["rank"], None) for r in found.collect()]
+        if self.vectors is not None and vector is not None and n > 0:
             one = self.spark.createDataFrame([(0, [float(x) for x in vector])], "qid long, q array<double>")
-            legs["dense"] = search.nearest(self.vectors, one, key="id", n=n).select("qid", "id", "rank", "score")
-        fused = search.fuse({name: leg.select("qid", "id", "rank") for name, leg in legs.items()}, key="id", k=const)
-        if "dense" not in legs:
-            fused = fused.withColumn("dense_rank", F.lit(None).cast("int"))
+            legs["dense"] = [(r["id"], r["rank"], r["score"]) for r in search.nearest(self.vectors, one, key="id", n=n).collect()]
+        full, part = self._owns(query)
+        heads = search.family_canonicals([r[0] for leg in legs.values() for r in leg], self.notes, full | part) if collapse else {}
+        legs = {name: search.fold(leg, heads) for name, leg in legs.items()}
+        frames = {name: self.spark.createDataFrame(leg, "id string, rank int, sim double") for name, leg in legs.items()}
+        fused = search.fuse({name: f.select(F.lit(0).alias("qid"), "id", "rank") for name, f in frames.items()}, key="id", k=const).drop("qid")
         if exact_on:
-            e = self._exact(query)
-            fused = fused.join(e.select("id", F.col("rank").alias("exact_rank"), "w", "full", "owners"), "id", "full")
-            fused = fused.withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce(F.col("w") / (const + F.col("exact_rank")), F.lit(0.0)))
+            e = self._exact(query, zones).withColumnRenamed("rank", "exact_rank")
+            fused = fused.join(e, "id", "full").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce(F.col("w") / (const + F.col("exact_rank")), F.lit(0.0)))
         else:
-            fused = fused.withColumns({"exact_rank": F.lit(None).cast("int"), "full": F.lit(None).cast("boolean"), "owners": F.lit(None).cast("long")})
-        sims = legs["dense"].select("id", F.col("score").alias("sim")) if "dense" in legs else None
-        rows = fused.join(self.notes, "id")
-        rows = rows.join(sims, "id", "left") if sims is not None else rows.withColumn("sim", F.lit(None).cast("double"))
+            fused = fused.withColumns({"exact_rank": F.lit(None).cast("int"), "w": none})
+        owners = self.notes.filter(full).agg(F.count(F.lit(1)).alias("owners"))
+        absorbed: dict[str, list[str]] = {}
+        for i, head in sorted(heads.items()):
+            absorbed.setdefault(head, []).append(i)
+        twins = self.spark.createDataFrame(list(absorbed.items()), "canonical string, duplicates array<string>")
+        rows = self.notes.join(F.broadcast(fused), "id").join(F.broadcast(frames["dense"].select("id", "sim")), "id", "left")
+        rows = rows.join(F.broadcast(twins), F.col("id") == F.col("canonical"), "left").crossJoin(F.broadcast(owners))
+        rows = rows.withColumns({"full": full, "part": part, "live": structured.is_live(), "d": structured.valid_date(), "literal": literal(query)})
+        alone = F.col("lexical_rank").isNull() & F.col("exact_rank").isNull()
+        rows = rows.withColumn("score", F.col("score") * F.when(alone, weight_of(zones)).otherwise(1.0))
         if today:
-            rows = rows.withColumn("score", F.col("score") * search.recency(structured.valid_date(), today))
-        pin = F.coalesce(F.col("full") & (F.col("owners") == 1), F.lit(False))
-        rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(pin.desc(), F.round("score", 9).desc(), "id"))).filter(F.col("rank") <= max(k, 0))
+            weight, half = (0.5, 90) if temporal(query) else (0.25, 180)
+            rows = rows.withColumn("score", F.col("score") * search.recency(F.col("d"), today, weight=weight, half_life=half))
+        pin = F.col("full") & (F.col("owners") == 1) if exact_on else F.lit(False)
+        rows = rows.withColumn("down", F.lit(False))
+        if demote is not None and self.vectors is not None:
+            may = alone & ~F.col("full") & F.col("zone").isin(*demoted_zones)
+            rows = checkpointed(rows)  # a few rows, used twice
+            near = rows.select("id", "score", may.alias("may")).join(self.vectors.select("id", "embedding"), "id")
+            gone = search.near_duplicate_demotion(near, threshold=demote, key="id", eligible="may").filter("demoted").select("id", F.lit(True).alias("gone"))
+            rows = rows.join(gone, "id", "left").withColumn("down", F.coalesce("gone", F.lit(False))).drop("gone")
+        rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(pin.desc(), F.col("down"), F.round("score", 9).desc(), "id")))
+        if reranker is not None:
+            rows = checkpointed(rows)
         if reranker is not None and not isinstance(reranker, NoopReranker) and not rows.filter(pin).limit(1).count():
             new = rerank(rows.select("id", "rank", F.col("body").alias("text")), reranker, query, window=RERANK, key="id")
             rows = rows.drop("rank").join(new, "id")
-        evidence = F.when(F.col("full"), "exact_title_match").when(F.col("exact_rank").isNotNull(), "title_phrase_match").when(F.col("lexical_rank").isNotNull(), "keyword_exact").when((F.col("dense_rank") <= 3) & (F.col("sim") >= 0.8), "high_vector_match").otherwise("weak_semantic")
+        if exact_on:  # owners of one title keep their places and fill them in their own order
+            slots = F.array_sort(F.collect_list(F.when(F.col("full"), F.col("rank"))).over(Window.partitionBy()))
+            place = F.row_number().over(Window.orderBy(F.col("full").desc(), *owner_order(zones)))
+            rows = rows.withColumns({"slots": slots, "place": place}).withColumn("rank", F.when(F.col("full"), F.get("slots", F.col("place") - 1)).otherwise(F.col("rank")))
+        rows = rows.filter(F.col("rank") <= max(k, 0))
+        evidence = F.when(F.col("full"), "exact_title_match").when(F.col("part"), "title_phrase_match").when(F.col("literal"), "keyword_exact").when((F.col("dense_rank") <= 3) & (F.col("sim") >= 0.8), "high_vector_match").otherwise("weak_semantic")
         both = F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull()
         source = F.when(both, "both").when(F.col("lexical_rank").isNotNull(), "lexical").when(F.col("dense_rank").isNotNull(), "semantic").otherwise("exact")
-        safety = F.when(pin, "exists").when(evidence == "weak_semantic", "unknown").otherwise("probable")
-        out = rows.select("id", "title", "type", "zone", "classification", F.round("score", 6).alias("score"), "rank", source.alias("source"), evidence.alias("evidence"), safety.alias("create_safety"), "is_latest_version", structured.valid_date().alias("date"), structured.snippet("body").alias("snippet"))
+        safety = F.when(F.col("full") & (F.col("owners") == 1), "exists").when(evidence == "weak_semantic", "unknown").otherwise("probable")
+        out = rows.select("id", "title", "type", "zone", "classification", F.round("score", 6).alias("score"), "rank", source.alias("source"), evidence.alias("evidence"), safety.alias("create_safety"), "is_latest_version", F.col("d").alias("date"), structured.snippet("body").alias("snippet"), F.coalesce("duplicates", F.array().cast("array<string>")).alias("duplicates"))
         return structured.egress(out, max_tier)[0].orderBy("rank")
 
     def search_multi(self, queries: list[str], *, k: int = 10, **options) -> DataFrame:

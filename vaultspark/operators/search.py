@@ -39,6 +39,24 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str
     return ranked.filter(F.col("rank") <= n) if n else ranked
 
 
+def bm25_terms(docs: DataFrame, terms: list[str], *, key: str = "doc_id", text: str = "text", n: int = 80) -> DataFrame:
+    """(key, score, rank): bm25 of one query. Lengths and counts are taken in the row, so no word of a text is shuffled."""
+
+    def times(term):
+        return F.size(F.filter("w_", lambda x: x == term)).cast("long")
+
+    rows = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("w_")).filter(F.size("w_") > 0)
+    rows = rows.select(key, F.size("w_").cast("long").alias("dl_"), *[times(t).alias(f"tf{i}_") for i, t in enumerate(terms)])
+    stat = rows.agg(F.count(F.lit(1)).cast("double").alias("docs_"), F.avg("dl_").alias("avgdl_"), *[F.count_if(F.col(f"tf{i}_") > 0).alias(f"df{i}_") for i in range(len(terms))])
+    score, found = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}_"), F.col(f"df{i}_")
+        part = F.log(1 + (F.col("docs_") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl_") / F.col("avgdl_")))
+        score, found = score + F.when(tf > 0, part).otherwise(0.0), found | (tf > 0)
+    best = rows.filter(found).crossJoin(F.broadcast(stat)).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -141,10 +159,11 @@ def recency(date: Column, today: str, *, weight: float = 0.25, half_life: int =
     return F.when(d.isNull() | (age < 0), 1.0).otherwise(1 - weight * (1 - F.pow(F.lit(0.5), age / half_life)))
 
 
-def near_duplicate_demotion(ranked: DataFrame, *, threshold: float, key: str = "vec_id", vector: str = "embedding", score: str = "score", limit: int = 8000) -> DataFrame:
+def near_duplicate_demotion(ranked: DataFrame, *, threshold: float, key: str = "vec_id", vector: str = "embedding", score: str = "score", eligible: str | None = None, limit: int = 8000) -> DataFrame:
     """(key, score, place, demoted): walking from the best, a row too near to a kept one goes to the tail.
 
-    A sequential rule over the candidates of one query; more than `limit` of them are an error, not cut."""
+    Rows that aren't `eligible` (a boolean column; all are without one) stay where they are. A sequential rule over the
+    candidates of one query; more than `limit` of them are an error, not cut."""
     if ranked.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} candidates of one query")
     kind = ranked.schema[key].dataType.simpleString()
@@ -157,11 +176,57 @@ def near_duplicate_demotion(ranked: DataFrame, *, threshold: float, key: str = "
         kept: list[int] = []
         down: list[int] = []
         for i in range(len(x)):
-            (down if kept and float((x[kept] @ x[i]).max()) >= threshold else kept).append(i)
+            (down if kept and pdf["may_"].iloc[i] and float((x[kept] @ x[i]).max()) >= threshold else kept).append(i)
         order = kept + down
         out = pdf.iloc[order][[key, score]].copy()
         out["place"] = range(1, len(order) + 1)
         out["demoted"] = [False] * len(kept) + [True] * len(down)
         return out
 
-    return ranked.select(key, vector, score).withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(walk, f"{key} {kind}, {score} double, place long, demoted boolean")
+    may = F.col(eligible) if eligible else F.lit(True)
+    return ranked.select(key, vector, score, may.alias("may_")).withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(walk, f"{key} {kind}, {score} double, place long, demoted boolean")
+
+
+def family_canonicals(candidates: list[str], notes: DataFrame, exempt: Column, *, floor: int = 1024, hops: int = 8) -> dict[str, str]:
+    """The canonical note of each absorbed one: versions of one chain whose bodies are equal vote as one document.
+
+    candidates are the ids of one query's legs, a few for each result asked for; each hop is a filtered scan that gives
+    at most one link of each. A family is declined if tiers, zones or types differ in it, a body is below the floor, or
+    one of its notes is exempt. Live notes, short paths and small ids are canonical first."""
+    links = notes.filter(F.coalesce("superseded_by", F.lit("")) != "").select("id", "superseded_by")
+    up: dict[str, str] = {}
+    at = set(candidates)
+    for _ in range(hops):
+        step = dict(map(tuple, links.filter(F.col("id").isin(sorted(at))).collect())) if at else {}
+        up |= step
+        at = set(step.values()) - set(up) - set(candidates)
+    roots = {i: i for e in up.items() for i in e}
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a, b in up.items():
+        roots[root(a)] = root(b)
+    members = [(i, root(i)) for i in roots]
+    if not members:
+        return {}
+    body = F.trim(F.regexp_replace("body", r"[ \t]+(\n|$)", "$1"))
+    retired = (F.coalesce("superseded_by", F.lit("")) != "") | (F.lower(F.trim(F.coalesce("is_latest_version", F.lit("")))) == "false")
+    kind = F.struct(*[F.coalesce(c, F.lit("")) for c in ("classification", "zone", "type")])
+    order = F.struct(retired, F.length(F.regexp_replace("path", "[^/]", "")), F.length("path"), "id")
+    rows = notes.join(F.broadcast(notes.sparkSession.createDataFrame(members, "id string, root string")), "id")
+    rows = rows.select("id", "root", kind.alias("kind"), F.octet_length("body").alias("size"), exempt.alias("exempt"), F.sha2(body, 256).alias("h"), F.octet_length(body).alias("normal"), order.alias("o"))
+    family, same = Window.partitionBy("root"), Window.partitionBy("root", "h")
+    fit = (F.min("size").over(family) >= floor) & (F.min("kind").over(family) == F.max("kind").over(family)) & ~F.bool_or("exempt").over(family) & (F.col("normal") >= floor)
+    told = rows.select("id", fit.alias("fit"), F.min("o").over(same).getField("id").alias("canonical"))
+    return dict(map(tuple, told.filter("fit AND id <> canonical").select("id", "canonical").collect()))
+
+
+def fold(leg: list[tuple], canonicals: dict[str, str]) -> list[tuple]:
+    """A leg's rows (id, rank, sim) in the order of rank, in which a family holds its best place only."""
+    first: dict[str, tuple] = {}
+    for i, _, sim in sorted(leg, key=lambda r: r[1]):
+        first.setdefault(canonicals.get(i, i), sim)
+    return [(i, rank, sim) for rank, (i, sim) in enumerate(first.items(), 1)]

@@ -19,7 +19,7 @@ def corpus_stats(q):
     return "SELECT (SELECT count(*) FROM documents) AS notes, (SELECT count(*) FROM embeddings) AS chunks, (SELECT count(*) FROM conversations) AS turns"
 
 
-#: Frequent words that tell languages apart; fixed values, in order.
+#: Frequent words of the tables' languages.
 PROFILES = {
     "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "was"),
     "de": ("der", "die", "und", "den", "von", "zu", "das", "mit", "ist", "nicht"),
@@ -40,12 +40,6 @@ best AS (SELECT doc_id, plang, n, row_number() OVER (PARTITION BY doc_id ORDER B
 found AS (SELECT d.doc_id, CASE WHEN b.n >= 3 AND b.ties = 1 THEN b.plang ELSE 'unknown' END AS lang_found FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1)"""
 
 
-@P.sql
-def language_census(q):
-    """AG2, UD5: notes by language of their frequent words, with shares."""
-    return f"WITH {classified(q)}, n AS (SELECT lang_found, count(*) AS n FROM found GROUP BY lang_found) SELECT lang_found, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 4) AS share FROM n"
-
-
 @P.sql
 def chunk_language(q):
     """SF9: the language of each text by votes of frequent words and spelling; English by default."""

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vaultspark.functions import stats, text
-from vaultspark.operators import graph, overlap, structured
+from vaultspark.api import TEMPORAL, Vault
+from vaultspark.functions import languages, stats, text
+from vaultspark.operators import alerts, graph, overlap, probes, structured
 from vaultspark.operators.base import checkpointed
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
@@ -112,6 +113,43 @@ def inferred_edges(spark, sf_dir):
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).filter("r <= 5").drop("r")
 
 
+def _search_sql(q) -> str:
+    """DuckDB: the stages of a search for the title of note 2 and vector 0, ten results up to Confidential. (No family of
+    these notes has one tier, so none is folded.)"""
+    name = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+    date = "coalesce(nullif(n.effective_date, ''), nullif(n.document_date, ''), n.created)"
+    order = "(n.is_latest_version IS DISTINCT FROM 'false') DESC, (n.zone = 'brain') DESC, TRY_CAST(" + date + " AS DATE) DESC NULLS LAST, n.id"
+    age = f"date_diff('day', TRY_CAST({date} AS DATE), DATE '2025-01-01')"
+    part = "len(w) >= 2 AND len(t) > len(w) AND len(w) / len(t)::DOUBLE >= 0.6 AND contains(' ' || name || ' ', ' ' || ask || ' ')"
+    return f"""WITH {notes(q)}, ask AS (SELECT array_to_string(w, ' ') AS ask, w FROM (SELECT list_filter(string_split({name.format('title')}, ' '), lambda x: x <> '') AS w FROM notes WHERE id = 'n2')),
+term AS (SELECT DISTINCT unnest(w) AS t FROM ask), tok AS (SELECT id, unnest({tokens(q, 'body')}) AS t FROM notes), dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), st AS (SELECT count(*)::DOUBLE AS docs, avg(dl) AS mean FROM dl),
+tf AS (SELECT id, t, count(*) AS tf FROM tok SEMI JOIN term USING (t) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+lex AS (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS s FROM tf JOIN df USING (t) JOIN dl USING (id), st GROUP BY id),
+lexical AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM lex QUALIFY r <= 80), knn AS (SELECT 'n' || e.vec_id AS id, round({q.dot('e.embedding', 'z.embedding')} / sqrt({q.dot('e.embedding', 'e.embedding')} * {q.dot('z.embedding', 'z.embedding')}), 6) AS sim FROM embeddings e, embeddings z WHERE z.vec_id = 0),
+dense AS (SELECT id, sim, row_number() OVER (ORDER BY sim DESC, id) AS r FROM knn QUALIFY r <= 80),
+own AS (SELECT n.*, name = ask AS fully, {part} AS partly FROM (SELECT *, {name.format('title')} AS name, string_split({name.format('title')}, ' ') AS t FROM notes) n, ask), owners AS (SELECT count(*) AS owners FROM own WHERE fully),
+e1 AS (SELECT n.id, n.fully, row_number() OVER (PARTITION BY n.fully ORDER BY {order}) AS r FROM own n WHERE n.fully OR n.partly), e2 AS (SELECT id, CASE WHEN fully THEN CASE WHEN owners = 1 THEN 2.25 ELSE 1 END ELSE 0.25 END AS w, CASE WHEN fully THEN r ELSE r + least(16, owners) END AS r FROM e1, owners WHERE r <= 16),
+hit AS (SELECT coalesce(l.id, d.id, e.id) AS id, l.r AS lr, d.r AS dr, d.sim, e.r AS er, round(coalesce(1e0 / (3 + l.r), 0) + coalesce(1e0 / (3 + d.r), 0), 9) + coalesce(e.w / (3 + e.r), 0) AS s FROM lexical l FULL JOIN dense d ON d.id = l.id FULL JOIN e2 e ON e.id = coalesce(l.id, d.id)),
+sc AS (SELECT n.*, h.* EXCLUDE (id), CASE WHEN regexp_matches(ask, '(^|[^\\p{{L}}\\p{{N}}_])({TEMPORAL})($|[^\\p{{L}}\\p{{N}}_])') THEN 0.5 ELSE 0.25 END AS wt, {date} AS d FROM hit h JOIN own n ON n.id = h.id, ask),
+pr AS (SELECT *, s * CASE WHEN lr IS NULL AND er IS NULL AND zone = 'brain' THEN 3 ELSE 1 END * CASE WHEN TRY_CAST(d AS DATE) IS NULL OR TRY_CAST(d AS DATE) > DATE '2025-01-01' THEN 1 ELSE 1 - wt * (1 - power(0.5, {age} / CASE wt WHEN 0.5 THEN 90e0 ELSE 180e0 END)) END AS p FROM sc n),
+rk AS (SELECT p.*, owners, row_number() OVER (ORDER BY fully AND owners = 1 DESC, round(p, 9) DESC, id) AS pos FROM pr p, owners),
+slot AS (SELECT pos, row_number() OVER (ORDER BY pos) AS i FROM rk WHERE fully), seat AS (SELECT n.id, row_number() OVER (ORDER BY {order}) AS i FROM rk n WHERE n.fully),
+fin AS (SELECT rk.*, coalesce(slot.pos, rk.pos) AS place, regexp_matches(lower(regexp_replace(body, '\\s+', ' ', 'g')), '(^|[^\\p{{L}}\\p{{N}}_])' || ask || '($|[^\\p{{L}}\\p{{N}}_])') AS lit, len(w) AS words FROM rk LEFT JOIN seat ON seat.id = rk.id LEFT JOIN slot ON slot.i = seat.i, ask),
+ev AS (SELECT *, CASE WHEN fully THEN 'exact_title_match' WHEN partly THEN 'title_phrase_match' WHEN lit AND words > 1 THEN 'keyword_exact' WHEN dr <= 3 AND sim >= 0.8 THEN 'high_vector_match' ELSE 'weak_semantic' END AS evidence FROM fin WHERE place <= 10)
+SELECT id, CAST(place AS INT) AS rank, round(p, 6) AS score, evidence, CASE WHEN lr IS NOT NULL AND dr IS NOT NULL THEN 'both' WHEN lr IS NOT NULL THEN 'lexical' WHEN dr IS NOT NULL THEN 'semantic' ELSE 'exact' END AS source,
+CASE WHEN fully AND owners = 1 THEN 'exists' WHEN evidence = 'weak_semantic' THEN 'unknown' ELSE 'probable' END AS create_safety FROM ev WHERE {tier_rank('classification')} <= 2"""
+
+
+@P.frame(_search_sql)
+def vault_search(spark, sf_dir):
+    """WN1, WN6 to WN11, WN13, WN14, WN16, WN17: one search through all of its stages."""
+    n = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT * FROM notes")
+    vectors = spark.table("embeddings").select(F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+    title, vector = n.filter("id = 'n2'").first()["title"], spark.table("embeddings").filter("vec_id = 0").first()["embedding"]
+    hits = Vault(n, vectors).search(title, vector, today="2025-01-01", max_tier="Confidential", zones={"brain": 3.0})
+    return hits.select("id", "rank", "score", "evidence", "source", "create_safety")
+
+
 @P.frame(lambda q: f"WITH {_pairs(q, '3e-1')} SELECT a, b, score FROM p")
 def near_duplicate_vector_pairs(spark, sf_dir):
     """DD1: all pairs of near vectors, in blocks."""
@@ -251,6 +289,55 @@ def chain_heads(spark, sf_dir):
     return structured.chain_heads(n, n.select("id"))
 
 
+#: Profiles that a vault of these tables adds to the built-in ones.
+ADDED = {
+    "de": {"stopwords": ["der", "die", "und", "den", "von", "zu", "das", "mit", "ist", "nicht"]},
+    "fr": {"stopwords": ["le", "et", "les", "des", "est", "dans", "que", "pour", "par", "sur"]},
+}
+
+
+def _census_sql(q) -> str:
+    rows = ", ".join(f"('{w}', '{code}')" for code, words in languages.merged(ADDED).items() for w in words)
+    return f"""WITH p AS (SELECT word, min(code) AS code FROM (VALUES {rows}) AS v(word, code) GROUP BY word HAVING count(DISTINCT code) = 1),
+w AS (SELECT doc_id, w FROM documents, unnest(regexp_extract_all(text, '{languages.WORD}')) AS u(w) WHERE length(w) > 2 OR w <> upper(w)), hit AS (SELECT doc_id, code, count(*) AS n FROM w JOIN p ON lower(w) = word GROUP BY doc_id, code),
+top AS (SELECT doc_id, max(n) AS n FROM hit GROUP BY doc_id), best AS (SELECT h.doc_id, min(code) AS code, count(*) AS ties, max(h.n) AS n FROM hit h JOIN top t ON t.doc_id = h.doc_id AND t.n = h.n GROUP BY h.doc_id),
+c AS (SELECT CASE WHEN n >= 3 AND ties = 1 THEN code ELSE 'unknown' END AS lang_found, count(*) AS n FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM c WHERE lang_found <> 'unknown'),
+f AS (SELECT lang_found, n, CASE WHEN lang_found <> 'unknown' THEN n / total END AS share FROM c, t), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, lang_found) AS r FROM f WHERE n >= 3 AND share >= 0.02)
+SELECT f.lang_found, f.n, round(f.share, 4) AS share, coalesce(r.r <= 3, false) AS selected FROM f LEFT JOIN r USING (lang_found)"""
+
+
+@P.frame(_census_sql)
+def language_census(spark, sf_dir):
+    """AG2, UD5: notes by language of their function words, their shares, and the vault's languages."""
+    return languages.census(spark.read.parquet(f"{sf_dir}/documents.parquet"), languages.merged(ADDED))
+
+
+_WALK = """walk AS (SELECT id AS anchor, id AS node, 0 AS hops, CAST([] AS VARCHAR[]) AS seen FROM ask UNION ALL SELECT w.anchor, c.superseded_by, w.hops + 1, list_append(w.seen, w.node) FROM walk w JOIN chained c ON c.id = w.node
+WHERE c.superseded_by IS NOT NULL AND NOT list_contains(w.seen, w.node) AND w.hops < 8), fin AS (SELECT anchor, arg_max(node, hops) AS node, max(hops) AS hops, arg_max(seen, hops) AS seen FROM walk GROUP BY anchor)"""
+
+
+@P.frame(lambda q: f"WITH RECURSIVE {_chained(q)}, ask AS (SELECT id FROM chained UNION ALL SELECT 'nowhere'), {_WALK}, j AS (SELECT f.*, c.id AS cid, c.superseded_by, n.is_latest_version AS latest FROM fin f LEFT JOIN chained c ON c.id = f.node LEFT JOIN notes n ON n.id = f.node) SELECT anchor, CASE WHEN list_contains(seen, node) THEN 'invalid' WHEN cid IS NULL THEN CASE hops WHEN 0 THEN 'invalid' ELSE 'fail' END WHEN superseded_by IS NOT NULL THEN 'invalid' WHEN lower(latest) = 'false' THEN 'fail' ELSE 'pass' END AS status, CASE WHEN NOT list_contains(seen, node) AND cid IS NOT NULL AND superseded_by IS NULL THEN node END AS head, CAST(hops AS BIGINT) AS hops FROM j")
+def currency_probes(spark, sf_dir):
+    """UD6: every note, and one that isn't there, as the anchor of a currency probe."""
+    n = _sql(spark, sf_dir, f"WITH {_chained(SPARK)} SELECT n.id, n.classification, n.is_latest_version, c.superseded_by FROM notes n JOIN chained c ON c.id = n.id")
+    asked = n.select(F.col("id").alias("anchor")).unionByName(spark.createDataFrame([("nowhere",)], "anchor string"))
+    return probes.currency(n, asked)
+
+
+@P.frame(lambda q: """WITH f AS (SELECT user_id AS vault, max(CAST(ts AS DATE)) AS last, count(*) FILTER (event_type = 'signup') > 0 AS fed FROM events GROUP BY user_id), s AS (SELECT vault, date_diff('day', last, DATE '2024-01-31') AS age, fed FROM f),
+k AS (SELECT DISTINCT e.user_id AS vault, CASE WHEN event_type IN ('error', 'purchase') THEN event_type || ':' || CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) ELSE 'Odd key ' || event_type END AS key FROM events e JOIN s ON s.vault = e.user_id WHERE fed AND age <= 2 AND event_type <> 'view'),
+g AS (SELECT vault, CASE WHEN key LIKE 'Odd%' THEN 'degradation:unrecognised-key' WHEN key LIKE 'error%' THEN 'degradation' ELSE 'degradation:untriaged' END AS alert, array_to_string(list_sort(list(key)), ', ') AS names, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT vault, CASE WHEN NOT fed THEN 'maintain:no-feed' ELSE 'maintain:stale' END AS alert, CASE WHEN age > 2 THEN age || ' days' ELSE '' END AS detail FROM s WHERE NOT fed OR age > 2
+UNION ALL SELECT vault, alert, CASE alert WHEN 'degradation:unrecognised-key' THEN CAST(n AS VARCHAR) ELSE names END FROM g""")
+def alerts_collect(spark, sf_dir):
+    """OR8: users as vaults, their last event as the time of a feed (of those that signed up), other events as findings."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("vault", F.col("user_id"))
+    feeds = e.groupBy("vault").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("at"), F.bool_or(F.col("event_type") == "signup").alias("has_feed")).withColumn("has_run", F.lit(True))
+    key = F.when(F.col("event_type").isin("error", "purchase"), F.concat("event_type", F.lit(":"), F.floor(F.col("value") / 50).cast("string"))).otherwise(F.concat(F.lit("Odd key "), "event_type"))
+    findings = e.filter("event_type <> 'view'").select("vault", key.alias("key"))
+    return alerts.collect(alerts.degradation(feeds, findings, today="2024-01-31", declared=F.startswith("key", F.lit("error:"))))
+
+
 # streams, and the batch statements that give the same rows
 
 

@@ -88,6 +88,29 @@ def health_records(live: DataFrame, rotated: DataFrame, *, since: str) -> DataFr
     return both.groupBy("run_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "seq")).alias("x")).select("run_id", "x.*").orderBy("ts")
 
 
+def append_health(spark: SparkSession, folder: str, record: dict, *, now: str, most_bytes: int = 1_000_000, keep_days: int = 90) -> str | None:
+    """Appends a record to folder/live; a live part that would pass most_bytes moves to folder/archive first.
+
+    Archived parts older than keep_days (by their name's time) are deleted. Has one writer. The name of a part that moved, or None."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    live, archive = path(f"{folder}/live"), path(f"{folder}/archive")
+    fs = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    line, moved = json.dumps(record, sort_keys=True), None
+    if fs.exists(live) and fs.getContentSummary(live).getLength() + len(line.encode()) + 1 > most_bytes:
+        fs.mkdirs(archive)
+        stem = "health-" + now.replace(":", "").replace("-", "")
+        taken = {s.getPath().getName() for s in fs.listStatus(archive)}
+        moved = next(n for n in (stem, *(f"{stem}-{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+        if not fs.rename(live, path(f"{folder}/archive/{moved}")):
+            raise OSError(f"{folder}: the live part can't be moved")
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{folder}/live")
+    cutoff = (datetime.date.fromisoformat(now[:10]) - datetime.timedelta(days=keep_days)).strftime("health-%Y%m%d")
+    for s in fs.listStatus(archive) if fs.exists(archive) else ():
+        if s.getPath().getName()[: len(cutoff)] < cutoff:
+            fs.delete(s.getPath(), True)
+    return moved
+
+
 def drain_inbox(spark: SparkSession, inbox: str, out: str, quarantine: str, checkpoint: str) -> None:
     """Streams the files of an inbox through the handlers: what was processed goes to out, the rest to quarantine."""
     import pandas as pd
