@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.api import Vault
 from vaultspark.functions import languages
-from vaultspark.operators import alerts, probes, protocols, structured
+from vaultspark.operators import alerts, probes, protocols, structured, versions
 from vaultspark.sources import ledgers
 
 NOTE = "id string, title string, type string, classification string, zone string, path string, created string, updated string, document_date string, effective_date string, superseded_date string, is_latest_version string, superseded_by string, body string"
@@ -208,3 +208,22 @@ def test_languages(spark):
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string").select("i", languages.language_of("text", languages.BUILT_IN).alias("l")).orderBy("i").collect()
     assert [r.l for r in got] == [lang for _, lang in rows]
     assert languages.merged({"profiles": {"FR": {"stopwords": ["le"]}}})["fr"] == ("le",)
+
+
+def test_version_links(spark):
+    names = spark.createDataFrame([("Contract_v2 final.docx",), ("2024-05-01 Contract (2).pdf",), ("contract draft",), ("doc v3",), ("Revisão 12 do plano",), (None,)], "n string")
+    got = [(r.s, tuple(r.m) if r.m else None) for r in names.select(versions.stem(F.col("n")).alias("s"), versions.marker(F.col("n")).alias("m")).collect()]
+    assert got == [("contract", ("num", 2)), ("contract", None), ("contract", ("word", 0)), (None, ("num", 3)), ("do plano", ("num", 12)), (None, None)]
+    schema = "id string, date string, committed string, stem string, conversation string, sender string, marker struct<scale: string, n: int>, retired boolean, has_predecessor boolean, body_sha string, vector array<double>"
+    note = lambda i, date, stem=None, mark=None, conv=None, sha=None, retired=False, vec=None: (i, date, date, stem, conv, None, mark, retired, False, sha or i, vec)
+    rows = [
+        note("a1", "2024-01-01", "plan", ("num", 1)), note("a2", "2024-02-01", "plan", ("num", 2)), note("a3", "2024-03-01", "plan", ("word", 0)),
+        note("b1", "2024-01-01", "note", vec=[1.0, 0.0]), note("b2", "2024-02-01", "note", vec=[1.0, 0.01]), note("b3", "2024-02-02", "note", vec=[0.0, 1.0]), note("b4", "2024-02-03", "note", sha="b1", retired=True),
+        note("c1", "2024-01-01", "mail", conv="x"), note("c2", "2024-02-01", "mail two", conv="x"), note("d1", "", "none"), note("d2", "2024-01-01", "none"),
+    ]
+    pairs = versions.candidates(spark.createDataFrame(rows, schema))
+    told = {(r.old_id, r.new_id): r.verdict for r in pairs.collect()}
+    assert told == {("a1", "a2"): "propose", ("a1", "a3"): "ambiguous", ("a2", "a3"): "ambiguous", ("b1", "b2"): "propose", ("b1", "b3"): "skip", ("b2", "b3"): "skip", ("c1", "c2"): "skip", ("d1", "d2"): "skip"}
+    run = versions.generate(pairs)
+    assert [(r["old_id"], r["new_id"], r["verdict"]) for r in run] == [("a2", "a3", "ambiguous"), ("a1", "a3", "ambiguous"), ("b1", "b2", "propose"), ("a1", "a2", "propose")]
+    assert versions.generate(pairs, exclude=(("b2", "b1"),), most=3) == run[:2]

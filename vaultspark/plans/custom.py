@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.api import TEMPORAL, Vault
 from vaultspark.functions import languages, stats, text
-from vaultspark.operators import alerts, graph, overlap, probes, structured
+from vaultspark.operators import alerts, graph, overlap, probes, structured, versions
 from vaultspark.operators.base import checkpointed
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
@@ -324,6 +324,29 @@ def currency_probes(spark, sf_dir):
     return probes.currency(n, asked)
 
 
+def _versions_sql(q) -> str:
+    """DuckDB: all pairs of a name, then the newest partners of each note."""
+    date = "coalesce(nullif(effective_date, ''), nullif(document_date, ''), created)"
+    return f"""WITH {notes(q)}, t AS (SELECT n.*, {date} AS date, split_part(lower(trim(title)), ' ', 1) AS stem, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS mark, is_latest_version IS NOT DISTINCT FROM 'false' AS retired, sha256(body) AS h, embedding AS e FROM notes n LEFT JOIN embeddings ON vec_id = doc_id),
+k AS (SELECT * FROM t WHERE length(stem) >= 4 AND regexp_matches(stem, '^[a-z]+$') AND stem NOT IN ('draft', 'rascunho', 'borrador', 'final', 'clean', 'copy', 'comentada')),
+p AS (SELECT x.id AS asked, y.id AS partner, x.updated AS committed, row_number() OVER (PARTITION BY x.id ORDER BY y.date DESC, y.updated DESC, y.id DESC) AS place FROM k x JOIN k y ON x.stem = y.stem AND x.id <> y.id WHERE NOT x.retired AND x.updated >= '2024-06-01' QUALIFY place <= 25),
+o AS (SELECT p.asked, p.place, CASE WHEN x.date >= y.date THEN y.id ELSE x.id END AS old_id, CASE WHEN x.date >= y.date THEN x.id ELSE y.id END AS new_id FROM p JOIN k x ON x.id = p.asked JOIN k y ON y.id = p.partner WHERE NOT y.retired AND x.h <> y.h),
+s AS (SELECT o.*, a.date AS d0, b.date AS d1, a.mark AS m0, b.mark AS m1, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform(a.e, lambda z: z::DOUBLE * z::DOUBLE)) * list_sum(list_transform(b.e, lambda z: z::DOUBLE * z::DOUBLE))), 6) AS similarity FROM o JOIN k a ON a.id = o.old_id JOIN k b ON b.id = o.new_id)
+SELECT asked, CAST(place AS INT) AS place, old_id, new_id, similarity, CASE WHEN d1 <= d0 THEN 'skip' WHEN m0 IS NOT NULL AND m1 IS NOT NULL AND m1 <= m0 THEN 'ambiguous' WHEN m0 < m1 OR similarity >= 0.1 THEN 'propose' ELSE 'skip' END AS verdict FROM s"""
+
+
+@P.frame(_versions_sql)
+def version_link_candidates(spark, sf_dir):
+    """DD11, DD12: notes by the first word of their title (names with a version mark on two of three) and their newest partners."""
+    n = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT * FROM notes")
+    e = spark.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    first = F.split(F.lower(F.trim("title")), " ").getItem(0)
+    name = F.concat(first, F.when(F.col("doc_id") % 3 == 0, " v1.txt").when(F.col("doc_id") % 3 == 1, " Version_2.docx").otherwise(".txt"))
+    rows = n.filter(first.rlike("^[a-z]{4,}$")).join(e, "doc_id", "left")
+    rows = rows.select("id", structured.valid_date().alias("date"), F.col("updated").alias("committed"), versions.stem(name).alias("stem"), F.lit(None).cast("string").alias("conversation"), F.lit(None).cast("string").alias("sender"), versions.marker(name).alias("marker"), (~structured.is_live()).alias("retired"), F.lit(False).alias("has_predecessor"), F.sha2("body", 256).alias("body_sha"), "vector")
+    return versions.candidates(rows, threshold=0.1, cutoff="2024-06-01").select("asked", "place", "old_id", "new_id", "similarity", "verdict")
+
+
 @P.frame(lambda q: """WITH f AS (SELECT user_id AS vault, max(CAST(ts AS DATE)) AS last, count(*) FILTER (event_type = 'signup') > 0 AS fed FROM events GROUP BY user_id), s AS (SELECT vault, date_diff('day', last, DATE '2024-01-31') AS age, fed FROM f),
 k AS (SELECT DISTINCT e.user_id AS vault, CASE WHEN event_type IN ('error', 'purchase') THEN event_type || ':' || CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) ELSE 'Odd key ' || event_type END AS key FROM events e JOIN s ON s.vault = e.user_id WHERE fed AND age <= 2 AND event_type <> 'view'),
 g AS (SELECT vault, CASE WHEN key LIKE 'Odd%' THEN 'degradation:unrecognised-key' WHEN key LIKE 'error%' THEN 'degradation' ELSE 'degradation:untriaged' END AS alert, array_to_string(list_sort(list(key)), ', ') AS names, count(*) AS n FROM k GROUP BY 1, 2)

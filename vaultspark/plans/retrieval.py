@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vaultspark.api import TEMPORAL
 from vaultspark.plans.dialect import TOKEN, VALID_DATE, Plans, edges, notes, tier_rank, token_rows, tokens
 from vaultspark.plans.structured import shingle_hashes, shingle_rows
 
@@ -105,8 +106,9 @@ def recency_prior(q):
 
 @P.sql
 def temporal_intent(q):
-    """WN10"""
-    return f"SELECT conv_id, turn, {q.matches('lower(text)', '(^|[^a-z])(latest|recent|current|today|now|hoje|atual|recente)([^a-z]|$)')} AS temporal FROM conversations"
+    """WN10: texts that ask for what is recent."""
+    edge = r"[^\p{L}\p{N}_]"
+    return f"SELECT conv_id, turn, {q.matches('lower(text)', f'(^|{edge})({TEMPORAL})({edge}|$)')} AS temporal FROM conversations"
 
 
 @P.sql
@@ -403,8 +405,9 @@ def phrase_tokens(q):
 
 @P.sql
 def identifier_shaped(q):
-    """SF3"""
-    return f"SELECT DISTINCT source, length({q.replace_all('source', '[^A-Za-z0-9]', '')}) >= 8 OR {q.matches('source', '[0-9]')} OR {q.matches('source', '[-_/]')} AS shaped FROM documents"
+    """SF3: words of benchmark texts and page addresses that look like identifiers: long, or with a digit or a joint."""
+    words = f"SELECT word FROM benchmark, {q.unnest(q.split('text', ' '), 'u(word)')}"
+    return f"SELECT DISTINCT word, length({q.replace_all('word', r'[^\p{L}\p{N}]', '')}) >= 8 OR {q.matches('word', r'[\p{Nd}]')} OR {q.matches('word', '[-_/]')} AS shaped FROM ({words} UNION ALL SELECT url FROM pages) w WHERE word <> ''"
 
 
 @P.sql

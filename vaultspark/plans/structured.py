@@ -87,12 +87,23 @@ def freshness_probe(q):
     return f"WITH {notes(q)} SELECT count(*) AS newer, max({VALID_DATE}) AS newest FROM notes WHERE {tier_rank('classification')} <= 2 AND {q.matches(VALID_DATE, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')} AND {VALID_DATE} > '2024-09-01'"
 
 
+#: What speaks of a decision (English and Portuguese); fixed values.
+DECIDED = (
+    r"decided(?:\s+on)?\s+\d|decided:\s|decision\s+(?:was\s+)?taken|we\s+(?:have\s+)?decided|formally\s+approved|approved\s+on\s+\d|"
+    r"signed\s+off\s+on|sign-off\s+given|foi\s+decidido|decidiu-se|decis[aã]o\s+tomada|aprovado\s+em\s+\d"
+)
+
+
 @P.sql
 def decision_capture_scan(q):
-    """FP13: recent texts that speak of decisions, with a snippet around the first match."""
-    at = q.instr("lower(body)", "'tion'")
-    return f"""WITH {notes(q)} SELECT id, created, substr(body, CAST(greatest({at} - 80, 1) AS INT), 200) AS snippet FROM notes
-WHERE type <> 'decision' AND created >= '2024-12-20' AND is_latest_version IS DISTINCT FROM 'false' AND {q.matches('lower(body)', '(?:^|[^a-z])(the|und|les|que)[^a-z]')} ORDER BY created DESC, id LIMIT 10"""
+    """FP13: recent live notes that speak of decisions and aren't ones, with the phrase and 80 characters before and 120 after it.
+
+    The tables' texts hold no such phrase: every fifth body ends in one."""
+    end = "CASE doc_id % 20 WHEN 1 THEN ' so we have decided: go' WHEN 6 THEN ' It was Approved on 3 May.' WHEN 11 THEN ' undecided: no' ELSE '' END"
+    phrase = q.extract("lower(text)", f"(?:^|[^a-z])({DECIDED})", 1)
+    return f"""WITH {notes(q)}, b AS (SELECT id, created, doc_id, body || {end} AS text FROM notes WHERE type <> 'decision' AND created >= '2024-12-20' AND is_latest_version IS DISTINCT FROM 'false'),
+f AS (SELECT *, {phrase} AS phrase FROM b), s AS (SELECT *, {q.instr('lower(text)', 'phrase')} AS pos FROM f WHERE phrase <> '')
+SELECT id, created, phrase, trim({q.replace_all("substr(text, CAST(greatest(pos - 80, 1) AS INT), CAST(pos - greatest(pos - 80, 1) + length(phrase) + 120 AS INT))", "[ \\t\\r\\n]+", " ")}) AS snippet FROM s ORDER BY created DESC, id LIMIT 10"""
 
 
 @P.sql
