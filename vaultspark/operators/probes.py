@@ -40,6 +40,17 @@ def chain_states(notes: DataFrame, anchors: DataFrame, *, max_tier: str = TIERS[
     return done
 
 
+def score(results: DataFrame, *, threshold: float = 1.0) -> DataFrame:
+    """(score, disposition, probes) of results (status, weight): the passed weight over that of what passed or failed.
+
+    Below the threshold it is a regression; else invalid probes, or none that could be scored, need action."""
+    weight = lambda *names: F.sum(F.when(F.col("status").isin(*names), F.col("weight").cast("double")))
+    found = results.agg(F.coalesce(weight("pass"), F.lit(0.0)).alias("passed"), weight("pass", "fail").alias("scored"), F.count_if(F.col("status") == "invalid").alias("invalid"), F.count(F.lit(1)).alias("probes"))
+    value = F.round(F.when(F.col("scored") > 0, F.col("passed") / F.col("scored")), 4)
+    disposition = F.when(value < threshold - 1e-9, "regression").when(value.isNull() | (F.col("invalid") > 0), "action_required").otherwise("ok")
+    return found.select(value.alias("score"), disposition.alias("disposition"), "probes")
+
+
 def currency(notes: DataFrame, anchors: DataFrame, *, max_tier: str = TIERS[-1]) -> DataFrame:
     """(anchor, status, head, hops): pass if an anchor's chain ends at a note that isn't retired."""
     states = chain_states(notes, anchors, max_tier=max_tier)
@@ -61,10 +72,7 @@ def freshness(notes: DataFrame, today: str, max_age_days: int, *, max_tier: str
 
 
 def run_probes(vault, probes: list[dict], *, today: str, threshold: float = 1.0, k: int = 12, max_tier: str = TIERS[-1], dossier: Callable | None = None) -> DataFrame:
-    """(probe, class, status, weight, reason, score, disposition): a row per probe, with the run's score and disposition.
-
-    The score is the passed weight over the weight of what passed or failed. Below the threshold it is a regression;
-    else invalid probes, or none that could be scored, need action."""
+    """(probe, class, status, weight, reason, score, disposition): a row per probe, with the run's score and disposition (see score)."""
     dossier = dossier or (lambda query: vault.dossier(query, k=k, max_tier=max_tier))
     notes, spark = vault.notes, vault.spark
     wanted = [p for p in probes if not _fault(p)]
@@ -75,14 +83,8 @@ def run_probes(vault, probes: list[dict], *, today: str, threshold: float = 1.0,
         fault = _fault(p)
         status, reason = ("invalid", fault) if fault else _judge(p, notes, chains, dossier, today, max_tier)
         out.append((str(p.get("id", "?")), str(p.get("class", "?")), status, float(p.get("weight", 1.0)) if not fault else 1.0, reason))
-    passed = sum(w for _, _, s, w, _ in out if s == "pass")
-    scored = sum(w for _, _, s, w, _ in out if s in ("pass", "fail"))
-    score = round(passed / scored, 4) if scored else None
-    if score is not None and score < threshold - 1e-9:
-        disposition = "regression"
-    else:
-        disposition = "action_required" if score is None or any(s == "invalid" for _, _, s, _, _ in out) else "ok"
-    return spark.createDataFrame([(*r, score, disposition) for r in out], "probe string, class string, status string, weight double, reason string, score double, disposition string")
+    rows = spark.createDataFrame(out, "probe string, class string, status string, weight double, reason string")
+    return rows.crossJoin(F.broadcast(score(rows, threshold=threshold).drop("probes")))
 
 
 def _fault(p: dict) -> str | None:

@@ -168,13 +168,6 @@ def replay_drift(q):
 SELECT coalesce(a.qid, b.qid) AS qid, round(count(CASE WHEN a.doc IS NOT NULL AND b.doc IS NOT NULL THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS jaccard, max(CASE WHEN a.r = 1 AND b.r = 1 THEN 1 ELSE 0 END) AS top1_same, CAST(max(abs(a.r - b.r)) AS BIGINT) AS most_moved FROM a FULL OUTER JOIN b ON a.qid = b.qid AND a.doc = b.doc GROUP BY coalesce(a.qid, b.qid)"""
 
 
-@P.sql
-def golden_probe_score(q):
-    """AG22: weighted passes, and the gravest disposition."""
-    return f"""WITH p AS (SELECT item_id, 1 + item_id % 3 AS weight, CASE WHEN item_id % 9 = 0 THEN 'invalid' WHEN length(text) % 4 = 0 THEN 'fail' ELSE 'pass' END AS verdict FROM benchmark)
-SELECT round(sum(CASE WHEN verdict = 'pass' THEN weight ELSE 0 END) / CAST(sum(CASE WHEN verdict IN ('pass', 'fail') THEN weight ELSE 0 END) AS DOUBLE), 4) AS score, max(CASE verdict WHEN 'fail' THEN 2 WHEN 'invalid' THEN 1 ELSE 0 END) AS worst, count(*) AS probes FROM p"""
-
-
 @P.sql
 def candidate_rate_gate(q):
     """AG23: the change of a rate against its band, and who changed sides."""

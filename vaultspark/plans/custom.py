@@ -316,14 +316,28 @@ _WALK = """walk AS (SELECT id AS anchor, id AS node, 0 AS hops, CAST([] AS VARCH
 WHERE c.superseded_by IS NOT NULL AND NOT list_contains(w.seen, w.node) AND w.hops < 8), fin AS (SELECT anchor, arg_max(node, hops) AS node, max(hops) AS hops, arg_max(seen, hops) AS seen FROM walk GROUP BY anchor)"""
 
 
-@P.frame(lambda q: f"WITH RECURSIVE {_chained(q)}, ask AS (SELECT id FROM chained UNION ALL SELECT 'nowhere'), {_WALK}, j AS (SELECT f.*, c.id AS cid, c.superseded_by, n.is_latest_version AS latest FROM fin f LEFT JOIN chained c ON c.id = f.node LEFT JOIN notes n ON n.id = f.node) SELECT anchor, CASE WHEN list_contains(seen, node) THEN 'invalid' WHEN cid IS NULL THEN CASE hops WHEN 0 THEN 'invalid' ELSE 'fail' END WHEN superseded_by IS NOT NULL THEN 'invalid' WHEN lower(latest) = 'false' THEN 'fail' ELSE 'pass' END AS status, CASE WHEN NOT list_contains(seen, node) AND cid IS NOT NULL AND superseded_by IS NULL THEN node END AS head, CAST(hops AS BIGINT) AS hops FROM j")
-def currency_probes(spark, sf_dir):
-    """UD6: every note, and one that isn't there, as the anchor of a currency probe."""
+def _currency_sql(q) -> str:
+    return f"WITH RECURSIVE {_chained(q)}, ask AS (SELECT id FROM chained UNION ALL SELECT 'nowhere'), {_WALK}, j AS (SELECT f.*, c.id AS cid, c.superseded_by, n.is_latest_version AS latest FROM fin f LEFT JOIN chained c ON c.id = f.node LEFT JOIN notes n ON n.id = f.node) SELECT anchor, CASE WHEN list_contains(seen, node) THEN 'invalid' WHEN cid IS NULL THEN CASE hops WHEN 0 THEN 'invalid' ELSE 'fail' END WHEN superseded_by IS NOT NULL THEN 'invalid' WHEN lower(latest) = 'false' THEN 'fail' ELSE 'pass' END AS status, CASE WHEN NOT list_contains(seen, node) AND cid IS NOT NULL AND superseded_by IS NULL THEN node END AS head, CAST(hops AS BIGINT) AS hops FROM j"
+
+
+def _currency(spark, sf_dir) -> DataFrame:
     n = _sql(spark, sf_dir, f"WITH {_chained(SPARK)} SELECT n.id, n.classification, n.is_latest_version, c.superseded_by FROM notes n JOIN chained c ON c.id = n.id")
     asked = n.select(F.col("id").alias("anchor")).unionByName(spark.createDataFrame([("nowhere",)], "anchor string"))
     return probes.currency(n, asked)
 
 
+@P.frame(_currency_sql)
+def currency_probes(spark, sf_dir):
+    """UD6: every note, and one that isn't there, as the anchor of a currency probe."""
+    return _currency(spark, sf_dir)
+
+
+@P.frame(lambda q: f"SELECT round(sum(CASE status WHEN 'pass' THEN 1 + hops ELSE 0 END) / sum(CASE WHEN status <> 'invalid' THEN 1 + hops ELSE 0 END)::DOUBLE, 4) AS score, CASE WHEN bool_and(status = 'pass') THEN 'ok' WHEN count(*) FILTER (status = 'fail') > 0 THEN 'regression' ELSE 'action_required' END AS disposition, count(*) AS probes FROM ({_currency_sql(q)}) x")
+def golden_probe_score(spark, sf_dir):
+    """AG22: the score and disposition of the currency probes, weighted by the length of their chains."""
+    return probes.score(_currency(spark, sf_dir).withColumn("weight", F.col("hops") + 1))
+
+
 def _versions_sql(q) -> str:
     """DuckDB: all pairs of a name, then the newest partners of each note."""
     date = "coalesce(nullif(effective_date, ''), nullif(document_date, ''), created)"
