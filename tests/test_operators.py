@@ -97,8 +97,14 @@ def test_vector_pairs_and_clusters_are_of_all_vectors(spark, data, tmp_path):
     want = lambda least: {(i, j) for i in range(60) for j in range(i + 1, 60) if dots[i, j] >= least}
     assert want(0.9) >= {(3, 7), (7, 9), (21, 31), (21, 33), (31, 33)}
     assert {(r.a, r.b) for r in search.similar_pairs(v, 0.35, block=16).collect()} == want(0.35)
-    assert {(r.a, r.b) for r in custom.near_duplicate_vector_pairs(spark, str(tmp_path)).collect()} == want(0.9)
-    assert dict(custom.semantic_clusters(spark, str(tmp_path)).collect()) == {3: 3, 7: 3, 9: 3, 21: 21, 31: 21, 33: 21}
+    assert {(r.a, r.b) for r in search.similar_pairs(v, 0.9, block=16).collect()} == want(0.9)
+    assert {(r.a, r.b) for r in custom.near_duplicate_vector_pairs(spark, str(tmp_path)).collect()} == want(0.3)
+    assert dict(search.similar_clusters(v, 0.9, block=16).collect()) == {3: 3, 7: 3, 9: 3, 21: 21, 31: 21, 33: 21}
+    root = {i: i for pair in want(0.4) for i in pair}
+    while any(root[a] != root[b] for a, b in want(0.4)):
+        for a, b in want(0.4):
+            root[a] = root[b] = min(root[a], root[b])
+    assert dict(custom.semantic_clusters(spark, str(tmp_path)).collect()) == root
     chosen = custom.capped_edge_selection(spark, str(tmp_path)).collect()
     assert {(r.a, r.b) for r in chosen} >= {(3, 7), (7, 9), (21, 31)} and len(chosen) <= 2 * custom._edges(spark, str(tmp_path)).count()
 
