@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import decontaminate, jaccard, langid, media, packing, quality, shards, token_files, urlfilter, warc
+from vaultspark.llm import bpe_tree, decontaminate, infill, jaccard, langid, media, packing, periods, quality, shards, token_files, urlfilter, warc
 from vaultspark.llm._common import input_table, work_folder
 
 
@@ -72,6 +72,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(input_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_tree.digest(input_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(input_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text gets a repeat first, as the contract says; then runs are searched in all."""
+    return periods.digest(periods.with_repeats(input_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
