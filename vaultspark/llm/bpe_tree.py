@@ -10,7 +10,7 @@ the outer ones did before; so only the neighbours at the window's two ends are c
 agree already needs no window.
 
 Matches of the pattern are encoded apart, so a text's ids are its matches' ids in a row. A match that is a token as a
-whole is that token. Each Python worker keeps the ids of matches and of pairs that it has seen (at most `MEMO` each).
+whole is that token. Each Python worker keeps the ids of matches, of pairs of tokens and of small tree nodes that it has seen (at most `MEMO` each).
 Decoding looks up blocks of ids and concatenates them up a tree.
 
 Defined cases: null and empty texts have no ids and decode to empty bytes; a long match without white space takes
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,12 @@ from vaultspark.llm.tokens import runs
 
 #: Matches, and boundaries of two tokens, that one worker remembers.
 MEMO = 500_000
+#: Bytes of windows that are merged in a plain list; longer ones are merged with a heap.
+SHORT_BYTES = 64
+#: Above all ranks.
+NONE = 1 << 62
+#: Bytes of the largest tree nodes whose ids a worker remembers.
+NODE_BYTES = 8
 #: Ids that are looked up together before the tree begins.
 LEAF_IDS = 1024
 
@@ -48,10 +55,23 @@ class TreeEncoder:
         self.find = regex.compile(pattern).findall
         self.whole: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.nodes = self._leaves()
 
     def merged(self, raw: bytes) -> list[int]:
         """The encoding of a window's bytes: the lowest rank merges first, the leftmost of equal ones."""
         ranks, n = self.ranks, len(raw)
+        if n <= SHORT_BYTES:
+            parts = [raw[i : i + 1] for i in range(n)]
+            best = [ranks.get(raw[i : i + 2], NONE) for i in range(n - 1)]  # the rank of each part with the next one
+            while best and (r := min(best)) < NONE:
+                i = best.index(r)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del best[i]
+                if i:
+                    best[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+                if i < len(best):
+                    best[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+            return [ranks[x] for x in parts]
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # neighbouring parts; a part is named by where it begins
         live = [True] * n
 
@@ -89,12 +109,15 @@ class TreeEncoder:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings in a row."""
-        if not left or not right or self.pair(left[-1], right[0]) == (left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        ends = left[-1], right[0]
+        if (self.pairs.get(ends) or self.pair(*ends)) == ends:
             return left + right
         i = j = 1
         while True:
             if i == j == 1:
-                window = [*self.pair(left[-1], right[0])]
+                window = [*self.pair(*ends)]
             else:
                 window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
             lasts = i >= len(left) or self.pair(left[-i - 1], window[0]) == (left[-i - 1], window[0])
@@ -110,10 +133,18 @@ class TreeEncoder:
         return self._halves(raw)
 
     def _halves(self, raw: bytes) -> list[int]:
-        if len(raw) == 1:
-            return [self.ranks[raw]]
+        if (out := self.nodes.get(raw)) is not None:
+            return out
         half = 1 << (len(raw) - 1).bit_length() - 1  # the largest power of two below: runs of one letter stay aligned
-        return self.join(self._halves(raw[:half]), self._halves(raw[half:]))
+        out = self.join(self._halves(raw[:half]), self._halves(raw[half:]))
+        if len(raw) <= NODE_BYTES:
+            if len(self.nodes) > MEMO:
+                self.nodes = self._leaves()
+            self.nodes[raw] = out
+        return out
+
+    def _leaves(self) -> dict[bytes, list[int]]:
+        return {b: [i] for b, i in self.ranks.items() if len(b) == 1}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -126,7 +157,8 @@ class TreeEncoder:
                 out.append(b"".join(map(whole.__getitem__, matches)))
             except KeyError:
                 for m in set(matches).difference(whole):
-                    whole[m] = np.array(self.encode_match(m.encode()), "<u4").tobytes()
+                    ids = self.encode_match(m.encode())
+                    whole[m] = struct.pack(f"<{len(ids)}I", *ids)
                 out.append(b"".join(map(whole.__getitem__, matches)))
         return out
 
@@ -183,11 +215,12 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded"
         tree = encoder(path, "")
         for batch in batches:
             lists = batch.column(at)
-            stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            flat, stops = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            starts = np.append(0, stops)
             lo = 0
             while lo < len(lists):  # about a quarter of a million ids in a step
                 hi = max(lo + 1, int(np.searchsorted(stops, (stops[lo - 1] if lo else 0) + (1 << 18), "right")))
-                yield _rows_out(batch.slice(lo, hi - lo), n, field, pa.array([tree.decode(x or []) for x in lists[lo:hi].to_pylist()], pa.binary()))
+                yield _rows_out(batch.slice(lo, hi - lo), n, field, pa.array([tree.decode(flat[a:b].tolist()) for a, b in zip(starts[lo:hi], stops[lo:hi])], pa.binary()))
                 lo = hi
 
     schema = docs.select(*(F.col(f"`{c}`") for c in kept.columns), F.lit(b"").alias(out)).schema
