@@ -304,6 +304,18 @@ def test_pieces_are_the_librarys(name, kind):
     assert t.encode(texts) == t.direct(texts) and t.encode(texts) == t.direct(texts)
 
 
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_letters_joined_with_marks_are_the_librarys(name, kind):
+    """Every character below U+0250 before, after and between marks, letters and digits; some lower cases end in a mark."""
+    rnd = random.Random(2)
+    letters = [chr(c) for c in range(1, 0x250)]
+    texts = [f"{a}{c}{b}" for c in letters for a in ("", "x", ".") for b in (".", ",", ")", "x", "1", "", ".,", " .")]
+    texts += ["".join(rnd.choice([*letters, *".,)('!- \u0130\u0130\u0130"]) for _ in range(rnd.randint(2, 12))) for _ in range(6000)]
+    texts += ["BELED\u0130YES\u0130.", "VAL\u0130,", "(\u0130)", "\u0130]", "\u0130\u0130.", "a \u0130 b. c\u0130, D"]
+    t = tokens.PieceTokenizer(vocabulary(name), kind)
+    assert t.encode(texts) == t.direct(texts)
+
+
 def library_ids(name, end, texts):
     from tokenizers import Tokenizer
 

@@ -35,7 +35,7 @@ _NOT_LATIN = re.compile("[^\x00-ɏ]")
 _MARKS = re.compile(r"(?:[^\w\s]|_){2}|'")
 
 # What keeps a text from the byte classes: U+001C to U+001F, apostrophes, "<", and all but Latin letters beyond ASCII,
-# which are the UTF-8 pairs C3 80 to C9 8F without C3 97 and C3 B7.
+# which are the UTF-8 pairs C3 80 to C9 8F without C3 97, C3 B7 and C4 B0 (U+0130, whose lower case ends in a mark).
 _SLOW = np.zeros(256, bool)
 _SLOW[[0x1C, 0x1D, 0x1E, 0x1F, ord("'"), ord("<"), 0xC2]] = _SLOW[0xCA:] = True
 
@@ -47,9 +47,9 @@ def _slow(texts: list[bytes]) -> np.ndarray:
     if not len(raw):
         return np.zeros(len(texts), bool)
     bad = _SLOW[raw]
-    lead = np.flatnonzero((raw[:-1] == 0xC3) | (raw[:-1] == 0xC9))
+    lead = np.flatnonzero((raw[:-1] == 0xC3) | (raw[:-1] == 0xC4) | (raw[:-1] == 0xC9))
     after = raw[lead + 1]
-    bad[lead[np.where(raw[lead] == 0xC3, (after == 0x97) | (after == 0xB7), after >= 0x90)]] = True
+    bad[lead[np.select([raw[lead] == 0xC3, raw[lead] == 0xC4], [(after == 0x97) | (after == 0xB7), after == 0xB0], after >= 0x90)]] = True
     return np.diff(np.searchsorted(np.flatnonzero(bad), offs)) > 0
 
 
@@ -219,11 +219,10 @@ class PieceTokenizer:
         if _ODD.search(text):
             return None
         if self.kind == "word":
-            if not _NOT_LATIN.search(text):
+            if not _NOT_LATIN.search(text) and "İ" not in text:
                 if not _MARKS.search(text):
                     text = text.replace(".", " . ").replace(",", " , ")
-                if "İ" not in text:
-                    text = text.lower()
+                text = text.lower()
             return text.split()
         if "<" in text:  # special tokens are found before pieces are
             return _COARSE.findall(text) if "<|" not in text else None
