@@ -6,8 +6,10 @@ squared counts grows least: into a window of level l (its count falls, that of l
 into a new one. Ties go to the fullest window. Windows of one level are taken in the order they came to it.
 
 Each task packs the documents of its own input split; nothing is shuffled. When a split ends, the windows still open
-are emptied onto one row of pieces, which is cut into full sequences and, at the end, into sequences of powers of
-two, which need no padding. Sequence ids hold the split's number in their upper bits.
+are closed as they are, the fullest first: what each still lacks is cut from the pieces of the emptiest ones, which
+are given up for that one after the other. So the pieces that move are no more tokens than the open windows lack, all
+others stay in the windows that the level array chose, whatever the splits, and nothing is padded. What doesn't fill a
+window in the end is cut at powers of two. Sequence ids hold the split's number in their upper bits.
 
 Defined cases: null and empty texts are the end token alone; a long text spreads over many sequences; an empty table
 gives no pieces; repeated rows are packed each; other columns are not looked at.
@@ -54,8 +56,8 @@ class SumOfSquares:
         best = int(growth.min())
         return int(levels[np.flatnonzero(growth == best)[-1]]) if best <= new else 0
 
-    def place(self, item, size: int):
-        """Adds an item; returns the window (a list of (item, size)) that it filled, or None."""
+    def place(self, pieces: list, size: int):
+        """Adds pieces that stay together; returns the window (all its pieces) that they filled, or None."""
         level = self.level_for(size)
         if level:
             line = self.open[level]
@@ -63,7 +65,7 @@ class SumOfSquares:
             self.counts[level] -= 1
         else:
             window = []
-        window.append((item, size))
+        window += pieces
         level += size
         if level == self.capacity:
             return window
@@ -71,17 +73,54 @@ class SumOfSquares:
         self.open.setdefault(level, deque()).append(window)
         return None
 
-    def drain(self):
-        """The pieces of all open windows, the fullest windows first."""
-        for level in sorted(self.open, reverse=True):
-            for window in self.open[level]:
-                yield from window
+    def drain(self) -> list[tuple[int, list]]:
+        """The open windows with their levels, the fullest first; none is open then."""
+        windows = [(level, window) for level in sorted(self.open, reverse=True) for window in self.open[level]]
         self.open.clear()
         self.counts[:] = 0
+        return windows
+
+    def finish(self, size_of, cut):
+        """Yields what the open windows become: full ones, and at most one of each power of two below the capacity.
+
+        size_of(piece) is a piece's size; cut(piece, n) parts it after n of them."""
+        windows = deque(self.drain())
+        filler: deque = deque()
+
+        def filled(window: list, need: int) -> list:
+            while need and (filler or windows):
+                if not filler:
+                    filler.extend(windows.pop()[1])
+                piece = filler.popleft()
+                if size_of(piece) > need:
+                    piece, rest = cut(piece, need)
+                    filler.appendleft(rest)
+                window.append(piece)
+                need -= size_of(piece)
+            return window
+
+        while windows:
+            level, window = windows.popleft()
+            if sum(map(size_of, filler)) + sum(n for n, _ in windows) < self.capacity - level:
+                filler.extendleft(reversed(window))  # all that is left doesn't fill a window
+                filler.extend(piece for _, more in windows for piece in more)
+                break
+            yield filled(window, self.capacity - level)
+        windows.clear()
+        left = sum(map(size_of, filler))
+        while left:
+            most = min(self.capacity, 1 << left.bit_length() - 1)
+            yield filled([], most)
+            left -= most
+
 
+def _size(piece) -> int:
+    return len(piece[2]) // 4
 
-def powers_of_two(n: int) -> list[int]:
-    return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
+
+def _cut(piece, n: int):
+    key, start, ids, total = piece
+    return (key, start, ids[: 4 * n], total), (key, start + n, ids[4 * n :], total)
 
 
 class _Pieces:
@@ -106,25 +145,6 @@ class _Pieces:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
 
-def cut_row(pieces, capacity: int):
-    """Cuts a row of pieces into sequences of the capacity, and the rest at powers of two."""
-    pieces = deque(pieces)
-    left = sum(len(p[2]) // 4 for p in pieces)
-    while left:
-        for size in [capacity] if left >= capacity else powers_of_two(left):
-            out, need = [], size
-            while need:
-                key, start, ids, total = pieces.popleft()
-                n = len(ids) // 4
-                if n > need:
-                    pieces.appendleft((key, start + need, ids[4 * need :], total))
-                    ids, n = ids[: 4 * need], need
-                out.append((key, start, ids, total))
-                need -= n
-            left -= size
-            yield out
-
-
 def _pack(path: str, kind: str, end_id: int, capacity: int, keep_ids: bool):
     end = int(end_id).to_bytes(4, "little")
 
@@ -143,11 +163,11 @@ def _pack(path: str, kind: str, end_id: int, capacity: int, keep_ids: bool):
                     for a in range(0, cut, full):
                         out.sequence([(key, a // 4, ids[a : a + full], total)])
                     if cut < len(ids):
-                        done = levels.place((key, cut // 4, ids[cut:], total), (len(ids) - cut) // 4)
-                        if done:
-                            out.sequence([p for p, _ in done])
+                        piece = (key, cut // 4, ids[cut:], total)
+                        if done := levels.place([piece], _size(piece)):
+                            out.sequence(done)
                 yield trimmed(out.batch())
-        for sequence in cut_row((p for p, _ in levels.drain()), capacity):
+        for sequence in levels.finish(_size, _cut):
             out.sequence(sequence)
         yield trimmed(out.batch())
 
