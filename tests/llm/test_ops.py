@@ -276,6 +276,15 @@ def test_decontamination_is_the_same_for_any_blocks(spark, block):
     assert {r.doc_id: r.n_hit for r in decontaminate.digest(decontaminate.scan(named, bench, block_windows=block)).collect()} == {"k0": 2, "k1": 0, "k2": 2, "k3": 0, "k4": 15, "k5": 15, "k6": 0, "k7": 2}
 
 
+@pytest.mark.parametrize("block", [1, 7, 500_000])
+def test_items_without_id_hit_and_are_not_named(spark, block):
+    bench = spark.createDataFrame([(None, "a b"), ("x", "a b"), ("y", "c d"), (None, "e f"), (None, None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g"), (3, "a c"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(decontaminate.scan(docs, bench, block_windows=block)).collect()}
+    assert got == {1: (4, 2, decontaminate.items_digest(["x", "y"]), True), 2: (2, 0, decontaminate.items_digest([]), True), 3: (0, 0, decontaminate.items_digest([]), False), 4: (0, 0, decontaminate.items_digest([]), False)}
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench, block_windows=block).orderBy("doc_id").collect()] == [3, 4]
+
+
 # 5 and 6
 
 

@@ -10,7 +10,8 @@ block (the usual case) needs one pass over the texts. For more, rows are numbere
 scanned on its own, and its hits are joined by the rows' numbers: the result does not depend on the blocks.
 
 Defined cases: null or wordless texts have 0 words and no hits; null or wordless items never occur; equal items
-occur together and each counts; repeated documents, and such without a key, are judged row by row; keys may be of any
+occur together and each counts; items without an id hit words like others, but are neither counted nor named, since
+they have no id to name; repeated documents, and such without a key, are judged row by row; keys may be of any
 type; an empty benchmark hits nothing; other columns of the tables are not looked at. Spans are those of all items
 together and are cut out once, so that no text arises by cutting that was not there.
 """
@@ -109,7 +110,7 @@ def _hits(grams: _Grams, batch: pa.RecordBatch, text: str):
                     spans, found = hits.setdefault(d, ([], set()))
                     base = int(stop[d] - counts[d])
                     spans.append((int(i) - base, int(i) - base + k))
-                    found.update(items)
+                    found.update(x for x in items if x is not None)
         for d in range(len(counts)):
             spans, found = hits.get(d, ((), ()))
             yield first + d, int(counts[d]), merge_spans(spans), sorted(found)
