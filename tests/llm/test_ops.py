@@ -176,6 +176,17 @@ def test_warc_one_response_of_equal_rows(spark, tmp_path, monkeypatch, hot):
     assert sorted(map(str, small)) == sorted(map(str, [(k, "revisit" if i > 9 else "response") for i, (k, _, _) in enumerate(rows)]))
 
 
+def test_warc_keys_and_urls_come_back_as_they_are(spark, tmp_path):
+    """Keys can't forge headers, and only spaces and tabs around a value are not part of it."""
+    keys = ["a\r\nX-Row-Key: zz", "", " b ", "ü%0D", "c:d", None]
+    urls = ["http://a/\u2003", "\u00a0http://b\u0085", None, "http://c/ d\t", "http://e\x1f", "x\r\nWARC-Type: revisit"]
+    pages = spark.createDataFrame([(k, u, f"page {i // 2}") for i, (k, u) in enumerate(zip(keys, urls))], "page_id string, url string, html string")
+    got = warc.archives_digest(pages, folder=str(tmp_path / "w")).collect()
+    assert sorted(map(str, (r.page_id for r in got))) == sorted(map(str, keys)) and {r.refers_to for r in got} - {None} <= set(keys)
+    back = {r.key: r.url for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert [back[k] for k in keys[:4]] == ["http://a/\u2003", "\u00a0http://b\u0085", None, "http://c/%20d%09"]
+
+
 def test_warc_dictionary_and_damage(spark, tmp_path):
     samples = [f"<html><head><title>page {i}</title></head><body>{'common words of pages ' * 30}{i * 7919}</body></html>".encode() for i in range(400)]
     dictionary = zstandard.train_dictionary(4096, samples).as_bytes()

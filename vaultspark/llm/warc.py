@@ -24,6 +24,7 @@ import base64
 import hashlib
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -66,7 +67,7 @@ def record_id(key) -> str:
 
 
 def encode_record(kind: str, key, url: str | None, payload: bytes, payload_digest: str, payload_bytes: int, refers_to=None) -> bytes:
-    """One WARC/1.1 record; key and refers_to are numbers of rows."""
+    """One WARC/1.1 record; key and refers_to are those of rows, percent-encoded in headers, whatever their type."""
     block = payload if kind == "response" else b""
     head = [
         "WARC/1.1",
@@ -75,7 +76,7 @@ def encode_record(kind: str, key, url: str | None, payload: bytes, payload_diges
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{payload_digest}",
         f"X-Payload-Length: {payload_bytes}",
-        f"X-Row-Key: {key}",
+        f"X-Row-Key: {quote(str(key), safe=':')}",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(block)}",
     ]
@@ -85,10 +86,14 @@ def encode_record(kind: str, key, url: str | None, payload: bytes, payload_diges
         clean = "".join(f"%{b:02X}" if b < 33 or b == 127 else chr(b) for b in url.encode()) if any(c < "!" or c == "\x7f" for c in url) else None
         head.append("WARC-Target-URI: " + (clean.encode("latin-1").decode("utf-8") if clean is not None else url))
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {quote(str(refers_to), safe=':')}"]
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def _unquoted(key: str | None) -> str | None:
+    return None if key is None else unquote(key)
+
+
 def decode_record(data: bytes) -> dict:
     """A record's fields, checked: version, required headers, lengths, digest, the end of the block."""
     end = data.find(b"\r\n\r\n")
@@ -100,9 +105,9 @@ def decode_record(data: bytes) -> dict:
     head: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name.strip():
+        if not colon or not name.strip(" \t"):
             raise WarcError(f"not a header field: {line[:40]!r}")
-        head[name.strip().lower()] = value.strip()
+        head[name.strip(" \t").lower()] = value.strip(" \t")  # other white space is part of a value
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in head:
             raise WarcError(f"a record without {name}")
@@ -125,7 +130,7 @@ def decode_record(data: bytes) -> dict:
         if size or not said or "warc-refers-to" not in head:
             raise WarcError("a revisit record needs a digest, a reference and an empty block")
         block = None
-    return {"kind": kind, "id": head["warc-record-id"], "url": head.get("warc-target-uri"), "digest": said, "length": int(head.get("x-payload-length", size)), "key": head.get("x-row-key"), "refers_to": head.get("x-refers-to-key"), "payload": block}
+    return {"kind": kind, "id": head["warc-record-id"], "url": head.get("warc-target-uri"), "digest": said, "length": int(head.get("x-payload-length", size)), "key": _unquoted(head.get("x-row-key")), "refers_to": _unquoted(head.get("x-refers-to-key")), "payload": block}
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
