@@ -4,9 +4,12 @@ import base64
 import hashlib
 import io
 import json
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import wave
 import zipfile
 import zlib
@@ -19,7 +22,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vaultspark.llm import decontaminate, jaccard, langid, media, packing, quality, queries, shards, token_files, tokens, urlfilter, warc
+from vaultspark.llm import _common, decontaminate, jaccard, langid, media, packing, quality, queries, shards, token_files, tokens, urlfilter, warc
 from tests_llm_brute import brute_groups, brute_hits
 from vaultspark.llm._common import input_table
 
@@ -951,4 +954,34 @@ def test_rows_without_key(spark, tmp_path):
 
 
 def test_no_driver_leftovers():
-    assert json.dumps(sorted(queries.queries())) and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert json.dumps(sorted(queries.queries())) and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
+
+
+def test_work_folders_go_with_the_application(tmp_path):
+    """In a session of its own: a query leaves nothing under spark.checkpoint.dir when the application has ended."""
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from vaultspark.llm import queries
+assert queries.op2_warc(spark, "/root/testdata/sf0.001").count() == 50 and os.listdir("{tmp_path}")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert [f for _, _, names in os.walk(tmp_path) for f in names] == []  # Spark keeps an empty folder of its own
+
+
+class _Cluster:
+    """A session of a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master, applicationId = "spark://there:7077", "app-of-a-test"
+        getConf = staticmethod(lambda: _Cluster.conf)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        _common.work_folder(_Cluster, "x")

@@ -57,6 +57,22 @@ def test_packing(stages):
     assert all(r.n == 2048 or re.fullmatch("0b10*", bin(r.n)) for r in full)
 
 
+def test_odd_documents(spark, tmp_path):
+    """Null keys, texts and languages, repeated rows, a very long text and columns whose names stages use themselves."""
+    long = " ".join(f"word{i % 700}" for i in range(60_000))
+    rows = [(None, "a text without a key, as it is found in tables", "en", None, None), (1, None, None, "s", 0), (2, "", "en", "s", 0), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (4, "...", None, "s", 3)]
+    docs = spark.createDataFrame([(*r, 7, "clash", 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, own string, score double")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    kept = [r.doc_id for r in docs.collect()]
+    assert kept.count(3) <= 1 and set(kept) <= {None, 3}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, D)
+    assert packed.select("doc_id").distinct().count() == len(set(kept))
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:

@@ -26,20 +26,31 @@ _BASE = _U(0x9E3779B97F4A7C15)
 STEP_BYTES = 1 << 20
 
 
+#: The work folder of each application.
+_folders: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, the folder that driver and executors share.
-
-    Where the setting is empty (tests, a single machine) a temporary folder is set for the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            base = spark.conf.get("spark.sql.warehouse.dir")
-        else:
+    """A new path in a folder of the application under spark.checkpoint.dir, which driver and executors share.
+
+    The folder goes when the application ends. Where the setting is empty, a temporary folder serves a single machine;
+    on a cluster that is an error, since executors could not read what others wrote."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             own = tempfile.mkdtemp(prefix="vaultspark-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             base = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/vaultspark-{app}")
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _folders[app] = folder.toString()
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
