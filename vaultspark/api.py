@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.operators import graph, search, structured
+from vaultspark.operators.lexical import LexicalIndex
 from vaultspark.operators.base import checkpointed
 from vaultspark.operators.protocols import RERANK, NoopReranker, Reranker, rerank
 
@@ -54,10 +55,12 @@ def owner_order(zones: dict[str, float]) -> list:
 
 
 class Vault:
-    """notes: see operators.structured; vectors: (id, embedding), optional. Every verb gives a DataFrame."""
+    """notes: see operators.structured; vectors: (id, embedding), optional. Every verb gives a DataFrame.
 
-    def __init__(self, notes: DataFrame, vectors: DataFrame | None = None):
-        self.notes, self.vectors, self.spark = notes, vectors, notes.sparkSession
+    index: a stored lexical index of the bodies by id; without one, a search reads all bodies."""
+
+    def __init__(self, notes: DataFrame, vectors: DataFrame | None = None, index: LexicalIndex | None = None):
+        self.notes, self.vectors, self.index, self.spark = notes, vectors, index, notes.sparkSession
 
     # structured
 
@@ -112,7 +115,9 @@ class Vault:
         terms = list(dict.fromkeys(query.lower().split()))
         none = F.lit(None).cast("double")
         legs: dict[str, list[tuple]] = {"lexical": [], "dense": []}  # at most n rows each
-        if terms and n > 0:
+        if terms and n > 0 and self.index is not None:
+            legs["lexical"] = [(key, rank, None) for key, _, rank in self.index.search(terms, n)]
+        elif terms and n > 0:
             found = search.bm25_terms(self.notes.select("id", F.col("body").alias("text")), terms, key="id", n=n)
             legs["lexical"] = [(r["id"], r["rank"], None) for r in found.collect()]
         if self.vectors is not None and vector is not None and n > 0:

@@ -63,20 +63,22 @@ def language_of(text: str, profiles: dict[str, tuple[str, ...]]) -> Column:
     """The language with the most hits; 'unknown' below three hits or on a tie. Words of up to two capitals are no words.
 
     Words are counted in the row: nothing is exploded or shuffled."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
-    words = F.filter(words, lambda w: (F.length(w) > 2) | (w != F.upper(w)))
-    low = F.transform(words, F.lower)
     told = telling(profiles)
-    if not told:
+    owner = {w: i for i, stop in enumerate(told.values(), 1) for w in stop}
+    if not owner:
         return F.lit("unknown")
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    known = F.filter(words, lambda w: F.lower(w).isin(*owner) & ((F.length(w) > 2) | (w != F.upper(w))))
+    # one fold over the few words that tell: a count for each language
+    number = F.create_map(*[F.lit(x) for pair in owner.items() for x in pair])
+    add = lambda counts, w: F.transform(counts, lambda n, i: n + (i + 1 == F.element_at(number, F.lower(w))).cast("int"))
 
-    def hits(stop):
-        return F.size(F.filter(low, lambda w: w.isin(*stop))) if stop else F.lit(0)
+    def best(counts):
+        most = F.array_max(counts)
+        tie = F.size(F.filter(counts, lambda n: n == most)) > 1
+        return F.when((most < LEAST_HITS) | tie, "unknown").otherwise(F.element_at(F.array(*map(F.lit, told)), F.array_position(counts, most).cast("int")))
 
-    scores = F.array_sort(F.array(*[F.struct((-hits(stop)).alias("n"), F.lit(code).alias("code")) for code, stop in told.items()]))
-    first, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
-    tie = F.coalesce(first["n"] == second["n"], F.lit(False))
-    return F.when((first["n"] > -LEAST_HITS) | tie, "unknown").otherwise(first["code"])
+    return F.aggregate(known, F.array_repeat(F.lit(0), len(told)), add, best)
 
 
 def census(docs: DataFrame, profiles: dict[str, tuple[str, ...]], *, text: str = "text", most: int = MOST, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,29 @@ def session(name: str = "vaultspark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir; what is there goes when the application ends."""
+    base = checkpoint_dir(spark)
+    root, files = hadoop_path(spark, f"{base}/work")
+    files.mkdirs(root)
+    files.deleteOnExit(root)
+    return f"{base}/work/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in spark.checkpoint.dir, which all executors share; lineage ends there."""
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints of the application; a temporary one on a single machine without the setting."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -28,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="vaultspark-checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir()
 
 
 _shipped: set[str] = set()

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vaultspark.api import TEMPORAL, Vault
 from vaultspark.functions import languages, stats, text
-from vaultspark.operators import alerts, graph, overlap, probes, structured, versions
+from vaultspark.operators import alerts, graph, lexical, overlap, probes, structured, versions
 from vaultspark.operators.base import checkpointed
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
+from vaultspark.plans.retrieval import QUERY, bm25
 from vaultspark.sources.snapshots import diff_sync
 from vaultspark.streaming import ledger
 
@@ -146,10 +147,21 @@ def vault_search(spark, sf_dir):
     n = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT * FROM notes")
     vectors = spark.table("embeddings").select(F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("id"), "embedding")
     title, vector = n.filter("id = 'n2'").first()["title"], spark.table("embeddings").filter("vec_id = 0").first()["embedding"]
-    hits = Vault(n, vectors).search(title, vector, today="2025-01-01", max_tier="Confidential", zones={"brain": 3.0})
+    index = lexical.index_of(spark, f"{sf_dir}/documents.parquet").named(lambda k: F.concat(F.lit("n"), k.cast("string")))
+    hits = Vault(n, vectors, index).search(title, vector, today="2025-01-01", max_tier="Confidential", zones={"brain": 3.0})
     return hits.select("id", "rank", "score", "evidence", "source", "create_safety")
 
 
+@P.frame(lambda q: f"WITH {notes(q)}, {bm25(q)} SELECT n.id, b.score FROM bm25 b JOIN notes n ON n.doc_id = b.doc_id WHERE n.type = 'decision' AND n.is_latest_version IS DISTINCT FROM 'false' ORDER BY b.score DESC, n.id LIMIT 20")
+def decision_layer_hits(spark, sf_dir):
+    """JN1: hits of the stored index joined to their notes; live decisions, the best first."""
+    n = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT doc_id, id, type, is_latest_version FROM notes")
+    asked = spark.createDataFrame([(0, t) for t in QUERY], "qid long, term string")
+    hits = lexical.bm25(lexical.index_of(spark, f"{sf_dir}/documents.parquet"), asked)
+    live = n.filter(F.col("type") == "decision").filter(~F.col("is_latest_version").eqNullSafe(F.lit("false")))
+    return hits.join(live, hits.key == live.doc_id).select("id", "score").orderBy(F.desc("score"), "id").limit(20)
+
+
 @P.frame(lambda q: f"WITH {_pairs(q, '3e-1')} SELECT a, b, score FROM p")
 def near_duplicate_vector_pairs(spark, sf_dir):
     """DD1: all pairs of near vectors, in blocks."""

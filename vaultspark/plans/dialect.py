@@ -5,10 +5,13 @@ A plan is a function of a dialect that returns SQL. The dialect writes what the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vaultspark.operators.lexical import index_of
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -282,9 +285,16 @@ def tier_rank(column: str) -> str:
 VALID_DATE = "coalesce(nullif(effective_date, ''), nullif(document_date, ''), created)"
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
+def views(spark: SparkSession, sf_dir: str, sql: str = "") -> None:
+    """The tables as views: those that a statement names, or all."""
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        if not sql or re.search(rf"\b{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    if "lexical_" in sql:  # the stored index of the documents
+        index = index_of(spark, f"{sf_dir}/documents.parquet")
+        for part in ("postings", "maxima"):
+            index.table(part).createOrReplaceTempView(f"lexical_{part}")
+        spark.createDataFrame([(float(index.docs), index.avgdl)], "n double, avgdl double").createOrReplaceTempView("lexical_stat")
 
 
 def edges(q: Spark) -> str:
@@ -304,8 +314,9 @@ class Plans:
 
     def add(self, name: str, build: Callable[[Spark], str], doc: str = "") -> None:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            views(spark, sf_dir)
-            return spark.sql(build(SPARK))
+            statement = build(SPARK)
+            views(spark, sf_dir, statement)
+            return spark.sql(statement)
 
         run.__name__, run.__doc__ = name, doc or build.__doc__
         self.queries[name] = run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vaultspark.api import TEMPORAL
+from vaultspark.operators.lexical import bucket_of
 from vaultspark.plans.dialect import TOKEN, VALID_DATE, Plans, edges, notes, tier_rank, token_rows, tokens
 from vaultspark.plans.structured import shingle_hashes, shingle_rows
 
@@ -20,10 +21,9 @@ QUERY = ("the", "and", "der", "les")
 def bm25(q, terms=QUERY) -> str:
     """bm25 (doc_id, score): the Robertson-Sparck Jones idf and saturated term frequencies."""
     asked = ", ".join(f"'{t}'" for t in terms)
-    if q.name == "spark":  # lengths and counts in the row: only what is asked for travels
-        counts = f"filter(transform(array({asked}), x -> named_struct('t', x, 'tf', CAST(size(filter(w, y -> y = x)) AS BIGINT))), c -> c.tf > 0)"
-        return f"""dl AS (SELECT doc_id, CAST(size(w) AS BIGINT) AS dl, {counts} AS c FROM {token_rows(q, 'documents', 'text', 'doc_id', 'w')} x WHERE size(w) > 0),
-stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM dl), tf AS (SELECT doc_id, dl, e.t, e.tf FROM dl, {q.unnest('c', 'u(e)')}), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    if q.name == "spark":  # the asked terms' postings and document counts of the stored index
+        mine = f"bucket IN ({', '.join(sorted({str(bucket_of(t)) for t in terms}))}) AND term IN ({asked})"
+        return f"""tf AS (SELECT key AS doc_id, term AS t, CAST(tf AS BIGINT) AS tf, dl FROM lexical_postings WHERE {mine}), df AS (SELECT term AS t, sum(n) AS df FROM lexical_maxima WHERE {mine} GROUP BY term), stat AS (SELECT n, avgdl FROM lexical_stat),
 bm25 AS (SELECT tf.doc_id, round(sum(ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * {K1 + 1:.1f} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) AS score FROM tf JOIN df ON df.t = tf.t, stat GROUP BY tf.doc_id)"""
     return f"""tok AS (SELECT doc_id, t FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')}),
 dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM dl),

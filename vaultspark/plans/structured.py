@@ -142,14 +142,6 @@ SELECT lang, n, share, (share >= 2e-2 AND n >= 3 AND r <= 3) AS selected FROM s"
 # joins and set operations
 
 
-@P.sql
-def decision_layer_hits(q):
-    """JN1: notes that hold a term, joined to their rows, decisions only, ranked by term frequency over length."""
-    return f"""WITH {notes(q)}, tok AS (SELECT doc_id, t FROM documents, {q.unnest(tokens(q, 'text'), 'u(t)')}),
-tf AS (SELECT doc_id, count(*) AS dl, {q.isum("CASE WHEN t IN ('the', 'und', 'les') THEN 1 ELSE 0 END")} AS tf FROM tok GROUP BY doc_id)
-SELECT n.id, round(tf.tf / CAST(tf.dl AS DOUBLE), 6) AS score FROM tf JOIN notes n ON n.doc_id = tf.doc_id WHERE n.type = 'decision' AND n.is_latest_version IS DISTINCT FROM 'false' AND tf.tf > 0 ORDER BY score DESC, n.id LIMIT 20"""
-
-
 @P.sql
 def representative_chunks(q):
     """JN2: each conversation with its first turn only."""
