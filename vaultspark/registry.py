@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("structured", "analytics", "retrieval", "custom")
+_MODULES: tuple[str, ...] = ("structured", "analytics", "retrieval", "custom", "tables")
 
 
 def _all():
