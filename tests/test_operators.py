@@ -132,6 +132,23 @@ def test_cross_tier_pairs(spark):
     assert {v[2] for v in want.values()} == {"decided", "undecided"} and {r.copies_a for r in got} >= {1, 2}
 
 
+def test_sketches_are_mergeable_and_screened_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [[f"w{x}" for x in rng.integers(0, 400, n)] for n in (0, 3, 90, 500, 900)]
+    rows = spark.createDataFrame([(texts[i], texts[j]) for i in range(5) for j in range(5)], "a array<string>, b array<string>")
+    assert rows.filter(overlap.sketch(F.concat("a", "b")) != overlap.merged(overlap.sketch(F.col("a")), overlap.sketch(F.col("b")))).count() == 0
+    docs = []
+    for i in range(30):
+        base = ["common"] * 5 + [f"w{x}" for x in rng.integers(0, 200, 60)]
+        docs += [base, base[:55] + [f"v{i}{x}" for x in range(6)], ["common", *base]]
+    table = spark.createDataFrame([(i, i % 4, t) for i, t in enumerate(docs)], "k long, tier int, tokens array<string>")
+    whole = sorted(map(str, overlap.cross_tier_screened(table).collect()))
+    assert len(whole) > 20 and whole == sorted(map(str, overlap.cross_tier_screened(table, block=3).collect()))
+    assert set(whole) <= set(map(str, overlap.cross_tier_pairs(table, least_tokens=40).collect()))
+    (told,) = overlap.coverage(table).collect()
+    assert told.population == told.comparable == 90 and told.recall >= 0.95
+
+
 def test_fusion_and_priors(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "qid long, doc_id long, rank int")
     b = spark.createDataFrame([(0, 2, 1)], "qid long, doc_id long, rank int")

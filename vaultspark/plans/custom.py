@@ -215,8 +215,30 @@ def pca_projection(spark, sf_dir):
 @P.frame()
 def cross_tier_pairs(spark, sf_dir):
     """JN10, AG7, DD6: pairs of documents of different tiers by shingle or word Jaccard (an exact prefix join, no sketch)."""
-    d = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT doc_id AS k, {tier_rank('classification')} AS tier, {tokens(SPARK, 'body')} AS tokens FROM notes")
-    return overlap.cross_tier_pairs(d)
+    return overlap.cross_tier_pairs(_tiered(spark, sf_dir))
+
+
+def _tiered(spark, sf_dir) -> DataFrame:
+    return _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT doc_id AS k, {tier_rank('classification')} AS tier, {tokens(SPARK, 'body')} AS tokens FROM notes")
+
+
+@P.frame()
+def cross_tier_sketch_pairs(spark, sf_dir):
+    """DD6, AG7: the pairs that the screen of bottom-k sketches lets through, judged on the real sets; bodies of 40 words or more."""
+    return overlap.cross_tier_screened(_tiered(spark, sf_dir))
+
+
+@P.frame()
+def cross_tier_coverage(spark, sf_dir):
+    """AG7: how many of the exact join's pairs the screen finds."""
+    return overlap.coverage(_tiered(spark, sf_dir))
+
+
+@P.frame()
+def word_sketches(spark, sf_dir):
+    """AG26: the 192 smallest CRC-32 values of each body's words."""
+    rows = _tiered(spark, sf_dir).select(F.col("k").alias("doc_id"), overlap.sketch(F.col("tokens")).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("kept"), F.array_min("s").alias("lowest"), F.array_max("s").alias("bound"), F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256).alias("digest"))
 
 
 @P.frame()
