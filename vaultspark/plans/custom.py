@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from vaultspark.api import TEMPORAL, Vault
 from vaultspark.functions import languages, stats, text
 from vaultspark.operators import alerts, graph, lexical, overlap, probes, structured, versions
-from vaultspark.operators.base import checkpointed
+from vaultspark.operators.base import checkpointed, work_dir
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
+from vaultspark.operators.vectors import VectorTable
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
 from vaultspark.plans.retrieval import QUERY, bm25
 from vaultspark.sources.snapshots import diff_sync
@@ -103,6 +104,36 @@ def dense_knn_queries(spark, sf_dir):
     return got.select("qid", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_KNN = P.oracle["dense_knn_queries"]
+
+
+def _stored_vectors(spark, sf_dir) -> VectorTable:
+    """A vector table that got to the state of the embeddings by changes: some come first, some of them with other vectors, some go and come back."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    table = VectorTable(spark, work_dir(spark, "vectors"))
+    table.setup(v.filter("label < 5 OR label IS NULL"))
+    table.upsert(v.filter("label >= 5").withColumn("embedding", F.reverse("embedding")))
+    table.delete(v.filter("label = 3 OR label = 6"))
+    table.upsert(v.filter("label >= 5 OR label = 3"))
+    return table
+
+
+@P.frame(lambda q: _KNN)
+def vector_backend_search(spark, sf_dir):
+    """UD2: the stored vector table's exact search after upserts and deletions."""
+    got = _stored_vectors(spark, sf_dir).search(_asked(spark, sf_dir), 9, probes=None)
+    return got.select("qid", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@P.frame()
+def vector_backend_recall(spark, sf_dir):
+    """UD2: the calibrated number of probes, and recall@10 of every twentieth vector with it."""
+    table = _stored_vectors(spark, sf_dir)
+    probes = table.calibrate(target=0.97)["probes"]
+    recall = table.recall(_asked(spark, sf_dir), 10, probes)
+    return spark.createDataFrame([(len(table.manifest()["centroids"]), probes, round(recall, 4))], "lists long, probes long, recall double")
+
+
 @P.frame(lambda q: f"WITH {edges(q)}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({q.dot('a.embedding', 'b.embedding')}, 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), u AS (SELECT s.* FROM s WHERE s.s >= 3e-1 AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.src = s.a AND e.dst = s.b)) SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM u) x WHERE r <= 5")
 def inferred_edges(spark, sf_dir):
     """GR10: the five nearest unlinked vectors of every twentieth one, over a floor. Vectors have few links, so the nearest 5 + their links suffice."""
