@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vaultspark.operators import rules
 from vaultspark.operators.base import work_dir
-from vaultspark.plans.dialect import Plans, tokens
+from vaultspark.plans.dialect import SPARK, Plans, notes, tokens, views
+from vaultspark.sources import records
 from vaultspark.sources.bucketed import BucketedTable, Rebuild
 from vaultspark.streaming import admission, ledger
 
@@ -83,4 +85,59 @@ def admission_drain(spark, sf_dir):
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out").select(F.col("id").cast("long").alias("event_id"), "bucket", "reason")
 
 
+# records, conventions and prefixes
+
+
+@P.frame(lambda q: """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), v AS (SELECT event_id, CASE WHEN event_type = 'error' AND value < 20 THEN 'malformed JSON' WHEN value > 180 THEN 'unsupported record version' WHEN event_type = 'signup' THEN 'unsupported mode'
+WHEN floor(value) = 0 THEN 'invalid rrf_k' WHEN value BETWEEN 100 AND 110 THEN 'missing vault fingerprint' WHEN event_type = 'error' AND value > 90 THEN 'invalid top list' WHEN value BETWEEN 60 AND 62 THEN 'invalid latency' WHEN k = 7 AND event_type = 'click' THEN 'invalid rerank metadata'
+WHEN k = 3 AND event_type = 'view' THEN 'invalid max tier' WHEN k = 0 THEN 'invalid top rank' WHEN k = 1 THEN 'duplicate top id' END AS problem FROM e) SELECT event_id, problem FROM v WHERE problem IS NOT NULL""")
+def query_log_records(spark, sf_dir):
+    """SC14, OR5: events written as query-log lines, some of them broken in each way, and the first fault of each bad line."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value, kind = F.col("value"), F.col("event_type")
+    mode = F.when(kind == "view", "hybrid-search").when(kind == "click", "search").when(kind == "signup", "lookup").otherwise("dossier")
+    item = lambda name, rank: F.concat(F.lit('{"id":"'), name, F.lit('","final_rank":'), rank.cast("string"), F.lit("}"))
+    top = F.concat(F.lit("["), item(F.lit("a"), k), F.lit(","), item(F.when(k == 1, "a").otherwise("b"), k + 1), F.lit("]"))
+    parts = [
+        F.concat(F.lit('"version":'), F.when(value > 180, "2").otherwise("1")),
+        F.lit('"query":"what"'),
+        F.concat(F.lit('"mode":"'), mode, F.lit('"')),
+        F.concat(F.lit('"k":'), k.cast("string")),
+        F.concat(F.lit('"rrf_k":'), F.floor(value).cast("string")),
+        F.when(~value.between(100, 110), F.lit('"vault_fingerprint":"f"')),
+        F.concat(F.lit('"top":'), F.when((kind == "error") & (value > 90), "{}").otherwise(top)),
+        F.concat(F.lit('"latency_ms":'), F.when(value.between(60, 62), '"slow"').otherwise(value.cast("string"))),
+        F.concat(F.lit('"rerank":'), F.when((k == 7) & (kind == "click"), '{"requested":"no"}').otherwise('{"requested":false}')),
+        F.when((k == 3) & (kind == "view"), F.lit('"max_tier":"internal"')),
+        F.lit('"candidate_digest":{}'),
+    ]
+    line = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.when((kind == "error") & (value < 20), "").otherwise("}"))
+    return records.validated(e.select("event_id", line.alias("value"))).filter("problem IS NOT NULL").select("event_id", "problem")
+
+
+@P.frame(lambda q: f"""WITH {notes(q)}, n AS (SELECT *, coalesce(trim(title), '') AS t, coalesce(trim(classification), '') AS c FROM notes), v AS (
+SELECT 'missing title' AS rule, id FROM n WHERE zone = 'brain' AND t = '' UNION ALL SELECT 'missing classification', id FROM n WHERE c = ''
+UNION ALL SELECT r, id FROM n, (VALUES ('missing captured'), ('missing origin'), ('missing immutable')) AS x(r) WHERE zone = 'raw'
+UNION ALL SELECT 'unknown tier', id FROM n WHERE c NOT IN ('', 'Public', 'Internal', 'Confidential', 'Restricted', 'MNPI') UNION ALL SELECT 'unknown type', id FROM n WHERE zone = 'raw'
+UNION ALL SELECT 'document_date is no date', id FROM n WHERE document_date = 'unknown' UNION ALL SELECT 'superseded before it was created', id FROM n WHERE superseded_date <> '' AND created > superseded_date
+UNION ALL SELECT 'title of several notes', id FROM n WHERE zone = 'brain' AND t <> '' AND lower(t) IN (SELECT lower(t) FROM n WHERE zone = 'brain' AND t <> '' GROUP BY lower(t) HAVING count(*) > 1))
+SELECT rule, count(*) AS n, min(id) AS first_id FROM v GROUP BY rule""")
+def note_rules(spark, sf_dir):
+    """OR6: all conventions of notes in one pass over the unpivoted notes."""
+    statement = f"WITH {notes(SPARK)} SELECT * FROM notes"
+    views(spark, sf_dir, statement)
+    return rules.lint(spark.sql(statement)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@P.frame(lambda q: """WITH k AS (SELECT DISTINCT sha256(coalesce(text, '')) AS key FROM documents), a AS (SELECT DISTINCT substr(sha256(coalesce(text, '')), 1, CAST(1 + octet_length(encode(coalesce(text, ''))) % 20 AS BIGINT)) AS prefix FROM documents UNION SELECT sha256(coalesce(source, '')) FROM documents UNION SELECT key FROM k WHERE key LIKE '0%'),
+j AS (SELECT a.prefix, k.key FROM a LEFT JOIN k ON starts_with(k.key, a.prefix)) SELECT prefix, CASE WHEN bool_or(key = prefix) THEN 'exact' WHEN count(key) = 1 THEN 'found' WHEN count(key) > 1 THEN 'ambiguous' ELSE 'absent' END AS status, CASE WHEN bool_or(key = prefix) THEN prefix WHEN count(key) = 1 THEN min(key) END AS key, count(key) AS owners FROM j GROUP BY prefix""")
+def prefix_resolution(spark, sf_dir):
+    """OR7: content hashes by beginnings of one to twenty letters, whole ones, and ones that no content has."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("t"), F.coalesce("source", F.lit("")).alias("source"))
+    keys = d.select(F.sha2("t", 256).alias("key"), (1 + F.octet_length("t") % 20).alias("n"), F.sha2("source", 256).alias("other"))
+    asked = keys.select(F.explode(F.array(F.expr("substring(key, 1, n)"), "other", F.when(F.col("key").startswith("0"), F.col("key")))).alias("prefix")).dropna()
+    return rules.resolve_prefixes(asked, keys)
+
+
 QUERIES, ORACLE = P.queries, P.oracle
