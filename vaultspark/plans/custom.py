@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from vaultspark.api import TEMPORAL, Vault
 from vaultspark.functions import languages, stats, text
-from vaultspark.operators import alerts, graph, lexical, overlap, probes, structured, versions
+from vaultspark.operators import alerts, graph, lexical, multihop, overlap, probes, structured, versions
 from vaultspark.operators.base import checkpointed, work_dir
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
+from vaultspark.operators.search import tokens as tokens_of
 from vaultspark.operators.vectors import VectorTable
 from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
 from vaultspark.plans.retrieval import QUERY, bm25
@@ -193,6 +194,46 @@ def decision_layer_hits(spark, sf_dir):
     return hits.join(live, hits.key == live.doc_id).select("id", "score").orderBy(F.desc("score"), "id").limit(20)
 
 
+#: Questions by the titles of notes that they name: two entities, one, and none.
+ASKED_OF = ((1, (2, 3)), (2, (7,)), (3, ()), (4, (12, 8, 5)))
+
+
+def _asked_sql(q) -> str:
+    titles = lambda ids: " || ' with ' || ".join(f"(SELECT coalesce(title, '') FROM notes WHERE doc_id = {i})" for i in ids) or "'the red und les'"
+    return " UNION ALL ".join(f"SELECT {n} AS qid, {titles(ids)} AS question" for n, ids in ASKED_OF)
+
+
+def _multihop_sql(q, rounds: int = 6) -> str:
+    walk = ""
+    for i in range(1, rounds + 1):
+        walk += f"p{i} AS (SELECT qid, v, sum(p) AS p FROM (SELECT x.qid, w.b AS v, 85e-2 * x.p / d.n AS p FROM p{i - 1} x JOIN w ON w.a = x.v JOIN deg d ON d.a = x.v UNION ALL SELECT qid, v, 15e-2 / k FROM seed JOIN k USING (qid)) y GROUP BY qid, v), "
+    words = lambda c: f"array_to_string({tokens(q, c)}, ' ')"
+    return f"""WITH {notes(q)}, {edges(q)}, w AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), deg AS (SELECT a, count(*) AS n FROM w GROUP BY a), q AS ({_asked_sql(q)}),
+ent AS (SELECT doc_id, {words('title')} AS name FROM notes WHERE type IN {multihop.ENTITY_TYPES}), men AS (SELECT DISTINCT qid, doc_id FROM q JOIN ent ON length(name) >= 4 AND name NOT IN {multihop.GENERIC} AND contains(' ' || {words('question')} || ' ', ' ' || name || ' ')),
+gate AS (SELECT qid FROM men LEFT JOIN deg ON deg.a = men.doc_id WHERE coalesce(n, 0) <= (SELECT quantile_disc(n, 0.99) FROM deg) GROUP BY qid HAVING count(*) >= 2),
+term AS (SELECT DISTINCT qid, unnest({tokens(q, 'question')}) AS t FROM q), tok AS (SELECT doc_id, unnest({tokens(q, 'text')}) AS t FROM documents), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id), st AS (SELECT count(*)::DOUBLE AS docs, avg(dl) AS mean FROM dl),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM tok WHERE t IN (SELECT t FROM term) GROUP BY doc_id, t), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+lex AS (SELECT qid, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS s FROM term JOIN tf USING (t) JOIN df USING (t) JOIN dl USING (doc_id), st GROUP BY qid, doc_id),
+flat AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS f FROM lex QUALIFY f <= 30),
+seed AS (SELECT DISTINCT qid, v FROM (SELECT qid, doc_id AS v FROM men UNION SELECT qid, doc_id FROM flat WHERE f <= 3) x WHERE qid IN (SELECT qid FROM gate) AND v IN (SELECT a FROM w)), k AS (SELECT qid, count(*)::DOUBLE AS k FROM seed GROUP BY qid), p0 AS (SELECT qid, v, 1 / k AS p FROM seed JOIN k USING (qid)),
+{walk}h1 AS (SELECT DISTINCT qid, w.b AS v FROM seed JOIN w ON w.a = seed.v), h2 AS (SELECT DISTINCT qid, w.b AS v FROM h1 JOIN w ON w.a = h1.v), hop AS (SELECT qid, v, min(h) AS hop FROM (SELECT qid, v, 1 AS h FROM h1 UNION ALL SELECT qid, v, 2 FROM h2) x GROUP BY qid, v),
+g AS (SELECT qid, v AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(p, 0), 9) DESC, coalesce(hop, 99), v) AS g FROM p{rounds} FULL JOIN hop USING (qid, v) ANTI JOIN seed USING (qid, v) QUALIFY g <= 30),
+u AS (SELECT qid, doc_id, round(coalesce(1e0 / (60 + f), 0) + coalesce(5e-1 / (60 + g), 0), 9) AS score, coalesce(f, 10000 + g) AS o FROM flat FULL JOIN g USING (qid, doc_id))
+SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, o) AS INT) AS rank, round(score, 6) AS score, qid IN (SELECT qid FROM gate) AS fired FROM u"""
+
+
+@P.frame(_multihop_sql)
+def gated_multi_hop(spark, sf_dir):
+    """WN20: questions that name several notes are fused with the link graph (six rounds of the walk), others stay flat."""
+    n = _sql(spark, sf_dir, f"WITH {notes(SPARK)} SELECT doc_id, title, type FROM notes")
+    asked = checkpointed(spark.sql(f"WITH {notes(SPARK)} {_asked_sql(SPARK)}"))
+    index = lexical.index_of(spark, f"{sf_dir}/documents.parquet")
+    terms = asked.select("qid", F.explode(F.array_distinct(tokens_of(F.col("question")))).alias("term"))
+    flat = checkpointed(lexical.bm25(index, terms, n=30).select("qid", F.col("key").alias("doc_id"), "rank"))
+    out = multihop.gated(flat, asked, n, _edges(spark, sf_dir), key="doc_id", rounds=6, tol=0.0)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @P.frame(lambda q: f"WITH {_pairs(q, '3e-1')} SELECT a, b, score FROM p")
 def near_duplicate_vector_pairs(spark, sf_dir):
     """DD1: all pairs of near vectors, in blocks."""
