@@ -185,13 +185,15 @@ def _unpacked(z: zipfile.ZipFile, member: zipfile.ZipInfo, most: int) -> bytes |
     return bytes(out)
 
 
-def rows_of(path: str, raw: bytes):
-    """The rows of one file: one for each member, processed or quarantined."""
+def rows_of(path: str, raw: bytes, handlers: dict | None = None):
+    """The rows of one file: one for each member, processed or quarantined. handlers: name and function by extension."""
     import hashlib
 
+    handlers = HANDLERS if handlers is None else handlers
+
     for member, data in expand(path, raw):
         ext = member.rsplit(".", 1)[-1].lower() if "." in member else ""
-        name, handler = HANDLERS.get(ext, ("", None))
+        name, handler = handlers.get(ext, ("", None))
         row = dict.fromkeys(_COLS) | {"path": path, "member": member, "handler": name, "status": "quarantined"}
         try:
             if isinstance(data, Quarantine):
