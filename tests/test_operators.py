@@ -175,6 +175,16 @@ def test_demotion(spark):
     assert [(r.vec_id, r.demoted) for r in search.near_duplicate_demotion(v, threshold=0.95).orderBy("place").collect()] == [(1, False), (3, False), (2, True)]
 
 
+def test_demotion_of_many_is_the_walk(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(25, 4))
+    rows = [(i, (base[i % 25] + 0.05 * rng.normal(size=4)).tolist(), float(np.round(rng.random(), 2)), bool(i % 4)) for i in range(120)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, may boolean")
+    for eligible in (None, "may"):
+        one, many = (sorted(map(tuple, search.near_duplicate_demotion(v, threshold=0.98, eligible=eligible, limit=n).select("vec_id", "place", "demoted").collect())) for n in (8000, 10))
+        assert one == many and sum(d for *_, d in one) > 20
+
+
 def test_statistics():
     assert stats.paired_permutation([1, 1, 1]) == 0.25 and stats.paired_permutation([]) == 1.0
     mean, low, high = stats.bootstrap_ci([0.1, 0.2, 0.3])

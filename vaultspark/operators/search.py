@@ -162,10 +162,10 @@ def recency(date: Column, today: str, *, weight: float = 0.25, half_life: int =
 def near_duplicate_demotion(ranked: DataFrame, *, threshold: float, key: str = "vec_id", vector: str = "embedding", score: str = "score", eligible: str | None = None, limit: int = 8000) -> DataFrame:
     """(key, score, place, demoted): walking from the best, a row too near to a kept one goes to the tail.
 
-    Rows that aren't `eligible` (a boolean column; all are without one) stay where they are. A sequential rule over the
-    candidates of one query; more than `limit` of them are an error, not cut."""
+    Rows that aren't `eligible` (a boolean column; all are without one) stay where they are. Up to `limit` candidates, as
+    one query has them, are walked in one task; more of them are decided in rounds (`_demoted_in_rounds`), alike."""
     if ranked.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} candidates of one query")
+        return _demoted_in_rounds(ranked, threshold, key, vector, score, eligible)
     kind = ranked.schema[key].dataType.simpleString()
 
     def walk(pdf):
@@ -187,6 +187,42 @@ def near_duplicate_demotion(ranked: DataFrame, *, threshold: float, key: str = "
     return ranked.select(key, vector, score, may.alias("may_")).withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(walk, f"{key} {kind}, {score} double, place long, demoted boolean")
 
 
+def _demoted_in_rounds(ranked: DataFrame, threshold: float, key: str, vector: str, score: str, eligible: str | None, block: int = 2048) -> DataFrame:
+    """The walk's result without a walk: a row is decided as soon as all better rows near to it are.
+
+    It goes to the tail if one of those is kept, and is kept if none is. Pairs come from blocks that meet (similar_pairs);
+    each round decides at least the best row that is left, and usually most rows."""
+    from vaultspark.operators.base import checkpointed
+
+    may = F.coalesce(F.col(eligible), F.lit(False)) if eligible else F.lit(True)
+    norm = F.sqrt(dot(vector, vector))
+    rows = checkpointed(ranked.select(F.col(key).alias("k"), F.col(score).alias("s"), may.alias("may"), F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm)).alias("x")))
+    pairs = similar_pairs(rows, threshold, key="k", vector="x", block=block).select("a", "b")
+    both = pairs.union(pairs.select("b", "a")).join(rows.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("k").alias("b"), F.col("s").alias("sb"), "may"), "b")
+    over = checkpointed(both.filter("may AND (sa > sb OR (sa = sb AND a < b))").select("a", "b"))  # a is better than b and near to it
+    left, known = rows.select("k"), rows.select("k", F.lit(False).alias("down")).limit(0)
+    while True:
+        waits = over.join(left.select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        under = over.join(known.filter("NOT down").select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        gone = left.join(under, "k", "left_semi").withColumn("down", F.lit(True))
+        kept = left.join(under, "k", "left_anti").join(waits, "k", "left_anti").withColumn("down", F.lit(False))
+        now = checkpointed(gone.unionByName(kept))
+        known = checkpointed(known.unionByName(now))
+        left = checkpointed(left.join(now, "k", "left_anti"))
+        if not left.limit(1).count():
+            break
+    out = rows.join(known, "k").select(F.col("k").alias(key), F.col("s").cast("double").alias(score), F.col("down").alias("demoted"))
+    # places by the order of range partitions, not by one task that numbers all rows
+    part = out.repartitionByRange(F.col("demoted"), F.desc(score), F.col(key)).sortWithinPartitions("demoted", F.desc(score), key).withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    part = checkpointed(part)
+    starts, at = [], 0
+    for p, n in sorted(tuple(r) for r in part.groupBy("p_").agg(F.count(F.lit(1)).alias("n")).collect()):  # one row a partition
+        starts.append((p, at))
+        at += n
+    first = part.sparkSession.createDataFrame(starts or [(0, 0)], "p_ int, first_ long")
+    return part.join(F.broadcast(first), "p_").select(key, score, (F.col("first_") + F.col("i_") + 1).alias("place"), "demoted")
+
+
 def family_canonicals(candidates: list[str], notes: DataFrame, exempt: Column, *, floor: int = 1024, hops: int = 8) -> dict[str, str]:
     """The canonical note of each absorbed one: versions of one chain whose bodies are equal vote as one document.
 

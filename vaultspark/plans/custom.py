@@ -275,8 +275,9 @@ def pca_projection(spark, sf_dir):
     head = agg.first()
     n, mean = head["n"], np.array([head[f"t{i}"] for i in range(dims)]) / head["n"]
     square = np.zeros(dims * dims)
-    for row in parts.select("square").toLocalIterator():
-        square += np.array(row["square"])
+    summed = parts.select(F.posexplode("square").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    for at, x in summed.collect():  # one row for each of the 64 x 64 positions
+        square[at] = x
     values, vectors = np.linalg.eigh(square.reshape(dims, dims) / n - np.outer(mean, mean))
     top = vectors[:, ::-1][:, :3]
     top = top * np.sign(top[np.abs(top).argmax(0), range(3)])
