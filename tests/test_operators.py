@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vaultspark.functions import stats, text
-from vaultspark.operators import graph, overlap, search
+from vaultspark.operators import base, graph, multiple, overlap, search
 from vaultspark.plans import custom
 from vaultspark.sources import ingest
 from vaultspark.sources.snapshots import Generations, append_once, diff_sync, supersede
@@ -286,3 +286,21 @@ def test_late_events_change_nothing(spark, tmp_path):
     s = ledger.spine(ledger.events_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1))
     got = {r.commitment_id: (r.events, r.status, r.last_event) for r in ledger.drain(s, str(tmp_path / "out"), "update", last_by="commitment_id").collect()}
     assert got == {1: (2, "done", 3), 2: (1, "open", 2)}
+
+
+def test_adjusted_p_values(spark):
+    rng = np.random.default_rng(4)
+    p = [*map(float, np.round(rng.random(300), 3)), 0.0, 1.0, 1.0]
+    order = np.argsort(p, kind="stable")
+    raw = np.minimum(1.0, np.minimum.accumulate((np.array(p)[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
+    want = dict(zip(order.tolist(), raw.tolist()))
+    table = spark.createDataFrame([*enumerate(p), (999, None)], "i int, p double").repartition(5)
+    got = {r.i: r.adjusted for r in multiple.benjamini_hochberg(table, key="i").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert multiple.benjamini_hochberg(table.limit(0), key="i").count() == 0
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(500)], "i int, k int").repartition(6)
+    got, _ = base.in_order(rows, F.desc("k"), F.col("i"))
+    assert [(r.k, r.i) for r in got.orderBy("n_").collect()] == sorted(((k % 7, k) for k in range(500)), key=lambda x: (-x[0], x[1])) and sorted(r.n_ for r in got.collect()) == list(range(1, 501))

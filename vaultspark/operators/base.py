@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "vaultspark", **conf: str) -> SparkSession:
@@ -34,6 +35,41 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/work/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_stored: dict[tuple, tuple] = {}
+
+
+def table_state(spark: SparkSession, path: str) -> int:
+    """A number that changes when the files of a table do."""
+    root, files = hadoop_path(spark, path)
+    return hash(tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (files.listStatus(root) if files.exists(root) else ()))))
+
+
+def stored(spark: SparkSession, path: str, name: str, build) -> DataFrame:
+    """What `build()` derives from the table at a path, written once for an application and anew when its files change."""
+    token = (spark.sparkContext.applicationId, path, name, table_state(spark, path))
+    if token not in _stored:
+        df = build()
+        folder = work_dir(spark, name)
+        df.write.parquet(folder)
+        _stored[token] = folder, df.schema
+    folder, schema = _stored[token]
+    return spark.read.schema(schema).parquet(folder)
+
+
+def in_order(df: DataFrame, *order) -> tuple[DataFrame, list[tuple]]:
+    """df with p_ (a range partition) and n_ (a row's number in the whole order), and the (p_, rows before it) of the partitions.
+
+    Numbers come from the sizes of range partitions, one row of each on the driver, so no task sees all rows."""
+    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    part = checkpointed(part)
+    starts, at = [], 0
+    for p, n in sorted(tuple(r) for r in part.groupBy("p_").agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((p, at))
+        at += n
+    first = part.sparkSession.createDataFrame(starts or [(0, 0)], "p_ int, first_ long")
+    return part.join(F.broadcast(first), "p_").withColumn("n_", F.col("first_") + F.col("i_") + 1).drop("first_", "i_"), starts
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in spark.checkpoint.dir, which all executors share; lineage ends there."""
     checkpoint_dir(df.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vaultspark.operators.base import hadoop_path, work_dir
+from vaultspark.operators.base import table_state, work_dir
 from vaultspark.operators.search import K1, B, tokens
 
 #: Partitions by term, and blocks of keys.
@@ -168,9 +168,7 @@ _known: dict[tuple, LexicalIndex] = {}
 
 def index_of(spark: SparkSession, path: str, *, key: str = "doc_id", text: str = "text") -> LexicalIndex:
     """The index of a Parquet table, built once for an application and anew when the table's files change."""
-    root, files = hadoop_path(spark, path)
-    state = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (files.listStatus(root) if files.exists(root) else ())))
-    token = (spark.sparkContext.applicationId, path, key, text, hash(state))
+    token = (spark.sparkContext.applicationId, path, key, text, table_state(spark, path))
     if token not in _known:
         _known[token] = LexicalIndex.build(spark.read.parquet(path), work_dir(spark, "lexical"), key=key, text=text)
     index = _known[token]

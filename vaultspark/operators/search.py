@@ -192,7 +192,7 @@ def _demoted_in_rounds(ranked: DataFrame, threshold: float, key: str, vector: st
 
     It goes to the tail if one of those is kept, and is kept if none is. Pairs come from blocks that meet (similar_pairs);
     each round decides at least the best row that is left, and usually most rows."""
-    from vaultspark.operators.base import checkpointed
+    from vaultspark.operators.base import checkpointed, in_order
 
     may = F.coalesce(F.col(eligible), F.lit(False)) if eligible else F.lit(True)
     norm = F.sqrt(dot(vector, vector))
@@ -212,15 +212,7 @@ def _demoted_in_rounds(ranked: DataFrame, threshold: float, key: str, vector: st
         if not left.limit(1).count():
             break
     out = rows.join(known, "k").select(F.col("k").alias(key), F.col("s").cast("double").alias(score), F.col("down").alias("demoted"))
-    # places by the order of range partitions, not by one task that numbers all rows
-    part = out.repartitionByRange(F.col("demoted"), F.desc(score), F.col(key)).sortWithinPartitions("demoted", F.desc(score), key).withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    part = checkpointed(part)
-    starts, at = [], 0
-    for p, n in sorted(tuple(r) for r in part.groupBy("p_").agg(F.count(F.lit(1)).alias("n")).collect()):  # one row a partition
-        starts.append((p, at))
-        at += n
-    first = part.sparkSession.createDataFrame(starts or [(0, 0)], "p_ int, first_ long")
-    return part.join(F.broadcast(first), "p_").select(key, score, (F.col("first_") + F.col("i_") + 1).alias("place"), "demoted")
+    return in_order(out, F.col("demoted"), F.desc(score), F.col(key))[0].select(key, score, F.col("n_").alias("place"), "demoted")
 
 
 def family_canonicals(candidates: list[str], notes: DataFrame, exempt: Column, *, floor: int = 1024, hops: int = 8) -> dict[str, str]:

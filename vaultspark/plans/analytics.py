@@ -154,13 +154,6 @@ def latency_percentiles(q):
     return f"SELECT event_type, round({q.percentile('value', '5e-1')}, 2) AS p50, round({q.percentile('value', '95e-2')}, 2) AS p95, count(*) AS n FROM events GROUP BY event_type"
 
 
-@P.sql
-def benjamini_hochberg(q):
-    """AG19: step-up adjusted p values."""
-    return """WITH p AS (SELECT user_id, 1 / (1 + avg(value) / 10) AS p FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY p, user_id) AS i, count(*) OVER () AS m FROM p)
-SELECT user_id, round(p, 6) AS p, round(least(1e0, min(p * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted FROM r"""
-
-
 @P.sql
 def replay_drift(q):
     """AG21: overlap of two runs' first ten, whether the first stayed, and how far results moved."""

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from vaultspark.api import TEMPORAL, Vault
 from vaultspark.functions import languages, stats, text
-from vaultspark.operators import alerts, graph, lexical, multihop, overlap, probes, structured, versions
+from vaultspark.operators import alerts, graph, lexical, multihop, multiple, overlap, probes, structured, versions
 from vaultspark.operators.base import checkpointed, work_dir
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
 from vaultspark.operators.search import tokens as tokens_of
 from vaultspark.operators.vectors import VectorTable
-from vaultspark.plans.dialect import SPARK, Plans, edges, notes, tier_rank, tokens, views
+from vaultspark.plans.dialect import SPARK, Plans, derived_views, edges, notes, tier_rank, tokens, views
 from vaultspark.plans.retrieval import QUERY, bm25
 from vaultspark.sources.snapshots import diff_sync
 from vaultspark.streaming import ledger
@@ -24,6 +24,7 @@ P = Plans()
 
 def _sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     views(spark, sf_dir)
+    derived_views(spark, sf_dir, sql)
     return spark.sql(sql)
 
 
@@ -342,6 +343,14 @@ def html_extract_exact(spark, sf_dir):
     return p.select("page_id", text.extract_html("html").alias("x")).select("page_id", "x.title", "x.body")
 
 
+@P.frame(lambda q: """WITH p AS (SELECT user_id, 1 / (1 + avg(value) / 10) AS p FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY p, user_id) AS i, count(*) OVER () AS m FROM p)
+SELECT user_id, round(p, 6) AS p, round(least(1e0, min(p * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted FROM r""")
+def benjamini_hochberg(spark, sf_dir):
+    """AG19: step-up adjusted p values of users."""
+    p = _sql(spark, sf_dir, "SELECT user_id, 1 / (1 + avg(value) / 10) AS p FROM events GROUP BY user_id")
+    return multiple.benjamini_hochberg(p, key="user_id").select("user_id", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
+
+
 @P.frame()
 def evaluation_tests(spark, sf_dir):
     """AG17, AG18, AG20: bootstrap, permutation and power over per-source deltas (one row per source)."""

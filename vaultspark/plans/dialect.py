@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vaultspark.operators.base import stored
 from vaultspark.operators.lexical import index_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -258,6 +259,11 @@ def token_rows(q: Spark, table: str, text: str, columns: str, name: str, where:
     return f"(SELECT {columns}, {name} FROM {table}, {q.unnest(f'array({tokens(q, text)})', f'tokens_({name})')} WHERE {where})"
 
 
+def _derived_edges(spark: SparkSession, path: str) -> DataFrame:
+    spark.read.parquet(path).createOrReplaceTempView("documents")
+    return spark.sql(f"WITH {_links} SELECT src, dst FROM edge")
+
+
 def notes(q: Spark) -> str:
     """Documents as notes of a vault: the same derived columns in both engines."""
     base = "DATE '2024-01-01'"
@@ -290,8 +296,16 @@ def views(spark: SparkSession, sf_dir: str, sql: str = "") -> None:
     for t in TABLES:
         if not sql or re.search(rf"\b{t}\b", sql):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    if "lexical_" in sql:  # the stored index of the documents
-        index = index_of(spark, f"{sf_dir}/documents.parquet")
+    derived_views(spark, sf_dir, sql)
+
+
+def derived_views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """What a statement reads that is derived from the documents and kept: their links, and their lexical index."""
+    path = f"{sf_dir}/documents.parquet"
+    if "stored_edge" in sql:
+        stored(spark, path, "edges", lambda: _derived_edges(spark, path)).createOrReplaceTempView("stored_edge")
+    if "lexical_" in sql:
+        index = index_of(spark, path)
         for part in ("postings", "maxima"):
             index.table(part).createOrReplaceTempView(f"lexical_{part}")
         spark.createDataFrame([(float(index.docs), index.avgdl)], "n double, avgdl double").createOrReplaceTempView("lexical_stat")
@@ -299,7 +313,10 @@ def views(spark: SparkSession, sf_dir: str, sql: str = "") -> None:
 
 def edges(q: Spark) -> str:
     """Links between notes: documents hold no links, so each note links to those that its number leads to."""
-    return """links AS (SELECT doc_id AS src, (doc_id * 7 + 3) % n AS dst FROM documents, (SELECT count(*) AS n FROM documents) c WHERE doc_id % 3 <> 1
+    return "edge AS (SELECT src, dst FROM stored_edge)" if q.name == "spark" else _links
+
+
+_links = """links AS (SELECT doc_id AS src, (doc_id * 7 + 3) % n AS dst FROM documents, (SELECT count(*) AS n FROM documents) c WHERE doc_id % 3 <> 1
   UNION ALL SELECT doc_id, (doc_id * 5 + 11) % n FROM documents, (SELECT count(*) AS n FROM documents) c WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, doc_id - doc_id % 25 FROM documents WHERE doc_id % 5 = 2),
 edge AS (SELECT DISTINCT src, dst FROM links WHERE src <> dst)"""

@@ -263,8 +263,8 @@ SELECT w.doc_id, count(*) AS entities, count(*) >= 2 AS fires FROM w JOIN lex ON
 @P.sql
 def bridge_boost(q):
     """GR11: shared neighbours of linked notes, three at most, and a recency boost."""
-    return f"""WITH {notes(q)}, {edges(q)}, out AS (SELECT src, count(*) AS n FROM edge GROUP BY src), common AS (SELECT a.src AS x, b.src AS y, count(*) AS n FROM edge e JOIN edge a ON a.src = e.src JOIN edge b ON b.src = e.dst AND b.dst = a.dst GROUP BY a.src, b.src)
-SELECT e.src, e.dst, round(5e-2 * least(coalesce(c.n, 0), 3) + greatest(0e0, 1e-1 * (1 - {q.days("DATE '2025-01-01'", q.try_date('n.updated'))} / 730e0)), 6) AS boost FROM edge e JOIN notes n ON n.doc_id = e.src LEFT JOIN common c ON c.x = e.src AND c.y = e.dst"""
+    return f"""WITH {notes(q)}, {edges(q)}, near AS (SELECT src, {q.collect('dst')} AS d FROM edge GROUP BY src)
+SELECT e.src, e.dst, round(5e-2 * least(coalesce({q.size(q.intersect('a.d', 'b.d'))}, 0), 3) + greatest(0e0, 1e-1 * (1 - {q.days("DATE '2025-01-01'", q.try_date('n.updated'))} / 730e0)), 6) AS boost FROM edge e JOIN notes n ON n.doc_id = e.src JOIN near a ON a.src = e.src LEFT JOIN near b ON b.src = e.dst"""
 
 
 @P.sql
