@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultspark.api import Vault
-from vaultspark.functions import languages
+from vaultspark.functions import languages, text
 from vaultspark.operators import alerts, probes, protocols, structured, versions
 from vaultspark.sources import ledgers
 
@@ -100,6 +100,22 @@ def test_search_stages(spark):
     assert [h.id for h in v.search("nothing", [1.0, 0.0], k=4, zones={"transcript": 3.0}).collect()][:2] == ["t1", "t2"]
 
 
+def test_aliases(spark, notes):
+    """An alias is the stronger name: its owner is found, pinned, and told by it; only notes of the brain have any."""
+    some = notes.withColumn("aliases", F.when(F.col("id").isin("d", "c"), F.array(F.lit("Night  Owl"), F.lit("Copy"))))
+    owners = {(r.name, r.id): (r.by_alias, r.owners, r.place) for r in structured.name_owners(some).collect()}
+    assert owners["night owl", "d"] == (1, 1, 1) and owners["copy", "d"][:2] == (1, 2) and owners["copy", "e"][:2] == (0, 2) and ("night owl", "c") not in owners
+    hit = Vault(some).search("night owl").first()
+    assert (hit.id, hit.evidence, hit.create_safety) == ("d", "alias_hit", "exists")
+    two = {r.id: (r.evidence, r.create_safety) for r in Vault(some).search("COPY").collect()}
+    assert two["d"] == ("alias_hit", "probable") and two["e"] == ("exact_title_match", "probable")
+
+
+def test_inline_lists_respect_quotes():
+    meta, _ = text.split_front_matter("---\naliases: [\"a, b\", 'it''s', c d , \"say \\\"x\\\"\"]\ntitle: T # comment\nhash: '#x'\nempty: []\nlist:\n  - \"p, q\"\n  - r\n---\nbody")
+    assert meta == {"aliases": ["a, b", "it's", "c d", 'say "x"'], "title": "T", "hash": "#x", "empty": [], "list": ["p, q", "r"]}
+
+
 def test_duplicates(notes):
     assert {(r.id, r.canonical) for r in Vault(notes).exact_duplicates().collect()} == {("e", True), ("d", False)}
 

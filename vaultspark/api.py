@@ -82,11 +82,11 @@ class Vault:
     # ranked
 
     def _owns(self, query: str):
-        """Whether a note's title is the query, and whether the query is most of it in one piece."""
+        """Whether a note's title or one of its aliases is the query, and whether the query is most of its title in one piece."""
         words = query.lower().split()
         name = F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))
         title, n = F.split(name, " "), len(words)
-        full = F.coalesce(name == " ".join(words), F.lit(False)) if words else F.lit(False)
+        full = F.coalesce(name == " ".join(words), F.lit(False)) | structured.has_alias(" ".join(words), self.notes) if words else F.lit(False)
         if n < 2:
             return full, F.lit(False)
         part = (F.size(title) > n) & (F.lit(n) / F.size(title) >= 0.6) & F.contains(F.concat(F.lit(" "), name, F.lit(" ")), F.lit(f" {' '.join(words)} "))
@@ -165,7 +165,9 @@ class Vault:
             place = F.row_number().over(Window.orderBy(F.col("full").desc(), *owner_order(zones)))
             rows = rows.withColumns({"slots": slots, "place": place}).withColumn("rank", F.when(F.col("full"), F.get("slots", F.col("place") - 1)).otherwise(F.col("rank")))
         rows = rows.filter(F.col("rank") <= max(k, 0))
-        evidence = F.when(F.col("full"), "exact_title_match").when(F.col("part"), "title_phrase_match").when(F.col("literal"), "keyword_exact").when((F.col("dense_rank") <= 3) & (F.col("sim") >= 0.8), "high_vector_match").otherwise("weak_semantic")
+        alias = structured.has_alias(" ".join(query.lower().split()), self.notes)
+        rows = rows.withColumn("by_alias", alias)
+        evidence = F.when(F.col("by_alias"), "alias_hit").when(F.col("full"), "exact_title_match").when(F.col("part"), "title_phrase_match").when(F.col("literal"), "keyword_exact").when((F.col("dense_rank") <= 3) & (F.col("sim") >= 0.8), "high_vector_match").otherwise("weak_semantic")
         both = F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull()
         source = F.when(both, "both").when(F.col("lexical_rank").isNotNull(), "lexical").when(F.col("dense_rank").isNotNull(), "semantic").otherwise("exact")
         safety = F.when(F.col("full") & (F.col("owners") == 1), "exists").when(evidence == "weak_semantic", "unknown").otherwise("probable")

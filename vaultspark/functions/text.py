@@ -48,6 +48,25 @@ def _fenced(text: str) -> tuple[list[str], str] | None:
     return [line.rstrip("\r\n") for line in lines[1 : fences[1]]], "".join(lines[fences[1] + 1 :])
 
 
+#: An entry of an inline list: quoted (it may hold commas) or bare.
+_ENTRY = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]*?)\s*(?:,|$)""")
+
+
+def _bare(value: str) -> str:
+    """A value without its quotes, or without a comment that a space and a number sign begin."""
+    value = value.strip()
+    if value[:1] == '"' and value[-1:] == '"' and len(value) > 1:
+        return re.sub(r"\\(.)", r"\1", value[1:-1])
+    if value[:1] == "'" and value[-1:] == "'" and len(value) > 1:
+        return value[1:-1].replace("''", "'")
+    return re.split(r"\s#", value, maxsplit=1)[0].rstrip().strip("\"'")
+
+
+def _inline(value: str) -> list[str]:
+    """The entries of a list in brackets; commas within quotes divide nothing."""
+    return [x for x in (_bare(m[1]) for m in _ENTRY.finditer(value[1:-1])) if x]
+
+
 _FIELD, _ITEM = re.compile(r"([^\s:#-][^:]*):\s*(.*)"), re.compile(r"\s*-\s+(.*)")
 
 
@@ -56,18 +75,17 @@ def split_front_matter(text: str) -> tuple[dict, str]:
     found = _fenced(text)
     if found is None:
         return {}, text
-    bare = lambda v: v.strip().strip("\"'")
     fields: list[tuple[str, str, list[str]]] = []  # name, what stands beside it, items below
     for line in found[0]:
         if m := _FIELD.fullmatch(line):
             fields.append((m[1].strip(), m[2].strip(), []))
         elif fields and (m := _ITEM.fullmatch(line)):
-            fields[-1][2].append(bare(m[1]))
+            fields[-1][2].append(_bare(m[1]))
     meta = {}
     for name, beside, items in fields:
         if beside[:1] + beside[-1:] == "[]":
-            meta[name] = [bare(v) for v in beside[1:-1].split(",") if v.strip()]
-        elif value := bare(beside) if beside else items:
+            meta[name] = _inline(beside)
+        elif value := _bare(beside) if beside else items:
             meta[name] = value
     return meta, found[1].lstrip("\n")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Classifications from the most open to the most closed; missing and unknown ones count as the last.
@@ -162,3 +162,29 @@ def link_graph(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = wanted.join(exact, "target", "left").join(names, F.lower("target") == F.col("name"), "left").join(loose, norm(F.col("target")) == F.col("key"), "left")
     resolved = found.select("src", "target", F.coalesce("by_id", "by_name", "by_key").alias("dst"))
     return resolved.filter(F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))).select("src", "dst").distinct(), resolved.filter("dst IS NULL").select("src", "target").distinct()
+
+
+def name_of(text: Column) -> Column:
+    """A title, an alias or a question as a name: lower case, single spaces."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def has_alias(name: str, notes: DataFrame) -> Column:
+    """Whether a note of the brain has a name among its aliases (a column of arrays; without it none has)."""
+    if "aliases" not in notes.columns:
+        return F.lit(False)
+    return F.coalesce((F.col("zone") == "brain") & F.exists("aliases", lambda a: name_of(a) == name), F.lit(False))
+
+
+def name_owners(notes: DataFrame, *, most: int = 16) -> DataFrame:
+    """(name, id, by_alias, owners, place): who owns each name by title or alias, an alias being the stronger claim.
+
+    Live owners come first, then the brain, new dates and small ids; places beyond `most` are left out, owners are of all."""
+    aliases = F.when(F.col("zone") == "brain", F.coalesce("aliases", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(F.array(F.struct(name_of(F.coalesce("title", F.lit(""))).alias("name"), F.lit(0).alias("by_alias"))), F.transform(aliases, lambda a: F.struct(name_of(a).alias("name"), F.lit(1).alias("by_alias"))))
+    rows = notes.select("id", "zone", is_live().alias("live"), F.try_to_date(valid_date()).alias("d"), F.explode(names).alias("n")).filter("n.name <> ''")
+    own = rows.groupBy("n.name", "id").agg(F.max("n.by_alias").alias("by_alias"), F.first("live").alias("live"), F.first("zone").alias("zone"), F.first("d").alias("d"))
+    w = Window.partitionBy("name")
+    order = w.orderBy(F.desc("live"), (F.col("zone") == "brain").desc(), F.col("d").desc_nulls_last(), "id")
+    out = own.withColumns({"owners": F.count(F.lit(1)).over(w), "place": F.row_number().over(order).cast("long")})
+    return out.filter(F.col("place") <= most).select("name", "id", "by_alias", "owners", "place")

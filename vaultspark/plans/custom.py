@@ -14,7 +14,7 @@ from vaultspark.operators.base import checkpointed, work_dir
 from vaultspark.operators.search import near_duplicate_demotion, nearest, similar_clusters, similar_pairs
 from vaultspark.operators.search import tokens as tokens_of
 from vaultspark.operators.vectors import VectorTable
-from vaultspark.plans.dialect import SPARK, Plans, derived_views, edges, notes, tier_rank, tokens, views
+from vaultspark.plans.dialect import SPARK, VALID_DATE, Plans, derived_views, edges, notes, tier_rank, tokens, views
 from vaultspark.plans.retrieval import QUERY, bm25
 from vaultspark.sources.snapshots import diff_sync
 from vaultspark.streaming import ledger
@@ -250,6 +250,20 @@ def subfloor_families(spark, sf_dir):
     return graph.components(links).join(n, F.col("v") == n.doc_id).groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min(F.octet_length("body").cast("long")).alias("smallest"), F.countDistinct(F.sha2("body", 256)).alias("bodies"))
 
 
+def _aliased(q) -> str:
+    """Notes with aliases from what they are: the first two words of their title, and their source and language."""
+    two = q.extract("lower(trim(title))", "^[^ ]+ [^ ]+", 0)
+    return f"{notes(q)}, aliased AS (SELECT *, {two} AS short, coalesce(source, '') || ' ' || coalesce(lang, '') AS origin FROM notes)"
+
+
+@P.frame(lambda q: f"""WITH {_aliased(q)}, n AS (SELECT *, is_latest_version IS DISTINCT FROM 'false' AS live, TRY_CAST({VALID_DATE} AS DATE) AS d FROM aliased), x AS (SELECT id, zone, live, d, lower(trim(title)) AS name, 0 AS by_alias FROM n UNION ALL SELECT id, zone, live, d, short, 1 FROM n WHERE zone = 'brain' UNION ALL SELECT id, zone, live, d, lower(origin), 1 FROM n WHERE zone = 'brain'),
+o AS (SELECT name, id, zone, live, d, max(by_alias) AS by_alias FROM x WHERE name <> '' GROUP BY ALL) SELECT name, id, by_alias, count(*) OVER (PARTITION BY name) AS owners, row_number() OVER (PARTITION BY name ORDER BY live DESC, zone = 'brain' DESC, d DESC NULLS LAST, id) AS place FROM o QUALIFY place <= 16""")
+def alias_owners(spark, sf_dir):
+    """JN4, WN6: owners of each name by title or alias, in their order, and how many there are."""
+    n = _sql(spark, sf_dir, f"WITH {_aliased(SPARK)} SELECT * FROM aliased")
+    return structured.name_owners(n.withColumn("aliases", F.array("short", "origin")))
+
+
 @P.frame()
 def near_dup_suppression(spark, sf_dir):
     """WN12: near copies among the ranked vectors of a query go to the tail."""

@@ -228,7 +228,13 @@ def ingest(spark: SparkSession, folder: str, known: DataFrame | None = None) ->
     return rows
 
 
-NOTE = "id string, title string, type string, classification string, zone string, path string, created string, updated string, meta map<string,string>, body string, sha256 string, content_hash string"
+def _aliases(meta: dict, zone: str) -> list[str]:
+    """Other names of a note: a list in the front matter of a note of the brain; what isn't a list names nothing."""
+    found = meta.get("aliases") if zone == "brain" else None
+    return [a for a in found if a.strip()] if isinstance(found, list) else []
+
+
+NOTE = "id string, title string, type string, classification string, zone string, path string, created string, updated string, meta map<string,string>, body string, sha256 string, content_hash string, aliases array<string>"
 
 
 def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,7 +257,7 @@ def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
                 zone = path.split("/", 1)[0]
                 flat = {k: ", ".join(v) if isinstance(v, list) else str(v) for k, v in meta.items()}
                 stem = path.rsplit("/", 1)[-1][:-3]
-                rows.append((flat.get("id") or stem, flat.get("title", ""), flat.get("type") or ("source" if zone == "raw" else "note"), flat.get("classification"), zone, path, flat.get("created", ""), flat.get("updated", ""), flat, body, hashlib.sha256(body.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                rows.append((flat.get("id") or stem, flat.get("title", ""), flat.get("type") or ("source" if zone == "raw" else "note"), flat.get("classification"), zone, path, flat.get("created", ""), flat.get("updated", ""), flat, body, hashlib.sha256(body.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), _aliases(meta, zone)))
             yield pd.DataFrame(rows, columns=names)
 
     return taken.mapInPandas(over, NOTE)
