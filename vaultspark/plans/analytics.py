@@ -224,7 +224,7 @@ def cross_tier_copies(q):
 
 @P.sql
 def bottom_k_sketch(q):
-    """AG26 at 64 hashes (the reference keeps 192), without DD6's screen: the 64 smallest hashes of each document's words (SHA-256 here, so that both engines agree)."""
+    """Towards AG26 (word_sketches and cross_tier_sketch_pairs have its 192 values and the screen): the 64 smallest hashes of each document's words (SHA-256 here, so that both engines agree)."""
     return f"""WITH w AS (SELECT DISTINCT doc_id, substr({q.sha('w')}, 1, 12) AS h FROM documents, {q.unnest(tokens(q, 'text'), 'u(w)')}), r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS k FROM w)
 SELECT doc_id, count(*) AS kept, min(h) AS lowest, max(h) AS bound FROM r WHERE k <= 64 GROUP BY doc_id"""
 
@@ -386,20 +386,20 @@ def anchor_divergence(q):
 
 @P.sql
 def query_log_validation(q):
-    """OR5: records that break a rule, with the first rule."""
+    """Towards OR5 (query_log_records has the rules of records): events that break one of four rules, with the first rule."""
     return f"SELECT event_id, CASE WHEN value < 0 THEN 'negative' WHEN {q.json_int('props', 'k')} IS NULL THEN 'no key' WHEN {q.json_int('props', 'k')} > 90 THEN 'k too large' WHEN event_type NOT IN ('view', 'click', 'purchase', 'signup') THEN 'mode' END AS violation FROM events WHERE value < 0 OR {q.json_int('props', 'k')} IS NULL OR {q.json_int('props', 'k')} > 90 OR event_type NOT IN ('view', 'click', 'purchase', 'signup')"
 
 
 @P.sql
 def note_lint(q):
-    """OR6: notes against their conventions."""
+    """Towards OR6 (note_rules has all conventions as rows): five conventions of notes."""
     return f"""WITH {notes(q)}, v AS (SELECT id, 'no title' AS rule FROM notes WHERE coalesce(title, '') = '' UNION ALL SELECT id, 'no tier' FROM notes WHERE classification IS NULL UNION ALL SELECT id, 'dates' FROM notes WHERE superseded_date <> '' AND superseded_date < created
 UNION ALL SELECT id, 'successor without date' FROM notes WHERE superseded_by IS NOT NULL AND superseded_date = '' UNION ALL SELECT min(id), 'alias twice' FROM notes WHERE title <> '' GROUP BY lower(title) HAVING count(*) > 1) SELECT rule, count(*) AS n, min(id) AS first_id FROM v GROUP BY rule"""
 
 
 @P.sql
 def registry_resolve(q):
-    """OR7: an exact key, else the one key that starts so."""
+    """Towards OR7 (prefix_resolution takes any length and tells absence): keys by their first twelve letters."""
     return f"""WITH r AS (SELECT p_partkey, lower(p_brand) || '-' || {q.string('p_partkey')} AS k FROM part), a AS (SELECT DISTINCT substr(k, 1, 12) AS asked FROM r) SELECT a.asked, count(*) AS owners, CASE WHEN count(*) = 1 THEN min(r.k) END AS resolved FROM a JOIN r ON substr(r.k, 1, length(a.asked)) = a.asked AND substr(r.k, 1, 12) = a.asked GROUP BY a.asked"""
 
 
@@ -411,7 +411,7 @@ def priority_map(q):
 
 @P.sql
 def admission_stages(q):
-    """OR10: the first terminal bucket of each arrival, with its reason."""
+    """Towards OR10 (admission_drain has all stages and the state of contents): the first terminal bucket of each arrival, with its reason."""
     return f"""WITH h AS (SELECT doc_id, text, source, min(doc_id) OVER (PARTITION BY {q.sha('text')}) AS first_doc FROM documents) SELECT doc_id, CASE WHEN doc_id <> first_doc THEN 'duplicate' WHEN length(trim(text)) < 40 THEN 'quarantined' WHEN source = 'src2' THEN 'set_aside' ELSE 'processed' END AS bucket,
 CASE WHEN doc_id <> first_doc THEN 'same content' WHEN length(trim(text)) < 40 THEN 'too little text' WHEN source = 'src2' THEN 'held source' END AS reason FROM h"""
 

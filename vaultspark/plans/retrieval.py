@@ -81,7 +81,7 @@ cut AS (SELECT id, classification, round(s, 6) AS score FROM prior ORDER BY roun
 
 @P.sql
 def exact_identity_leg(q):
-    """WN6: owners of a name by alias and title, live ones first, then zone, date and id."""
+    """Towards WN6 (alias_owners has aliases, too): owners of a title, live ones first, then zone, date and id."""
     return f"""WITH {notes(q)}, o AS (SELECT lower(title) AS name, id, CASE WHEN is_latest_version = 'false' THEN 1 ELSE 0 END AS retired, CASE WHEN zone = 'brain' THEN 0 ELSE 1 END AS z, {VALID_DATE} AS d FROM notes WHERE title <> '')
 SELECT name, id, CAST(r AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY retired, z, d DESC, id) AS r FROM o) x WHERE r <= 16"""
 
@@ -113,7 +113,7 @@ def temporal_intent(q):
 
 @P.sql
 def duplicate_family_collapse(q):
-    """WN11: hits of one family fold to its canonical note at the best rank."""
+    """Towards WN11 (operators.search.family_canonicals follows version chains; vault_search runs it): hits with equal bodies fold to one note at the best rank."""
     return f"""WITH {notes(q)}, {legs(q)}, fam AS (SELECT doc_id, {q.sha('body')} AS h, zone, type, {tier_rank('classification')} AS tr, {q.octets('body')} AS size, path, is_latest_version FROM notes),
 f AS (SELECT l.leg, l.rank, l.doc_id, CASE WHEN f.size >= 1024 THEN f.h || f.zone || f.type || {q.string('f.tr')} ELSE {q.string('l.doc_id')} END AS family, f.is_latest_version, f.path FROM leg l JOIN fam f ON f.doc_id = l.doc_id)
 SELECT leg, family, CAST(min(rank) AS BIGINT) AS rank, count(*) AS members, min(CASE WHEN is_latest_version = 'false' THEN '1' ELSE '0' END || lpad({q.string('length(path)')}, 4, '0') || lpad({q.string('doc_id')}, 12, '0')) AS canonical FROM f GROUP BY leg, family"""
@@ -164,7 +164,7 @@ v AS ({one.format('bm25')} UNION ALL {one.format('knn')} UNION ALL {one.format('
 
 @P.sql
 def multi_hop_fusion(q):
-    """WN20: flat and graph results fused with weights of one and one half."""
+    """Towards WN20 (gated_multi_hop has the gate and the walk): flat and neighbours' results fused with weights of one and one half."""
     return f"""WITH {fused(q)}, {edges(q)}, flat AS (SELECT doc_id, row_number() OVER (ORDER BY round(rrf, 9) DESC, doc_id) AS r FROM fused), seed AS (SELECT doc_id FROM flat WHERE r <= 5), hop AS (SELECT e.dst AS doc_id, count(*) AS n FROM edge e JOIN seed s ON s.doc_id = e.src GROUP BY e.dst),
 g AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM hop) SELECT doc_id, round(sum(w / (60 + r)), 6) AS score FROM (SELECT doc_id, r, 1e0 AS w FROM flat WHERE r <= 40 UNION ALL SELECT doc_id, r, 5e-1 FROM g) u GROUP BY doc_id"""
 
@@ -344,13 +344,13 @@ def family_stem(q):
 
 @P.sql
 def version_link_verdict(q):
-    """DD11: what to do with consecutive orders of a customer as versions."""
+    """Towards DD11 (version_link_candidates runs the operator): what to do with consecutive orders of a customer as versions."""
     return f"WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, lag(o_orderkey) OVER w AS before, lag(o_orderdate) OVER w AS d0, lag(o_totalprice) OVER w AS p0 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT o_orderkey, before, CASE WHEN o_orderdate <= d0 THEN 'not_newer' WHEN o_totalprice > p0 AND o_totalprice < p0 * 2 THEN 'propose' WHEN o_totalprice < p0 / 2 THEN 'ambiguous' ELSE 'none' END AS verdict FROM o WHERE before IS NOT NULL"
 
 
 @P.sql
 def version_link_generation(q):
-    """DD12: pairs within a block, twenty-five partners at most."""
+    """Towards DD12 (version_link_candidates runs the operator): pairs within a block, twenty-five partners at most."""
     return "WITH b AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) SELECT a.o_orderkey AS old_key, c.o_orderkey AS new_key FROM b a JOIN b c ON a.o_custkey = c.o_custkey AND c.r > a.r AND c.r <= a.r + 25"
 
 

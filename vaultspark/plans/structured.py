@@ -156,7 +156,7 @@ def chunk_note_map(q):
 
 @P.sql
 def identity_owners(q):
-    """JN4: owners of a name by title or alias, with the stronger provenance."""
+    """Towards JN4 (alias_owners has aliases): owners of a name by title, every sixth doubled as an alias."""
     return f"""WITH {notes(q)}, named AS (SELECT lower(title) AS name, id, 1 AS alias FROM notes WHERE doc_id % 6 = 0 UNION ALL SELECT lower(title), id, 0 FROM notes)
 SELECT name, id, max(alias) AS by_alias FROM named WHERE name <> '' GROUP BY name, id"""
 
