@@ -132,6 +132,20 @@ def test_cross_tier_pairs(spark):
     assert {v[2] for v in want.values()} == {"decided", "undecided"} and {r.copies_a for r in got} >= {1, 2}
 
 
+def test_cross_tier_candidates_are_few(spark):
+    """Texts of one small vocabulary share many words, but hardly a pair of them may reach the value; none that does is lost, in blocks of any size."""
+    rng = np.random.default_rng(11)
+    docs = [[f"w{x}" for x in rng.zipf(1.3, 80) if x < 2000] for _ in range(150)]
+    docs += [t[:-3] + ["other", "end"] for t in docs[:20]]
+    table = spark.createDataFrame([(i, i % 4, t) for i, t in enumerate(docs)], "k long, tier int, tokens array<string>")
+    jac = lambda x, y: len(x & y) / len(x | y)
+    want = {(i, j) for i in range(170) for j in range(i + 1, 170) if i % 4 != j % 4 and jac(set(docs[i]), set(docs[j])) >= 0.6}
+    assert len(want) >= 10
+    for block in (2, 2000):
+        got = {(r.a, r.b) for r in overlap.candidates(table, shingle=5, percent=60, block=block).collect()}
+        assert want <= got and len(got) <= 3 * len(want) + 50
+
+
 def test_sketches_are_mergeable_and_screened_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     texts = [[f"w{x}" for x in rng.integers(0, 400, n)] for n in (0, 3, 90, 500, 900)]
