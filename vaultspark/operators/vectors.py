@@ -28,6 +28,8 @@ from vaultspark.sources.bucketed import Conflict, get_text, put_once
 
 #: Vectors that centroids are fitted on at most, for each list; rounds of fitting; questions in one broadcast.
 SAMPLE_PER_LIST, ROUNDS, QUESTIONS = 256, 12, 4096
+#: Questions that one product compares with a list's rows of a batch.
+PRODUCT = 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -211,8 +213,11 @@ def _best_of_lists(shared, key: str, vector: str, n: int):
                 if asked is None or not len(asked):
                     continue
                 rows = rows.sort_values(key, kind="stable")  # ties go to the smaller key
-                sims = np.round(mat[asked] @ np.stack(rows[vector]).astype(float).T, 6)
-                at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"qid": np.repeat(names[asked], at.shape[1]), key: rows[key].to_numpy()[at].ravel(), "score": np.take_along_axis(sims, at, 1).ravel()})
+                keys, x = rows[key].to_numpy(), np.stack(rows[vector]).astype(float).T
+                for start in range(0, len(asked), PRODUCT):
+                    some = asked[start : start + PRODUCT]
+                    sims = np.round(mat[some] @ x, 6)
+                    at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+                    yield pd.DataFrame({"qid": np.repeat(names[some], at.shape[1]), key: keys[at].ravel(), "score": np.take_along_axis(sims, at, 1).ravel()})
 
     return over
