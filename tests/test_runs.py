@@ -1,4 +1,4 @@
-"""Runs of labelled vectors: the first of each query, and figures over whole orders, without all pairs."""
+"""Evaluations on tables larger or odder than the given ones: runs of labelled vectors, without all pairs, and the score of probes."""
 
 import duckdb
 import numpy as np
@@ -7,6 +7,7 @@ from test_oracle import rows_of
 
 from vaultspark import registry
 from vaultspark.operators import search
+from vaultspark.plans import dialect
 
 
 @pytest.mark.parametrize("name", ["ir_metrics", "bpref", "replay_drift", "leg_attribution", "unreachable_gold"])
@@ -40,3 +41,18 @@ def test_best_holds_the_first_of_each_query():
     for i in range(7):
         want = sorted((-s, k) for s, k in zip(sims[i], keys) if k != 9)[:5]
         assert sorted((-s, k) for a, s, k in zip(best.at, best.scores, best.keys) if a == i) == want
+
+
+def test_few_failed_probes_of_many(spark, tmp_path):
+    """The score is rounded to four places before it is compared (as in the reference), so one failure of 50,000 is no regression."""
+    text = "concat('note ', id)"
+    spark.range(50_004).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "'src1' AS source", "CAST(9 AS BIGINT) AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in dialect.TABLES:
+        if t != "documents":
+            spark.range(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert duck.sql(f"SELECT count(*) FROM ({registry.oracle_sql()['currency_probes']}) WHERE status = 'fail'").fetchall() == [(1,)]
+    df = registry.queries()["golden_probe_score"](spark, str(tmp_path))
+    want = duck.sql(registry.oracle_sql()["golden_probe_score"])
+    assert rows_of(df.collect(), df.columns) == rows_of(want.fetchall(), want.columns) == [("action_required", 50005, 1.0)]
