@@ -7,7 +7,7 @@ from test_oracle import rows_of
 
 from vaultspark import registry
 from vaultspark.operators import search
-from vaultspark.plans import dialect
+from vaultspark.plans import custom, dialect
 
 
 @pytest.mark.parametrize("name", ["ir_metrics", "bpref", "replay_drift", "leg_attribution", "unreachable_gold"])
@@ -22,6 +22,7 @@ def test_runs_with_ties_and_nulls(spark, tmp_path, name):
     for t in ("embeddings", "documents"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     df = registry.queries()[name](spark, str(tmp_path))
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 20)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan  # no product of every pair in the plan's rows
     want = duck.sql(registry.oracle_sql()[name])
@@ -56,3 +57,19 @@ def test_few_failed_probes_of_many(spark, tmp_path):
     df = registry.queries()["golden_probe_score"](spark, str(tmp_path))
     want = duck.sql(registry.oracle_sql()["golden_probe_score"])
     assert rows_of(df.collect(), df.columns) == rows_of(want.fetchall(), want.columns) == [("action_required", 50005, 1.0)]
+
+
+def test_near_pairs_meet_in_wide_blocks(spark, tmp_path, monkeypatch):
+    """Vectors are dealt once for each wide block (it was each 300), and a block's product is taken in parts."""
+    x = np.random.default_rng(6).normal(size=(1300, 16)).astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for t in dialect.TABLES:
+        if t != "embeddings":
+            spark.range(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    asked = {}
+    monkeypatch.setattr(custom, "similar_pairs", lambda *a, **k: asked.update(k) or search.similar_pairs(*a, **k))
+    df = registry.queries()["near_duplicate_vector_pairs"](spark, str(tmp_path))
+    assert asked.get("block", 8192) >= 8192
+    i, j = np.nonzero(np.triu(np.round(x.astype(float) @ x.T.astype(float), 6) >= 0.3, 1))
+    assert {(r.a, r.b) for r in df.collect()} == set(zip(i.tolist(), j.tolist())) and len(i) > 1000 and i.max() > 1024
