@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,33 @@ def test_built_anew_when_files_change(spark, tmp_path):
     assert lexical.index_of(spark, path).folder == first.folder and [k for k, *_ in first.search(["red"], 5)] == [1]
     spark.createDataFrame([(2, "red blue")], "doc_id long, text string").write.mode("append").parquet(path)
     assert sorted(k for k, *_ in lexical.index_of(spark, path).search(["red"], 5)) == [1, 2]
+
+
+def test_postings_of_a_bucket_are_dealt_over_tasks(spark, docs, index, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "PART_BYTES", 20_000)
+    dealt = lexical.LexicalIndex.build(docs, str(tmp_path / "dealt"), buckets=8, blocks=16)
+    whole = dealt.table("postings").select("bucket", "term", "block", F.input_file_name().alias("f")).distinct()
+    files = whole.select("bucket", "f").distinct().groupBy("bucket").count().collect()
+    assert len(files) == 8 and all(r["count"] > 1 for r in files)
+    assert whole.groupBy("bucket", "term", "block").count().filter("count > 1").count() == 0  # what a search skips lies together
+    assert dealt.stat["docs"] == index.stat["docs"] and dealt.stat["words"] == index.stat["words"]
+    key = ["term", "block", "key", "tf", "dl", "head"]
+    assert sorted(map(tuple, dealt.table("postings").select(key).collect())) == sorted(map(tuple, index.table("postings").select(key).collect()))
+    assert dealt.search(TERMS, 80) == index.search(TERMS, 80)
+
+
+def test_words_are_counted_in_steps(monkeypatch):
+    texts = [["b", "a", "b"], None, [], ["c"] * 7, ["a"], ["d", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, None, 6]), pa.array(texts, pa.list_(pa.string()))], ["key", "w"])
+    want = {(t, k, w.count(t), len(w), w[0] == t) for k, w in zip([1, 2, 3, 4, None, 6], texts) if w for t in w}
+    for step in (1, 3, 4, 100):
+        monkeypatch.setattr(lexical, "STEP_WORDS", step)
+        got = [tuple(r.values()) for out in lexical._counted([batch]) for r in out.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_runs_of_two_batches_add_up():
+    rows = [("a", 1, 0.5, 0), ("a", 1, 0.7, 0), ("a", 2, 0.1, 0), ("b", 2, 0.3, 0), ("b", 2, 0.2, 1)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("term", "block", "top", "bucket"), r)) for r in part], pa.schema([("term", pa.string()), ("block", pa.int32()), ("top", pa.float64()), ("bucket", pa.int32())])) for part in (rows[:1], [], rows[1:])]
+    got = [tuple(r.values()) for out in lexical._runs(batches) for r in out.to_pylist()]
+    assert got == [("a", 1, 1, 0.5, 0), ("a", 1, 1, 0.7, 0), ("a", 2, 1, 0.1, 0), ("b", 2, 1, 0.3, 0), ("b", 2, 1, 0.2, 1)]
