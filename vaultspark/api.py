@@ -92,10 +92,14 @@ class Vault:
         part = (F.size(title) > n) & (F.lit(n) / F.size(title) >= 0.6) & F.contains(F.concat(F.lit(" "), name, F.lit(" ")), F.lit(f" {' '.join(words)} "))
         return full, F.coalesce(part, F.lit(False))
 
-    def _exact(self, query: str, zones: dict[str, float]) -> DataFrame:
-        """(id, rank, w): owners of the query as a title, then of titles that it is most of, sixteen of each at most."""
+    def _owned(self, query: str) -> DataFrame:
+        """The notes that own the query as a title or part of one, kept: titles are read once, not for each use."""
         full, part = self._owns(query)
         rows = self.notes.select("id", "zone", full.alias("full"), part.alias("part"), structured.is_live().alias("live"), structured.valid_date().alias("d"))
+        return checkpointed(rows.filter("full OR part"))
+
+    def _exact(self, rows: DataFrame, zones: dict[str, float]) -> DataFrame:
+        """(id, rank, w) from _owned: owners of the query as a title, then of titles that it is most of, sixteen of each at most."""
         best = [rows.filter(kind).orderBy(*owner_order(zones)).limit(OWNERS) for kind in ("full", "part AND NOT full")]
         one = rows.filter("full").agg(F.count(F.lit(1)).alias("owners"))
         w = F.when(F.col("full") & (F.col("owners") == 1), UNIQUE).when(F.col("full"), COLLIDING).otherwise(PARTIAL)
@@ -124,16 +128,17 @@ class Vault:
             one = self.spark.createDataFrame([(0, [float(x) for x in vector])], "qid long, q array<double>")
             legs["dense"] = [(r["id"], r["rank"], r["score"]) for r in search.nearest(self.vectors, one, key="id", n=n).collect()]
         full, part = self._owns(query)
+        owned = self._owned(query)
         heads = search.family_canonicals([r[0] for leg in legs.values() for r in leg], self.notes, full | part) if collapse else {}
         legs = {name: search.fold(leg, heads) for name, leg in legs.items()}
         frames = {name: self.spark.createDataFrame(leg, "id string, rank int, sim double") for name, leg in legs.items()}
         fused = search.fuse({name: f.select(F.lit(0).alias("qid"), "id", "rank") for name, f in frames.items()}, key="id", k=const).drop("qid")
         if exact_on:
-            e = self._exact(query, zones).withColumnRenamed("rank", "exact_rank")
+            e = self._exact(owned, zones).withColumnRenamed("rank", "exact_rank")
             fused = fused.join(e, "id", "full").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce(F.col("w") / (const + F.col("exact_rank")), F.lit(0.0)))
         else:
             fused = fused.withColumns({"exact_rank": F.lit(None).cast("int"), "w": none})
-        owners = self.notes.filter(full).agg(F.count(F.lit(1)).alias("owners"))
+        owners = owned.filter("full").agg(F.count(F.lit(1)).alias("owners"))
         absorbed: dict[str, list[str]] = {}
         for i, head in sorted(heads.items()):
             absorbed.setdefault(head, []).append(i)
