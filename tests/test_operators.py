@@ -5,6 +5,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vaultspark.functions import stats, text
@@ -81,6 +82,26 @@ def test_degree_cap_is_the_sequential_rule(spark):
     assert sorted(map(tuple, graph.degree_capped(df, cap=3, most=20).collect())) == sorted(want[:20])
 
 
+@pytest.mark.parametrize("depth", [3, 4, 12])
+def test_capped_edges_of_vectors_are_those_of_all_pairs(spark, depth):
+    rnd = np.random.default_rng(depth)
+    x = rnd.integers(-2, 3, (70, 5)) / 2.0  # many ties
+    x[40:52] = x[40]  # copies
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+    pairs = sorted((-round(float(x[a] @ x[b]), 6), a, b) for a in range(70) for b in range(a + 1, 70) if x[a] @ x[b] >= 0.5)
+    degree, want = dict.fromkeys(range(70), 0), []
+    for s, a, b in pairs:
+        if degree[a] < 3 and degree[b] < 3:
+            degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+            want.append((a, b, -s))
+    got = graph.similar_capped(df, 0.5, cap=3, depth=depth)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    lists = search.similar_lists(df, 0.5, 4, small=16)
+    near = [(a, b, -s) for s, a, b in sorted([(s, a, b) for s, a, b in pairs] + [(s, b, a) for s, a, b in pairs])]
+    assert sorted(map(tuple, lists.select("v", "u", "score").collect())) == sorted(r for v in range(70) for r in [p for p in near if p[0] == v][:4])
+    assert graph.similar_capped(df, 99.0).count() == 0
+
+
 def test_vector_pairs_and_clusters_are_of_all_vectors(spark, data, tmp_path):
     """Ids that 20 doesn't divide, copies, and clusters joined by other members."""
     x = np.random.default_rng(1).normal(size=(60, 16))

@@ -95,3 +95,52 @@ def degree_capped(pairs: DataFrame, *, cap: int = 5, most: int | None = None) ->
         taken = checkpointed(taken.unionByName(told.filter("first").select("a", "b", "score")))
         left = told.filter("NOT first AND free > 0").select("a", "b", "score")
     return taken if most is None else taken.orderBy(*order).limit(most)
+
+
+def similar_capped(vectors: DataFrame, least: float, *, cap: int = 5, most: int | None = None, depth: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, score): degree_capped of all pairs of vectors whose product is `least` or more, without all pairs being written.
+
+    A pass takes the best `depth` others of each vector that has a free place, so it shuffles rows by vectors, not by pairs. An edge
+    is taken when both ends list it among their first free ones; all better edges of both are known then. A pass ends when no
+    edge can be taken so; the next one lists what full vectors have left. Each takes the best edge that is left at least, and
+    a pass whose lists are all complete is the last."""
+    from vaultspark.operators.search import similar_lists
+
+    depth = max(depth or 4 * cap, cap)
+    rows = vectors.select(F.col(key).alias("v"), F.col(vector).alias("x")).dropna()
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("v"))
+    left, taken = rows, None
+    while True:
+        lists = checkpointed(similar_lists(left, least, depth, key="v", vector="x"))
+        cut = lists.filter(F.col("r") == depth).select("v")
+        edges = lists.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b"), "score", "v").groupBy("a", "b").agg(F.max("score").alias("score"), F.bool_or(F.col("v") == F.col("a")).alias("known_a"), F.bool_or(F.col("v") == F.col("b")).alias("known_b"))
+        edges = edges.withColumns({"free_a": F.lit(cap), "free_b": F.lit(cap), "take": F.lit(False)})
+        if taken is not None:
+            used = ends(taken).groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("used"))
+            edges = edges.join(taken.select("a", "b"), ["a", "b"], "left_anti")
+            for e in "ab":
+                edges = edges.join(used.select(F.col("v").alias(e), "used"), e, "left").withColumn(f"free_{e}", F.lit(cap) - F.coalesce("used", F.lit(0))).drop("used")
+        found, size = [], None
+        while True:
+            sides = [F.struct(F.col(e).alias("v"), F.col(o).alias("u"), F.col(f"known_{e}").alias("known"), F.col(f"free_{e}").alias("free")) for e, o in ("ab", "ba")]
+            sided = edges.select("score", "take", F.explode(F.array(*sides)).alias("e")).select("score", "take", "e.*")
+            sided = sided.withColumn("free", F.col("free") - F.sum(F.col("take").cast("int")).over(Window.partitionBy("v")).cast("int"))
+            place = F.row_number().over(Window.partitionBy("v").orderBy("take", F.desc("score"), "u"))  # taken ones come last
+            sided = sided.withColumn("first", F.col("known") & (place <= F.col("free"))).filter("NOT take")
+            of = lambda e, c: F.max(F.when(F.col("v") == F.col(e), F.col(c))).alias(f"{c}_{e}")
+            told = sided.withColumns({"a": F.least("v", "u"), "b": F.greatest("v", "u")}).groupBy("a", "b").agg(F.max("score").alias("score"), *[of(e, c) for e in "ab" for c in ("known", "free")], F.bool_and("first").alias("take"))
+            edges = checkpointed(told.filter("free_a > 0 AND free_b > 0"))
+            now = edges.filter("take").select("a", "b", "score")
+            n, taking = edges.agg(F.count(F.lit(1)), F.count_if("take")).first()
+            if not taking and n == size:  # none went, and none lost an end that got full
+                break
+            size = n - taking
+            found.append(now)
+        for now in found:
+            taken = now if taken is None else taken.unionByName(now)
+        taken = checkpointed(taken)
+        if not cut.limit(1).count():
+            break
+        full = ends(taken).groupBy("v").agg(F.count(F.lit(1)).alias("used")).filter(F.col("used") >= cap)
+        left = checkpointed(rows.join(ends(edges).unionByName(cut).distinct().join(full, "v", "left_anti"), "v", "left_semi"))
+    return taken if most is None else taken.orderBy(F.desc("score"), "a", "b").limit(most)
