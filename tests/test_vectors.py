@@ -1,10 +1,12 @@
 """The stored vector table against a plain dictionary of vectors."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vaultspark.operators.vectors import VectorTable, centroids, unit
+from vaultspark.operators.vectors import VectorTable, centroids, closest, unit
 from vaultspark.plans import custom
 from vaultspark.sources.bucketed import Conflict
 
@@ -113,3 +115,13 @@ def test_centroids_are_of_distinct_vectors():
 def test_recall_on_the_tables(spark, data):
     (got,) = custom.vector_backend_recall(spark, data).collect()
     assert got.recall >= 0.95 and got.probes <= got.lists
+
+
+def test_a_fit_holds_no_product_of_all_rows_and_lists():
+    x = unit(np.random.default_rng(5).normal(size=(256 * 200, 8)))
+    tracemalloc.start()
+    c = centroids(x, 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(x) * len(c) * 8 / 2
+    assert np.array_equal(closest(x[:3000], c), (x[:3000] @ c.T).argmax(1)) and len(closest(x[:0], c)) == 0

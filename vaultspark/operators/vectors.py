@@ -28,8 +28,8 @@ from vaultspark.sources.bucketed import Conflict, get_text, put_once
 
 #: Vectors that centroids are fitted on at most, for each list; rounds of fitting; questions in one broadcast.
 SAMPLE_PER_LIST, ROUNDS, QUESTIONS = 256, 12, 4096
-#: Questions that one product compares with a list's rows of a batch.
-PRODUCT = 256
+#: Questions that one product compares with a list's rows of a batch, and numbers that a product with all centroids has at most.
+PRODUCT, NUMBERS = 256, 1 << 21
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -37,13 +37,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The centroid of the largest product of each row, some rows at a time."""
+    step = max(1, NUMBERS // max(1, len(c)))
+    return np.concatenate([(x[i : i + step] @ c.T).argmax(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
+
+
 def centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit vectors by k-means; fewer if the sample has fewer distinct vectors."""
     x = np.unique(sample, axis=0)
     rnd = np.random.default_rng(seed)
     c = x[rnd.permutation(len(x))[: max(1, lists)]]
     for _ in range(ROUNDS):
-        at = (x @ c.T).argmax(1)
+        at = closest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         full = np.bincount(at, minlength=len(c)) > 0
@@ -107,7 +113,7 @@ class VectorTable:
                 if x.shape[1] != dim:
                     raise ValueError(f"vectors of {x.shape[1]} numbers in a table of {dim}")
                 x = unit(x)
-                yield pd.DataFrame({key: pdf[key], vector: list(x), "list": (x @ shared.value.T).argmax(1).astype("int32")})
+                yield pd.DataFrame({key: pdf[key], vector: list(x), "list": closest(x, shared.value).astype("int32")})
 
         placed = rows.mapInPandas(assign, f"`{key}` {m['key']}, `{vector}` array<double>, list int")
         number = m["change"] + 1
@@ -180,9 +186,10 @@ class VectorTable:
             some = (asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked).toPandas()
             mat = unit(np.stack(some["q"]).astype(float)) if len(some) else np.zeros((0, m["dim"]))
             near = np.argpartition(-(mat @ c.T), probes - 1, axis=1)[:, :probes]
-            of: dict[int, np.ndarray] = {int(l): np.flatnonzero((near == l).any(1)) for l in np.unique(near)}
-            shared = self.spark.sparkContext.broadcast((some["qid"].to_numpy(), mat, of))
-            part = self.rows(sorted(of)).mapInPandas(_best_of_lists(shared, self.key, self.vector, n), f"qid {kind}, `{self.key}` {m['key']}, score double")
+            looked = np.zeros((len(mat), len(c)), bool)  # a byte for a question and list
+            np.put_along_axis(looked, near, True, 1)
+            shared = self.spark.sparkContext.broadcast((some["qid"].to_numpy(), mat, looked))
+            part = self.rows([int(l) for l in np.flatnonzero(looked.any(0))]).mapInPandas(_best_of_lists(shared, self.key, self.vector, n), f"qid {kind}, `{self.key}` {m['key']}, score double")
             out = part if out is None else out.unionByName(part)
         return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), self.key))).filter(F.col("rank") <= n)
 
@@ -206,11 +213,11 @@ class VectorTable:
 
 def _best_of_lists(shared, key: str, vector: str, n: int):
     def over(batches):
-        names, mat, of = shared.value
+        names, mat, looked = shared.value
         for pdf in batches:
             for l, rows in pdf.groupby("list", sort=False):
-                asked = of.get(int(l))
-                if asked is None or not len(asked):
+                asked = np.flatnonzero(looked[:, int(l)])
+                if not len(asked):
                     continue
                 rows = rows.sort_values(key, kind="stable")  # ties go to the smaller key
                 keys, x = rows[key].to_numpy(), np.stack(rows[vector]).astype(float).T
