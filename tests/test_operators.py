@@ -167,6 +167,24 @@ def test_cross_tier_candidates_are_few(spark):
         assert want <= got and len(got) <= 3 * len(want) + 50
 
 
+def test_cross_tier_candidates_shuffle_no_pairs(spark):
+    """Texts of common words share many of their rarest ones, but no row is shuffled for an item or for a pair that shares too little."""
+    rng = np.random.default_rng(13)
+    docs = [[f"w{x}" for x in rng.integers(0, 2000, 120)] for _ in range(600)]
+    table = spark.createDataFrame([(i, i % 4, t) for i, t in enumerate([*docs, *(t[:-2] for t in docs[:9])])], "k long, tier int, tokens array<string>")
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {(r.a, r.b) for r in overlap.candidates(table, shingle=5, percent=60).collect()}
+    assert {(i, 600 + i) for i in range(9) if i % 4 != (600 + i) % 4} <= got
+    assert shuffled() - before < 10 * len(docs)
+
+
 def test_sketches_are_mergeable_and_screened_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     texts = [[f"w{x}" for x in rng.integers(0, 400, n)] for n in (0, 3, 90, 500, 900)]
