@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vaultspark.operators import vectors
 from vaultspark.operators.vectors import VectorTable, centroids, closest, unit
 from vaultspark.plans import custom
 from vaultspark.sources.bucketed import Conflict
@@ -80,6 +81,23 @@ def test_probes_read_their_lists_only(spark, tmp_path, clustered, capsys):
     assert found(t.search(asked(spark, questions), 10)) == found(t.search(asked(spark, questions), 10, probes=probes))
 
 
+def test_calibration_searches_once(spark, tmp_path, clustered, monkeypatch):
+    """The fewest probes that reach the target come from one exact search; a task sends on its best rows of a question, not those of each list."""
+    t = VectorTable(spark, str(tmp_path / "v"))
+    t.setup(rows(spark, clustered), lists=12)
+    exact, calls = vectors.nearest, []
+    monkeypatch.setattr(vectors, "nearest", lambda *a, **b: calls.append(1) or exact(*a, **b))
+    probes = t.calibrate(target=0.9, sample=400)["probes"]
+    assert len(calls) == 1
+    every = asked(spark, clustered)
+    assert t.recall(every, 10, probes) >= 0.9 and (probes == 1 or t.recall(every, 10, probes - 1) < 0.9)
+    looked = np.ones((400, 12), bool)
+    names = np.arange(400)
+    pdf = t.rows().toPandas()
+    sent = list(vectors._best_of_lists(type("", (), {"value": (names, unit(np.array([clustered[i] for i in names])), looked)}), "vec_id", "embedding", 10)([pdf, pdf.iloc[:0]]))
+    assert sum(map(len, sent)) == 400 * 10
+
+
 def test_a_hot_vector_is_split(spark, tmp_path):
     t = VectorTable(spark, str(tmp_path / "v"))
     t.setup(rows(spark, {i: [1.0, 0.0] if i < 900 else [0.0, 1.0 + i] for i in range(1000)}), lists=4)

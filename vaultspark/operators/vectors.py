@@ -6,10 +6,10 @@ each change has a number, and of an id only its last change counts. `compact` fo
 names the parts, and is committed under a number that can be taken once.
 
 A search takes each question's nearest lists (its probes), reads these lists only, and compares each batch of stored
-vectors with the questions that probe its list; every batch sends on its best n of a question. Questions are
-broadcast in blocks of a fixed size. No list is gathered in one task, so a list may hold any share of the rows.
-`probes=None` compares all lists and is exact. `calibrate` measures recall on stored vectors and keeps the fewest
-probes that reach a target.
+vectors with the questions that probe its lists; every task sends on its best n of a question. Questions are
+broadcast in blocks of a fixed size. A large list is split over tasks, so a list may hold any share of the rows.
+`probes=None` compares all lists and is exact. `calibrate` finds the exact nearest of some stored vectors once, with
+their lists, and keeps the fewest probes that reach a target.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultspark.operators.base import checkpointed, hadoop_path
-from vaultspark.operators.search import nearest
+from vaultspark.operators.search import STEP_QUERIES, STEP_VECTORS, Best, nearest
 from vaultspark.sources.bucketed import Conflict, get_text, put_once
 
 #: Vectors that centroids are fitted on at most, for each list; rounds of fitting; questions in one broadcast.
-SAMPLE_PER_LIST, ROUNDS, QUESTIONS = 256, 12, 4096
-#: Questions that one product compares with a list's rows of a batch, and numbers that a product with all centroids has at most.
-PRODUCT, NUMBERS = 256, 1 << 21
+SAMPLE_PER_LIST, ROUNDS, QUESTIONS = 256, 12, 1 << 14
+#: Numbers that a product with all centroids has at most.
+NUMBERS = 1 << 21
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -43,6 +43,12 @@ def closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + step] @ c.T).argmax(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
 
 
+def nearest_lists(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The centroids of the largest products of each row, in their order, some rows at a time; of equal ones the first."""
+    step = max(1, NUMBERS // max(1, len(c)))
+    return np.concatenate([np.argsort(-(x[i : i + step] @ c.T), axis=1, kind="stable")[:, :probes] for i in range(0, max(1, len(x)), step)])
+
+
 def centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit vectors by k-means; fewer if the sample has fewer distinct vectors."""
     x = np.unique(sample, axis=0)
@@ -117,7 +123,7 @@ class VectorTable:
 
         placed = rows.mapInPandas(assign, f"`{key}` {m['key']}, `{vector}` array<double>, list int")
         number = m["change"] + 1
-        placed.withColumn("change", F.lit(number)).repartition("list", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("list").parquet(f"{self.folder}/{name}")
+        placed.withColumn("change", F.lit(number)).hint("rebalance", "list").write.partitionBy("list").parquet(f"{self.folder}/{name}")
         part = {"path": name, "kind": "base" if compacted else "delta"}
         return {**m, "change": number, "parts": [part] if compacted else [*m["parts"], part]}
 
@@ -185,9 +191,8 @@ class VectorTable:
         for i in range(blocks):
             some = (asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked).toPandas()
             mat = unit(np.stack(some["q"]).astype(float)) if len(some) else np.zeros((0, m["dim"]))
-            near = np.argpartition(-(mat @ c.T), probes - 1, axis=1)[:, :probes]
             looked = np.zeros((len(mat), len(c)), bool)  # a byte for a question and list
-            np.put_along_axis(looked, near, True, 1)
+            np.put_along_axis(looked, nearest_lists(mat, c, probes), True, 1)
             shared = self.spark.sparkContext.broadcast((some["qid"].to_numpy(), mat, looked))
             part = self.rows([int(l) for l in np.flatnonzero(looked.any(0))]).mapInPandas(_best_of_lists(shared, self.key, self.vector, n), f"qid {kind}, `{self.key}` {m['key']}, score double")
             out = part if out is None else out.unionByName(part)
@@ -196,35 +201,38 @@ class VectorTable:
     def recall(self, questions: DataFrame, n: int, probes: int) -> float:
         """The share of the exact n nearest that a search with so many probes finds."""
         exact = self.search(questions, n, probes=None).select("qid", self.key)
-        found = self.search(questions, n, probes=probes).select("qid", self.key)
-        total, hits = exact.count(), exact.join(found, ["qid", self.key], "left_semi").count()
-        return hits / total if total else 1.0
+        found = self.search(questions, n, probes=probes).select("qid", self.key, F.lit(1).alias("hit"))
+        told = exact.join(found, ["qid", self.key], "left").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("hits")).first()
+        return told["hits"] / told["total"] if told["total"] else 1.0
 
     def calibrate(self, *, target: float = 0.95, n: int = 10, sample: int = 200) -> dict:
         """Keeps the fewest probes that reach the target on at most `sample` stored vectors (the lowest hashes of ids)."""
         m = self.manifest()
         asked = checkpointed(self.rows().orderBy(F.xxhash64(self.key), self.key).limit(sample).select(F.col(self.key).alias("qid"), F.col(self.vector).alias("q")))
-        low, high = 1, len(m["centroids"])
-        while low < high:  # recall grows with probes
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.recall(asked, n, mid) >= target else (mid + 1, high)
+        exact = nearest(self.rows(), asked, key=self.key, vector=self.vector, n=n).select("qid", self.key)
+        rows = exact.join(self.rows().select(self.key, "list"), self.key).groupBy("qid").agg(F.collect_list("list").alias("lists")).join(asked, "qid").select("q", "lists").collect()  # of the sample only
+        c, low = np.array(m["centroids"]), 1
+        if rows:  # a neighbour is found when its list is among those looked at, so its list's place is the number of probes that it takes
+            order = nearest_lists(unit(np.array([r["q"] for r in rows], float)), c, len(c))
+            takes = np.sort(np.concatenate([np.argsort(o)[r["lists"]] for o, r in zip(order, rows)])) + 1
+            low = next((int(p) for p in np.unique(takes) if np.searchsorted(takes, p, "right") / len(takes) >= target), len(c))
         return self._commit({**m, "version": m["version"] + 1, "probes": low})
 
 
 def _best_of_lists(shared, key: str, vector: str, n: int):
     def over(batches):
         names, mat, looked = shared.value
+        best = Best(len(names), n)
         for pdf in batches:
-            for l, rows in pdf.groupby("list", sort=False):
-                asked = np.flatnonzero(looked[:, int(l)])
-                if not len(asked):
-                    continue
-                rows = rows.sort_values(key, kind="stable")  # ties go to the smaller key
-                keys, x = rows[key].to_numpy(), np.stack(rows[vector]).astype(float).T
-                for start in range(0, len(asked), PRODUCT):
-                    some = asked[start : start + PRODUCT]
-                    sims = np.round(mat[some] @ x, 6)
-                    at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-                    yield pd.DataFrame({"qid": np.repeat(names[some], at.shape[1]), key: keys[at].ravel(), "score": np.take_along_axis(sims, at, 1).ravel()})
+            pdf = pdf.sort_values("list", kind="stable")
+            for start in range(0, len(pdf), STEP_VECTORS):
+                some = pdf.iloc[start : start + STEP_VECTORS]
+                x, lists, keys = np.stack(some[vector]).astype(float).T, some["list"].to_numpy(), some[key].to_numpy()
+                asked = np.flatnonzero(looked[:, np.unique(lists)].any(1))
+                for first in range(0, len(asked), STEP_QUERIES):
+                    these = asked[first : first + STEP_QUERIES]
+                    best.add(these, np.round(mat[these] @ x, 6), keys, looked[these][:, lists])
+        if len(best.at):
+            yield pd.DataFrame({"qid": names[best.at], key: best.keys, "score": best.scores})
 
     return over
